@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of at most so many rows of a few narrow columns (under 64 MB) may be broadcast.
+#: A side of at most so many rows, and so many bytes of strings, may be broadcast: under 100 MB with its few narrow columns.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,16 +40,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int | None = None, salts: int = 16) -> DataFrame:
-    """Join small onto big: broadcast if it has at most BROADCAST_ROWS rows, else by salted keys.
+def small_enough(df: DataFrame) -> bool:
+    """Whether df, which should be materialized, may be broadcast: its rows and the bytes of its strings are counted."""
+    wide = [c for c, kind in df.dtypes if kind in ("string", "binary")]
+    sums = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in wide]
+    n, *sizes = df.agg(F.count(F.lit(1)), *sums).first()
+    return n <= BROADCAST_ROWS and sum(sizes) <= BROADCAST_BYTES
 
-    small should be materialized, since its rows are counted. Salting spreads a
-    key that holds much of big over `salts` tasks; small is repeated as often.
+
+def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str, salts: int = 16) -> DataFrame:
+    """Join small (materialized, as its size is measured) onto big: broadcast within the bounds above, else by salted keys.
+
+    Salting spreads a key that holds much of big over `salts` tasks; small is repeated as often.
     """
-    n = small.count() if rows is None else rows
-    if n <= BROADCAST_ROWS:
+    if small_enough(small):
         return big.join(F.broadcast(small), on, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)))
+    salted = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 

@@ -125,11 +125,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "suspects",
     )
     suspects = marked.where("suspect")
-    n_suspects = suspects.count()
     ids = suspects.select("doc_id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     # null ids match nothing in a join; their texts are few and go along
-    texts = checked_join(texts, ids, ["doc_id"], "left_semi", rows=n_suspects).unionByName(texts.where("doc_id is null"))
+    texts = checked_join(texts, ids, ["doc_id"], "left_semi").unionByName(texts.where("doc_id is null"))
     groups = materialize(
         texts.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
