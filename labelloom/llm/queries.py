@@ -4,18 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .mixing import Mix, mix_sources
 from .pii import pii
+from .quality import quality
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(table(spark, sf_dir, "documents"))
 
 
+#: Weights of the tree of `documents`; sources that are not listed weigh alike within their domain and language.
+DOMAIN_WEIGHTS = {"web": 50, "forum": 20, "books": 30}
+LANG_WEIGHTS = {"en": 60, "de": 15, "fr": 15, "es": 10}
+DOCUMENT_MIX = Mix(weights=DOMAIN_WEIGHTS | {f"{d}/{lang}": w for d in DOMAIN_WEIGHTS for lang, w in LANG_WEIGHTS.items()} | {"web/en/src0": 3}, budget_percent=60, max_epochs=4, seed=7)
+
+
+def document_domain() -> Column:
+    """The domain of a source of `documents`: src0 to src9 web, to src14 forum, from src15 books."""
+    number = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
+    return F.when(number >= 15, "books").when(number >= 10, "forum").otherwise("web")
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), DOCUMENT_MIX, document_domain()).select("doc_id", "_mix.*")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), digest=True)
 
@@ -26,11 +49,51 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_quality": op3_quality,
     "op6_line_dedup": op6_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
+def _mix_sql(mix: Mix) -> str:
+    """DuckDB SQL for mix_sources() over `documents`."""
+    weights = ", ".join(f"('{k}', {v})" for k, v in mix.weights.items())
+
+    def fill(name: str, source: str, parent: str) -> str:
+        part = f"PARTITION BY {parent}" if parent else ""
+        parts = f"PARTITION BY {parent}, full_" if parent else "PARTITION BY full_"
+        return f"""
+        {name}_a AS (SELECT n.*, CASE WHEN cap > 0 THEN coalesce(w.weight, {mix.default_weight}) ELSE 0 END AS weight FROM ({source}) n LEFT JOIN weights w ON w.path = n.path),
+        {name}_b AS (SELECT *, total - coalesce(sum(cap) OVER before, 0) AS total_left, sum(weight) OVER ({part}) - coalesce(sum(weight) OVER before, 0) AS weight_left
+            FROM (SELECT *, CASE WHEN weight > 0 THEN cap / weight ELSE 0.0 END AS ratio FROM {name}_a)
+            WINDOW before AS ({part} ORDER BY ratio, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        {name}_c AS (SELECT * EXCLUDE (total_left, weight_left), min(CASE WHEN cap::HUGEINT * weight_left <= weight::HUGEINT * total_left THEN 1 ELSE 0 END) OVER ({part} ORDER BY ratio, path ROWS UNBOUNDED PRECEDING) AS full_ FROM {name}_b),
+        {name}_d AS (SELECT *, total - coalesce(sum(CASE WHEN full_ = 1 THEN cap END) OVER ({part}), 0) AS total_left, sum(CASE WHEN full_ = 0 THEN weight END) OVER ({part}) AS weight_left,
+            row_number() OVER ({parts} ORDER BY path) AS rank FROM {name}_c),
+        {name}_e AS (SELECT *, CASE WHEN full_ = 1 THEN cap ELSE (weight::HUGEINT * total_left::HUGEINT) // weight_left END AS share FROM {name}_d),
+        {name}_f AS (SELECT *, total_left - sum(CASE WHEN full_ = 0 THEN share END) OVER ({part}) AS over_ FROM {name}_e),
+        {name} AS (SELECT *, CAST(share + CASE WHEN full_ = 0 AND rank <= over_ THEN 1 ELSE 0 END AS BIGINT) AS target FROM {name}_f)"""
+
+    return f"""
+        WITH weights(path, weight) AS (VALUES {weights}),
+        rows_ AS (SELECT doc_id, lang, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
+            CASE WHEN number >= 15 THEN 'books' WHEN number >= 10 THEN 'forum' ELSE 'web' END AS domain
+            FROM (SELECT *, try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) AS number FROM documents)),
+        leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * {mix.max_epochs} AS BIGINT) AS cap FROM rows_ GROUP BY ALL),
+        {fill("domains", f"SELECT domain, domain AS path, CAST(sum(cap) AS BIGINT) AS cap, (SELECT CAST(sum(tokens) AS BIGINT) * {mix.budget_percent} // 100 FROM leaves) AS total FROM leaves GROUP BY domain", "")},
+        {fill("langs", "SELECT l.domain, l.lang, l.domain || '/' || l.lang AS path, CAST(sum(l.cap) AS BIGINT) AS cap, any_value(d.target) AS total FROM leaves l JOIN domains d ON d.domain = l.domain GROUP BY l.domain, l.lang", "domain")},
+        {fill("sources", "SELECT l.domain, l.lang, l.source, l.tokens, l.domain || '/' || l.lang || '/' || l.source AS path, l.cap, g.target AS total FROM leaves l JOIN langs g ON g.domain = l.domain AND g.lang = l.lang", "domain, lang")},
+        placed AS (SELECT r.doc_id, r.domain, r.lang, r.source, r.n_tokens, r.text, CASE WHEN s.tokens > 0 THEN s.target // s.tokens ELSE 0 END AS full_epochs, CASE WHEN s.tokens > 0 THEN s.target % s.tokens ELSE 0 END AS rest
+            FROM rows_ r JOIN sources s ON s.domain = r.domain AND s.lang = r.lang AND s.source = r.source),
+        started AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{mix.seed}:' || full_epochs || ':' || doc_id), md5(coalesce(text, '')) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM placed)
+        SELECT doc_id, domain, lang, source, n_tokens, full_epochs, CAST(greatest(0, least(n_tokens, rest - start)) AS BIGINT) AS tail_tokens,
+            CAST(full_epochs + CASE WHEN rest - start > 0 AND n_tokens > 0 THEN 1 ELSE 0 END AS BIGINT) AS copies
+        FROM started
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_mix_sources": _mix_sql(DOCUMENT_MIX),
     "op6_line_dedup": """
         WITH lines AS (
             SELECT doc_id, n_lines, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
