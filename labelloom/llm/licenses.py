@@ -109,11 +109,18 @@ def phrase_pattern(phrase: str) -> str:
 
 
 def count_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"{WORD_CHAR}+")).cast("long")
+    """Pieces between separators, but for the empty ones before a first and after a last separator."""
+    edges = [F.substring(text, at, 1).rlike(BETWEEN).cast("long") for at in (1, -1)]
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, BETWEEN, -1)) - edges[0] - edges[1]).cast("long")
 
 
-def _rule_array(found: list[tuple[str, str, str, int]]) -> Column:
-    return F.array(*(F.struct(F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(p).alias("pattern"), F.lit(n).alias("priority")) for a, k, p, n in found))
+def _rules_of(keywords: Column) -> Column:
+    """The rules of these keywords. `keywords` stands outside of any lambda, so it is worked out once a row."""
+    by: dict[str, list[Column]] = {}
+    for rank, (label, keyword, pattern, priority) in enumerate(rules()):
+        by.setdefault(keyword, []).append(F.struct(F.lit(label).alias("label"), F.lit(pattern).alias("pattern"), F.lit(priority).alias("priority"), F.lit(rank).alias("rank")))
+    table = F.create_map(*(x for k, own in by.items() for x in (F.lit(k), F.array(*own))))
+    return F.flatten(F.transform(keywords, lambda k: F.element_at(table, k)))
 
 
 def _spans(text: Column, rule: Column) -> Column:
@@ -121,13 +128,13 @@ def _spans(text: Column, rule: Column) -> Column:
     matches = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
     pieces = F.split(text, rule["pattern"], -1)
     zipped = F.zip_with(matches, F.slice(pieces, 1, F.size(matches)), lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("own")))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,label:string,priority:int>>)")
+    none = F.expr("cast(array() as array<struct<start:int,end:int,label:string,priority:int,rank:int>>)")
     walked = F.aggregate(
         zipped,
         F.struct(F.lit(0).alias("at"), none.alias("out")),
         lambda acc, x: F.struct(
             (acc["at"] + x["gap"] + x["own"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["own"]).alias("end"), rule["label"].alias("label"), rule["priority"].alias("priority")))).alias("out"),
+            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["own"]).alias("end"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["rank"].alias("rank")))).alias("out"),
         ),
     )
     return F.when(F.size(matches) > 0, walked["out"]).otherwise(none)
@@ -140,7 +147,7 @@ def _suppressed(spans: Column) -> Column:
     of its priority or more reached as far: one furthest end per priority is kept.
     """
     order = lambda a, b: (
-        F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(b["priority"] - a["priority"])
+        F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).when(a["priority"] != b["priority"], b["priority"] - a["priority"]).otherwise(a["rank"] - b["rank"])
     )
     levels = [f"upto{n}" for n in range(1, LEVELS + 1)]
 
@@ -152,7 +159,7 @@ def _suppressed(spans: Column) -> Column:
         upto = [F.when(x["priority"] == n, F.greatest(acc[f"upto{n}"], x["end"])).otherwise(acc[f"upto{n}"]).alias(f"upto{n}") for n in range(1, LEVELS + 1)]
         return F.struct(*upto, F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(x))).alias("out"))
 
-    none = F.expr("cast(array() as array<struct<start:int,end:int,label:string,priority:int>>)")
+    none = F.expr("cast(array() as array<struct<start:int,end:int,label:string,priority:int,rank:int>>)")
     return F.aggregate(F.array_sort(spans, order), F.struct(*(F.lit(-1).alias(c) for c in levels), none.alias("out")), step)["out"]
 
 
@@ -164,10 +171,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts have no words, empty labels and score 0. Repeated rows are scanned alike;
     other columns are ignored. Nothing is shuffled.
     """
-    all_rules = rules()
-    keywords = sorted({k for _, k, _, _ in all_rules}, key=lambda k: (-len(k), k))
-    # "lgpl" names hold "general public": shorter keywords within longer ones are found by their own search
-    holds = F.filter(F.array(*(F.lit(k) for k in keywords)), lambda k: F.contains(F.col("_low"), k))
+    keywords = sorted({k for _, k, _, _ in rules()})
     text = F.col("_text")
     spot = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_gate", text.rlike(GATE))
     when = lambda x: F.when(F.col("_gate"), x)
@@ -180,12 +184,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.when(F.col(f"`_n_{label}`") > 0, F.col("n_words") - words - len(BASE[label].split()) if last else words)
 
     base_labels = F.array_sort(F.array_compact(F.array(*(F.when(F.col(f"`_n_{label}`") > 0, label) for label in BASE))))
-    chosen = F.filter(_rule_array(all_rules), lambda r: F.array_contains(F.col("_keywords"), r["keyword"]))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,label:string,priority:int>>)")
+    none = F.expr("cast(array() as array<struct<start:int,end:int,label:string,priority:int,rank:int>>)")
     found = (
         spot.withColumn("_low", when(F.regexp_replace(F.lower(text), r"\s+", " ")))
-        .withColumn("_keywords", when(holds))
-        .withColumn("spans", F.coalesce(when(_suppressed(F.flatten(F.transform(chosen, lambda r: _spans(text, r))))), none))
+        .withColumn("_keywords", when(F.array_compact(F.array(*(F.when(F.contains(F.col("_low"), F.lit(k)), F.lit(k)) for k in keywords)))))
+        .withColumn("spans", F.coalesce(when(_suppressed(F.flatten(F.transform(_rules_of(F.col("_keywords")), lambda r: _spans(text, r))))), none))
         .withColumn("_base", base_labels)
     )
     best = F.coalesce(F.array_max(F.transform("spans", lambda s: s["priority"])) / LEVELS, F.lit(0.0))
@@ -196,5 +199,6 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.greatest(*(piece(label, True) for label in BASE)).alias("last_word"),
         F.array_join("_base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat("_base", F.transform("spans", lambda s: s["label"])))), ",").alias("labels"),
-        F.greatest(best, F.when(F.size("_base") > 0, 0.5).otherwise(0.0)).alias("score"), "spans",
+        F.greatest(best, F.when(F.size("_base") > 0, 0.5).otherwise(0.0)).alias("score"),
+        F.transform("spans", lambda s: s.dropFields("rank")).alias("spans"),
     )
