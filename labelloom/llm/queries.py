@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_text import main_text
 from .licenses import license_scan
 from .line_dedup import line_dedup
 from .mixing import Mix, mix_sources
@@ -52,6 +53,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_mix_sources": op2_mix_sources,
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_html_text": op10_html_text,
 }
 
 def _mix_sql(mix: Mix) -> str:
