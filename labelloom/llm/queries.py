@@ -19,6 +19,7 @@ from .quality import quality
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(table(spark, sf_dir, "documents"))
+from .shingle_join import shingle_join
 
 
 #: Weights of the tree of `documents`; sources that are not listed weigh alike within their domain and language.
@@ -41,6 +42,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op4_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), digest=True)
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_mix_sources": op2_mix_sources,
     "op3_quality": op3_quality,
+    "op4_shingle_join": op4_shingle_join,
     "op6_line_dedup": op6_line_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_exact_dedup": op9_exact_dedup,
@@ -106,6 +112,27 @@ def _mix_sql(mix: Mix) -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": _mix_sql(DOCUMENT_MIX),
+    "op4_shingle_join": """
+        WITH RECURSIVE split AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ),
+        s AS (
+            SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 4], ' ')) AS h
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM split)
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        rare AS (SELECT s.doc_id, s.h, row_number() OVER (PARTITION BY s.doc_id ORDER BY f.c, s.h) AS r FROM s JOIN (SELECT h, count(*) AS c FROM s GROUP BY h) f ON f.h = s.h),
+        p AS (SELECT r.doc_id, r.h FROM rare r JOIN n ON n.doc_id = r.doc_id WHERE r.r <= n.n - (80 * n.n + 99) // 100 + 1),
+        cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.h = b.h AND a.doc_id < b.doc_id),
+        link AS (
+            SELECT c.a, c.b FROM cand c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b AND y.h = x.h JOIN n na ON na.doc_id = c.a JOIN n nb ON nb.doc_id = c.b
+            GROUP BY c.a, c.b, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))
+        ),
+        both_ AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON e.a = r.b)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id
+        FROM documents d JOIN reach r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+    """,
     "op6_line_dedup": """
         WITH lines AS (
             SELECT doc_id, n_lines, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
