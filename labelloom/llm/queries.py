@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,7 @@ from .quality import quality
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii(table(spark, sf_dir, "documents"))
 from .shingle_join import shingle_join
+from .subword_lattice import sample_encode
 
 
 #: Weights of the tree of `documents`; sources that are not listed weigh alike within their domain and language.
@@ -50,6 +52,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), digest=True)
 
 
+#: Vocabulary of SentencePiece pieces; the folder of tokenizers is a parameter.
+PIECE_MODEL = os.environ.get("TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
+
+
+def op7_subword_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_encode(table(spark, sf_dir, "documents"), PIECE_MODEL, k=2, seed=7, digest=True)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -68,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_shingle_join": op4_shingle_join,
     "op6_line_dedup": op6_line_dedup,
+    "op7_subword_samples": op7_subword_samples,
     "op8_license_scan": op8_license_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_html_text": op10_html_text,
