@@ -60,5 +60,14 @@ def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str, salt
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def as_key(column: Column) -> Column:
+    """A long id on its way through pandas, which turns a column with nulls into floats; as_id() turns it back."""
+    return column.cast("long").cast("string")
+
+
+def as_id(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
 def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))

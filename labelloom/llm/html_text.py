@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_id, as_key
+
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend"
     " li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -368,9 +370,9 @@ def main_text(pages: DataFrame, model: BlockLabeller | None = None, id_col: str
                 yes = model.label([vectors(b) for b in found])
                 texts = ["\n\n".join(t for (_, t, _), y in zip(b, keep, strict=True) if y) for b, keep in zip(found, yes, strict=True)]
                 yield pd.DataFrame({
-                    "page_id": part["page_id"].astype("Int64"), "url": part["url"], "text": texts, "n_chars": [len(t) for t in texts],
+                    "page_id": list(part["page_id"]), "url": list(part["url"]), "text": texts, "n_chars": [len(t) for t in texts],
                     "n_blocks": [len(b) for b in found], "n_kept": [int(k.sum()) for k in yes],
                 })
 
-    chosen = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    return chosen.mapInPandas(run, "page_id long, url string, text string, n_chars long, n_blocks long, n_kept long")
+    chosen = pages.select(as_key(F.col(id_col)).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    return as_id(chosen.mapInPandas(run, "page_id string, url string, text string, n_chars long, n_blocks long, n_kept long"), "page_id")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import checked_join, materialize, whole_text
+from .common import as_id, as_key, checked_join, materialize, whole_text
 
 STRIPPED = " \t\n\x0b\x0c\r"
 #: Stands for a null id: such rows are one document, after all others.
@@ -122,14 +122,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     bitmaps = materialize(keep_bitmaps(docs, id_col, text_col, least), "keep-bitmaps")
     text = whole_text(text_col)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
+    texts = docs.select(as_key(F.col(id_col)).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
     both = checked_join(texts, bitmaps.select("doc", "version", "n_dropped", "keep"), ["doc", "version"], "left")
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             done = [kept_text(t, k) for t, k in zip(rows["text"], rows["keep"], strict=True)]
             last = [hashlib.sha256(t.encode()).hexdigest() if digest else t for _, t in done]
-            yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "n_lines": [n for n, _ in done], "n_dropped": rows["n_dropped"].fillna(0).astype("int64"), name: last})
+            yield pd.DataFrame({"doc_id": list(rows["doc_id"]), "n_lines": [n for n, _ in done], "n_dropped": rows["n_dropped"].fillna(0).astype("int64"), name: last})
 
     name = "kept_sha256" if digest else "text"
-    return both.select("doc_id", "text", "n_dropped", "keep").mapInPandas(apply, f"doc_id long, n_lines long, n_dropped long, {name} string")
+    return as_id(both.select("doc_id", "text", "n_dropped", "keep").mapInPandas(apply, f"doc_id string, n_lines long, n_dropped long, {name} string"))

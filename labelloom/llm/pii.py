@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_id, as_key, whole_text
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
 
@@ -138,9 +140,9 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
                 base = ",".join(x for x, s in zip(said, spans, strict=True) if s[0] in BASE_KINDS)
                 counts = [sum(s[0] == k for s in spans) for k in KINDS]
                 out.append((doc, *counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(said), ",".join(f"{s[3]:.2f}" for s in spans), max((s[3] for s in spans), default=None)))
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=names)
 
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "scores", "max_score"]
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, scores string, max_score double"
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInPandas(run, schema)
+    schema = "doc_id string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, scores string, max_score double"
+    texts = docs.select(as_key(F.col(id_col)).alias("doc_id"), whole_text(text_col).alias("text"))
+    return as_id(texts.mapInPandas(run, schema))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import as_id, as_key, materialize
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -218,12 +218,12 @@ def quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             m = verdicts(list(rows["lang"]), list(rows["text"]), refs, rules)
-            m.insert(0, "doc_id", rows["doc_id"].astype("Int64").to_numpy())
+            m.insert(0, "doc_id", list(rows["doc_id"]))
             yield m[["doc_id", *_COLUMNS, "base_failed", "kept", "class_distance", "word_distance"]]
 
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in _COLUMNS) + ", base_failed boolean, kept boolean, class_distance double, word_distance double"
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInPandas(run, schema)
+    schema = "doc_id string, " + ", ".join(f"{c} long" for c in _COLUMNS) + ", base_failed boolean, kept boolean, class_distance double, word_distance double"
+    texts = docs.select(as_key(F.col(id_col)).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return as_id(texts.mapInPandas(run, schema))
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:  # noqa: B008
