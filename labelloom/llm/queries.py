@@ -15,6 +15,7 @@ from .licenses import license_scan
 from .line_dedup import line_dedup
 from .mixing import Mix, mix_sources
 from .pii import pii
+from .pseudo_likelihood import pseudo_likelihood
 from .quality import quality
 
 
@@ -48,6 +49,10 @@ def op4_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join(table(spark, sf_dir, "documents"))
 
 
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), digest=True)
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_quality": op3_quality,
     "op4_shingle_join": op4_shingle_join,
+    "op5_pseudo_likelihood": op5_pseudo_likelihood,
     "op6_line_dedup": op6_line_dedup,
     "op7_subword_samples": op7_subword_samples,
     "op8_license_scan": op8_license_scan,
