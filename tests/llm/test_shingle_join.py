@@ -74,9 +74,9 @@ def test_empty(docs):
 
 def test_bound_and_tree_lose_nothing():
     rng = np.random.default_rng(2)
-    points = rng.integers(0, 6, (400, 16))
-    points[200:] = np.maximum(points[:200] + rng.integers(-1, 2, (200, 16)), 0)
-    sizes = points.sum(axis=1)
+    points = rng.integers(0, 6, (400, 16)).astype(np.uint8)
+    points[200:] = np.maximum(points[:200].astype(int) + rng.integers(-1, 2, (200, 16)), 0)
+    sizes = points.sum(axis=1, dtype=np.int64)
     tree = CountTree(points, sizes, 16)
     assert sorted(np.concatenate(tree.leaves).tolist()) == list(range(400))
     everything = np.arange(400)
