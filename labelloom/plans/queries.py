@@ -341,9 +341,9 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {TURNS}, k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM t)
-    SELECT conv_id, max(n) AS steps, round(sum(v * pow(0.95, n - i) * CASE WHEN i = 1 THEN 1 ELSE 0.05 END), 8) AS ema FROM k GROUP BY conv_id""")
+    SELECT conv_id, max(n) AS steps, round(sum(v * pow(0.95, n - i) * CASE WHEN i = 1 THEN 1 ELSE 0.05 END) + 1e-9, 6) AS ema FROM k GROUP BY conv_id""")
 def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return track.moving_average(turns(spark, sf_dir), "conv_id", "turn", "v").withColumn("ema", F.round("ema", 8))  # five turns give eight places, so no value ends in a tie
+    return track.moving_average(turns(spark, sf_dir), "conv_id", "turn", "v").withColumn("ema", F.round(F.col("ema") + 1e-9, 6))  # values have few places: away from ties
 
 
 @query(f"WITH {TURNS} SELECT conv_id, turn, v, max(v) OVER w AS best, v = max(v) OVER w AS is_best FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)")
