@@ -50,3 +50,12 @@ def test_run(spark, docs, tmp_path):
     docs(corpus()).write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() > 0 and {"doc_id", "ids"} <= set(out.columns) and [n for n, _ in corpus_pipeline.STAGES][-1] == "subword encoding"
+
+
+def test_repeated_rows_and_missing_ids(spark, docs):
+    rows = [(1, "same"), (1, "same"), (2, "same"), (2, "same"), (2, "other"), (None, "other"), (None, "lone"), (None, "lone"), (3, None), (4, "")]
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, docs(rows), "").collect()), key=str)
+    assert got == sorted([(2, "same"), (2, "other"), (None, "lone"), (4, "")], key=str)
+    empty = docs([])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
