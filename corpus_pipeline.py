@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from labelloom.llm.common import checked_join, materialize, shared_dir, table
 from labelloom.llm.exact_dedup import exact_dedup
@@ -29,13 +30,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
-    told = exact_dedup(docs)
-    return _without(docs, told.where("not kept and not (doc_id <=> keep_id)").select("doc_id"))
+    """Of equal texts the document with the largest id stays, once.
+
+    An id tells which rows go. Rows without an id, or with an id that several rows share, are
+    told apart by their texts as well.
+    """
+    told = materialize(exact_dedup(docs), "copies")
+    shared = materialize(told.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "shared-ids")
+    gone = told.where("not kept and doc_id is not null").select("doc_id").distinct()
+    plain = _without(docs.where("doc_id is not null"), gone.unionByName(shared))
+    odd = checked_join(docs, shared, ["doc_id"], "left_semi").unionByName(docs.where("doc_id is null"))
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    odd = odd.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "_sha": sha}).dropDuplicates(["_id", "_sha"])
+    stay = told.where("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("_id"), F.col("text_sha256").alias("_sha"))
+    return plain.unionByName(odd.join(stay, ["_id", "_sha"], "left_semi").select(*docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group of near copies the document with the smallest id stays."""
+    """Of a group of near copies the document with the smallest id stays; rows without an id link to nothing and stay."""
     told = shingle_join(docs)
     return _without(docs, told.where("component_id != doc_id").select("doc_id"))
 
