@@ -26,12 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs no rerun.
 
-    The files go when the driver's JVM ends.
+    narrow: df is a small part of a large scan; it is gathered into files of the advisory
+    size instead of one for each task. The files go when the driver's JVM ends.
     """
     spark = df.sparkSession
+    if narrow:
+        df = df.hint("rebalance")
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm

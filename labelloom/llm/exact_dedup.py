@@ -114,6 +114,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"), row.alias("row"))
         .withColumn("sender", F.shiftright("row", 33) * (1 << 17) + F.expr(f"(row & {(1 << 33) - 1}) div {SENDER_ROWS}")),
         "fingerprints",
+        narrow=True,
     )
     total = narrow.count()
     owner_bits = max(4, math.ceil(math.log2(max(1, total / OWNER_ROWS))))

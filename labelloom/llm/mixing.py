@@ -121,7 +121,7 @@ def mix_sources(docs: DataFrame, mix: Mix, domain: Column, id_col: str = "doc_id
         "_m_domain": named(domain), "_m_lang": named(F.col(lang_col)), "_m_source": named(F.col(source_col)),
         "_m_tokens": F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long"),
     })
-    narrow = materialize(rows.select(F.col(id_col).cast("string").alias("doc"), *leaf, "_m_tokens"), "token-counts")
+    narrow = materialize(rows.select(F.col(id_col).cast("string").alias("doc"), *leaf, "_m_tokens"), "token-counts", narrow=True)
     sizes = materialize(
         narrow.groupBy(*(F.col(c).alias(c[3:]) for c in leaf)).agg(F.sum("_m_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "leaf-sizes"
     )
