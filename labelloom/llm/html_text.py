@@ -349,7 +349,10 @@ SAMPLE_PAGES, SAMPLE_CHARS = 200, 8000
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> BlockLabeller:
     """Trained on the words of SAMPLE_PAGES pages, chosen by a hash of their id, SAMPLE_CHARS of each at most."""
-    rows = pages.select(F.xxhash64(F.col(id_col).cast("string")).alias("k"), F.substring(F.coalesce(F.col(html_col), F.lit("")), 1, SAMPLE_CHARS).alias("html")).orderBy("k", "html").limit(SAMPLE_PAGES)
+    keyed = pages.select(F.xxhash64(F.col(id_col).cast("string")).alias("k"), F.substring(F.coalesce(F.col(html_col), F.lit("")), 1, SAMPLE_CHARS).alias("html"))
+    # keys first, as every task hands in as many as are asked for; then the html of the chosen ones
+    chosen = [r.k for r in keyed.select("k").orderBy("k").limit(SAMPLE_PAGES).collect()]
+    rows = keyed.where(F.col("k").isin(chosen)).orderBy("k", "html").limit(SAMPLE_PAGES)
     return train([t for r in rows.collect() for _, t, _ in blocks(r.html)])
 
 
