@@ -1,6 +1,6 @@
 """Jaccard join of word shingles over R-trees of count vectors.
 
-A document's shingles are hashed into GROUPS groups; its group counts are a point. Two
+A document's shingles are hashed into groups; its group counts are a point. Two
 documents share at most the sum of the smaller counts, coordinate by coordinate, and two
 nodes of an R-tree at most that of their upper corners: pairs and subtrees that cannot
 reach the similarity are left out, the rest is verified on whole shingle sets.
@@ -14,17 +14,21 @@ counted over all documents in a histogram of hashes of fixed size.
 Groups of near copies would still give a pair for each two of them. Links are sought in
 rounds instead: the point nearest to a tree's mean against all others, then the best
 partner of what is left, and last all pairs of different components that the bound leaves.
-What is skipped is connected already, so no component misses a link.
+What is skipped is connected already, so no component misses a link. Trees with the
+same documents are one tree: near copies share most of their rarest shingles.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +38,18 @@ from .components import components
 
 @dataclass(frozen=True)
 class Join:
-    """percent: least Jaccard similarity. buckets: size of the histogram, a power of two. tile: points of a tree; larger trees are cut into pairs of tiles."""
+    """percent: least Jaccard similarity. buckets: size of the histogram, a power of two. tile: points of a tree; larger trees are cut into pairs of tiles.
+
+    group_size: shingles to a group, about; unlike texts differ in counts by more than
+    similar ones may if groups are small, whatever the size of the text. In the last round,
+    when a pair that the bound leaves costs most, counts modulo two of ODD times as many
+    groups sharpen it: sets differ by at least one in every group whose counts differ so.
+    """
 
     width: int = 5
     percent: int = 80
-    groups: int = 64
-    buckets: int = 1 << 18
+    group_size: float = 6
+    buckets: int = 1 << 20
     tile: int = 8192
     leaf: int = 32
 
@@ -55,12 +65,25 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+class _Hashes(dict):
+    """Hashes of words by word; most words of a text are frequent ones."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_HASHES = _Hashes()
+
+
 def shingles(text: str, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; bytes.lower and bytes.split know ASCII only, as asked."""
     words = text.encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     n = max(1, len(words) - width + 1)
     own = np.zeros(n, np.uint64)
     for i in range(min(width, len(words))):
@@ -78,43 +101,55 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-CHUNK = 4096
+def index_length(n: int, percent: int) -> int:
+    """Of a set and one that is no smaller, some shingle is among the first so many of the one and the prefix of the other."""
+    return n - (2 * percent * n + 99 + percent) // (100 + percent) + 1
+
+
+CHUNK = 1 << 14
 
 
 def _surveying(join: Join):
     def survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(join.buckets, np.int64)
+        counts = np.zeros(join.buckets, np.uint32)
         for rows in batches:
-            out = []
+            out, sets = [], []
             for doc, text in zip(rows["doc_id"], rows["text"], strict=True):
                 own = shingles(text, join.width)
                 out.append((doc, len(own), *(signature(own) if len(own) else (0, 0))))
-                np.add.at(counts, (own & np.uint64(join.buckets - 1)).astype(np.int64), 1)
+                sets.append(own & np.uint64(join.buckets - 1))
+            if sets:
+                counts += np.bincount(np.concatenate(sets).astype(np.int64), minlength=join.buckets).astype(np.uint32)
             frame = pd.DataFrame(out, columns=["doc_id", "n", "s1", "s2"])
             yield frame.assign(doc_id=frame["doc_id"].astype("Int64"), chunk=-1, counts=None)
         at = [i for i in range(0, join.buckets, CHUNK) if counts[i : i + CHUNK].any()]
-        yield pd.DataFrame({"doc_id": pd.array([None] * len(at), "Int64"), "n": 0, "s1": 0, "s2": 0, "chunk": [i // CHUNK for i in at], "counts": [counts[i : i + CHUNK].tobytes() for i in at]})
+        said = [zlib.compress(counts[i : i + CHUNK].astype(np.int64).tobytes(), 1) for i in at]
+        yield pd.DataFrame({"doc_id": pd.array([None] * len(at), "Int64"), "n": 0, "s1": 0, "s2": 0, "chunk": [i // CHUNK for i in at], "counts": said})
 
     return survey
 
 
 def _summed(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(c, np.int64) for c in rows["counts"])
-    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "counts": [total.tobytes()]})
+    total = np.zeros(CHUNK, np.int64)
+    for c in rows["counts"]:
+        part = np.frombuffer(zlib.decompress(c), np.int64)
+        total[: len(part)] += part
+    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
 def frequencies(told: DataFrame, join: Join) -> np.ndarray:
     """The histogram, summed in two steps so that no task holds more than some hundred parts of a chunk; its size is fixed."""
     parts = told.where("chunk >= 0").select("chunk", F.col("counts"), F.pmod(F.monotonically_increasing_id(), F.lit(64)).alias("salt"))
     some = parts.groupBy("chunk", "salt").applyInPandas(lambda rows: _summed(rows), "chunk int, counts binary")
-    out = np.zeros(join.buckets, np.int64)
+    out = np.zeros(max(CHUNK, join.buckets), np.int64)
     for r in some.groupBy("chunk").applyInPandas(lambda rows: _summed(rows), "chunk int, counts binary").collect():
-        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.int64)
-    return out
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(r.counts), np.int64)
+    return np.minimum(out, (1 << 24) - 1).astype(np.uint32)
 
 
-def _prefixing(join: Join, frequency: np.ndarray):
+def _prefixing(join: Join, shared: Broadcast):
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequency = shared.value
         for rows in batches:
             least: dict[tuple, tuple] = {}
             for doc, text in zip(rows["doc_id"], rows["text"], strict=True):
@@ -123,14 +158,20 @@ def _prefixing(join: Join, frequency: np.ndarray):
                     continue
                 key = (len(own), *signature(own))
                 if key in least:
-                    least[key] = (min(doc, least[key][0]), least[key][1])
+                    least[key] = (min(doc, least[key][0]), *least[key][1:])
                     continue
-                order = np.lexsort((own, frequency[(own & np.uint64(join.buckets - 1)).astype(np.int64)]))
-                least[key] = (doc, own[order[: prefix_length(len(own), join.percent)]].view(np.int64))
-            sizes = [len(t) for _, t in least.values()]
+                rank = frequency[(own & np.uint64(join.buckets - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(40) | own >> np.uint64(24)
+                size = prefix_length(len(own), join.percent)
+                places = np.argpartition(rank, size - 1)[:size]
+                first = np.zeros(size, np.int64)
+                few = index_length(len(own), join.percent)
+                first[np.argpartition(rank[places], few - 1)[:few]] = 1
+                # the signature's last bit tells whether the shingle is among the first ones
+                least[key] = (doc, own[places].view(np.int64), key[1] & ~1 | first)
+            sizes = [len(t) for _, t, _ in least.values()]
             yield pd.DataFrame({
-                "token": np.concatenate([t for _, t in least.values()]) if least else np.empty(0, np.int64),
-                "sign": np.repeat(np.array([k[1] for k in least], np.int64), sizes), "node": np.repeat(np.array([d for d, _ in least.values()], np.int64), sizes),
+                "token": np.concatenate([t for _, t, _ in least.values()]) if least else np.empty(0, np.int64),
+                "sign": np.concatenate([g for *_, g in least.values()]) if least else np.empty(0, np.int64), "node": np.repeat(np.array([d for d, *_ in least.values()], np.int64), sizes),
             })
 
     return prefixes
@@ -150,20 +191,47 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         same = token[1:] == token[:-1]
         with_next, with_last = np.r_[same, False], np.r_[before, same]
-        yield rows[(with_next | with_last)[:-1].tolist() + [False]][["token", "node"]]
+        yield rows[(with_next | with_last)[:-1].tolist() + [False]]
         held, before = rows.iloc[[-1]], bool(with_last[-1])
     if held is not None and before:
-        yield held[["token", "node"]]
+        yield held
+
+
+def dims(n: int, group_size: float) -> int:
+    """Groups of a set of n shingles: the power of two of at least n / group_size, 16 at least."""
+    return 1 << max(4, math.ceil(math.log2(max(1, n) / group_size)))
+
+
+def point(own: np.ndarray, size: int) -> bytes:
+    counts = np.bincount((own >> np.uint64(40)).astype(np.int64) & (size - 1), minlength=size)
+    if counts.max() > 255:
+        raise OverflowError("a group of shingle hashes is far from even")
+    return counts.astype(np.uint8).tobytes()
+
+
+#: Finer groups to a group; their counts modulo two take as many bytes as the counts.
+ODD = 8
+
+
+def odd_groups(own: np.ndarray, size: int) -> bytes:
+    counts = np.bincount((own >> np.uint64(40)).astype(np.int64) & (ODD * size - 1), minlength=ODD * size)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
 def _members(join: Join):
+    """Sets and points. A set whose partners may have half as many groups has a point of so many, too."""
+
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for at in range(0, len(rows), 500):
                 part = rows.iloc[at : at + 500]
                 sets = [shingles(t, join.width) for t in part["text"]]
-                points = [np.bincount((s >> np.uint64(40)).astype(np.int64) % join.groups, minlength=join.groups).astype("<u4").tobytes() for s in sets]
-                yield pd.DataFrame({"node": part["doc_id"].astype("int64"), "n": [len(s) for s in sets], "point": points, "own": [s.view(np.int64) for s in sets]})
+                points = []
+                for own, fine in zip(sets, part["fine"], strict=True):
+                    least = -(-len(own) * join.percent // 100)
+                    sizes = sorted({dims(k, join.group_size) for k in (len(own), least)})
+                    points.append([{"dims": d, "point": point(own, d), "odd": odd_groups(own, d) if fine else None} for d in sizes])
+                yield pd.DataFrame({"node": part["doc_id"].astype("int64"), "n": [len(s) for s in sets], "own": [s.view(np.int64) for s in sets], "points": points})
 
     return members
 
@@ -187,7 +255,7 @@ class CountTree:
     def near(self, rows: np.ndarray, percent: int) -> np.ndarray:
         """Indices of all points of leaves that some of `rows` could be similar to."""
         corner, least = self.points[rows].max(axis=0), self.sizes[rows].min()
-        bound = np.minimum(self.corners, corner).sum(axis=1)
+        bound = np.minimum(self.corners, corner).sum(axis=1, dtype=np.int64)
         ok = reaches(bound, self.least, least, percent)
         return np.concatenate([x for x, y in zip(self.leaves, ok, strict=True) if y]) if ok.any() else np.empty(0, np.int64)
 
@@ -198,22 +266,23 @@ def reaches(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> n
 
 
 def bounds(points: np.ndarray, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Sums of coordinate minima, rows x others, in bounded memory."""
+    """Sums of coordinate minima, rows x others."""
     out = np.empty((len(rows), len(others)), np.int64)
-    step = max(1, 4_000_000 // max(1, len(others) * points.shape[1]))
-    for at in range(0, len(rows), step):
-        out[at : at + step] = np.minimum(points[rows[at : at + step], None, :], points[None, others, :]).sum(axis=2)
+    own = points[others]
+    for i, row in enumerate(rows):
+        out[i] = np.minimum(own, points[row]).sum(axis=1, dtype=np.int64)
     return out
 
 
-def tree_edges(nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, points: np.ndarray, how: str, join: Join) -> list[np.ndarray]:
-    """Pairs (a, b) of nodes of one tree that may be similar, of different components. how: star, best or all."""
+def tree_edges(nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, points: np.ndarray, odd: np.ndarray | None, how: str, join: Join) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Nodes of one tree that may be similar, of different components: the asking one, the other, the bound's share. how: star, best or all."""
     if len(np.unique(comps)) < 2:
         return []
     if how == "star":
         centre = int(np.abs(points - points.mean(axis=0)).sum(axis=1).argmin())
-        ok = reaches(np.minimum(points, points[centre]).sum(axis=1), sizes, sizes[centre], join.percent) & (comps != comps[centre])
-        return [np.stack([np.full(int(ok.sum()), nodes[centre]), nodes[ok]], axis=1)]
+        shared = np.minimum(points, points[centre]).sum(axis=1, dtype=np.int64)
+        ok = reaches(shared, sizes, sizes[centre], join.percent) & (comps != comps[centre])
+        return [(nodes[ok], np.full(int(ok.sum()), nodes[centre]), shared[ok] / (sizes[ok] + sizes[centre]))]
     values, counts = np.unique(comps, return_counts=True)
     largest = values[counts.argmax()]
     tree = CountTree(points, sizes, join.leaf)
@@ -229,15 +298,25 @@ def tree_edges(nodes: np.ndarray, comps: np.ndarray, sizes: np.ndarray, points:
         ok = reaches(shared, sizes[rows][:, None], sizes[others][None, :], join.percent) & (comps[rows][:, None] != comps[others][None, :])
         if how == "all":
             i, j = np.nonzero(ok)
-            out.append(np.stack([nodes[rows[i]], nodes[others[j]]], axis=1))
+            for part in np.array_split(np.arange(len(i)), 1 + len(i) * odd.shape[1] // 20_000_000):
+                a, b = rows[i[part]], others[j[part]]
+                differ = np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1, dtype=np.int64)
+                near = reaches((sizes[a] + sizes[b] - differ) // 2, sizes[a], sizes[b], join.percent)
+                out.append((nodes[a[near]], nodes[b[near]], np.full(int(near.sum()), KEEP)))
         else:
             share = np.where(ok, shared / (sizes[rows][:, None] + sizes[others][None, :]), -1)
             best = share.argmax(axis=1)
             some = share[np.arange(len(rows)), best] >= 0
-            out.append(np.stack([nodes[rows[some]], nodes[others[best[some]]]], axis=1))
+            out.append((nodes[rows[some]], nodes[others[best[some]]], share[some, best[some]]))
     return out
 
 
+TREE = ["token", "ta", "tb"]
+KEYS = [*TREE, "dims"]
+#: The share of an edge that is verified in any case; of the others each asking node's largest is.
+KEEP = 2.0
+
+
 def _searching(how: str, join: Join):
     def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Whole trees: rows of equal keys come together."""
@@ -247,7 +326,7 @@ def _searching(how: str, join: Join):
                 rows = pd.concat([held, rows], ignore_index=True)
             if not len(rows):
                 continue
-            keys = rows[["token", "ta", "tb"]].to_numpy()
+            keys = rows[KEYS].to_numpy()
             last = int((keys == keys[-1]).all(axis=1).argmax())
             if last:
                 yield rows.iloc[:last]
@@ -257,27 +336,38 @@ def _searching(how: str, join: Join):
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in groups(batches):
-            keys = rows[["token", "ta", "tb"]].to_numpy()
+            keys = rows[KEYS].to_numpy()
             starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
             ends = np.r_[starts[1:], len(rows)]
-            nodes, comps, sizes = (rows[c].to_numpy() for c in ("node", "comp", "n"))
-            points = np.frombuffer(b"".join(rows["point"]), "<u4").reshape(-1, join.groups).astype(np.int64)
+            nodes, comps, sizes, size = (rows[c].to_numpy() for c in ("node", "comp", "n", "dims"))
+            counts = np.frombuffer(b"".join(rows["point"]), np.uint8)
+            odds = np.frombuffer(b"".join(rows["odd"]), np.uint8) if how == "all" else None
+            at = np.cumsum(size) - size
             # trees of two points, most of them, at once
             two = starts[ends - starts == 2]
-            ok = reaches(np.minimum(points[two], points[two + 1]).sum(axis=1), sizes[two], sizes[two + 1], join.percent) & (comps[two] != comps[two + 1])
-            found = [np.stack([nodes[two[ok]], nodes[two[ok] + 1]], axis=1)]
+            two = two[comps[two] != comps[two + 1]]
+            found = []
+            for d in np.unique(size[two]):
+                own = two[size[two] == d]
+                shared = np.minimum(counts[at[own][:, None] + np.arange(d)], counts[at[own + 1][:, None] + np.arange(d)]).sum(axis=1, dtype=np.int64)
+                ok = reaches(shared, sizes[own], sizes[own + 1], join.percent)
+                found.append((nodes[own[ok]], nodes[own[ok] + 1], np.full(int(ok.sum()), KEEP)))
             for a, b in zip(starts, ends, strict=True):
                 if b - a > 2:
-                    found += tree_edges(nodes[a:b], comps[a:b], sizes[a:b], points[a:b], how, join)
-            pairs = np.concatenate(found)
-            yield pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}).drop_duplicates()
+                    span = slice(at[a], at[b - 1] + size[b - 1])
+                    odd = odds[span].reshape(b - a, -1) if odds is not None else None
+                    found += tree_edges(nodes[a:b], comps[a:b], sizes[a:b], counts[span].reshape(b - a, -1), odd, how, join)
+            if not found:
+                continue
+            asks, others, share = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pd.DataFrame({"ask": asks, "other": others, "share": share}).drop_duplicates()
 
     return search
 
 
-def _links(edges: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _links(edges: DataFrame, members: DataFrame, percent: int, parts: int) -> DataFrame:
     """The edges whose sets are similar. Only the sets at their ends are moved."""
-    ends = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    ends = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().coalesce(parts), "ends")
     need = checked_join(members.select("node", "n", "own"), ends, ["node"], "left_semi")
     side = lambda c: need.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("own").alias(f"own{c}"))
     both = edges.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("owna", "ownb")).cast("long"))
@@ -294,20 +384,26 @@ def shingle_join(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     told = materialize(texts.mapInPandas(_surveying(join), "doc_id long, n long, s1 long, s2 long, chunk int, counts binary"), "survey")
-    frequency = frequencies(told, join)
+    frequency = docs.sparkSession.sparkContext.broadcast(frequencies(told, join))
     sets = told.where("chunk < 0").select("doc_id", "n", "s1", "s2")
     named = texts.where("doc_id is not null")
     rows = named.mapInPandas(_prefixing(join, frequency), "token long, sign long, node long")
-    cells = materialize(rows.repartition("token").sortWithinPartitions("token", "sign", "node").mapInPandas(_shared, "token long, node long"), "trees")
-    nodes = materialize(cells.select("node").distinct(), "nodes")
-    members = materialize(checked_join(named, nodes.withColumnRenamed("node", "doc_id"), ["doc_id"], "left_semi").mapInPandas(_members(join), "node long, n long, point binary, own array<long>"), "members")
-    # trees of more points than a tile: at most one for each so many rows
-    large = materialize(cells.groupBy("token").count().where(F.col("count") > join.tile).select("token", F.ceil(F.col("count") / join.tile).cast("int").alias("tiles")), "large-trees")
-    tiled = checked_join(cells, large, ["token"], "left").withColumn("t", F.pmod(F.xxhash64("node"), F.coalesce("tiles", F.lit(1))).cast("int"))
-    tiled = tiled.withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
-    forest = materialize(
-        tiled.select("token", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"), "node").join(members.select("node", "n", "point"), "node"), "forest"
-    )
+    cells = materialize(rows.repartition("token").sortWithinPartitions("token", "sign", "node").mapInPandas(_shared, "token long, sign long, node long").selectExpr("token", "node", "sign & 1 as first"), "shared-shingles")
+    # of trees with the same documents one stays
+    h = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(20,0)"))
+    trees = materialize(cells.groupBy("token").agg(h(1).alias("m1"), h(2).alias("m2"), F.count(F.lit(1)).alias("size"), F.max("first").alias("first")).where("first = 1").groupBy("m1", "m2", "size").agg(F.min("token").alias("token")).select("token", "size"), "trees")
+    # larger ones than a tile: one for each `tile` rows at most
+    tiles = F.ceil(F.col("size") / join.tile).cast("int")
+    cells = materialize(checked_join(cells.select("token", "node"), trees.select("token", tiles.alias("tiles"), "size"), ["token"], "inner"), "tree-members")
+    nodes = materialize(cells.groupBy(F.col("node").alias("doc_id")).agg((F.max("size") > 2).alias("fine")), "nodes")
+    # what the rounds write has rows in proportion to the nodes
+    parts = max(8, nodes.count() // 50_000)
+    put = lambda df, label: materialize(df.coalesce(parts), label)
+    schema = "node long, n long, own array<long>, points array<struct<dims:int,point:binary,odd:binary>>"
+    members = materialize(checked_join(named, nodes, ["doc_id"], "inner").mapInPandas(_members(join), schema), "members")
+    tiled = cells.withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    forest = materialize(tiled.select("token", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"), "node", "size"), "forest")
+    points = members.select("node", "n", F.explode("points").alias("p")).select("node", "n", "p.*")
     repeated = sets.where("doc_id is not null and n > 0")
     classes = materialize(repeated.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
     placed = materialize(repeated.join(classes, ["n", "s1", "s2"]).select("doc_id", "node").distinct(), "placed")
@@ -315,22 +411,42 @@ def shingle_join(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
     # ids of equal sets need no component of their own, but an id with several sets joins them
     several = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
     links = materialize(links.join(several, links["a"] == several["doc_id"], "left_semi"), "own-links")
-    found = components(links)
+    found = components(links, parts)
     how = "star"
     while True:
-        comps = materialize(found, "components")
-        labelled = checked_join(forest, comps, ["node"], "left").withColumn("comp", F.coalesce("component", "node"))
-        keyed = labelled.select("token", "ta", "tb", "node", "comp", "n", "point").repartition("token", "ta", "tb").sortWithinPartitions("token", "ta", "tb", "n", "node")
-        edges = materialize(keyed.mapInPandas(_searching(how, join), "a long, b long").where("a != b").distinct(), f"edges-{how}")
-        more = materialize(_links(edges, members, join.percent), f"links-{how}")
+        comps = put(found, "components")
+        labelled = checked_join(forest, comps, ["node"], "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        several = labelled.where("size > 2")
+        largest = F.max_by(F.struct(*TREE), "size").alias("t")
+        if how == "star":
+            # of its larger trees each node takes part in one
+            mine = put(several.groupBy("node").agg(largest).select("node", "t.*"), "own-trees")
+            labelled = labelled.where("size = 2").unionByName(checked_join(several, mine, ["node", *TREE], "left_semi"))
+        else:
+            # trees of two are done; of the others those that still hold several components go on
+            open_ = put(several.groupBy(*TREE).agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select(*TREE), "open-trees")
+            labelled = checked_join(several, open_, TREE, "left_semi")
+            if how == "best":
+                mine = labelled.groupBy("node").agg(largest).select("t.*").distinct()
+                labelled = checked_join(labelled, put(mine, "own-trees"), TREE, "left_semi")
+        odd = ["odd"] if how == "all" else []
+        placed_points = labelled.drop("size").join(points.select("node", "n", "dims", "point", *odd), "node")
+        keyed = placed_points.select(*KEYS, "node", "comp", "n", "point", *odd).repartition(*KEYS).sortWithinPartitions(*KEYS, "n", "node")
+        asked = keyed.mapInPandas(_searching(how, join), "ask long, other long, share double").where("ask != other")
+        # a node asks in all of its trees; near copies share many, so one answer a node keeps the edges as many as the nodes
+        kept = F.when(F.col("share") == KEEP, F.col("other")).alias("kept")
+        once = asked.groupBy("ask", kept).agg(F.max(F.struct("share", "other")).alias("best")).select("ask", "best.other")
+        edges = put(once.select(F.least("ask", "other").alias("a"), F.greatest("ask", "other").alias("b")).distinct(), f"edges-{how}")
+        more = put(_links(edges, members, join.percent, parts), f"links-{how}")
         n_more = more.count()
         if n_more:
             links = links.unionByName(more)
-            found = components(links)
+            found = components(links, parts)
         if how == "all":
             break
-        how = "best" if how == "star" or n_more else "all"
-    comps = materialize(found, "components")
+        # rounds of best partners go on while they find much; the last round is exact whatever they left
+        how = "best" if how == "star" or 20 * n_more > edges.count() else "all"
+    comps = put(found, "components")
     least = checked_join(classes, comps, ["node"], "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component_id"))
     alone = F.when(F.col("doc_id").isNotNull() & (F.col("n") == 0), F.col("doc_id"))
     joined = checked_join(sets, materialize(least, "class-components"), ["n", "s1", "s2"], "left")

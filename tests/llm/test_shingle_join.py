@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from labelloom.llm.components import components
-from labelloom.llm.shingle_join import CountTree, Join, bounds, prefix_length, reaches, shingle_join, shingles
+from labelloom.llm.shingle_join import CountTree, Join, bounds, index_length, odd_groups, point, prefix_length, reaches, shingle_join, shingles
 
 
 def brute(rows, percent=80):
@@ -106,3 +106,17 @@ def test_components(spark):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: root(x) for x in linked}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_prefixes_and_odd_groups_lose_nothing():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**64 - 1, rng.integers(1, 200), dtype=np.uint64))
+        b = np.unique(np.r_[a[rng.random(len(a)) < 0.95], rng.integers(0, 2**64 - 1, rng.integers(0, 9), dtype=np.uint64)])
+        if not len(b) or not reaches(shared := len(np.intersect1d(a, b)), len(a), len(b), 80):
+            continue
+        small, large = sorted((a, b), key=len)
+        assert len(np.intersect1d(small[: index_length(len(small), 80)], large[: prefix_length(len(large), 80)]))
+        p, q = (np.frombuffer(point(x, 16), np.uint8).astype(int) for x in (a, b))
+        differ = np.bitwise_count(np.frombuffer(odd_groups(a, 16), np.uint8) ^ np.frombuffer(odd_groups(b, 16), np.uint8)).sum()
+        assert np.minimum(p, q).sum() >= shared and (len(a) + len(b) - differ) // 2 >= shared
