@@ -397,7 +397,7 @@ def shingle_join(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
     cells = materialize(checked_join(cells.select("token", "node"), trees.select("token", tiles.alias("tiles"), "size"), ["token"], "inner"), "tree-members")
     nodes = materialize(cells.groupBy(F.col("node").alias("doc_id")).agg((F.max("size") > 2).alias("fine")), "nodes")
     # what the rounds write has rows in proportion to the nodes
-    parts = max(8, nodes.count() // 50_000)
+    parts = max(8, nodes.count() // 4_000)
     put = lambda df, label: materialize(df.coalesce(parts), label)
     schema = "node long, n long, own array<long>, points array<struct<dims:int,point:binary,odd:binary>>"
     members = materialize(checked_join(named, nodes, ["doc_id"], "inner").mapInPandas(_members(join), schema), "members")
