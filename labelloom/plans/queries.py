@@ -167,6 +167,17 @@ def reflect_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.reflect_pad(a_tenth(patches(spark, sf_dir)), 8, 8, 3, 4, 3, 4)
 
 
+@query(f"WITH {PATCHES_SQL}, i AS (SELECT DISTINCT image_id FROM patches), c AS (SELECT image_id, CAST(ty.y AS INT) AS y, CAST(tx.x AS INT) AS x FROM i, range(11) ty(y), range(13) tx(x)) SELECT c.image_id, c.y, c.x, coalesce(p.v, 255.0) AS v FROM c LEFT JOIN patches p ON p.image_id = c.image_id AND p.y + 1 = c.y AND p.x + 2 = c.x")
+def center_pad_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.center_pad(patches(spark, sf_dir), 8, 8, 11, 13)
+
+
+@query(f"""WITH {PATCHES_SQL}, t AS (SELECT CAST(k AS INT) AS k, ((k - 3) % 14 + 14) % 14 AS m FROM range(15) r(k)), s AS (SELECT k, CAST(CASE WHEN m < 8 THEN m ELSE 14 - m END AS INT) AS src FROM t)
+    SELECT p.image_id, a.k AS y, b.k AS x, p.v FROM patches p JOIN s a ON a.src = p.y JOIN s b ON b.src = p.x""")
+def reflect_pad_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.reflect_pad(patches(spark, sf_dir), 8, 8, 3, 4, 3, 4)
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image sizes from customers: many images, none of fixed size."""
     c = read(spark, sf_dir, "customer")
@@ -281,6 +292,11 @@ def upsample2x(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.upsample2(a_tenth(patches(spark, sf_dir)))
 
 
+@query(f"WITH {PATCHES_SQL} SELECT image_id, CAST(2 * y + a AS INT) AS y, CAST(2 * x + b AS INT) AS x, v FROM patches, range(2) r(a), range(2) s(b)")
+def upsample2x_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.upsample2(patches(spark, sf_dir))
+
+
 @query(f"WITH {PATCHES_SQL} SELECT p.image_id, p.y, p.x, round(sum(q.v * (2 - abs(q.y - p.y)) * (2 - abs(q.x - p.x)) / 16), 6) AS out FROM patches p JOIN patches q ON q.image_id = p.image_id AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 GROUP BY ALL")
 def gauss3_stencil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(raster.stencil(patches(spark, sf_dir), raster.GAUSS3), "out")

@@ -49,6 +49,13 @@ def test_other_queries_run(spark):
     assert flagship(spark, SF).count() == 3
 
 
+@pytest.mark.parametrize("name, per_patch", [("center_pad_all", 11 * 13), ("reflect_pad_all", 15 * 15), ("upsample2x_all", 16 * 16)])
+def test_padding_takes_every_patch(spark, duck, name, per_patch):
+    patches = duck.execute("select count(distinct vec_id) from embeddings").fetchone()[0]
+    got = QUERIES[name](spark, SF)
+    assert got.select("image_id").distinct().count() == patches and got.count() == patches * per_patch
+
+
 def pixels(spark, truth, guess, image=0):
     truth, guess = np.array(truth), np.array(guess)
     rows = [(image, int(y), int(x), int(truth[y, x]), int(guess[y, x])) for y, x in np.ndindex(truth.shape)]
