@@ -34,7 +34,8 @@ class Rules:
     """min_words, max_repeat_percent: base rules. The rest: guards and limits of the divergence tests.
 
     The limit on common words is max_word_distance + word_slack / sqrt(words), since a
-    short text's shares stray further from its language's by chance.
+    short text's shares stray further from its language's by chance. max_languages: None
+    keeps the references of all languages.
     """
 
     min_words: int = 10
@@ -45,7 +46,7 @@ class Rules:
     max_word_distance: float = 0.62
     word_slack: float = 1.2
     common_words: int = 64
-    max_languages: int = 256
+    max_languages: int | None = None
 
 
 def _class_table() -> np.ndarray:
@@ -128,7 +129,7 @@ class Reference:
 
 
 def references(docs: DataFrame, rules: Rules) -> dict[str, Reference]:
-    """By language, and under None the sum of all; at most max_languages of them, the largest, so that they fit a closure."""
+    """By language, about 72 rows of each; those of the max_languages largest, if that is set. Under None, that of rows without a language, if no row has one."""
     counted = docs.mapInPandas(_counting, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     is_class = F.col("key").startswith(_CLASS)
     order = Window.partitionBy("lang", "is_class").orderBy(F.desc("n"), "key")
@@ -136,23 +137,52 @@ def references(docs: DataFrame, rules: Rules) -> dict[str, Reference]:
         counted.withColumn("is_class", is_class).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(rules.common_words, len(CLASSES))),
         "language-references",
     )
-    size = top.where("is_class").groupBy("lang").agg(F.sum("n").alias("size"))
-    langs = size.orderBy(F.desc("size"), "lang").limit(rules.max_languages)
-    summed = top.groupBy("key").agg(F.sum("n").alias("n")).withColumn("rank", F.row_number().over(Window.partitionBy(is_class).orderBy(F.desc("n"), "key")))
-    summed = summed.where(F.col("rank") <= max(rules.common_words, len(CLASSES))).select(F.lit(None).cast("string").alias("lang"), "key", "n")
-    rows = top.join(F.broadcast(langs), "lang").select("lang", "key", "n").unionByName(summed).collect()
+    known = top.where("lang is not null")
+    if rules.max_languages is not None:
+        size = known.where("is_class").groupBy("lang").agg(F.sum("n").alias("size"))
+        known = known.join(F.broadcast(size.orderBy(F.desc("size"), "lang").limit(rules.max_languages)), "lang")
+    rows = known.select("lang", "key", "n").collect() or top.select("lang", "key", "n").collect()
+    own_rows: dict[str | None, dict[str, int]] = {}
+    for r in rows:
+        own_rows.setdefault(r.lang, {})[r.key] = r.n
     found: dict[str | None, Reference] = {}
-    for lang in {r.lang for r in rows}:
-        own = {r.key: r.n for r in rows if r.lang == lang}
+    for lang, own in own_rows.items():
         words = sorted((k for k in own if not k.startswith(_CLASS)), key=lambda k: (-own[k], k))[: rules.common_words]
         classes = np.array([own.get(f"{_CLASS}{c}", 0) for c in CLASSES])
         found[lang] = Reference(classes, [w.encode() for w in words], np.array([own[w] for w in words], np.int64))
     return found
 
 
+class Nearest:
+    """All references, to find the one that a text of no known language is nearest to."""
+
+    def __init__(self, refs: dict[str | None, Reference], rules: Rules):
+        self.langs = sorted(refs, key=str)
+        self.at = {w: i for i, w in enumerate(sorted({w for r in refs.values() for w in r.words}))}
+        # places beyond a reference's words point at a word that no text has
+        self.places = np.full((len(refs), rules.common_words), len(self.at), np.int64)
+        self.counts = np.zeros((len(refs), rules.common_words), np.int64)
+        for i, lang in enumerate(self.langs):
+            self.places[i, : len(refs[lang].words)] = [self.at[w] for w in refs[lang].words]
+            self.counts[i, : len(refs[lang].words)] = refs[lang].counts
+        self.classes = np.array([refs[lang].classes for lang in self.langs])
+
+    def language(self, words: list[bytes], of_class: np.ndarray) -> str | None:
+        """By common words, then by character classes; a reference that shares no word is as far as can be."""
+        own = np.zeros(len(self.at) + 1, np.int64)
+        for w, n in Counter(words).items():
+            if w in self.at:
+                own[self.at[w]] = n
+        common = own[self.places]
+        by_words = np.where(common.sum(axis=1) > 0, js_distance(common, self.counts), 1.0)
+        by_class = js_distance(np.broadcast_to(of_class, self.classes.shape), self.classes)
+        return self.langs[np.lexsort((by_class, by_words))[0]]
+
+
 def measures(langs: list[str], texts: list[str], refs: dict[str | None, Reference], rules: Rules) -> pd.DataFrame:
     table = {lang: np.array([hash(w) for w in r.words], np.int64) for lang, r in refs.items()}
     sort = {lang: np.argsort(h) for lang, h in table.items()}
+    nearest = Nearest(refs, rules) if refs and any(lang not in refs for lang in langs) else None
     out, classes, class_refs, commons, common_refs = [], [], [], [], []
     for lang, text in zip(langs, texts, strict=True):
         data = text.encode()
@@ -161,7 +191,7 @@ def measures(langs: list[str], texts: list[str], refs: dict[str | None, Referenc
         words = data.split()
         lines = [x for x in data.split(b"\n") if x.strip()]
         hashes = np.fromiter(map(hash, words), np.int64, len(words))
-        key = lang if lang in refs else None
+        key = lang if lang in refs or nearest is None else nearest.language(words, of_class)
         ref = refs.get(key)
         common = np.zeros(rules.common_words, np.int64)
         common_ref = np.zeros(rules.common_words, np.int64)
@@ -210,8 +240,8 @@ def quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
     """One row per row of docs: doc_id, base counts, base_failed, kept, class_distance, word_distance.
 
     Null and empty texts have no words and fail the base rules. Documents of a null
-    language, or of one beyond the max_languages largest, are held against the sum of
-    all references. Repeated rows are judged alike; other columns are ignored.
+    language, or of one beyond the max_languages largest if that is set, are held against
+    the nearest of all references. Repeated rows are judged alike; other columns are ignored.
     """
     refs = references(_inputs(docs, text_col, lang_col), rules)
 

@@ -62,5 +62,29 @@ def test_many_languages_fall_back_to_the_sum(docs):
     assert quality(docs(rows), Rules(max_languages=2)).where("kept").count() == 30
 
 
+def tongue(rng, k, n):
+    """Prose of a language with common words of its own."""
+    common = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{i}" for i in range(7)]
+    return " ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice("etaoinsh") for _ in range(rng.randint(2, 8))) for _ in range(n)) + "."
+
+
+def test_further_languages_and_none_are_held_against_their_own(docs):
+    rng = random.Random(12)
+    rows = [(i, tongue(rng, 0, 300), "l0") for i in range(300)]
+    rows += [(1000 + 10 * k + i, tongue(rng, k, 200), f"l{k}") for k in range(1, 260) for i in range(2)]
+    rows += [(10000 + k, tongue(rng, k, 200), None) for k in range(0, 260, 20)]
+    junk = [(20000 + i, " ".join(f"{i}x{j}" for j in range(200)), None) for i in range(3)]
+    kept = {r.doc_id for r in quality(docs(rows + junk)).where("kept").collect()}
+    assert kept == {r[0] for r in rows}
+    assert {r.doc_id for r in keep_good(docs(rows + junk)).collect()} == kept
+
+
+def test_no_language_at_all(docs):
+    rng = random.Random(13)
+    rows = [(i, prose(rng, 200), None) for i in range(30)]
+    junk = [(100, " ".join(f"x{j}" for j in range(200)), None)]
+    assert {r.doc_id for r in quality(docs(rows + junk)).where("kept").collect()} == set(range(30))
+
+
 def test_empty(docs):
     assert quality(docs([])).count() == 0 and keep_good(docs([])).count() == 0
