@@ -2,10 +2,11 @@
 
 Every token is predicted from the REACH tokens before and after it: each neighbour's place
 has an embedding table of its own, their sum goes through tanh into a two-level softmax
-(class of the word, word within the class). A document's score is the sum of its tokens'
-conditional log-probabilities.
+(class of the word, word within the class). Words beyond the network's own fall into buckets;
+such a token's probability is its bucket's, times the word's share of the bucket's tokens, from
+the counts of all words. A document's score is the sum of its tokens' conditional log-probabilities.
 
-The vocabulary is counted over all documents. Training windows are every RATE-th place of
+Words are counted over all documents. Training windows are every RATE-th place of
 every document, so they grow with the corpus; they are dealt into shards by a hash of the
 document. Each round, every shard trains from the same weights, and the weights are
 averaged by windows in a tree of groups, so no task holds more than FAN models.
@@ -14,6 +15,7 @@ averaged by windows in a tree of groups, so no task holds more than FAN models.
 from __future__ import annotations
 
 import math
+import string
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_id, as_key, materialize, whole_text
+from .common import as_id, as_key, checked_join, materialize, whole_text
 
 FLUSH = 200_000
 FAN = 256
@@ -230,9 +232,34 @@ def _add(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "part": [rows["part"].iloc[0]], "n": [rows["n"].sum()], "values": [total.tobytes()]})
 
 
-def fit(texts: DataFrame, shape: Shape = Shape()) -> tuple[list[bytes], Network]:  # noqa: B008
-    """texts: doc_id (string), text. The ranked words and the trained network; both have a fixed size."""
-    counted = texts.mapInPandas(_counting, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def count_words(texts: DataFrame) -> DataFrame:
+    """word, n: every word of the texts, materialized."""
+    return materialize(texts.mapInPandas(_counting, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def rest_shares(texts: DataFrame, counted: DataFrame, ranked: list[bytes], shape: Shape) -> DataFrame:
+    """_key (md5 of the text), _log_share: the mean, over its tokens beyond the ranked words, of the log of the word's share within its bucket.
+
+    Texts without such tokens are left out. A mean is the same however often a text is there.
+    """
+    known = [w.decode() for w in ranked]
+    rest = counted.where(~F.col("word").isin(known)).withColumn("_bucket", F.crc32("word") % shape.buckets)
+    sums = [(r["_bucket"], r.n) for r in rest.groupBy("_bucket").agg(F.sum("n").alias("n")).collect()]
+    if not sums:
+        return texts.select(F.unhex(F.md5("text")).alias("_key"), F.lit(0.0).alias("_log_share")).limit(0)
+    total = F.element_at(F.create_map(*(F.lit(x) for pair in sums for x in pair)), F.col("_bucket"))
+    shares = materialize(rest.select("word", (F.log(F.col("n").cast("double")) - F.log(total.cast("double"))).alias("_log")), "word-shares")
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tokens = texts.select(F.unhex(F.md5("text")).alias("_key"), F.explode(F.split(lower, r"[\x20\x09-\x0D]+", -1)).alias("word"))
+    tokens = tokens.where((F.col("word") != "") & ~F.col("word").isin(known))
+    # one word is a small part of all tokens: keys need no salt
+    return checked_join(tokens, shares, ["word"], "inner", salts=1).groupBy("_key").agg(F.avg("_log").alias("_log_share"))
+
+
+def fit(texts: DataFrame, shape: Shape = Shape(), counted: DataFrame | None = None) -> tuple[list[bytes], Network]:  # noqa: B008
+    """texts: doc_id (string), text; counted: their count_words(), if at hand. The ranked words and the trained network; both have a fixed size."""
+    if counted is None:
+        counted = count_words(texts)
     top = counted.orderBy(F.desc("n"), "word").limit(shape.words - shape.buckets)
     ranked = [(r.word.encode(), r.n) for r in top.collect()]
     words = Words([w for w, _ in ranked], shape)
@@ -271,14 +298,15 @@ def pseudo_likelihood(docs: DataFrame, shape: Shape = Shape(), id_col: str = "do
     training as often as they are there; null ids are keys like others. Other columns are ignored.
     """
     texts = docs.select(as_key(F.col(id_col)).alias("doc_id"), whole_text(text_col).alias("text"))
-    ranked, network = fit(texts, shape)
+    counted = count_words(texts)
+    ranked, network = fit(texts, shape, counted)
     shared = docs.sparkSession.sparkContext.broadcast((ranked, network))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranked, net = shared.value
         words = Words(ranked, shape)
         for rows in batches:
-            sums, sizes = [], []
+            sums, sizes, rest = [], [], []
 
             def flush(group: list[np.ndarray]) -> None:
                 around, target = neighbours(group, shape)
@@ -288,6 +316,7 @@ def pseudo_likelihood(docs: DataFrame, shape: Shape = Shape(), id_col: str = "do
                 ends = np.cumsum(n)
                 sums.extend(total[ends] - total[ends - n])
                 sizes.extend(n)
+                rest.extend(int((i >= shape.words - shape.buckets).sum()) for i in group)
 
             group, held = [], 0
             for text in rows["text"]:
@@ -298,11 +327,10 @@ def pseudo_likelihood(docs: DataFrame, shape: Shape = Shape(), id_col: str = "do
                     group, held = [], 0
             if group:
                 flush(group)
-            n, total = np.array(sizes, np.int64), np.array(sums, np.float64)
-            mean = [t / k if k else None for t, k in zip(total.tolist(), n.tolist(), strict=True)]
-            yield pd.DataFrame({
-                "doc_id": list(rows["doc_id"]), "n_tokens": n, "log_likelihood": total, "per_token": pd.Series(mean, dtype=object),
-                "perplexity": pd.Series([None if m is None else math.exp(-m) for m in mean], dtype=object),
-            })
-
-    return as_id(texts.mapInPandas(run, "doc_id string, n_tokens long, log_likelihood double, per_token double, perplexity double"))
+            yield pd.DataFrame({"doc_id": list(rows["doc_id"]), "_key": list(rows["_key"]), "n_tokens": np.array(sizes, np.int64), "_rest": np.array(rest, np.int64), "_network": np.array(sums, np.float64)})
+
+    scored = texts.withColumn("_key", F.unhex(F.md5("text"))).mapInPandas(run, "doc_id string, _key binary, n_tokens long, _rest long, _network double")
+    total = F.col("_network") + F.when(F.col("_rest") > 0, F.col("_rest") * F.col("_log_share")).otherwise(0.0)
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    whole = scored.join(rest_shares(texts, counted, ranked, shape), "_key", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+    return as_id(whole.withColumn("per_token", mean).withColumn("perplexity", F.exp(-F.col("per_token"))))

@@ -1,9 +1,11 @@
 import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 
-from labelloom.llm.pseudo_likelihood import Network, Shape, Words, fit, neighbours, pseudo_likelihood
+from labelloom.llm.pseudo_likelihood import Network, Shape, Words, count_words, fit, neighbours, pseudo_likelihood
 
 SMALL = Shape(words=64, buckets=8, per_class=8, size=6, rate=1, shard_windows=3000, rounds=3, batch=128)
 
@@ -72,3 +74,31 @@ def test_rows(docs):
             assert math.isclose(r.per_token * r.n_tokens, r.log_likelihood, rel_tol=1e-9) and math.isclose(r.perplexity, math.exp(-r.per_token), rel_tol=1e-9)
     assert len({r.log_likelihood for r in got if r.doc_id in (103, None)}) == 1
     assert pseudo_likelihood(docs([]), SMALL).count() == 0
+
+
+def test_words_beyond_the_vocabulary_are_scored_as_themselves(docs):
+    rng = random.Random(8)
+    texts = [prose(rng, 60) + " " + " ".join(f"R{rng.randrange(12) ** 2} \u00c4x{i}\n" for _ in range(20)) for i in range(40)]
+    rows = [*enumerate(texts), (900, "once w1"), (901, "r0 w1"), (902, "r0 w1"), (902, "r0 w1"), (None, "R0 w1")]
+    shape = Shape(words=32, buckets=8, per_class=8, size=6, rate=1, shard_windows=3000, rounds=1, batch=128)
+    frame = docs(rows)
+    lower = lambda t: t.encode().lower().split()
+    counts = Counter(w for _, t in rows for w in lower(t))
+    texts_of = frame.selectExpr("cast(doc_id as string) doc_id", "text")
+    assert {r.word.encode(): r.n for r in count_words(texts_of).collect()} == counts
+    ranked, net = fit(texts_of, shape)
+    words, known = Words(ranked, shape), set(ranked)
+    sums = Counter()
+    for w, n in counts.items():
+        if w not in known:
+            sums[zlib.crc32(w) % shape.buckets] += n
+    got = pseudo_likelihood(frame, shape).collect()
+    assert len(got) == len(rows)
+    want = []
+    for i, t in rows:
+        own = float(net.log_probs(*neighbours([words.ids(t)], shape)).astype(float).sum())
+        own += sum(math.log(counts[w] / sums[zlib.crc32(w) % shape.buckets]) for w in lower(t) if w not in known)
+        want.append((str(i), own))
+    for a, b in zip(sorted(want), sorted((str(r.doc_id), r.log_likelihood) for r in got), strict=True):
+        assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-4)
+    assert all(math.isclose(r.per_token * r.n_tokens, r.log_likelihood, rel_tol=1e-9) for r in got)
