@@ -250,7 +250,9 @@ def rest_shares(texts: DataFrame, counted: DataFrame, ranked: list[bytes], shape
     total = F.element_at(F.create_map(*(F.lit(x) for pair in sums for x in pair)), F.col("_bucket"))
     shares = materialize(rest.select("word", (F.log(F.col("n").cast("double")) - F.log(total.cast("double"))).alias("_log")), "word-shares")
     lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
-    tokens = texts.select(F.unhex(F.md5("text")).alias("_key"), F.explode(F.split(lower, r"[\x20\x09-\x0D]+", -1)).alias("word"))
+    # the key first, or it would be worked out again for every token
+    keyed = texts.withColumn("_key", F.unhex(F.md5("text")))
+    tokens = keyed.select("_key", F.explode(F.split(lower, r"[\x20\x09-\x0D]+", -1)).alias("word"))
     tokens = tokens.where((F.col("word") != "") & ~F.col("word").isin(known))
     # one word is a small part of all tokens: keys need no salt
     return checked_join(tokens, shares, ["word"], "inner", salts=1).groupBy("_key").agg(F.avg("_log").alias("_log_share"))
