@@ -6,9 +6,8 @@ has an embedding table of its own, their sum goes through tanh into a two-level
 such a token's probability is its bucket's, times the word's share of the bucket's tokens, from
 the counts of all words. A document's score is the sum of its tokens' conditional log-probabilities.
 
-Words are counted over all documents. Training windows are every RATE-th place of
-every document, so they grow with the corpus; they are dealt into shards by a hash of the
-document. Each round, every shard trains from the same weights, and the weights are
+Words are counted over all documents. Every place of every document is a training
+window (every RATE-th, if a caller asks for it); documents are dealt into shards by a hash. Each round, every shard trains from the same weights, and the weights are
 averaged by windows in a tree of groups, so no task holds more than FAN models.
 """
 
@@ -41,7 +40,7 @@ class Shape:
     per_class: int = 32
     size: int = 16
     reach: int = 2
-    rate: int = 16
+    rate: int = 1
     shard_windows: int = 250_000
     rounds: int = 2
     batch: int = 1024
@@ -195,28 +194,35 @@ def neighbours(ids: list[np.ndarray], shape: Shape) -> tuple[np.ndarray, np.ndar
     return np.stack([line[real + k] for k in shape.places], axis=1), line[real]
 
 
-def _windows(words: Words, shape: Shape, shards: int):
-    """Every rate-th window of every document, packed, with the document's shard."""
+def _coded(words: Words, shape: Shape, shards: int):
+    """Every document's ids, packed, with its shard; windows are made of them where they are used, as they are five times as large."""
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for doc, text in zip(rows["doc_id"], rows["text"], strict=True):
                 ids = words.ids(text)
-                mark = zlib.crc32(f"{shape.seed}:{doc}".encode())
-                around, target = neighbours([ids], shape)
-                own = np.concatenate([around, target[:, None]], axis=1)[mark % shape.rate :: shape.rate]
-                if len(own):
-                    out.append((mark // shape.rate % shards, doc, zlib.crc32(text.encode()), len(own), own.astype("<u2").tobytes()))
-            yield pd.DataFrame(out, columns=["shard", "doc", "mark", "n", "windows"])
+                if len(ids):
+                    out.append((zlib.crc32(f"{shape.seed}:{doc}".encode()) // shape.rate % shards, doc, zlib.crc32(text.encode()), ids.astype("<u2").tobytes()))
+            yield pd.DataFrame(out, columns=["shard", "doc", "mark", "ids"])
 
     return take
 
 
+def windows_of(rows: pd.DataFrame, shape: Shape) -> np.ndarray:
+    """Neighbours and target of every rate-th place of every document, from a place that follows from its id."""
+    out = []
+    for doc, ids in zip(rows["doc"], rows["ids"], strict=True):
+        around, target = neighbours([np.frombuffer(ids, "<u2").astype(np.int32)], shape)
+        first = zlib.crc32(f"{shape.seed}:{doc}".encode()) % shape.rate
+        out.append(np.concatenate([around, target[:, None]], axis=1)[first :: shape.rate].astype(np.uint16))
+    return np.concatenate(out)
+
+
 def _train_shard(network: Network, chunk: int):
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc", "mark"], na_position="first", kind="stable")
-        windows = np.frombuffer(b"".join(rows["windows"]), "<u2").reshape(-1, 2 * network.shape.reach + 1)
+        windows = windows_of(rows, network.shape)
         own = Network({k: v.copy() for k, v in network.params.items()}, network.shape)
         own.train(windows)
         flat = own.flat().astype(np.float64) * len(windows)
@@ -265,10 +271,10 @@ def fit(texts: DataFrame, shape: Shape = Shape(), counted: DataFrame | None = No
     top = counted.orderBy(F.desc("n"), "word").limit(shape.words - shape.buckets)
     ranked = [(r.word.encode(), r.n) for r in top.collect()]
     words = Words([w for w, _ in ranked], shape)
-    # windows are counted before they are dealt, as the number of shards follows from it
+    # windows are counted before documents are dealt, as the number of shards follows from it
     total = texts.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     shards = max(1, math.ceil(total / 6 / shape.rate / shape.shard_windows))
-    windows = materialize(texts.mapInPandas(_windows(words, shape, shards), "shard long, doc string, mark long, n long, windows binary"), "windows")
+    coded = materialize(texts.mapInPandas(_coded(words, shape, shards), "shard long, doc string, mark long, ids binary"), "coded")
     frequency = np.zeros(shape.words)
     frequency[: len(ranked)] = [n for _, n in ranked]
     frequency[shape.words - shape.buckets :] = max(1.0, ranked[-1][1] if ranked else 1.0)
@@ -276,7 +282,7 @@ def fit(texts: DataFrame, shape: Shape = Shape(), counted: DataFrame | None = No
     chunk = 1 << 14
     schema = "shard long, part int, n long, values binary"
     for _ in range(shape.rounds):
-        models = windows.groupBy("shard").applyInPandas(_train_shard(network, chunk), schema)
+        models = coded.groupBy("shard").applyInPandas(_train_shard(network, chunk), schema)
         left = shards
         while left > 1:
             models = models.withColumn("group", F.expr(f"shard div {FAN}")).groupBy("part", "group").applyInPandas(lambda rows: _add(rows).assign(shard=rows["group"].iloc[0]), schema)

@@ -4,8 +4,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
-from labelloom.llm.pseudo_likelihood import Network, Shape, Words, count_words, fit, neighbours, pseudo_likelihood
+from labelloom.llm.pseudo_likelihood import Network, Shape, Words, count_words, fit, neighbours, pseudo_likelihood, windows_of
 
 SMALL = Shape(words=64, buckets=8, per_class=8, size=6, rate=1, shard_windows=3000, rounds=3, batch=128)
 
@@ -102,3 +103,11 @@ def test_words_beyond_the_vocabulary_are_scored_as_themselves(docs):
     for a, b in zip(sorted(want), sorted((str(r.doc_id), r.log_likelihood) for r in got), strict=True):
         assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-4)
     assert all(math.isclose(r.per_token * r.n_tokens, r.log_likelihood, rel_tol=1e-9) for r in got)
+
+
+def test_every_place_is_trained_on():
+    shape = Shape()
+    ids = [np.array(i, "<u2") for i in ([5], [6, 7, 8], range(100, 140))]
+    got = windows_of(pd.DataFrame({"doc": ["1", None, "3"], "ids": [i.tobytes() for i in ids]}), shape)
+    around, target = neighbours([i.astype(np.int32) for i in ids], shape)
+    assert got.tolist() == np.concatenate([around, target[:, None]], axis=1).tolist()
