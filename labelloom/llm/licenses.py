@@ -1,13 +1,16 @@
 """License scans by ordered signature rules, in DataFrame operations only.
 
 Rules are regular expressions with a label, a priority and a keyword. A text is first
-tried for any word that every rule needs; in those that pass, the keywords it holds pick
-the rules that are run. Detections that lie within one of at least their priority are
+tried for the words of which every finding holds one; in those that pass, the keywords
+it holds pick the rules that are run. Detections that lie within one of at least their priority are
 suppressed by a sweep over the sorted intervals.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 
-# Label, keyword (lower case), name.
+# Label, keywords (lower case, parted by '|'; every match holds one of them), name.
 NAMES = [
     ("apache-2.0", "apache", r"apache(?: software)?(?: licen[sc]e)?,? ?(?:version |v)?2(?:\.0)?"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: licen[sc]e)?,? ?(?:version |v)?1\.1"),
@@ -27,11 +30,11 @@ NAMES = [
     ("gpl-3.0", "general public", r"(?:gnu )?general public licen[sc]e,? ?(?:version |v)?3(?:\.0)?"),
     ("gpl-2.0", "general public", r"(?:gnu )?general public licen[sc]e,? ?(?:version |v)?2(?:\.0)?"),
     ("gpl-any", "general public", r"(?:gnu )?general public"),
-    ("lgpl-3.0", "lesser", r"(?:gnu )?(?:lesser|library) general public licen[sc]e,? ?(?:version |v)?3(?:\.0)?"),
-    ("lgpl-2.1", "lesser", r"(?:gnu )?(?:lesser|library) general public licen[sc]e,? ?(?:version |v)?2\.1"),
+    ("lgpl-3.0", "lesser|library", r"(?:gnu )?(?:lesser|library) general public licen[sc]e,? ?(?:version |v)?3(?:\.0)?"),
+    ("lgpl-2.1", "lesser|library", r"(?:gnu )?(?:lesser|library) general public licen[sc]e,? ?(?:version |v)?2\.1"),
     ("agpl-3.0", "affero", r"(?:gnu )?affero general public licen[sc]e,? ?(?:version |v)?3(?:\.0)?"),
     ("gfdl", "documentation", r"(?:gnu )?free documentation"),
-    ("bsd-2-clause", "bsd", r"(?:2-clause|two-clause|simplified|freebsd)(?: bsd)?"),
+    ("bsd-2-clause", "2-clause|two-clause|simplified|freebsd", r"(?:2-clause|two-clause|simplified|freebsd)(?: bsd)?"),
     ("bsd-3-clause", "bsd", r"(?:3-clause|three-clause|new|modified|revised) bsd"),
     ("bsd-4-clause", "bsd", r"(?:4-clause|four-clause|original) bsd"),
     ("bsd", "bsd", r"bsd"),
@@ -41,13 +44,13 @@ NAMES = [
     ("epl", "eclipse", r"eclipse public"),
     ("eupl", "european", r"european union public"),
     ("cddl", "development and distribution", r"common development and distribution"),
-    ("cc-by-4.0", "cc", r"cc[ -]by(?: |-)?4\.0"),
-    ("cc-by-3.0", "cc", r"cc[ -]by(?: |-)?3\.0"),
-    ("cc-by-sa", "cc", r"cc[ -]by-sa(?: [1-4]\.[05])?"),
-    ("cc-by-nc", "cc", r"cc[ -]by-nc(?: [1-4]\.[05])?"),
-    ("cc-by-nd", "cc", r"cc[ -]by-nd(?: [1-4]\.[05])?"),
-    ("cc-by-nc-sa", "cc", r"cc[ -]by-nc-sa(?: [1-4]\.[05])?"),
-    ("cc-by-nc-nd", "cc", r"cc[ -]by-nc-nd(?: [1-4]\.[05])?"),
+    ("cc-by-4.0", "cc by|cc-by", r"cc[ -]by(?: |-)?4\.0"),
+    ("cc-by-3.0", "cc by|cc-by", r"cc[ -]by(?: |-)?3\.0"),
+    ("cc-by-sa", "cc by|cc-by", r"cc[ -]by-sa(?: [1-4]\.[05])?"),
+    ("cc-by-nc", "cc by|cc-by", r"cc[ -]by-nc(?: [1-4]\.[05])?"),
+    ("cc-by-nd", "cc by|cc-by", r"cc[ -]by-nd(?: [1-4]\.[05])?"),
+    ("cc-by-nc-sa", "cc by|cc-by", r"cc[ -]by-nc-sa(?: [1-4]\.[05])?"),
+    ("cc-by-nc-nd", "cc by|cc-by", r"cc[ -]by-nc-nd(?: [1-4]\.[05])?"),
     ("cc0", "cc0", r"cc0(?: 1\.0)?"),
     ("cc", "creative commons", r"creative commons(?: attribution)?(?:[ -](?:non-?commercial|share-?alike|no-?derivatives))*(?: [1-4]\.[05])?"),
     ("isc", "isc", r"isc"),
@@ -84,26 +87,33 @@ SINGLE = [
     ("copyright", "copyright", r"copyright (?:\(c\) |© )?(?:[12][0-9]{3}(?:[-,][ ]?[12][0-9]{3})*)?", 1),
     ("reserved-all", "rights", r"all rights reserved", 1),
     ("public-domain", "public domain", r"(?:released|dedicated|placed) (?:in|to|into) the public domain", 3),
-    ("no-redistribution", "rights", r"(?:may not|must not|no rights? to) (?:be )?(?:copy|copied|redistributed?|distributed?) .{0,60}?(?:permission|licen[sc]e|rights)", 2),
+    ("no-redistribution", "may not|must not|no right", r"(?:may not|must not|no rights? to) (?:be )?(?:copy|copied|redistributed?|distributed?) .{0,60}?(?:permission|licen[sc]e|rights)", 2),
 ]
 LEVELS = 5
-#: Every rule needs one of these.
-GATE = r"(?i)licen[sc]|copyright|rights|spdx|creative commons|public domain|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
+ALONE = ("cc by|cc-by", "cc0", "creative commons")
 
 
 def rules() -> list[tuple[str, str, str, int]]:
-    """label, keyword, pattern, priority (1 to LEVELS); earlier rules win between equal findings."""
+    """label, keywords, pattern, priority (1 to LEVELS); earlier rules win between equal findings."""
     out = []
     for form, priority in FORMS:
         for label, keyword, name in NAMES:
             own = form.replace("{name}", f"(?:{name})").replace("{id}", label.replace(".", r"\.").replace("-", "[- ]?") + r"(?:-only|-or-later)?")
             out.append((label, "spdx" if "spdx" in form else keyword, own, priority))
     out += [(label, keyword, name, priority) for label, keyword, name, priority in SINGLE]
-    out += [(label, keyword, name, 2) for label, keyword, name in NAMES if keyword in ("cc", "cc0", "creative commons")]
+    out += [(label, keyword, name, 2) for label, keyword, name in NAMES if keyword in ALONE]
     spaced = [(a, k, p.replace(" ", r"\s+") if "[ " not in p and " ]" not in p else p, n) for a, k, p, n in out]
     return [(a, k, rf"(?i)(?<!{WORD_CHAR})(?:{p})(?!{WORD_CHAR})", n) for a, k, p, n in spaced]
 
 
+def gate() -> str:
+    """Every match of a rule, and every base phrase, holds a match of this."""
+    # where 'license' is one of several endings, a match need not hold it
+    words = {w for _, keyword, pattern, _ in rules() if "licen[sc]" not in pattern.replace("|licen[sc]e|", "|") for w in keyword.split("|")}
+    spaced = sorted(w.replace(" ", r"\s+") for w in words) + [BETWEEN.join(p.split()) for p in BASE.values()]
+    return "(?i)licen[sc]|" + "|".join(spaced)
+
+
 def phrase_pattern(phrase: str) -> str:
     return rf"(?i)(?<!{WORD_CHAR}){BETWEEN.join(phrase.split())}(?!{WORD_CHAR})"
 
@@ -173,7 +183,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     keywords = sorted({k for _, k, _, _ in rules()})
     text = F.col("_text")
-    spot = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_gate", text.rlike(GATE))
+    holds = lambda k: reduce(or_, (F.contains(F.col("_low"), F.lit(w)) for w in k.split("|")))
+    spot = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_gate", text.rlike(gate()))
     when = lambda x: F.when(F.col("_gate"), x)
     counts = {label: F.coalesce(when(F.regexp_count(text, F.lit(phrase_pattern(p)))), F.lit(0)) for label, p in BASE.items()}
     spot = spot.withColumns({"_n_" + label: n for label, n in counts.items()} | {"n_words": count_words(text)})
@@ -187,7 +198,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     none = F.expr("cast(array() as array<struct<start:int,end:int,label:string,priority:int,rank:int>>)")
     found = (
         spot.withColumn("_low", when(F.regexp_replace(F.lower(text), r"\s+", " ")))
-        .withColumn("_keywords", when(F.array_compact(F.array(*(F.when(F.contains(F.col("_low"), F.lit(k)), F.lit(k)) for k in keywords)))))
+        .withColumn("_keywords", when(F.array_compact(F.array(*(F.when(holds(k), F.lit(k)) for k in keywords)))))
         .withColumn("spans", F.coalesce(when(_suppressed(F.flatten(F.transform(_rules_of(F.col("_keywords")), lambda r: _spans(text, r))))), none))
         .withColumn("_base", base_labels)
     )

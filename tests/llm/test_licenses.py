@@ -43,6 +43,21 @@ def test_against_brute_force(docs):
         assert own == brute(t), (i, (t or "")[:80])
 
 
+FOUND = [
+    ("Licensed under the GNU Library General Public License, version 2.1", "lgpl-2.1"), ("this may not be copied without permission", "no-redistribution"), ("no right to copy it without permission", "no-redistribution"),
+    ("CC0 1.0", "cc0"), ("cc0", "cc0"), ("Creative Commons", "cc"), ("dedicated to the public\n domain", "public-domain"), ("the simplified license", "bsd-2-clause"), ("under a Two-Clause license", "bsd-2-clause"),
+    ("2-clause licence", "bsd-2-clause"), ("cc-by-sa", "cc-by-sa"), ("cc by 4.0", "cc-by-4.0"),
+]
+
+
+def test_gate_and_keywords_lose_nothing(docs):
+    got = {r.doc_id: r for r in license_scan(docs([(i, t) for i, (t, _) in enumerate(FOUND)])).collect()}
+    for i, (t, label) in enumerate(FOUND):
+        want = brute(t)
+        assert label in {s[2] for s in want[7]}, (t, want)
+        assert sorted((s.start, s.end, s.label, s.priority) for s in got[i].spans) == want[7] and got[i].labels == want[5], t
+
+
 def test_rules():
     found = rules()
     assert len(found) >= 200 and {n for *_, n in found} == {1, 2, 3, 4, 5}
