@@ -29,9 +29,11 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no text of the page.
-RAW_TAGS = frozenset("script style noscript template textarea title iframe svg math select object canvas audio video".split())
+RAW_TAGS = frozenset("script style textarea title iframe".split())
+#: What may stand in a head; it ends where any other element or text begins.
+HEAD_TAGS = frozenset("head title meta link base style script noscript template".split())
 #: An open element of the key ends where one of the values begins.
-ENDS = {"p": BLOCK_TAGS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]), "head": frozenset(["body"])}
+ENDS = {"p": BLOCK_TAGS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>"'<]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>\"'<]*)([^>]*)>")
@@ -56,11 +58,17 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             text.clear()
         linked = 0
 
+    def close_head() -> None:
+        close_block()
+        del stack[[t for t, _ in stack].index("head") :]
+
     while at < n:
         start = page.find("<", at)
         if start < 0:
             start = n
         if start > at:
+            if stack and stack[-1][0] == "head" and not page[at:start].isspace():
+                close_head()
             text.append(page[at:start])
             if any(t == "a" for t, _ in stack[-3:]):
                 linked += start - at
@@ -91,6 +99,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 if tag not in BLOCK_TAGS and stack[i][0] in BLOCK_TAGS:
                     break
             continue
+        if tag not in HEAD_TAGS and any(t == "head" for t, _ in stack) and (tag == "body" or all(t != "template" for t, _ in stack)):
+            close_head()
         if tag in RAW_TAGS:
             if not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)

@@ -22,6 +22,18 @@ def test_blocks():
     assert blocks("") == [] and blocks("<<<") == [(("",)[:0], "<<<", 0)] and blocks("<script>never closed") == [] and blocks("<p") == [((), "<p", 0)]
 
 
+def test_heads_and_elements_that_are_left_open():
+    texts = lambda page: [t for _, t, _ in blocks(page)]
+    assert texts("<html><head><title>t</title><p>one<article><p>two</article>") == ["one", "two"]
+    assert texts("<head><meta charset=x><article>one</article>") == ["one"] and texts("<head><title>t</title>\n one <b>two</b>") == ["one two"]
+    assert texts("<head><noscript>no</noscript><template><p>no</p></template><title>t</title></head><p>one") == ["one"]
+    assert texts("<head><template><p>no<body><p>one") == ["one"] and texts("<head><iframe>x</iframe><p>one") == ["one"]
+    for tag in "svg math object select canvas audio video template noscript".split():
+        assert texts(f"<body><p>one</p><{tag}><p>two</p><p>three") == ["one", "two", "three"], tag
+        assert texts(f"<article><p>one <{tag}>two</{tag}> three</p></article>") == ["one two three"], tag
+    assert texts("<p>one<script>var a = '<p>no</p>'</script><style>no</style>") == ["one"]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = BlockLabeller.new(3, rng)
