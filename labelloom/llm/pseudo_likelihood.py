@@ -288,7 +288,7 @@ def fit(texts: DataFrame, shape: Shape = Shape(), counted: DataFrame | None = No
             models = models.withColumn("group", F.expr(f"shard div {FAN}")).groupBy("part", "group").applyInPandas(lambda rows: _add(rows).assign(shard=rows["group"].iloc[0]), schema)
             left = math.ceil(left / FAN)
         parts = sorted(models.collect(), key=lambda r: r.part)
-        if not parts:
+        if not parts or not parts[0].n:
             break
         network = network.unflat(np.concatenate([np.frombuffer(r["values"]) for r in parts]) / parts[0].n)
     return [w for w, _ in ranked], network
