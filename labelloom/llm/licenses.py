@@ -8,110 +8,44 @@ suppressed by a sweep over the sorted intervals.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# a word is a run of 0-9, A-Z, a-z and all beyond ASCII
-WORD_CHAR = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+from .license_rules import LEVELS, WORD_CHAR, rules
+
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 
-# Label, keywords (lower case, parted by '|'; every match holds one of them), name.
-NAMES = [
-    ("apache-2.0", "apache", r"apache(?: software)?(?: licen[sc]e)?,? ?(?:version |v)?2(?:\.0)?"),
-    ("apache-1.1", "apache", r"apache(?: software)?(?: licen[sc]e)?,? ?(?:version |v)?1\.1"),
-    ("apache", "apache", r"apache"),
-    ("mit", "mit", r"mit"),
-    ("mit-0", "mit", r"mit(?: no attribution|-0)"),
-    ("gpl-3.0", "general public", r"(?:gnu )?general public licen[sc]e,? ?(?:version |v)?3(?:\.0)?"),
-    ("gpl-2.0", "general public", r"(?:gnu )?general public licen[sc]e,? ?(?:version |v)?2(?:\.0)?"),
-    ("gpl-any", "general public", r"(?:gnu )?general public"),
-    ("lgpl-3.0", "lesser|library", r"(?:gnu )?(?:lesser|library) general public licen[sc]e,? ?(?:version |v)?3(?:\.0)?"),
-    ("lgpl-2.1", "lesser|library", r"(?:gnu )?(?:lesser|library) general public licen[sc]e,? ?(?:version |v)?2\.1"),
-    ("agpl-3.0", "affero", r"(?:gnu )?affero general public licen[sc]e,? ?(?:version |v)?3(?:\.0)?"),
-    ("gfdl", "documentation", r"(?:gnu )?free documentation"),
-    ("bsd-2-clause", "2-clause|two-clause|simplified|freebsd", r"(?:2-clause|two-clause|simplified|freebsd)(?: bsd)?"),
-    ("bsd-3-clause", "bsd", r"(?:3-clause|three-clause|new|modified|revised) bsd"),
-    ("bsd-4-clause", "bsd", r"(?:4-clause|four-clause|original) bsd"),
-    ("bsd", "bsd", r"bsd"),
-    ("mpl-2.0", "mozilla", r"mozilla public licen[sc]e,? ?(?:version |v)?2(?:\.0)?"),
-    ("mpl", "mozilla", r"mozilla public"),
-    ("epl-2.0", "eclipse", r"eclipse public licen[sc]e(?: -)?,? ?(?:version |v)?2(?:\.0)?"),
-    ("epl", "eclipse", r"eclipse public"),
-    ("eupl", "european", r"european union public"),
-    ("cddl", "development and distribution", r"common development and distribution"),
-    ("cc-by-4.0", "cc by|cc-by", r"cc[ -]by(?: |-)?4\.0"),
-    ("cc-by-3.0", "cc by|cc-by", r"cc[ -]by(?: |-)?3\.0"),
-    ("cc-by-sa", "cc by|cc-by", r"cc[ -]by-sa(?: [1-4]\.[05])?"),
-    ("cc-by-nc", "cc by|cc-by", r"cc[ -]by-nc(?: [1-4]\.[05])?"),
-    ("cc-by-nd", "cc by|cc-by", r"cc[ -]by-nd(?: [1-4]\.[05])?"),
-    ("cc-by-nc-sa", "cc by|cc-by", r"cc[ -]by-nc-sa(?: [1-4]\.[05])?"),
-    ("cc-by-nc-nd", "cc by|cc-by", r"cc[ -]by-nc-nd(?: [1-4]\.[05])?"),
-    ("cc0", "cc0", r"cc0(?: 1\.0)?"),
-    ("cc", "creative commons", r"creative commons(?: attribution)?(?:[ -](?:non-?commercial|share-?alike|no-?derivatives))*(?: [1-4]\.[05])?"),
-    ("isc", "isc", r"isc"),
-    ("boost-1.0", "boost", r"boost software"),
-    ("zlib", "zlib", r"zlib(?:/libpng)?"),
-    ("artistic", "artistic", r"artistic"),
-    ("unlicense", "unlicense", r"unlicense"),
-    ("wtfpl", "do what", r"do what the fuck you want to public"),
-    ("postgresql", "postgresql", r"postgresql"),
-    ("python", "python", r"python(?: software foundation)?"),
-    ("php", "php", r"php"),
-    ("openssl", "openssl", r"openssl"),
-    ("ncsa", "illinois", r"university of illinois(?:/ncsa)?(?: open source)?"),
-    ("ofl-1.1", "open font", r"(?:sil )?open font"),
-    ("odbl", "open database", r"open (?:data commons )?open database|open database"),
-    ("odc-by", "open data", r"open data commons attribution"),
-    ("bsl", "business source", r"business source"),
-    ("sspl", "server side", r"server side public"),
-    ("elastic", "elastic", r"elastic"),
-    ("openrail", "rail", r"(?:open|bigscience )rail(?:-m)?"),
-    ("llama", "llama", r"llama(?: [234](?:\.[0-9])?)?(?: community)?"),
-    ("ms-pl", "microsoft", r"microsoft (?:public|reciprocal)"),
-]
-# What stands around a name, and the priority of such a finding.
-FORMS = [
-    (r"spdx-license-identifier: ?{id}", 5),
-    (r"(?:is |are |be )?(?:re)?licen[sc]ed (?:to you )?under (?:the )?(?:terms of )?(?:the )?{name}(?: licen[sc]e)?(?:, version [0-9.]*[0-9])?", 4),
-    (r"(?:released|distributed|published|available|provided) under (?:the )?(?:terms of )?(?:the )?{name} licen[sc]e(?:, version [0-9.]*[0-9])?", 4),
-    (r"(?:subject to|governed by|covered by) (?:the )?(?:terms of )?(?:the )?{name} licen[sc]e", 3),
-    (r"licen[sc]e ?: ?{name}", 3),
-    (r"{name} licen[sc]e", 2),
-]
-SINGLE = [
-    ("copyright", "copyright", r"copyright (?:\(c\) |© )?(?:[12][0-9]{3}(?:[-,][ ]?[12][0-9]{3})*)?", 1),
-    ("reserved-all", "rights", r"all rights reserved", 1),
-    ("public-domain", "public domain", r"(?:released|dedicated|placed) (?:in|to|into) the public domain", 3),
-    ("no-redistribution", "may not|must not|no right", r"(?:may not|must not|no rights? to) (?:be )?(?:copy|copied|redistributed?|distributed?) .{0,60}?(?:permission|licen[sc]e|rights)", 2),
-]
-LEVELS = 5
-ALONE = ("cc by|cc-by", "cc0", "creative commons")
-
-
-def rules() -> list[tuple[str, str, str, int]]:
-    """label, keywords, pattern, priority (1 to LEVELS); earlier rules win between equal findings."""
-    out = []
-    for form, priority in FORMS:
-        for label, keyword, name in NAMES:
-            own = form.replace("{name}", f"(?:{name})").replace("{id}", label.replace(".", r"\.").replace("-", "[- ]?") + r"(?:-only|-or-later)?")
-            out.append((label, "spdx" if "spdx" in form else keyword, own, priority))
-    out += [(label, keyword, name, priority) for label, keyword, name, priority in SINGLE]
-    out += [(label, keyword, name, 2) for label, keyword, name in NAMES if keyword in ALONE]
-    spaced = [(a, k, p.replace(" ", r"\s+") if "[ " not in p and " ]" not in p else p, n) for a, k, p, n in out]
-    return [(a, k, rf"(?i)(?<!{WORD_CHAR})(?:{p})(?!{WORD_CHAR})", n) for a, k, p, n in spaced]
+#: A finding holds one of these, or one of the keywords that none of these is part of.
+GATE = (
+    "licen", "copyright", "permi", "warrant", "rights", "reserv", "distribut", "reproduc", "public domain", "publicdomain", "general public", "gpl", "cc0", "cc by", "cc-by",
+    "creative commons", "creativecommons", "software", "commercial", "apache", "bsd",
+)
 
 
 def gate() -> str:
     """Every match of a rule, and every base phrase, holds a match of this."""
-    # where 'license' is one of several endings, a match need not hold it
-    words = {w for _, keyword, pattern, _ in rules() if "licen[sc]" not in pattern.replace("|licen[sc]e|", "|") for w in keyword.split("|")}
-    spaced = sorted(w.replace(" ", r"\s+") for w in words) + [BETWEEN.join(p.split()) for p in BASE.values()]
-    return "(?i)licen[sc]|" + "|".join(spaced)
+    held = [[*keyword.split("|")] for _, keyword, pattern, _ in rules() if "licen[sc]" not in pattern and "license-" not in pattern]
+    more = {k for keywords in held for k in keywords if not any(g in k for g in GATE)}
+    # where 'licen[sc]e' stands in a group, a match need not hold it: the keyword is asked for
+    more |= {k for _, keyword, pattern, _ in rules() if "licen[sc]" in pattern and not _always(pattern) for k in keyword.split("|") if not any(g in k for g in GATE)}
+    words = sorted(w.replace(" ", r"\s+") for w in {*GATE, *more})
+    return "(?i)" + "|".join(re.escape(w) if "\\" not in w else w for w in words) + "|" + "|".join(BETWEEN.join(p.split()) for p in BASE.values())
+
+
+def _always(pattern: str) -> bool:
+    """Whether 'licen[sc]' stands outside of all groups but the outermost, so that every match holds it."""
+    depth = 0
+    for i, c in enumerate(pattern):
+        depth += (c == "(") - (c == ")")
+        if depth == 1 and pattern.startswith("licen[sc]", i):
+            return True
+    return False
 
 
 def phrase_pattern(phrase: str) -> str:

@@ -1,6 +1,7 @@
 import re
 
-from labelloom.llm.licenses import BASE, LEVELS, license_scan, rules
+from labelloom.llm.license_rules import SIGNATURES, literals
+from labelloom.llm.licenses import BASE, LEVELS, gate, license_scan, rules
 
 
 def lower(text):
@@ -65,3 +66,33 @@ def test_rules():
 
 def test_empty(docs):
     assert license_scan(docs([])).count() == 0
+
+
+# Written by hand from what license notices say, not from the rules: text, labels.
+NOTICES = [
+    ("License: MIT", "mit"), ("license:MIT", "mit"), ("License = Apache-2.0", "apache-2.0"), ("SPDX-License-Identifier:MIT", "mit"), ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3.0"),
+    ("Apache-2.0 license", "apache-2.0"), ("license: apache-2.0", "apache-2.0"), ("GNU GPL v3", "gpl-3.0"), ("GPLv3", "gpl-3.0"), ("LGPL-2.1", "lgpl-2.1"), ("License: BSD-3-Clause", "bsd-3-clause"), ("BSD 2-Clause License", "bsd-2-clause"),
+    ("# SPDX-License-Identifier : BSD-2-Clause", "bsd-2-clause"), ("distributed under the terms of the MPL 2.0 license", "mpl-2.0"), ("Licensed under the EUPL", "eupl"),
+    ("Permission is hereby granted, free of charge, to any person\n obtaining a copy of this software and associated documentation files", "mit"),
+    ("you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by", "gpl,gpl-any"),
+    ("either version 2 of the License, or (at your option) any later version.", "gpl-2.0"),
+    ("Redistribution and use in source and binary forms, with or without\n  modification, are permitted provided that", "bsd"),
+    ("Neither the name of the Example Project nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("https://creativecommons.org/licenses/by-nc/4.0/", "cc-by-nc"), ("No part of this publication may be reproduced in any form", "no-redistribution"), ("Alle Rechte vorbehalten.", "reserved-all"),
+    ("if the library is simplified, the example is simple", ""), ("the general is in public", ""), ("a mitten and an apache helicopter", ""), ("the museum of new bsds", ""), ("she was permitted to go", ""),
+]
+
+
+def test_hand_written_labels(docs):
+    got = {r.doc_id: r.labels for r in license_scan(docs([(i, t) for i, (t, _) in enumerate(NOTICES)])).collect()}
+    assert {t: got[i] for i, (t, _) in enumerate(NOTICES)} == dict(NOTICES)
+
+
+def test_every_rule_is_reached_by_its_keyword():
+    gate_ = re.compile(gate())
+    for label, keyword, pattern, _ in rules():
+        assert all(len(k) > 2 for k in keyword.split("|")), label
+        assert gate_.search("") is None
+    for label, _, pattern in SIGNATURES:
+        assert len(literals(pattern)[0]) > 4 and "|" not in re.sub(r"\([^()]*(?:\([^()]*\)[^()]*)*\)", "", pattern), label
