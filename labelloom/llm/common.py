@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A side of at most so many rows, and so many bytes of strings, may be broadcast: under 100 MB with its few narrow columns.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 << 20
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,17 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Without it a temporary folder serves a local master only; on a cluster each node would write its own half.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='labelloom')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    base = f"file://{tempfile.mkdtemp(prefix='labelloom')}"
+    spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
 def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs no rerun.
 
+    The job runs at once, while a query is being built.
+
     narrow: df is a small part of a large scan; it is gathered into files of the advisory
     size instead of one for each task. The files go when the driver's JVM ends.
     """
@@ -51,16 +61,20 @@ def small_enough(df: DataFrame) -> bool:
     return n <= BROADCAST_ROWS and sum(sizes) <= BROADCAST_BYTES
 
 
-def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str, salts: int = 16) -> DataFrame:
-    """Join small (materialized, as its size is measured) onto big: broadcast within the bounds above, else by salted keys.
+def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join small (materialized, as its size is measured) onto big: broadcast within the bounds above, else a plain shuffle join.
 
-    Salting spreads a key that holds much of big over `salts` tasks; small is repeated as often.
+    small has a key once, so a key that holds much of big is a large partition of one side only, and adaptive execution splits it.
     """
-    if small_enough(small):
-        return big.join(F.broadcast(small), on, how)
-    salted = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return big.join(F.broadcast(small) if small_enough(small) else small, on, how)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose texts go to Python in batches of BATCH_ROWS, unless the session has a size of its own: a batch stands in memory several times."""
+    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if df.sparkSession.conf.get(key) == default:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df
 
 
 def as_key(column: Column) -> Column:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_id, as_key
+from .common import as_id, as_key, small_batches
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend"
@@ -388,4 +388,4 @@ def main_text(pages: DataFrame, model: BlockLabeller | None = None, id_col: str
                 })
 
     chosen = pages.select(as_key(F.col(id_col)).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    return as_id(chosen.mapInPandas(run, "page_id string, url string, text string, n_chars long, n_blocks long, n_kept long"), "page_id")
+    return as_id(small_batches(chosen).mapInPandas(run, "page_id string, url string, text string, n_chars long, n_blocks long, n_kept long"), "page_id")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import as_id, as_key, checked_join, materialize, whole_text
+from .common import as_id, as_key, checked_join, materialize, small_batches, whole_text
 
 STRIPPED = " \t\n\x0b\x0c\r"
 #: Stands for a null id: such rows are one document, after all others.
@@ -90,7 +90,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Bitmaps of kept lines, for the documents that lose any: doc, version (hash of the text), n_lines, n_dropped, keep (zlib of packed bits)."""
     text = whole_text(text_col)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
-    lines = texts.mapInPandas(_lines(least), "h1 long, h2 long, doc long, version long, pos int, n_lines int")
+    lines = small_batches(texts).mapInPandas(_lines(least), "h1 long, h2 long, doc long, version long, pos int, n_lines int")
     order = ["h1", "h2", "doc", "version", "pos"]
     schema = "h1 long, h2 long, doc long, version long, pos int, n_lines int, kind byte"
     told = materialize(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_stream, schema), "line-runs")

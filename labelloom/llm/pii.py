@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_id, as_key, whole_text
+from .common import as_id, as_key, small_batches, whole_text
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
@@ -145,4 +145,4 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "scores", "max_score"]
     schema = "doc_id string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, scores string, max_score double"
     texts = docs.select(as_key(F.col(id_col)).alias("doc_id"), whole_text(text_col).alias("text"))
-    return as_id(texts.mapInPandas(run, schema))
+    return as_id(small_batches(texts).mapInPandas(run, schema))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_id, as_key, checked_join, materialize, whole_text
+from .common import as_id, as_key, checked_join, materialize, small_batches, whole_text
 
 FLUSH = 200_000
 FAN = 256
@@ -240,7 +240,7 @@ def _add(rows: pd.DataFrame) -> pd.DataFrame:
 
 def count_words(texts: DataFrame) -> DataFrame:
     """word, n: every word of the texts, materialized."""
-    return materialize(texts.mapInPandas(_counting, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    return materialize(small_batches(texts).mapInPandas(_counting, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
 def rest_shares(texts: DataFrame, counted: DataFrame, ranked: list[bytes], shape: Shape) -> DataFrame:
@@ -261,7 +261,7 @@ def rest_shares(texts: DataFrame, counted: DataFrame, ranked: list[bytes], shape
     tokens = keyed.select("_key", F.explode(F.split(lower, r"[\x20\x09-\x0D]+", -1)).alias("word"))
     tokens = tokens.where((F.col("word") != "") & ~F.col("word").isin(known))
     # one word is a small part of all tokens: keys need no salt
-    return checked_join(tokens, shares, ["word"], "inner", salts=1).groupBy("_key").agg(F.avg("_log").alias("_log_share"))
+    return checked_join(tokens, shares, ["word"], "inner").groupBy("_key").agg(F.avg("_log").alias("_log_share"))
 
 
 def fit(texts: DataFrame, shape: Shape = Shape(), counted: DataFrame | None = None) -> tuple[list[bytes], Network]:  # noqa: B008

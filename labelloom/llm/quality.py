@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_id, as_key, materialize
+from .common import as_id, as_key, materialize, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -130,7 +130,7 @@ class Reference:
 
 def references(docs: DataFrame, rules: Rules) -> dict[str, Reference]:
     """By language, about 72 rows of each; those of the max_languages largest, if that is set. Under None, that of rows without a language, if no row has one."""
-    counted = docs.mapInPandas(_counting, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    counted = small_batches(docs).mapInPandas(_counting, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     is_class = F.col("key").startswith(_CLASS)
     order = Window.partitionBy("lang", "is_class").orderBy(F.desc("n"), "key")
     top = materialize(

@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_join, materialize
+from .common import checked_join, materialize, small_batches
 from .components import components
 
 
@@ -383,7 +383,7 @@ def shingle_join(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
     point of the index, however many rows have them. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    told = materialize(texts.mapInPandas(_surveying(join), "doc_id long, n long, s1 long, s2 long, chunk int, counts binary"), "survey")
+    told = materialize(small_batches(texts).mapInPandas(_surveying(join), "doc_id long, n long, s1 long, s2 long, chunk int, counts binary"), "survey")
     frequency = docs.sparkSession.sparkContext.broadcast(frequencies(told, join))
     sets = told.where("chunk < 0").select("doc_id", "n", "s1", "s2")
     named = texts.where("doc_id is not null")
