@@ -39,10 +39,10 @@ STAINS = ((0.650, 0.704, 0.286), (0.072, 0.990, 0.105), (0.268, 0.570, 0.776))
 
 
 def deconvolve(r: Column, g: Column, b: Column, matrix: Sequence[Sequence[float]] = STAINS) -> list[Column]:
-    """Optical densities -ln((c + 1) / 256) by the matrix' columns, back to [0, 255] truncated."""
-    density = [-F.log((c + 1) / F.lit(256.0)) for c in (r, g, b)]
+    """Optical densities ln((c + 1) / 255) by the matrix' columns, back to [0, 255] and rounded."""
+    density = [F.log((c + 1) / F.lit(255.0)) for c in (r, g, b)]
     mixed = [sum((density[k] * float(matrix[k][j]) for k in range(3)), F.lit(0.0)) for j in range(3)]
-    return [F.least(F.lit(255), F.floor(F.exp(-m) * 256)).cast("int") for m in mixed]
+    return [F.floor(F.least(F.lit(255.0), 255 * F.exp(m)) + 0.5).cast("int") for m in mixed]
 
 
 def read_level(available: Column, wanted: Column, base: Column) -> Column:
@@ -67,20 +67,3 @@ def stem(path: Column) -> Column:
 
 def escaped_glob(path: Column) -> Column:
     return F.regexp_replace(path, r"\[", "[[]")
-
-
-def hue_shift(hue: Column, by: int) -> Column:
-    return F.pmod(hue + by, F.lit(180))
-
-
-def contrast(value: Column, factor: float, mean: Column) -> Column:
-    """The result is clipped, not only the input."""
-    return F.least(F.lit(255.0), F.greatest(F.lit(0.0), value * factor + mean * (1 - factor)))
-
-
-def brightness(value: Column, by: float) -> Column:
-    return F.least(F.lit(255.0), F.greatest(F.lit(0.0), value + by))
-
-
-def wheel_hue(index: Column, n: int) -> Column:
-    return index / n

@@ -39,6 +39,12 @@ def tiles(images: DataFrame, tile: int, margin: int = 128) -> DataFrame:
     return normal.unionByName(strip_x).unionByName(strip_y).unionByName(cross).where("y1 > y0 and x1 > x0")
 
 
+def _chunk_end(start: Column, length: Column, size: int, diff: int, outer: int) -> Column:
+    """Where a chunk ends: after whole patches, if it would spill over the edge."""
+    whole = F.floor((length - diff - start) / outer) * outer + start + diff
+    return F.when(start + size > length, whole).otherwise(start + size).cast("int")
+
+
 def chunks(images: DataFrame, chunk: int, inner: int, outer: int) -> DataFrame:
     """Chunks of whole patches, cut to the image: in_y0, in_x0, in_y1, in_x1 and the output box."""
     diff = inner - outer
@@ -47,22 +53,37 @@ def chunks(images: DataFrame, chunk: int, inner: int, outer: int) -> DataFrame:
     g = _along(_along(images, "j", patch_count(F.col("width"), size, out)), "i", patch_count(F.col("height"), size, out))
     g = g.withColumns({"in_y0": F.col("i") * out, "in_x0": F.col("j") * out})
 
-    def end(start: Column, length: Column) -> Column:
-        whole = F.floor((length - diff - start) / outer) * outer + start + diff
-        return F.when(start + size > length, whole).otherwise(start + size).cast("int")
-
-    g = g.withColumns({"in_y1": end(F.col("in_y0"), F.col("height")), "in_x1": end(F.col("in_x0"), F.col("width"))})
+    end = lambda start, length: _chunk_end(F.col(start), F.col(length), size, diff, outer)
+    g = g.withColumns({"in_y1": end("in_y0", "height"), "in_x1": end("in_x0", "width")})
     half = diff // 2
     return g.select("image_id", "in_y0", "in_x0", "in_y1", "in_x1", *((F.col(f"in_{a}0") + half).alias(f"out_{a}0") for a in "yx"), *((F.col(f"in_{a}1") - half).alias(f"out_{a}1") for a in "yx"))
 
 
 def chunk_patches(images: DataFrame, chunk: int, inner: int, outer: int) -> DataFrame:
-    """Patches whose input box lies in a chunk: an equi-join on the image with a range condition."""
-    c = chunks(images, chunk, inner, outer).select("image_id", "in_y0", "in_x0", "in_y1", "in_x1")
-    p = patch_grid(images, inner, outer).select("image_id", "in_y", "in_x")
-    y = F.col("in_y").between(F.col("in_y0"), F.col("in_y1") - inner)
-    x = F.col("in_x").between(F.col("in_x0"), F.col("in_x1") - inner)
-    return c.join(p, "image_id").where(y & x).select("image_id", "in_y0", "in_x0", "in_y", "in_x")
+    """Patches whose input box lies in a chunk. Chunks are whole patches side by side, so a patch's corner tells its chunk: arithmetic, no range join."""
+    diff = inner - outer
+    out = (chunk - diff) // outer * outer
+    size = out + diff
+    g = _along(_along(images, "j", patch_count(F.col("width"), inner, outer)), "i", patch_count(F.col("height"), inner, outer))
+    p = g.withColumns({"in_y": F.col("i") * outer, "in_x": F.col("j") * outer})
+    for a, side in (("y", "height"), ("x", "width")):
+        at = F.floor(F.col(f"in_{a}") / out)
+        p = p.where(at < patch_count(F.col(side), size, out)).withColumn(f"in_{a}0", (at * out).cast("int"))
+        p = p.where(F.col(f"in_{a}") <= _chunk_end(F.col(f"in_{a}0"), F.col(side), size, diff, outer) - inner)
+    return p.select("image_id", "in_y0", "in_x0", "in_y", "in_x")
+
+
+BOX = ["image_id", "box_id", "y0", "x0", "y1", "x1"]
+CELL = 256
+
+
+def in_boxes(points: DataFrame, boxes: DataFrame, cell: int = CELL) -> DataFrame:
+    """Rows of points (image_id, y, x, ...) with box_id, y0, x0, y1, x1 of every box that they lie in: an equi-join on cells, then the exact test."""
+    span = lambda a: F.sequence(F.expr(f"cast(floor({a}0 / {cell}) as int)"), F.expr(f"cast(floor(({a}1 - 1) / {cell}) as int)"))
+    b = boxes.where("y1 > y0 and x1 > x0").select(*BOX).withColumn("_cy", F.explode(span("y"))).withColumn("_cx", F.explode(span("x")))
+    p = points.withColumns({f"_c{a}": F.expr(f"cast(floor({a} / {cell}) as int)") for a in "yx"})
+    inside = "y >= y0 and y < y1 and x >= x0 and x < x1"
+    return p.join(b, ["image_id", "_cy", "_cx"]).where(inside).drop("_cy", "_cx")
 
 
 def padded_patches(images: DataFrame, window: int, mask: int) -> DataFrame:
@@ -76,6 +97,13 @@ def padded_patches(images: DataFrame, window: int, mask: int) -> DataFrame:
     )
 
 
+def extract(images: DataFrame, window: int, step: int, how: str) -> DataFrame:
+    """sliding() by name, in any case: 'valid', or 'mirror' for windows over the reflect-padded image."""
+    if how.lower() not in ("valid", "mirror"):
+        raise ValueError(f"no such extraction: {how}")
+    return sliding(images, window, step, mirror=how.lower() == "mirror")
+
+
 def sliding(images: DataFrame, window: int, step: int, mirror: bool = False) -> DataFrame:
     """Windows from the corner, then one more row and column flush with the far edges where steps leave a rest: kind 0 grid, 1 bottom, 2 right, 3 corner."""
     diff = window - step if mirror else 0

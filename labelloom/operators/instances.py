@@ -39,15 +39,19 @@ def remove_small(labels: DataFrame, min_size: int) -> DataFrame:
 
 
 def distance_maps(labels: DataFrame) -> DataFrame:
-    """Horizontal and vertical distances to the rounded centre of mass, scaled to [-1, 1] on either side, for each pixel."""
-    w = Window.partitionBy(*OBJECT)
+    """Horizontal and vertical distances to the rounded centre of mass, scaled to [-1, 1] on either side, for each pixel.
+
+    An object's box and centre give its largest distances, so one aggregate row an object is joined to its pixels.
+    """
     # the box begins two pixels early and its pixels count from one, so rounding sees y - y0 + 2
-    com = lambda c: F.floor(F.avg(c).over(w) - F.min(c).over(w) + 2 + 0.5)
-    out = labels.withColumns({f"d{c}": (F.col(c) - F.min(c).over(w) + 3 - com(c)).cast("double") for c in ("x", "y")})
+    com = lambda c: F.floor(F.avg(c) - F.min(c) + 2 + 0.5) - 3 + F.min(c)
+    sizes = labels.groupBy(*OBJECT).agg(*(f.alias(n) for c in ("x", "y") for n, f in ((f"_c{c}", com(c)), (f"_low{c}", F.min(c)), (f"_high{c}", F.max(c)))))
+    out = labels.join(sizes, OBJECT)
+    value = {}
     for c in ("x", "y"):
-        d = F.col(f"d{c}")
-        out = out.withColumn(f"h{c}", F.when(d < 0, d / -F.min(d).over(w)).when(d > 0, d / F.max(d).over(w)).otherwise(0.0))
-    return out.select("image_id", "y", "x", "inst_id", F.col("hx").alias("h"), F.col("hy").alias("v"))
+        d, low, high = F.col(c) - F.col(f"_c{c}"), F.col(f"_low{c}") - F.col(f"_c{c}"), F.col(f"_high{c}") - F.col(f"_c{c}")
+        value[c] = F.when(d < 0, d / -low).when(d > 0, d / high).otherwise(0.0).cast("double")
+    return out.select("image_id", "y", "x", "inst_id", value["x"].alias("h"), value["y"].alias("v"))
 
 
 def targets(labels: DataFrame, height: int, width: int, out_h: int, out_w: int, min_size: int = 30) -> DataFrame:
@@ -59,3 +63,27 @@ def targets(labels: DataFrame, height: int, width: int, out_h: int, out_w: int,
     kept = maps.join(chosen, OBJECT, "left")
     value = lambda c: F.when(F.col("_k"), F.col(c)).otherwise(0.0)
     return kept.select("image_id", (F.col("y") - h0).alias("y"), (F.col("x") - w0).alias("x"), F.lit(1).alias("np"), value("h").alias("h"), value("v").alias("v"))
+
+
+def without(labels: DataFrame, gone: DataFrame) -> DataFrame:
+    """Pixels of objects that are not listed in gone (image_id, inst_id)."""
+    return labels.join(gone, OBJECT, "left_anti")
+
+
+def id_offsets(labels: DataFrame) -> DataFrame:
+    """image_id, objects, first: where each image's objects begin if all were numbered on. The running sum is over images, in ranges of ids first."""
+    n = labels.select(*OBJECT).distinct().groupBy("image_id").agg(F.count(F.lit(1)).alias("objects")).withColumn("_g", F.expr("image_id div 1024"))
+    groups = n.groupBy("_g").agg(F.sum("objects").alias("o")).withColumn("_before", F.sum("o").over(Window.orderBy("_g")) - F.col("o")).drop("o")
+    within = F.sum("objects").over(Window.partitionBy("_g").orderBy("image_id")) - F.col("objects")
+    return n.withColumn("_w", within).join(groups, "_g").select("image_id", "objects", (F.col("_w") + F.col("_before")).alias("first"))
+
+
+def validation_scores(pixels: DataFrame, kinds: list[int]) -> list:
+    """Aggregates of pixels t, q (foreground, true and guessed), tt, tq (types), h, v and hq, vq (maps): accuracy, Dice, Dice per type, squared error of both maps by pixels."""
+    t, q = F.col("t"), F.col("q")
+    dice = lambda a, b, eps: 2.0 * F.sum((a & b).cast("int")) / (F.sum(a.cast("int")) + F.sum(b.cast("int")) + eps)
+    square = lambda a, b: F.sum((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)))
+    return [
+        F.avg((t == q).cast("int")).alias("np_acc"), dice(t == 1, q == 1, 0.0).alias("np_dice"), *(dice(F.col("tt") == k, F.col("tq") == k, 1e-8).alias(f"tp_dice_{k}") for k in kinds),
+        ((square("h", "hq") + square("v", "vq")) / F.count(F.lit(1))).alias("hv_mse"),
+    ]

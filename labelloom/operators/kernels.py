@@ -8,16 +8,19 @@ pixels of equal height in the order in which they were met.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 NEXT = ((-1, 0), (0, -1), (0, 1), (1, 0))
 
 
-def components(mask: np.ndarray) -> np.ndarray:
-    """4-connected labels from 1: runs of rows, joined by union-find."""
+def components(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
+    """4-connected labels from 1, or with `diagonal` 8-connected ones: runs of rows, joined by union-find."""
     out = np.zeros(mask.shape, np.int32)
     parent = [0]
 
@@ -30,7 +33,7 @@ def components(mask: np.ndarray) -> np.ndarray:
     for y in range(mask.shape[0]):
         edges = np.flatnonzero(np.diff(np.r_[0, mask[y].astype(np.int8), 0]))
         for a, b in zip(edges[::2], edges[1::2], strict=True):
-            above = sorted({root(k) for k in np.unique(out[y - 1, a:b]) if k}) if y else []
+            above = sorted({root(k) for k in np.unique(out[y - 1, max(0, a - diagonal) : b + diagonal]) if k}) if y else []
             if above:
                 for k in above[1:]:
                     parent[k] = above[0]
@@ -62,6 +65,28 @@ def filled(mask: np.ndarray) -> np.ndarray:
     return ~(outside == outside[0, 0])[1:-1, 1:-1]
 
 
+def without_holes(mask: np.ndarray, least: int) -> np.ndarray:
+    """Holes, also those at the border, of under `least` pixels closed."""
+    return ~(without_small(components(~mask), least) > 0)
+
+
+def disc(half: int) -> list[tuple[int, int]]:
+    return [(a, b) for a in range(-half, half + 1) for b in range(-half, half + 1) if a * a + b * b <= half * half]
+
+
+def dilated(mask: np.ndarray, half: int) -> np.ndarray:
+    """Grown by a disc: each of its rows is a span, whose reach is a running sum."""
+    h, w = mask.shape
+    out = np.zeros_like(mask)
+    for a in range(-half, half + 1):
+        span = int((half * half - a * a) ** 0.5)
+        sums = np.cumsum(np.pad(mask.astype(np.int32), ((0, 0), (span + 1, span))), axis=1)
+        wide = sums[:, 2 * span + 1 :] > sums[:, : w]
+        top, bottom = max(0, a), min(h, h + a)
+        out[top:bottom] |= wide[top - a : bottom - a]
+    return out
+
+
 def convolved(values: np.ndarray, down: np.ndarray, across: np.ndarray) -> np.ndarray:
     """A separable kernel with reflected borders."""
     for axis, k in ((0, down), (1, across)):
@@ -170,15 +195,25 @@ def _grid(rows: pd.DataFrame, *columns: str) -> list[np.ndarray]:
     return out
 
 
-def separated(pixels: DataFrame, min_size: int = 10, size: int = 21) -> DataFrame:
-    """pixels: image_id, y, x, np, h, v of one tile per image_id. Foreground with inst_id; a group is a tile, so its size is bounded."""
+#: A post-processing step: np, h and v maps of a tile to its label map.
+Process = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def separated(pixels: DataFrame, min_size: int = 10, size: int = 21, process: Process | None = None) -> DataFrame:
+    """pixels: image_id, y, x, np, h, v of one tile per image_id, and box_id, if an image has several; a group is a tile, so its size is bounded.
+
+    Foreground with inst_id, at the places of the image; with box_id, if given. process: another step than separate().
+    """
+    keys = ["image_id", *(["box_id"] if "box_id" in pixels.columns else [])]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        labels = separate(*_grid(rows, "np", "h", "v"), min_size, size)
+        y0, x0 = (0, 0) if len(keys) == 1 else (rows["y"].min(), rows["x"].min())
+        maps = _grid(rows.assign(y=rows["y"] - y0, x=rows["x"] - x0), "np", "h", "v")
+        labels = process(*maps) if process is not None else separate(*maps, min_size, size)
         y, x = np.nonzero(labels)
-        return pd.DataFrame({"image_id": rows["image_id"].iloc[0], "y": y, "x": x, "inst_id": labels[y, x]})
+        return pd.DataFrame({k: rows[k].iloc[0] for k in keys} | {"y": y + y0, "x": x + x0, "inst_id": labels[y, x]}, index=range(len(y)))
 
-    return pixels.groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, inst_id int")
+    return pixels.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} long" for k in keys) + ", y int, x int, inst_id int")
 
 
 def contours(labels: DataFrame) -> DataFrame:
@@ -203,9 +238,6 @@ def split_parts(labels: DataFrame) -> DataFrame:
         mask[rows["y"] - y0, rows["x"] - x0] = True
         return rows.assign(part=components(mask)[rows["y"] - y0, rows["x"] - x0])[["image_id", "y", "x", "inst_id", "part"]]
 
-    from pyspark.sql import functions as F
-    from pyspark.sql.window import Window
-
     parts = labels.groupBy("image_id", "inst_id").applyInPandas(run, "image_id long, y int, x int, inst_id int, part int")
     ids = parts.groupBy("image_id", "inst_id", "part").agg(F.lit(1).alias("_"))
     w = Window.partitionBy("image_id")

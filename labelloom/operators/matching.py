@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import aggregated_jaccard, overlaps, panoptic
+from .metrics import chosen_panoptic, chosen_ratio, overlaps
 
 
 def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,36 +47,65 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row_of[cols][order], cols[order]
 
 
+def islands(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For edges between places a of one side and b of the other, the number of the connected part that each is in."""
+    label = np.arange(a.max() + 1)
+    while True:
+        # the smallest label goes from one side to the other and back
+        of_b = np.full(b.max() + 1, len(label))
+        np.minimum.at(of_b, b, label[a])
+        new = label.copy()
+        np.minimum.at(new, a, of_b[b])
+        new = new[new]
+        if (new == label).all():
+            return label[a]
+        label = new
+
+
 def assigned_pairs(table: DataFrame, least: float = 0.0) -> DataFrame:
-    """Overlapping pairs of the assignment with the largest total ratio, those above `least`. A group is one image's object pairs, not its pixels."""
+    """Overlapping pairs of the assignment with the largest total ratio, those above `least`.
+
+    A group is one image's overlapping pairs; within it objects that no chain of overlaps joins are assigned apart,
+    which gives the same optimum, so no matrix is larger than a clump of objects.
+    """
     pairs = overlaps(table)
 
     def best(rows: pd.DataFrame) -> pd.DataFrame:
-        t, ti = np.unique(rows["true_id"], return_inverse=True)
-        p, pi = np.unique(rows["pred_id"], return_inverse=True)
-        gain, at = np.zeros((len(t), len(p))), np.full((len(t), len(p)), -1)
-        gain[ti, pi], at[ti, pi] = rows["iou"], np.arange(len(rows))
-        i, j = assign(-gain)
-        chosen = at[i, j]
-        out = rows.iloc[chosen[chosen >= 0]]
+        rows = rows.reset_index(drop=True)
+        _, t = np.unique(rows["true_id"], return_inverse=True)
+        _, p = np.unique(rows["pred_id"], return_inverse=True)
+        chosen = []
+        for _, own in rows.groupby(islands(t, p), sort=False):
+            at = own.index.to_numpy()
+            if len(at) == 1:
+                chosen.append(at)
+                continue
+            _, i = np.unique(t[at], return_inverse=True)
+            _, j = np.unique(p[at], return_inverse=True)
+            gain, place = np.zeros((i.max() + 1, j.max() + 1)), np.full((i.max() + 1, j.max() + 1), -1)
+            gain[i, j], place[i, j] = own["iou"], at
+            picked = place[assign(-gain)]
+            chosen.append(picked[picked >= 0])
+        out = rows.iloc[np.sort(np.concatenate(chosen))]
         return out[out["iou"] > least]
 
     return pairs.groupBy("image_id").applyInPandas(best, pairs.schema)
 
 
 def aji_plus(table: DataFrame) -> DataFrame:
-    return aggregated_jaccard(table, assigned_pairs(table), "aji_plus")
+    return chosen_ratio(table, assigned_pairs(table), "aji_plus")
 
 
 def pq_assigned(table: DataFrame, match_iou: float) -> DataFrame:
-    return panoptic(table, assigned_pairs(table, match_iou))
+    return chosen_panoptic(table, assigned_pairs(table, match_iou))
 
 
 def pair_points(truth: DataFrame, guess: DataFrame, radius: float, dummies: bool = False) -> DataFrame:
     """image_id, idx, x, y, type of both sides; rows of pairs and of unpaired points (the other side null).
 
     The assignment is over all distances, and pairs beyond the radius are dissolved after it:
-    a filter before it would give other pairs. With `dummies` an image without points on a
+    a filter before it would give other pairs. A task holds one image's matrix of distances, 800 MB for
+    10,000 points a side; a larger image has to be cut into tiles first. With `dummies` an image without points on a
     side has one at the origin, of type 0.
     """
     side = lambda df, s: df.select("image_id", F.lit(s).alias("side"), "idx", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("type").cast("int").alias("type"))

@@ -1,41 +1,53 @@
-"""Merging of overlapping tiles' objects, as joins. Boxes of one call must not overlap within an image: strips along x lines, then y lines, then crossings."""
+"""Merging of overlapping tiles' objects, as joins on pixels and on the cells of boxes.
+
+Boxes of one call must not overlap within an image: tiles, strips along x lines, strips along y lines and
+crossings are four calls. A box's objects are numbered by the box alone; here they get ids of the image.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .grid import in_boxes
 
 PIXEL = ["image_id", "y", "x"]
+OWNED = ["image_id", "box_id", "inst_id"]
+
 
+def _live(boxes: DataFrame, new: DataFrame) -> DataFrame:
+    """The boxes that have new objects; the others change nothing, whatever they cover."""
+    return boxes.join(new.select("image_id", "box_id").distinct(), ["image_id", "box_id"], "left_semi")
 
-def insert_tiles(current: DataFrame, new: DataFrame) -> DataFrame:
-    """First phase: objects of plain tiles, ids going on from the image's largest and from tile to tile. new: image_id, tile_id, y, x, inst_id."""
+
+def _numbered(current: DataFrame, new: DataFrame) -> DataFrame:
+    """Pixels of new with ids after the image's largest, by box and the box's own id. Ranks run over objects, not pixels."""
     top = current.groupBy("image_id").agg(F.max("inst_id").alias("_top"))
-    ids = new.select("image_id", "tile_id", "inst_id").distinct()
-    from pyspark.sql.window import Window
+    order = Window.partitionBy("image_id").orderBy("box_id", "inst_id")
+    ids = new.select(*OWNED).distinct().withColumn("_n", F.row_number().over(order)).join(top, "image_id", "left")
+    ids = ids.select(*OWNED, (F.coalesce("_top", F.lit(0)) + F.col("_n")).cast("int").alias("_id"))
+    return new.join(ids, OWNED).select(*PIXEL, F.col("_id").alias("inst_id"))
 
-    ids = ids.withColumn("_n", F.row_number().over(Window.partitionBy("image_id").orderBy("tile_id", "inst_id")))
-    placed = new.join(ids, ["image_id", "tile_id", "inst_id"]).join(top, "image_id", "left")
-    placed = placed.select(*PIXEL, (F.coalesce("_top", F.lit(0)) + F.col("_n")).cast("int").alias("inst_id"))
-    return current.join(placed, PIXEL, "left_anti").unionByName(placed)
 
+def insert_tiles(current: DataFrame, new: DataFrame, tiles: DataFrame) -> DataFrame:
+    """First phase. current: image_id, y, x, inst_id; new: with box_id; tiles: image_id, box_id, y0, x0, y1, x1.
+
+    A tile with new objects overwrites its whole rectangle, background too.
+    """
+    under = in_boxes(current, _live(tiles, new)).select(*PIXEL)
+    return current.join(under, PIXEL, "left_anti").select(*PIXEL, "inst_id").unionByName(_numbered(current, new))
 
-def mend(current: DataFrame, new: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Later phases. current, new: image_id, y, x, inst_id; boxes: image_id, y0, x0, y1, x1.
 
-    A box without new objects changes nothing. Old objects with pixels in a box, none on
-    its edge, lose them; new objects that meet an old pixel that stays are left out; the
-    others come in, their ids after the image's largest.
+def mend(current: DataFrame, new: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Later phases, on the same tables. In every box that has new objects, old objects with pixels in it and none on its
+    edge lose them; new objects that meet an old pixel that stays are left out; the others come in.
     """
-    live = boxes.join(new.select("image_id").distinct(), "image_id", "left_semi")
-    inside = (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
+    held = in_boxes(current, _live(boxes, new))
     edge = F.col("y").isin(F.col("y0")) | (F.col("y") == F.col("y1") - 1) | (F.col("x") == F.col("x0")) | (F.col("x") == F.col("x1") - 1)
-    box = ["y0", "x0", "y1", "x1"]
-    held = current.join(live, "image_id").where(inside)
-    gone = held.groupBy("image_id", "inst_id", *box).agg(F.max(edge.cast("int")).alias("e")).where("e = 0").drop("e")
-    lost = held.join(gone, ["image_id", "inst_id", *box], "left_semi").select(*PIXEL)
-    stays = current.join(lost, PIXEL, "left_anti")
-    blocked = new.join(stays.select(*PIXEL), PIXEL, "left_semi").select("image_id", "inst_id").distinct()
-    top = current.groupBy("image_id").agg(F.max("inst_id").alias("_top"))
-    added = new.join(blocked, ["image_id", "inst_id"], "left_anti").join(top, "image_id", "left")
-    return stays.select(*PIXEL, "inst_id").unionByName(added.select(*PIXEL, (F.col("inst_id") + F.coalesce("_top", F.lit(0))).alias("inst_id")))
+    whole = held.groupBy(*OWNED).agg(F.max(edge.cast("int")).alias("_e")).where("_e = 0").drop("_e")
+    lost = held.join(whole, OWNED, "left_semi").select(*PIXEL)
+    stays = current.join(lost, PIXEL, "left_anti").select(*PIXEL, "inst_id")
+    blocked = new.join(stays.select(*PIXEL), PIXEL, "left_semi").select(*OWNED).distinct()
+    return stays.unionByName(_numbered(current, new.join(blocked, OWNED, "left_anti")))
+

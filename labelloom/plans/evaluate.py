@@ -9,27 +9,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.operators import instances, kernels, matching, metrics
+from labelloom.sources.storage import written
 
 
 def per_image(pixels: DataFrame) -> DataFrame:
     """dice1, aji, dq, sq and pq of each image from one contingency table."""
-    table = metrics.contingency(pixels)
-    return metrics.dice1(table).join(metrics.aji(table), "image_id").join(metrics.pq(table).select("image_id", "dq", "sq", "pq"), "image_id")
+    return metrics.per_image(metrics.contingency(pixels)).select("image_id", "dice1", "aji", "dq", "sq", "pq")
+
+
+def image_stats(pixels: DataFrame) -> DataFrame:
+    """image_id, dice1, aji, dq, sq, pq, aji_plus. Ids are names here, so renumbering them first would change nothing but the order in which
+    ties between equal ratios are broken, which renumbering by id keeps. The table is written once, as two branches read it."""
+    table = written(metrics.contingency(pixels), "contingency")
+    return metrics.per_image(table).select("image_id", "dice1", "aji", "dq", "sq", "pq").join(matching.aji_plus(table), "image_id")
 
 
 def mean_over_images(pixels: DataFrame) -> DataFrame:
     return per_image(pixels).agg(*(F.avg(c).alias(c) for c in ("dice1", "aji", "dq", "sq", "pq")), F.count(F.lit(1)).alias("images"))
 
 
+def mean_stats(pixels: DataFrame) -> DataFrame:
+    """Unweighted means of image_stats()."""
+    return image_stats(pixels).agg(*(F.avg(c).alias(c) for c in ("dice1", "aji", "dq", "sq", "pq", "aji_plus")), F.count(F.lit(1)).alias("images"))
+
+
+def instance_stats(truth: DataFrame, guess: DataFrame) -> DataFrame:
+    """mean_stats() of two sparse label maps (image_id, y, x, inst_id) over the images of guess; an image that truth lacks ends the job."""
+    lacking = metrics.missing_truth(truth, guess).limit(1).collect()
+    if lacking:
+        raise ValueError(f"no truth for image {lacking[0].image_id}")
+    return mean_stats(metrics.located(truth.join(guess.select("image_id").distinct(), "image_id", "left_semi"), guess))
+
+
 def points(labels: DataFrame) -> DataFrame:
     """Centroids with voted types: image_id, idx, x, y, type."""
     return instances.boxes(labels).join(instances.type_vote(labels), ["image_id", "inst_id"]).select("image_id", F.col("inst_id").alias("idx"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("type_id").alias("type"))
 
 
-def type_stats(truth: DataFrame, guess: DataFrame, kinds: list[int], radius: float = 12) -> DataFrame:
-    """Detection F1, type accuracy and F1 per type over the pairs of all images."""
+def type_stats(truth: DataFrame, guess: DataFrame, kinds: list[int] | None = None, radius: float = 12, exhaustive: bool = True) -> DataFrame:
+    """Detection F1, type accuracy and F1 per type over the pairs of all images, in one aggregation. kinds: by default those of truth, a handful."""
+    if kinds is None:
+        kinds = sorted(r.type for r in truth.select("type").distinct().collect())
     pairs = matching.pair_points(truth, guess, radius)
-    return metrics.detection(pairs).crossJoin(pairs.agg(*(metrics.pair_f1(F.lit(k)).alias(f"f1_{k}") for k in kinds)))  # one row each
+    return pairs.agg(*metrics.detection_scores(exhaustive), *(metrics.pair_f1(F.lit(k), exhaustive=exhaustive).alias(f"f1_{k}") for k in kinds))
 
 
 def infer(patches: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -42,14 +64,17 @@ def infer(patches: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], s
     return patches.mapInPandas(run, schema)
 
 
-def objects(maps: DataFrame) -> DataFrame:
-    """Predicted maps to object records: labels, boxes, centroids, contours, types."""
-    labels = kernels.separated(maps)
+def records(labels: DataFrame, maps: DataFrame | None = None) -> DataFrame:
+    """Object records of a label map: boxes, centroids, contours, and types voted from maps (image_id, y, x, tp). Objects whose contour has under three points have none."""
     shapes = kernels.contours(labels).where(F.size("contour") >= 3)
-    boxes = instances.boxes(labels)
-    out = boxes.join(shapes, ["image_id", "inst_id"])
-    if "tp" in maps.columns:
+    out = instances.boxes(labels).join(shapes, ["image_id", "inst_id"])
+    if maps is not None and "tp" in maps.columns:
         out = out.join(instances.type_vote(labels.join(maps.select("image_id", "y", "x", F.col("tp").cast("int").alias("type_id")), ["image_id", "y", "x"])), ["image_id", "inst_id"])
     else:
         out = out.withColumns({"type_id": F.lit(None).cast("int"), "type_prob": F.lit(None).cast("double")})
     return out.select("image_id", "inst_id", F.array(F.array("y0", "x0"), F.array("y1", "x1")).alias("bbox"), F.array("cx", "cy").alias("centroid"), "contour", "type_prob", F.col("type_id").alias("type"))
+
+
+def objects(maps: DataFrame) -> DataFrame:
+    """Predicted maps of whole images to object records."""
+    return records(kernels.separated(maps), maps)

@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions import scalar
 from labelloom.operators import grid, instances, kernels, matching, merge, metrics, raster, track
-from labelloom.plans import evaluate
+from labelloom.plans import evaluate, slide
+from labelloom.plans.registry import ORACLE_SQL, QUERIES, query, r6
 from labelloom.sources import documents
 from labelloom.sources.views import PATCHES_SQL, RASTER_SQL, TYPES_SQL, label_map, patches, read, type_info
 from labelloom.sources.views import raster as raster_view
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def r6(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in columns})
-
-
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_map(raster_view(spark, sf_dir), "true_id")
 
@@ -151,20 +131,15 @@ def center_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.center_crop(patches(spark, sf_dir), 8, 8, 4, 4)
 
 
-def a_tenth(df: DataFrame) -> DataFrame:
-    """Padding makes many rows of few: of the patches those of label 0, which is part of what is asked."""
-    return df.where("label = 0")
-
-
-@query(f"WITH {PATCHES_SQL}, i AS (SELECT DISTINCT image_id FROM patches WHERE label = 0), c AS (SELECT image_id, CAST(ty.y AS INT) AS y, CAST(tx.x AS INT) AS x FROM i, range(11) ty(y), range(13) tx(x)) SELECT c.image_id, c.y, c.x, coalesce(p.v, 255.0) AS v FROM c LEFT JOIN patches p ON p.image_id = c.image_id AND p.y + 1 = c.y AND p.x + 2 = c.x")
+@query(f"WITH {PATCHES_SQL}, i AS (SELECT DISTINCT image_id FROM patches), c AS (SELECT image_id, CAST(ty.y AS INT) AS y, CAST(tx.x AS INT) AS x FROM i, range(11) ty(y), range(13) tx(x)) SELECT c.image_id, c.y, c.x, coalesce(p.v, 255.0) AS v FROM c LEFT JOIN patches p ON p.image_id = c.image_id AND p.y + 1 = c.y AND p.x + 2 = c.x")
 def center_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.center_pad(a_tenth(patches(spark, sf_dir)), 8, 8, 11, 13)
+    return raster.center_pad(patches(spark, sf_dir), 8, 8, 11, 13)
 
 
 @query(f"""WITH {PATCHES_SQL}, t AS (SELECT CAST(k AS INT) AS k, ((k - 3) % 14 + 14) % 14 AS m FROM range(15) r(k)), s AS (SELECT k, CAST(CASE WHEN m < 8 THEN m ELSE 14 - m END AS INT) AS src FROM t)
-    SELECT p.image_id, a.k AS y, b.k AS x, p.v FROM patches p JOIN s a ON a.src = p.y JOIN s b ON b.src = p.x WHERE p.label = 0""")
+    SELECT p.image_id, a.k AS y, b.k AS x, p.v FROM patches p JOIN s a ON a.src = p.y JOIN s b ON b.src = p.x""")
 def reflect_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.reflect_pad(a_tenth(patches(spark, sf_dir)), 8, 8, 3, 4, 3, 4)
+    return raster.reflect_pad(patches(spark, sf_dir), 8, 8, 3, 4, 3, 4)
 
 
 @query(f"WITH {PATCHES_SQL}, i AS (SELECT DISTINCT image_id FROM patches), c AS (SELECT image_id, CAST(ty.y AS INT) AS y, CAST(tx.x AS INT) AS x FROM i, range(11) ty(y), range(13) tx(x)) SELECT c.image_id, c.y, c.x, coalesce(p.v, 255.0) AS v FROM c LEFT JOIN patches p ON p.image_id = c.image_id AND p.y + 1 = c.y AND p.x + 2 = c.x")
@@ -262,9 +237,10 @@ def mask_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{LABELS} SELECT image_id, inst_id, count(*) AS points, CAST(sum(x - 4) AS BIGINT) AS sx, CAST(sum(y - 6) AS BIGINT) AS sy FROM lab WHERE x BETWEEN 4 AND 15 AND y BETWEEN 6 AND 12 GROUP BY ALL")
 def spatial_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of objects within a closed rectangle, moved to its corner; objects without any are left out."""
-    objects = truth(spark, sf_dir).groupBy("image_id", "inst_id").agg(F.collect_list(F.array("x", "y")).alias("contour"))
-    inside = F.filter("contour", lambda p: p[0].between(4, 15) & p[1].between(6, 12))
-    moved = objects.withColumn("points", F.transform(inside, lambda p: F.array(p[0] - 4, p[1] - 6))).where(F.size("points") > 0)
+    t = truth(spark, sf_dir)
+    objects = t.groupBy("image_id", "inst_id").agg(F.collect_list(F.array("x", "y")).alias("contour"))
+    boxes = t.select("image_id").distinct().select("image_id", F.lit(0).alias("box_id"), F.lit(6).alias("y0"), F.lit(4).alias("x0"), F.lit(12).alias("y1"), F.lit(15).alias("x1"))
+    moved = raster.windows_of(objects, boxes, ["inst_id"])
     total = lambda k: F.aggregate("points", F.lit(0).cast("bigint"), lambda s, p: s + p[k])
     return moved.select("image_id", "inst_id", F.size("points").cast("bigint").alias("points"), total(0).alias("sx"), total(1).alias("sy"))
 
@@ -287,9 +263,9 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(scalar.one_hot(F.col("label"), 10)).alias("class", "hot"))
 
 
-@query(f"WITH {PATCHES_SQL} SELECT image_id, CAST(2 * y + a AS INT) AS y, CAST(2 * x + b AS INT) AS x, v FROM patches, range(2) r(a), range(2) s(b) WHERE label = 0")
+@query(f"WITH {PATCHES_SQL} SELECT image_id, CAST(2 * y + a AS INT) AS y, CAST(2 * x + b AS INT) AS x, v FROM patches, range(2) r(a), range(2) s(b)")
 def upsample2x(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.upsample2(a_tenth(patches(spark, sf_dir)))
+    return raster.upsample2(patches(spark, sf_dir))
 
 
 @query(f"WITH {PATCHES_SQL} SELECT image_id, CAST(2 * y + a AS INT) AS y, CAST(2 * x + b AS INT) AS x, v FROM patches, range(2) r(a), range(2) s(b)")
@@ -307,13 +283,11 @@ VALID = f"WITH {RASTER_SQL}, p AS (SELECT *, CAST(true_id > 0 AS INT) AS t, CAST
 
 @query(VALID + " SELECT round(avg(CAST(t = q AS INT)), 6) AS np_acc, round(2.0 * sum(t * q) / (sum(t) + sum(q)), 6) AS np_dice, round(2.0 * sum(CAST(type_id = 1 AND r % 5 = 1 AS INT)) / (sum(CAST(type_id = 1 AS INT)) + sum(CAST(r % 5 = 1 AS INT)) + 1e-8), 6) AS tp_dice_1, round((sum((r / 255.0 - b / 255.0) * (r / 255.0 - b / 255.0)) + sum((g / 255.0 - b / 255.0) * (g / 255.0 - b / 255.0))) / count(*), 6) AS hv_mse FROM p")
 def valid_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = raster_view(spark, sf_dir).withColumns({"t": (F.col("true_id") > 0).cast("int"), "q": (F.col("g") > 127).cast("int"), "tt": (F.col("type_id") == 1).cast("int"), "tq": (F.col("r") % 5 == 1).cast("int")})
-    square = lambda a: F.pow(F.col(a) / 255.0 - F.col("b") / 255.0, F.lit(2))
-    out = p.agg(
-        F.avg((F.col("t") == F.col("q")).cast("int")).alias("np_acc"), (2.0 * F.sum(F.col("t") * F.col("q")) / (F.sum("t") + F.sum("q"))).alias("np_dice"),
-        (2.0 * F.sum(F.col("tt") * F.col("tq")) / (F.sum("tt") + F.sum("tq") + 1e-8)).alias("tp_dice_1"), ((F.sum(square("r")) + F.sum(square("g"))) / F.count(F.lit(1))).alias("hv_mse"),
-    )
-    return r6(out, "np_acc", "np_dice", "tp_dice_1", "hv_mse")
+    share = lambda c: F.col(c) / 255.0
+    p = raster_view(spark, sf_dir).select(
+        (F.col("true_id") > 0).cast("int").alias("t"), (F.col("g") > 127).cast("int").alias("q"), F.col("type_id").alias("tt"), (F.col("r") % 5).alias("tq"), share("r").alias("h"), share("b").alias("hq"), share("g").alias("v"), share("b").alias("vq")
+    )
+    return r6(p.agg(*instances.validation_scores(p, [1])), "np_acc", "np_dice", "tp_dice_1", "hv_mse")
 
 
 def guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,10 +297,11 @@ def guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
 GUESS = f"WITH {RASTER_SQL}, q AS (SELECT image_id, CAST(true_id > 0 AS DOUBLE) AS t, (g + 1) / 257.0::DOUBLE AS p FROM raster)"
 
 
-@query(GUESS + " SELECT image_id, round(avg(-t * ln(p) - (1 - t) * ln(1 - p)), 6) AS loss FROM q GROUP BY image_id")
+@query(GUESS + " SELECT image_id, round(avg(-t * ln(0.7 * p / (1 - 0.3 * p)) - (1 - t) * ln((1 - p) / (1 - 0.3 * p))), 6) AS loss FROM q GROUP BY image_id")
 def xent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of two classes that do not sum to 1."""
     t, p = F.col("t"), F.col("p")
-    return r6(guesses(spark, sf_dir).groupBy("image_id").agg(F.avg(track.cross_entropy(p, t) + track.cross_entropy(1 - p, 1 - t)).alias("loss")), "loss")
+    return r6(guesses(spark, sf_dir).groupBy("image_id").agg(F.avg(track.cross_entropy_classes(F.array(t, 1 - t), F.array(0.7 * p, 1 - p))).alias("loss")), "loss")
 
 
 @query(GUESS + " SELECT image_id, round(1.0 - (2.0 * sum(t * p) + 1e-3) / (sum(t) + sum(p) + 1e-3), 6) AS loss FROM q GROUP BY image_id")
@@ -339,14 +314,14 @@ def mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(guesses(spark, sf_dir).groupBy("image_id").agg(track.squared_error("t", "p").alias("loss")), "loss")
 
 
-@query(f"""WITH {PATCHES_SQL}, g AS (SELECT p.image_id, p.y, p.x, sum((q.v - q.v * q.v) * (q.y - p.y) / ((q.y - p.y) * (q.y - p.y) + (q.x - p.x) * (q.x - p.x) + 1e-15)) AS d FROM patches p JOIN patches q ON q.image_id = p.image_id AND abs(q.y - p.y) <= 2 AND abs(q.x - p.x) <= 2 GROUP BY ALL)
-    SELECT image_id, round(sum(CASE WHEN (y + x) % 2 = 0 THEN d * d ELSE 0 END) / (sum(CASE WHEN (y + x) % 2 = 0 THEN 1 ELSE 0 END) + 1e-8), 6) AS loss FROM g GROUP BY image_id""")
+@query(f"""WITH {PATCHES_SQL}, g AS (SELECT p.image_id, p.y, p.x, sum((q.v - q.v * q.v) * (q.y - p.y) / ((q.y - p.y) * (q.y - p.y) + (q.x - p.x) * (q.x - p.x) + 1e-15)) AS a,
+    sum((q.v * q.v - q.v * q.v * q.v) * (q.x - p.x) / ((q.y - p.y) * (q.y - p.y) + (q.x - p.x) * (q.x - p.x) + 1e-15)) AS b FROM patches p JOIN patches q ON q.image_id = p.image_id AND abs(q.y - p.y) <= 2 AND abs(q.x - p.x) <= 2 GROUP BY ALL)
+    SELECT image_id, round(sum(CASE WHEN (y + x) % 2 = 0 THEN a * a + b * b ELSE 0 END) / (2 * sum(CASE WHEN (y + x) % 2 = 0 THEN 1 ELSE 0 END) + 1e-8), 6) AS loss FROM g GROUP BY image_id""")
 def msge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Squared error of a gradient within a focus, for truth v and guess v * v."""
-    differences = patches(spark, sf_dir).withColumn("v", F.col("v") - F.col("v") * F.col("v"))
-    d = raster.stencil(differences, raster.gradient_weights()[0])
+    """Squared errors of both gradients within a focus, for truth (v, v * v) and guess (v * v, v * v * v)."""
+    p, v = patches(spark, sf_dir), F.col("v")
     focus = ((F.col("y") + F.col("x")) % 2 == 0).cast("int")
-    return r6(d.groupBy("image_id").agg((F.sum(focus * F.col("out") * F.col("out")) / (F.sum(focus) + 1e-8)).alias("loss")), "loss")
+    return r6(track.gradient_error(p.withColumn("v", v - v * v), p.withColumn("v", v * v - v * v * v), focus), "loss")
 
 
 TURNS = "t AS (SELECT conv_id, turn, CAST(length(text) AS DOUBLE) AS v FROM conversations)"
@@ -409,7 +384,7 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1_d, round(1.0 * eq / tp, 6) AS acc_type, round(2.0 * a / (2 * a + 2 * b + 2 * d + e + f), 6) AS f1_1 FROM c""")
 def type_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = judged(spark, sf_dir)
-    return r6(metrics.detection(p).crossJoin(p.agg(metrics.pair_f1(F.lit(1)).alias("f1_1"))), "f1_d", "acc_type", "f1_1")  # one row each
+    return r6(p.agg(*metrics.detection_scores(), metrics.pair_f1(F.lit(1)).alias("f1_1")), "f1_d", "acc_type", "f1_1")
 
 
 @query("SELECT quality, count(*) FILTER (WHERE toxic = 0) AS p0, count(*) FILTER (WHERE toxic = 1) AS p1 FROM labels GROUP BY quality")
@@ -434,7 +409,7 @@ def class_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _deconvolution_sql() -> str:
     m = scalar.STAINS
     mix = [" + ".join(f"d{k} * {float(m[k][j])}" for k in range(3)) for j in range(3)]
-    return f"WITH {RASTER_SQL}, d AS (SELECT image_id, y, x, -ln((r + 1) / 256.0::DOUBLE) AS d0, -ln((g + 1) / 256.0::DOUBLE) AS d1, -ln((b + 1) / 256.0::DOUBLE) AS d2 FROM raster) SELECT image_id, y, x, " + ", ".join(f"CAST(least(255, floor(exp(-({x})) * 256)) AS INT) AS s{j}" for j, x in enumerate(mix)) + " FROM d"
+    return f"WITH {RASTER_SQL}, d AS (SELECT image_id, y, x, ln((r + 1) / 255.0::DOUBLE) AS d0, ln((g + 1) / 255.0::DOUBLE) AS d1, ln((b + 1) / 255.0::DOUBLE) AS d2 FROM raster) SELECT image_id, y, x, " + ", ".join(f"CAST(floor(least(255, 255 * exp({x})) + 0.5) AS INT) AS s{j}" for j, x in enumerate(mix)) + " FROM d"
 
 
 @query(_deconvolution_sql())
@@ -445,39 +420,46 @@ def deconvolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{LABELS}, n AS (SELECT image_id, count(DISTINCT inst_id) AS objects FROM lab GROUP BY image_id) SELECT image_id, objects, CAST(coalesce(sum(objects) OVER (ORDER BY image_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM n")
 def id_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each image's objects begin if all were numbered on; the running sum is over images, in ranges of ids first."""
-    from pyspark.sql.window import Window
+    return instances.id_offsets(truth(spark, sf_dir))
 
-    n = truth(spark, sf_dir).select("image_id", "inst_id").distinct().groupBy("image_id").agg(F.count(F.lit(1)).alias("objects")).withColumn("_g", F.expr("image_id div 1024"))
-    groups = n.groupBy("_g").agg(F.sum("objects").alias("o")).withColumn("_before", F.sum("o").over(Window.orderBy("_g")) - F.col("o")).drop("o")
-    within = F.sum("objects").over(Window.partitionBy("_g").orderBy("image_id")) - F.col("objects")
-    return n.withColumn("_w", within).join(groups, "_g").select("image_id", "objects", (F.col("_w") + F.col("_before")).alias("first"))
 
+#: Boxes of every image; the second has no new objects, the objects of the others share their boxes' numbers.
+BOXES = [(1, 0, 0, 10, 9), (2, 0, 10, 9, 20), (3, 11, 2, 20, 18)]
+TILES = [(1, 0, 0, 10, 10), (2, 0, 10, 10, 20), (3, 10, 0, 20, 10), (4, 10, 10, 20, 20)]
 
-BOX = "x >= 3 AND x < 17 AND y >= 5 AND y < 15"
 
+def _of_boxes_sql(boxes: list[tuple], live: str) -> str:
+    return f"""{RASTER_SQL}, bx(box_id, y0, x0, y1, x1) AS (VALUES {", ".join(map(str, boxes))}), cur AS (SELECT image_id, y, x, true_id AS i FROM raster WHERE true_id > 0),
+    new AS (SELECT image_id, box_id, y, x, pred_id % 6 + 1 AS i FROM raster JOIN bx ON y >= y0 AND y < y1 AND x >= x0 AND x < x1 WHERE pred_id > 0 AND box_id IN ({live})), live AS (SELECT DISTINCT image_id, box_id FROM new),
+    held AS (SELECT c.image_id, c.y, c.x, c.i, b.* FROM cur c JOIN live l ON l.image_id = c.image_id JOIN bx b ON b.box_id = l.box_id WHERE y >= y0 AND y < y1 AND x >= x0 AND x < x1), top AS (SELECT image_id, max(i) AS m FROM cur GROUP BY image_id)"""
 
-@query(f"""WITH {RASTER_SQL}, cur AS (SELECT image_id, y, x, true_id AS i FROM raster WHERE true_id > 0), new AS (SELECT image_id, y, x, pred_id AS i FROM raster WHERE pred_id > 0 AND {BOX}),
-    held AS (SELECT * FROM cur WHERE {BOX} AND image_id IN (SELECT image_id FROM new)),
-    gone AS (SELECT image_id, i FROM held GROUP BY ALL HAVING max(CAST(x = 3 OR x = 16 OR y = 5 OR y = 14 AS INT)) = 0),
-    stays AS (SELECT * FROM cur c WHERE NOT EXISTS (SELECT 1 FROM held h JOIN gone g ON g.image_id = h.image_id AND g.i = h.i WHERE h.image_id = c.image_id AND h.y = c.y AND h.x = c.x)),
-    blocked AS (SELECT DISTINCT n.image_id, n.i FROM new n JOIN stays s ON s.image_id = n.image_id AND s.y = n.y AND s.x = n.x),
-    top AS (SELECT image_id, max(i) AS m FROM cur GROUP BY image_id)
-    SELECT image_id, y, x, i AS inst_id FROM stays UNION ALL SELECT n.image_id, n.y, n.x, n.i + coalesce(m, 0) FROM new n LEFT JOIN top t ON t.image_id = n.image_id WHERE NOT EXISTS (SELECT 1 FROM blocked b WHERE b.image_id = n.image_id AND b.i = n.i)""")
-def merge_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def of_boxes(spark: SparkSession, sf_dir: str, boxes: list[tuple], live: set[int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """True objects, predicted ones of the live boxes under ids of the boxes, and the boxes of all images."""
     pixels = raster_view(spark, sf_dir)
-    box = pixels.select("image_id").distinct().select("image_id", F.lit(5).alias("y0"), F.lit(3).alias("x0"), F.lit(15).alias("y1"), F.lit(17).alias("x1"))
-    return merge.mend(label_map(pixels, "true_id"), label_map(pixels, "pred_id").where(BOX), box)
+    table = spark.createDataFrame(boxes, "box_id long, y0 int, x0 int, y1 int, x1 int")
+    every = pixels.select("image_id").distinct().crossJoin(F.broadcast(table))  # a fixed handful
+    new = grid.in_boxes(label_map(pixels, "pred_id"), every.where(F.col("box_id").isin(*live))).withColumn("inst_id", F.expr("inst_id % 6 + 1"))
+    return label_map(pixels, "true_id"), new.select("image_id", "box_id", "y", "x", "inst_id"), every
+
+
+@query(f"""WITH {_of_boxes_sql(BOXES, "1, 3")},
+    gone AS (SELECT image_id, box_id, i FROM held GROUP BY ALL HAVING bool_and(y > y0 AND y < y1 - 1 AND x > x0 AND x < x1 - 1)),
+    lost AS (SELECT h.image_id, h.y, h.x FROM held h JOIN gone g ON g.image_id = h.image_id AND g.box_id = h.box_id AND g.i = h.i),
+    stays AS (SELECT * FROM cur c WHERE NOT EXISTS (SELECT 1 FROM lost l WHERE l.image_id = c.image_id AND l.y = c.y AND l.x = c.x)),
+    blocked AS (SELECT DISTINCT n.image_id, n.box_id, n.i FROM new n JOIN stays s ON s.image_id = n.image_id AND s.y = n.y AND s.x = n.x),
+    more AS (SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM blocked b WHERE b.image_id = n.image_id AND b.box_id = n.box_id AND b.i = n.i)),
+    ids AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY box_id, i) AS k FROM (SELECT DISTINCT image_id, box_id, i FROM more))
+    SELECT image_id, y, x, i AS inst_id FROM stays UNION ALL SELECT n.image_id, n.y, n.x, CAST(coalesce(m, 0) + k AS INT) FROM more n JOIN ids d ON d.image_id = n.image_id AND d.box_id = n.box_id AND d.i = n.i LEFT JOIN top t ON t.image_id = n.image_id""")
+def merge_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.mend(*of_boxes(spark, sf_dir, BOXES, {1, 3}))
 
 
-@query(f"""WITH {RASTER_SQL}, cur AS (SELECT image_id, y, x, true_id AS i FROM raster WHERE true_id > 0 AND x < 10), new AS (SELECT image_id, y // 10 AS t, y, x, pred_id AS i FROM raster WHERE pred_id > 0 AND x >= 8),
-    ids AS (SELECT image_id, t, i, row_number() OVER (PARTITION BY image_id ORDER BY t, i) AS n FROM (SELECT DISTINCT image_id, t, i FROM new)), top AS (SELECT image_id, max(i) AS m FROM cur GROUP BY image_id),
-    placed AS (SELECT w.image_id, w.y, w.x, CAST(coalesce(m, 0) + n AS INT) AS inst_id FROM new w JOIN ids d ON d.image_id = w.image_id AND d.t = w.t AND d.i = w.i LEFT JOIN top p ON p.image_id = w.image_id)
-    SELECT image_id, y, x, i AS inst_id FROM cur c WHERE NOT EXISTS (SELECT 1 FROM placed p WHERE p.image_id = c.image_id AND p.y = c.y AND p.x = c.x) UNION ALL SELECT * FROM placed""")
+@query(f"""WITH {_of_boxes_sql(TILES, "1, 2, 3")}, ids AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY box_id, i) AS k FROM (SELECT DISTINCT image_id, box_id, i FROM new))
+    SELECT image_id, y, x, i AS inst_id FROM cur c WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.image_id = c.image_id AND h.y = c.y AND h.x = c.x)
+    UNION ALL SELECT n.image_id, n.y, n.x, CAST(coalesce(m, 0) + k AS INT) FROM new n JOIN ids d ON d.image_id = n.image_id AND d.box_id = n.box_id AND d.i = n.i LEFT JOIN top t ON t.image_id = n.image_id""")
 def merge_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = raster_view(spark, sf_dir)
-    new = label_map(pixels, "pred_id").where("x >= 8").withColumn("tile_id", F.expr("y div 10"))
-    return merge.insert_tiles(label_map(pixels, "true_id").where("x < 10"), new)
+    return merge.insert_tiles(*of_boxes(spark, sf_dir, TILES, {1, 2, 3}))
 
 
 @query()
@@ -523,5 +505,38 @@ def tile_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.objects(predicted_maps(spark, sf_dir))
 
 
+def _sizes(maps: DataFrame) -> DataFrame:
+    return maps.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+
+
+@query()
+def whole_slide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted maps to a label map in tiles of 32 with margins of 8: tiles, strips and crossings."""
+    maps = predicted_maps(spark, sf_dir)
+    return slide.slide_labels(maps, _sizes(maps), 32, 8)
+
+
+@query()
+def slide_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patch rows through a predictor (which hands on maps that are there) to a JSON text per slide."""
+    maps = predicted_maps(spark, sf_dir)
+    return slide.slide_documents(maps, lambda rows: rows[["image_id", "y", "x", "np", "h", "v", "tp"]], _sizes(maps), 48, 8, F.lit(40.0))
+
+
+@query()
+def image_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(evaluate.image_stats(raster_view(spark, sf_dir)), "dice1", "aji", "dq", "sq", "pq", "aji_plus")
+
+
+@query()
+def instance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same means from two label maps that are joined by place."""
+    pixels = raster_view(spark, sf_dir)
+    return r6(evaluate.instance_stats(label_map(pixels, "true_id"), label_map(pixels, "pred_id")), "dice1", "aji", "dq", "sq", "pq", "aji_plus")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.per_image(raster_view(spark, sf_dir))
+
+
+from labelloom.plans import imaging  # noqa: E402, F401  registers its queries

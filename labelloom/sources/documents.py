@@ -21,9 +21,9 @@ def to_documents(objects: DataFrame, mag: Column | None = None) -> DataFrame:
     return packed.select("image_id", F.to_json(F.struct((mag if mag is not None else F.lit(None)).cast("double").alias("mag"), "nuc"), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def from_documents(texts: DataFrame) -> DataFrame:
-    """texts: image_id, json. One row per object; what is no document gives none."""
-    parsed = texts.select("image_id", F.from_json("json", DOCUMENT).alias("d"))
+def from_documents(texts: DataFrame, strict: bool = False) -> DataFrame:
+    """texts: image_id, json. One row per object; what is no document gives none, or with `strict` ends the job."""
+    parsed = texts.select("image_id", F.from_json("json", DOCUMENT, {"mode": "FAILFAST" if strict else "PERMISSIVE"}).alias("d"))
     return parsed.select("image_id", F.col("d.mag").alias("mag"), F.explode("d.nuc").alias("inst_id", "r")).select("image_id", "mag", F.col("inst_id").cast("int").alias("inst_id"), "r.*")
 
 
@@ -41,7 +41,34 @@ def qupath_rows(objects: DataFrame, types: DataFrame, scale: float = 1.0) -> Dat
 
 
 def write_qupath(rows: DataFrame, path: str) -> None:
-    rows.select("x", "y", "class", "name", "color").write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+    """One file with one header for each image: in a folder image_id=..., or the only file, if rows are of one image and have no image_id."""
+    by_image = "image_id" in rows.columns
+    out = rows.select(*(["image_id"] if by_image else []), "x", "y", "class", "name", "color")
+    writer = (out.repartition("image_id") if by_image else out.repartition(1)).write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "")
+    (writer.partitionBy("image_id") if by_image else writer).csv(path)
+
+
+def read_types(spark: SparkSession, path: str) -> DataFrame:
+    """type_id, name, r, g, b of a JSON file {"0": ["name", [r, g, b]], ...}."""
+    texts = spark.read.text(path, wholetext=True)
+    entries = texts.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("k", "v"))
+    colour = F.from_json(F.col("v")[1], "array<int>")
+    return entries.select(F.col("k").cast("int").alias("type_id"), F.col("v")[0].alias("name"), *(colour[i].alias(c) for i, c in enumerate("rgb")))
+
+
+def checked_types(types: DataFrame, n: int) -> DataFrame:
+    """types, if it has all ids under n; one that it lacks ends the job."""
+    lacking = missing_types(types, n).limit(1).collect()
+    if lacking:
+        raise ValueError(f"type {lacking[0].type_id} is not defined")
+    return types
+
+
+def default_types(spark: SparkSession, n: int) -> DataFrame:
+    """Types 0 to n - 1, named by number, in the first colours of a black-red-yellow-white map."""
+    from labelloom.functions.colour import ember
+
+    return spark.createDataFrame([(i, str(i), *ember(i)) for i in range(n)], "type_id int, name string, r int, g int, b int")
 
 
 def missing_types(types: DataFrame, n: int) -> DataFrame:

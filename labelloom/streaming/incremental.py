@@ -13,13 +13,12 @@ from labelloom.sources.documents import not_done
 def stream_images(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, work: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Pixel tables that arrive as Parquet in `source` go through work() by micro-batch; image_ids that target has are passed over."""
 
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
     def write(batch: DataFrame, _: int) -> None:
-        try:
-            done = batch.sparkSession.read.parquet(target).select("image_id").distinct()
-            batch = not_done(batch, done)
-        except Exception as e:  # nothing was written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if files.exists(at):
+            batch = not_done(batch, batch.sparkSession.read.parquet(target).select("image_id").distinct())
         work(batch).write.mode("append").parquet(target)
 
     stream = spark.readStream.schema(schema).parquet(source)

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from labelloom.functions import scalar
+from labelloom.functions import colour, scalar
 from labelloom.operators import grid, instances, kernels, matching, merge, metrics, raster, track
 from labelloom.plans import evaluate
 from labelloom.plans.queries import ORACLE_SQL, QUERIES, flagship
@@ -153,17 +153,33 @@ def test_merge(spark):
     old = np.zeros((10, 10), int)
     old[4:6, 4:6], old[0:4, 8:10], old[2:3, 0:3] = 1, 2, 3
     frame = spark.createDataFrame([(1, int(y), int(x), int(old[y, x])) for y, x in zip(*np.nonzero(old), strict=True)], "image_id long, y int, x int, inst_id int")
-    box = spark.createDataFrame([(1, 1, 2, 9, 9)], "image_id long, y0 int, x0 int, y1 int, x1 int")
-    new = spark.createDataFrame([(1, 6, 6, 1), (1, 6, 7, 1), (1, 3, 7, 2), (1, 3, 8, 2)], "image_id long, y int, x int, inst_id int")
+    box = spark.createDataFrame([(1, 9, 1, 2, 9, 9)], "image_id long, box_id long, y0 int, x0 int, y1 int, x1 int")
+    new = spark.createDataFrame([(1, 9, 6, 6, 1), (1, 9, 6, 7, 1), (1, 9, 3, 7, 2), (1, 9, 3, 8, 2)], "image_id long, box_id long, y int, x int, inst_id int")
     got = dense(merge.mend(frame, new, box), (10, 10))
     want = old.copy()
     want[old == 1] = 0  # wholly inside: gone; 2 and 3 touch the edge and stay; new 2 meets old 2
     want[6, 6:8] = 4
     assert (got == want).all()
     assert (dense(merge.mend(frame, new.limit(0), box), (10, 10)) == old).all()
-    tiles = spark.createDataFrame([(1, 0, 0, 0, 5), (1, 1, 9, 9, 5)], "image_id long, tile_id int, y int, x int, inst_id int")
-    placed = dense(merge.insert_tiles(frame, tiles), (10, 10))
-    assert placed[0, 0] == 4 and placed[9, 9] == 5
+    objects = spark.createDataFrame([(1, 0, 0, 0, 5), (1, 1, 9, 9, 5)], "image_id long, box_id long, y int, x int, inst_id int")
+    tiles = spark.createDataFrame([(1, 0, 0, 0, 5, 5), (1, 1, 5, 5, 10, 10), (1, 2, 0, 5, 5, 10)], "image_id long, box_id long, y0 int, x0 int, y1 int, x1 int")
+    placed = dense(merge.insert_tiles(frame, objects, tiles), (10, 10))
+    want = old.copy()
+    want[:5, :5] = want[5:, 5:] = 0  # the rectangles of tiles with objects, background too; the third tile has none
+    want[0, 0], want[9, 9] = 4, 5
+    assert (placed == want).all()
+
+
+def test_boxes_of_one_image_are_mended_apart(spark):
+    old = np.zeros((10, 20), int)
+    old[4:6, 4:6], old[4:6, 14:16] = 1, 2
+    frame = spark.createDataFrame([(1, int(y), int(x), int(old[y, x])) for y, x in zip(*np.nonzero(old), strict=True)], "image_id long, y int, x int, inst_id int")
+    boxes = spark.createDataFrame([(1, 1, 1, 1, 9, 9), (1, 2, 1, 11, 9, 19)], "image_id long, box_id long, y0 int, x0 int, y1 int, x1 int")
+    pixels = lambda rows: spark.createDataFrame(rows, "image_id long, box_id long, y int, x int, inst_id int")
+    one = dense(merge.mend(frame, pixels([(1, 1, 2, 2, 1)]), boxes), old.shape)
+    assert one[2, 2] == 3 and (one[4:6, 4:6] == 0).all() and (one[4:6, 14:16] == 2).all()  # a box without new objects changes nothing
+    two = dense(merge.mend(frame, pixels([(1, 1, 2, 2, 1), (1, 2, 2, 12, 1)]), boxes), old.shape)
+    assert {two[2, 2], two[2, 12]} == {3, 4}  # equal numbers of two boxes are two objects
 
 
 def test_kernels():
@@ -223,7 +239,7 @@ def test_documents(spark, tmp_path):
 def test_scalars(spark):
     row = spark.range(1).select(
         scalar.stem(F.lit("/a/b/slide.x.png")).alias("stem"), scalar.escaped_glob(F.lit("a[1]")).alias("glob"), scalar.rgb2int(F.lit(1), F.lit(2), F.lit(3)).alias("rgb"),
-        scalar.round_to_multiple(F.lit(17), 5).alias("m"), scalar.hue_shift(F.lit(170), 20).alias("hue"), scalar.contrast(F.lit(200.0), 2.0, F.lit(100.0)).alias("c"), track.step_rate(F.lit(26)).alias("lr"),
+        scalar.round_to_multiple(F.lit(17), 5).alias("m"), F.pmod(F.lit(170) + 20, F.lit(180)).alias("hue"), colour.contrasted([F.lit(200.0)], [F.lit(100.0)], 2.0)[0].cast("double").alias("c"), track.step_rate(F.lit(26)).alias("lr"),
     ).first()
     assert (row.stem, row.glob, row.rgb, row.m, row.hue, row.c) == ("slide", "a[[]1]", 66051, 15, 10, 255.0) and abs(row.lr - 1e-5) < 1e-15
 
