@@ -1,7 +1,7 @@
 """Exact deduplication by an exchange of Golomb-coded fingerprints.
 
-Every sender (a run of at most SENDER_ROWS rows of one partition) sorts its distinct
-64-bit fingerprints, cuts them by owner (a range of fingerprints) and sends each owner
+Every sender (a hash share of the rows, about SENDER_ROWS of them, more where there are many owners)
+sorts its distinct 64-bit fingerprints, cuts them by owner (a range of fingerprints) and sends each owner
 one Rice-coded block. Owners decode, find fingerprints that several senders hold, and
 return one bit per fingerprint. Only rows under a set bit, or repeated within their
 sender, are suspects; only suspects' texts are shuffled, and they are grouped by
@@ -12,6 +12,7 @@ aggregation, a task one text.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,9 @@ from pyspark.sql.window import Window
 from .common import checked_join, materialize, whole_text
 
 SENDER_ROWS = 1 << 16
-OWNER_ROWS = 1 << 18
+OWNER_ROWS = 1 << 20
+#: Fingerprints of a block, at least on average: shorter ones cost more than they save.
+BLOCK_ROWS = 64
 
 _BLOCK = "sender long, owner long, n long, k int, unary binary, rest binary"
 _BITS = "sender long, owner long, bits binary"
@@ -55,17 +58,27 @@ def _unsigned(h: pd.Series) -> np.ndarray:
     return h.to_numpy(np.int64).view(np.uint64)
 
 
+def shares(total: int) -> tuple[int, int]:
+    """Bits of an owner's number, and senders. A sender's rows meet all owners, so with n rows a block has BLOCK_ROWS of them if senders have BLOCK_ROWS * n / OWNER_ROWS."""
+    owner_bits = max(4, math.ceil(math.log2(max(1, total / OWNER_ROWS))))
+    return owner_bits, max(1, math.ceil(total / max(SENDER_ROWS, BLOCK_ROWS << owner_bits)))
+
+
+def _cuts(values: np.ndarray, owner_bits: int) -> Iterator[tuple[int, int, int]]:
+    """Owner, start and end of each owner's run of sorted values."""
+    owners = values >> np.uint64(64 - owner_bits)
+    starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]]) if len(values) else np.empty(0, np.int64)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(values)], strict=True):
+        yield int(owners[a]), a, b
+
+
 def _sends(owner_bits: int):
     span = 64 - owner_bits
 
     def send(rows: pd.DataFrame) -> pd.DataFrame:
         values = np.unique(_unsigned(rows["h"]))
-        owners = (values >> np.uint64(span)).astype(np.int64) if owner_bits else np.zeros(len(values), np.int64)
         sender = int(rows["sender"].iloc[0])
-        out = []
-        for owner in np.unique(owners):
-            own = values[owners == owner]
-            out.append((sender, int(owner), len(own), *rice_encode(own, int(owner) << span, span)))
+        out = [(sender, owner, b - a, *rice_encode(values[a:b], owner << span, span)) for owner, a, b in _cuts(values, owner_bits)]
         return pd.DataFrame(out, columns=["sender", "owner", "n", "k", "unary", "rest"])
 
     return send
@@ -86,15 +99,12 @@ def _answers(owner_bits: int):
 
 
 def _marks(owner_bits: int, columns: list[str]):
-    span = 64 - owner_bits
-
     def mark(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         values, inverse, counts = np.unique(_unsigned(rows["h"]), return_inverse=True, return_counts=True)
-        owners = (values >> np.uint64(span)).astype(np.int64) if owner_bits else np.zeros(len(values), np.int64)
         shared = counts > 1
-        for a in answers.itertuples():
-            at = np.flatnonzero(owners == a.owner)
-            shared[at] |= np.unpackbits(np.frombuffer(a.bits, np.uint8))[: len(at)].astype(bool)
+        told = dict(zip(answers["owner"], answers["bits"], strict=True))
+        for owner, a, b in _cuts(values, owner_bits):
+            shared[a:b] |= np.unpackbits(np.frombuffer(told[owner], np.uint8))[: b - a].astype(bool)
         return rows.assign(suspect=shared[inverse])[columns]
 
     return mark
@@ -111,13 +121,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = whole_text(text_col)
     row = F.monotonically_increasing_id()
     narrow = materialize(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"), row.alias("row"))
-        .withColumn("sender", F.shiftright("row", 33) * (1 << 17) + F.expr(f"(row & {(1 << 33) - 1}) div {SENDER_ROWS}")),
-        "fingerprints",
-        narrow=True,
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"), row.alias("row")), "fingerprints", narrow=True
     )
-    total = narrow.count()
-    owner_bits = max(4, math.ceil(math.log2(max(1, total / OWNER_ROWS))))
+    owner_bits, senders = shares(narrow.count())
+    narrow = narrow.withColumn("sender", F.pmod(F.xxhash64("row"), F.lit(senders)).cast("long"))
     sent = narrow.select("sender", "h").groupBy("sender").applyInPandas(_sends(owner_bits), _BLOCK)
     bits = sent.groupBy("owner").applyInPandas(_answers(owner_bits), _BITS)
     schema = f"{narrow._jdf.schema().toDDL()}, suspect boolean"

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 
+from labelloom.llm import exact_dedup as exchange
 from labelloom.llm.exact_dedup import exact_dedup, rice_decode, rice_encode
 
 
@@ -32,3 +33,22 @@ def test_groups(docs):
         kept = [r for r in own if r.kept]
         assert len(kept) == 1 and kept[0].doc_id == best
     assert exact_dedup(docs([])).count() == 0
+
+
+def test_many_owners_and_senders(docs, monkeypatch):
+    monkeypatch.setattr(exchange, "OWNER_ROWS", 8)
+    monkeypatch.setattr(exchange, "SENDER_ROWS", 50)
+    monkeypatch.setattr(exchange, "BLOCK_ROWS", 2)
+    assert exchange.shares(1000) == (7, 4)
+    rows = [(i, f"text {i * i % 613}") for i in range(1000)]
+    got = exact_dedup(docs(rows).repartition(5)).collect()
+    want = {}
+    for i, t in rows:
+        want.setdefault(t, []).append(i)
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == sorted((i, max(want[t]), len(want[t]), i == max(want[t])) for i, t in rows)
+
+
+def test_blocks_stay_long_however_many_rows_there_are():
+    for total in (10**6, 10**9, 5 * 10**10):
+        bits, senders = exchange.shares(total)
+        assert total / senders / 2**bits >= exchange.BLOCK_ROWS / 2 and total / 2**bits <= exchange.OWNER_ROWS * 2
