@@ -53,6 +53,18 @@ def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a file of a narrow table.
+FILE_ROWS = 200_000
+
+
+def gathered(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """materialize() of a narrow table of about `rows` rows in few files: what makes it keeps its tasks, and only the writing is gathered.
+
+    Without native libraries Hadoop starts a process for every file on a local disk, which takes longer than a small table's rows.
+    """
+    return materialize(df.hint("rebalance").coalesce(max(1, (rows or 0) // FILE_ROWS)), label)
+
+
 def small_enough(df: DataFrame) -> bool:
     """Whether df, which should be materialized, may be broadcast: its rows and the bytes of its strings are counted."""
     wide = [c for c, kind in df.dtypes if kind in ("string", "binary")]

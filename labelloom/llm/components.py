@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_join, materialize
+from .common import gathered
 
 
 def _sum(edges: DataFrame) -> tuple[int, int]:
@@ -13,25 +13,22 @@ def _sum(edges: DataFrame) -> tuple[int, int]:
     return int(row[0]), int(row[1])
 
 
-def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
-    """edges: a, b (long); parts: files for each of the tables that the passes write, by default as many as tasks. Returns node, component: the smallest node that is reachable; nodes without an edge to another are left out.
+def components(edges: DataFrame, nodes: int | None = None) -> DataFrame:
+    """edges: a, b (long); nodes: about how many there are, for the number of files. Returns node, component: the smallest node that is reachable; nodes without an edge to another are left out.
 
     Each pass hangs nodes on the smallest neighbour, so stars collapse at once and chains
-    by halves. A node with very many edges is one partial minimum and a size-checked join.
+    by halves. A node with very many edges is one partial minimum, and a large partition of
+    one side of a join, which adaptive execution splits. A pass writes one table.
     """
-    put = lambda df, label: materialize(df.coalesce(parts) if parts else df, label)
-    now = put(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = gathered(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", nodes)
     seen = _sum(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = checked_join(both.where("v > u"), least, ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = put(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "large-star")
-        least = put(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = checked_join(large, least, ["u"], "inner")
-        now = put(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star"
-        )
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v")))
+        now = gathered(small.distinct(), "stars", nodes)
         last, seen = seen, _sum(now)
         if last == seen:
             break

@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_join, materialize, small_batches
+from .common import checked_join, gathered, materialize, small_batches
 from .components import components
 
 
@@ -51,7 +51,7 @@ class Join:
     group_size: float = 6
     buckets: int = 1 << 20
     tile: int = 8192
-    leaf: int = 32
+    leaf: int = 16
 
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -150,6 +150,7 @@ def frequencies(told: DataFrame, join: Join) -> np.ndarray:
 def _prefixing(join: Join, shared: Broadcast):
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequency = shared.value
+        told: dict[tuple, int] = {}  # of the sets of this task the smallest document that was told; as many as its rows
         for rows in batches:
             least: dict[tuple, tuple] = {}
             for doc, text in zip(rows["doc_id"], rows["text"], strict=True):
@@ -157,8 +158,11 @@ def _prefixing(join: Join, shared: Broadcast):
                 if not len(own):
                     continue
                 key = (len(own), *signature(own))
+                if told.get(key, doc + 1) <= doc:
+                    continue
+                told[key] = doc
                 if key in least:
-                    least[key] = (min(doc, least[key][0]), *least[key][1:])
+                    least[key] = (doc, *least[key][1:])
                     continue
                 rank = frequency[(own & np.uint64(join.buckets - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(40) | own >> np.uint64(24)
                 size = prefix_length(len(own), join.percent)
@@ -237,27 +241,48 @@ def _members(join: Join):
 
 
 class CountTree:
-    """A packed R-tree: points sorted into slabs by size and within them by their most varied coordinate, leaves of `leaf` points with upper corners."""
+    """A packed R-tree: points halved again and again along the coordinate (the size is one, too) in which they vary most, leaves of `leaf` points, nodes of FAN children.
+
+    A node knows its upper corner and its smallest size.
+    """
+
+    FAN = 8
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, leaf: int):
-        n = len(points)
-        order = np.argsort(sizes, kind="stable")
-        slab = leaf * max(1, int(np.ceil(np.sqrt(n / leaf))))
-        axis = int(points.var(axis=0).argmax())
-        for at in range(0, n, slab):
-            own = order[at : at + slab]
-            order[at : at + slab] = own[np.argsort(points[own, axis], kind="stable")]
-        self.leaves = [order[at : at + leaf] for at in range(0, n, leaf)]
-        self.corners = np.array([points[x].max(axis=0) for x in self.leaves])
-        self.least = np.array([sizes[x].min() for x in self.leaves])
-        self.points, self.sizes = points, sizes
+        order = np.arange(len(points))
+        places = np.column_stack([points, sizes]).astype(np.float32)
+        parts = [(0, len(points))]
+        while parts:
+            a, b = parts.pop()
+            if b - a <= leaf:
+                continue
+            own = order[a:b]
+            order[a:b] = own[np.argsort(places[own, places[own].var(axis=0).argmax()], kind="stable")]
+            middle = a + leaf * max(1, (b - a) // leaf // 2)
+            parts += [(a, middle), (middle, b)]
+        self.points, self.sizes, self.leaf, self.order = points, sizes, leaf, order
+        #: From the leaves up to the root: upper corners and smallest sizes.
+        self.levels = [self._level(points[order], sizes[order], leaf)]
+        while len(self.levels[-1][0]) > 1:
+            self.levels.append(self._level(*self.levels[-1], self.FAN))
+
+    @staticmethod
+    def _level(corners: np.ndarray, least: np.ndarray, fan: int) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.arange(0, len(corners), fan)
+        return np.maximum.reduceat(corners, starts, axis=0), np.minimum.reduceat(least, starts)
 
     def near(self, rows: np.ndarray, percent: int) -> np.ndarray:
-        """Indices of all points of leaves that some of `rows` could be similar to."""
-        corner, least = self.points[rows].max(axis=0), self.sizes[rows].min()
-        bound = np.minimum(self.corners, corner).sum(axis=1, dtype=np.int64)
-        ok = reaches(bound, self.least, least, percent)
-        return np.concatenate([x for x, y in zip(self.leaves, ok, strict=True) if y]) if ok.any() else np.empty(0, np.int64)
+        """Indices of all points of leaves that some of `rows` could be similar to: down from the root, past nodes whose corner rules it out."""
+        corner, own = self.points[rows].max(axis=0), self.sizes[rows].min()
+        at = np.zeros(1, np.int64)
+        for depth in range(len(self.levels) - 1, -1, -1):
+            corners, least = self.levels[depth]
+            bound = np.minimum(corners[at], corner).sum(axis=1, dtype=np.int64)
+            at = at[reaches(bound, least[at], own, percent)]
+            fan, below = (self.FAN, len(self.levels[depth - 1][0])) if depth else (self.leaf, len(self.order))
+            at = (at[:, None] * fan + np.arange(fan)).ravel()
+            at = at[at < below]
+        return self.order[at]
 
 
 def reaches(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -365,9 +390,9 @@ def _searching(how: str, join: Join):
     return search
 
 
-def _links(edges: DataFrame, members: DataFrame, percent: int, parts: int) -> DataFrame:
+def _links(edges: DataFrame, members: DataFrame, percent: int, n_nodes: int) -> DataFrame:
     """The edges whose sets are similar. Only the sets at their ends are moved."""
-    ends = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().coalesce(parts), "ends")
+    ends = gathered(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends", n_nodes)
     need = checked_join(members.select("node", "n", "own"), ends, ["node"], "left_semi")
     side = lambda c: need.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("own").alias(f"own{c}"))
     both = edges.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.size(F.array_intersect("owna", "ownb")).cast("long"))
@@ -380,7 +405,9 @@ def shingle_join(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
     Documents without words (null and empty texts among them) have no shingles and are
     alone. Rows that share an id are one document: what links to one of its texts links to
     it. Rows with a null id link to nothing and have a null component. Equal sets are one
-    point of the index, however many rows have them. Other columns are ignored.
+    point of the index, however many rows have them. An empty table gives an empty result.
+    Other columns are ignored. A group of shingle hashes that holds over 255 of a set's (they
+    are about join.group_size) ends the job, as points have a byte for each.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     told = materialize(small_batches(texts).mapInPandas(_surveying(join), "doc_id long, n long, s1 long, s2 long, chunk int, counts binary"), "survey")
@@ -389,6 +416,7 @@ def shingle_join(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
     named = texts.where("doc_id is not null")
     rows = named.mapInPandas(_prefixing(join, frequency), "token long, sign long, node long")
     cells = materialize(rows.repartition("token").sortWithinPartitions("token", "sign", "node").mapInPandas(_shared, "token long, sign long, node long").selectExpr("token", "node", "sign & 1 as first"), "shared-shingles")
+    frequency.destroy()  # the table is written
     # of trees with the same documents one stays
     h = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(20,0)"))
     trees = materialize(cells.groupBy("token").agg(h(1).alias("m1"), h(2).alias("m2"), F.count(F.lit(1)).alias("size"), F.max("first").alias("first")).where("first = 1").groupBy("m1", "m2", "size").agg(F.min("token").alias("token")).select("token", "size"), "trees")
@@ -397,12 +425,10 @@ def shingle_join(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
     cells = materialize(checked_join(cells.select("token", "node"), trees.select("token", tiles.alias("tiles"), "size"), ["token"], "inner"), "tree-members")
     nodes = materialize(cells.groupBy(F.col("node").alias("doc_id")).agg((F.max("size") > 2).alias("fine")), "nodes")
     # what the rounds write has rows in proportion to the nodes
-    parts = max(8, nodes.count() // 4_000)
-    put = lambda df, label: materialize(df.coalesce(parts), label)
+    n_nodes = nodes.count()
+    put = lambda df, label: gathered(df, label, n_nodes)
     schema = "node long, n long, own array<long>, points array<struct<dims:int,point:binary,odd:binary>>"
     members = materialize(checked_join(named, nodes, ["doc_id"], "inner").mapInPandas(_members(join), schema), "members")
-    tiled = cells.withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    forest = materialize(tiled.select("token", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"), "node", "size"), "forest")
     points = members.select("node", "n", F.explode("points").alias("p")).select("node", "n", "p.*")
     repeated = sets.where("doc_id is not null and n > 0")
     classes = materialize(repeated.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
@@ -411,10 +437,15 @@ def shingle_join(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
     # ids of equal sets need no component of their own, but an id with several sets joins them
     several = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
     links = materialize(links.join(several, links["a"] == several["doc_id"], "left_semi"), "own-links")
-    found = components(links, parts)
-    how = "star"
+    found = components(links, n_nodes)
+    how, turn = "star", 0
     while True:
         comps = put(found, "components")
+        # a tree beyond a tile is dealt into other tiles each round, so stars of different tiles grow together; pairs of tiles are for what is left
+        turn += 1
+        t = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("tiles")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)) if how == "all" else F.col("t")
+        forest = cells.withColumn("t", t).withColumn("o", other).select("token", "node", "size", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"))
         labelled = checked_join(forest, comps, ["node"], "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         several = labelled.where("size > 2")
         largest = F.max_by(F.struct(*TREE), "size").alias("t")
@@ -437,11 +468,11 @@ def shingle_join(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
         kept = F.when(F.col("share") == KEEP, F.col("other")).alias("kept")
         once = asked.groupBy("ask", kept).agg(F.max(F.struct("share", "other")).alias("best")).select("ask", "best.other")
         edges = put(once.select(F.least("ask", "other").alias("a"), F.greatest("ask", "other").alias("b")).distinct(), f"edges-{how}")
-        more = put(_links(edges, members, join.percent, parts), f"links-{how}")
+        more = put(_links(edges, members, join.percent, n_nodes), f"links-{how}")
         n_more = more.count()
         if n_more:
             links = links.unionByName(more)
-            found = components(links, parts)
+            found = components(links, n_nodes)
         if how == "all":
             break
         # rounds of best partners go on while they find much; the last round is exact whatever they left

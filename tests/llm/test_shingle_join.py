@@ -68,6 +68,23 @@ def test_large_group_of_near_copies_in_tiles(docs):
         assert run(docs(rows).repartition(4), join) == brute(rows)
 
 
+def test_long_texts_of_distinct_words(docs):
+    rng = random.Random(5)
+    long = ["w%d" % rng.randrange(10**6) for _ in range(20000)]
+    other = list(long)
+    for i in range(0, 20000, 400):
+        other[i] = "x%d" % i
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[:15000])), (4, " ".join(reversed(long)))]
+    assert run(docs(rows)) == brute(rows)
+
+
+def test_inner_nodes_rule_out_whole_subtrees():
+    rng = np.random.default_rng(6)
+    points = np.concatenate([rng.poisson(0.1, (64, 64)) + 9 * np.eye(64, dtype=int)[k] * 4 for k in range(16)]).astype(np.uint8)
+    tree = CountTree(points, points.sum(axis=1, dtype=np.int64), 8)
+    assert len(tree.near(np.arange(4), 80)) < len(points) / 2
+
+
 def test_empty(docs):
     assert shingle_join(docs([])).count() == 0 and run(docs([(5, None)])) == [(5, 0, 5)]
 
@@ -78,7 +95,7 @@ def test_bound_and_tree_lose_nothing():
     points[200:] = np.maximum(points[:200].astype(int) + rng.integers(-1, 2, (200, 16)), 0)
     sizes = points.sum(axis=1, dtype=np.int64)
     tree = CountTree(points, sizes, 16)
-    assert sorted(np.concatenate(tree.leaves).tolist()) == list(range(400))
+    assert sorted(tree.order.tolist()) == list(range(400)) and len(tree.levels) == 3
     everything = np.arange(400)
     ok = reaches(bounds(points, everything, everything), sizes[:, None], sizes[None, :], 80)
     for at in range(0, 400, 7):
