@@ -71,7 +71,7 @@ def _weight(path: Column, mix: Mix) -> Column:
 
 def targets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """leaves: domain, lang, source, tokens (materialized). Adds target, full_epochs and rest, the tokens of the last epoch's prefix."""
-    budget = F.lit(mix.budget).cast("long") if mix.budget is not None else F.expr(f"sum(tokens) over () * {mix.budget_percent} div 100")
+    budget = F.lit(mix.budget if mix.budget is not None else (leaves.agg(F.sum("tokens")).first()[0] or 0) * mix.budget_percent // 100).cast("long")
     paths = {
         "domain": F.col("domain"),
         "lang": F.concat_ws("/", "domain", "lang"),
@@ -97,7 +97,7 @@ def targets(leaves: DataFrame, mix: Mix) -> DataFrame:
 
 
 def _order(seed: int, epoch: Column, doc: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc.cast("string"), F.lit("null"))))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), doc))
 
 
 def _range(order: Column, docs: Column) -> Column:
@@ -112,16 +112,21 @@ def mix_sources(docs: DataFrame, mix: Mix, domain: Column, id_col: str = "doc_id
     tail_tokens: how many of the document's tokens the last, partial epoch takes; only
     the document that a leaf's prefix ends in is cut. copies: full_epochs, plus one if
     tail_tokens is not 0. Tokens are words between white space. Null domain, language
-    or source count as the leaf 'none'; null texts have no tokens. Equal ids in a leaf
-    are ordered by their texts; equal rows are interchangeable. Columns of docs stay.
+    or source count as the leaf 'none'; null texts have no tokens. Rows without an id are
+    told apart by their texts, equal ids in a leaf are ordered by theirs; equal rows are
+    interchangeable. An empty table gives an empty result. Columns of docs stay, whatever
+    their names, but for one called _mix, which is replaced.
     """
     named = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
     leaf = ["_m_domain", "_m_lang", "_m_source"]
-    rows = docs.withColumns({
-        "_m_domain": named(domain), "_m_lang": named(F.col(lang_col)), "_m_source": named(F.col(source_col)),
-        "_m_tokens": F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long"),
-    })
-    narrow = materialize(rows.select(F.col(id_col).cast("string").alias("doc"), *leaf, "_m_tokens"), "token-counts", narrow=True)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = [F.col(f"`{c}`") for c in docs.columns if c != "_mix"]
+    # the columns of docs go along in a struct, so that none clashes with those made here
+    rows = docs.select(
+        F.struct(*own).alias("_row"), named(domain).alias(leaf[0]), named(F.col(lang_col)).alias(leaf[1]), named(F.col(source_col)).alias(leaf[2]),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("_m_tokens"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("none:"), F.md5(text))).alias("_m_doc"), F.md5(text).alias("_m_tie"),
+    )
+    narrow = materialize(rows.select(F.col("_m_doc").alias("doc"), *leaf, "_m_tokens"), "token-counts", narrow=True)
     sizes = materialize(
         narrow.groupBy(*(F.col(c).alias(c[3:]) for c in leaf)).agg(F.sum("_m_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "leaf-sizes"
     )
@@ -135,22 +140,32 @@ def mix_sources(docs: DataFrame, mix: Mix, domain: Column, id_col: str = "doc_id
         shares.join(edge, leaf, "left").select(*leaf, F.col("docs").alias("_m_docs"), F.col("full_epochs").alias("_m_epochs"), F.col("rest").alias("_m_rest"), F.coalesce("_m_edge", F.lit(-1)).alias("_m_edge"), F.coalesce("_m_before", F.lit(0)).alias("_m_before")),
         "leaf-plan",
     )
-    placed = checked_join(rows, plan, leaf, "inner").withColumn("_m_order", _order(mix.seed, F.col("_m_epochs"), F.col(id_col)))
+    placed = checked_join(rows, plan, leaf, "inner").withColumn("_m_order", _order(mix.seed, F.col("_m_epochs"), F.col("_m_doc")))
     placed = placed.withColumn("_m_range", _range(F.col("_m_order"), F.col("_m_docs")))
     clear = placed.where("_m_range != _m_edge").withColumn("_m_tail", F.when(F.col("_m_range") < F.col("_m_edge"), F.col("_m_tokens")).otherwise(F.lit(0)))
-    last = Window.partitionBy(*leaf).orderBy("_m_order", F.md5(F.coalesce(F.col(text_col), F.lit("")))).rowsBetween(Window.unboundedPreceding, -1)
+    last = Window.partitionBy(*leaf).orderBy("_m_order", "_m_tie").rowsBetween(Window.unboundedPreceding, -1)
     cut = placed.where("_m_range = _m_edge").withColumn("_m_start", F.col("_m_before") + F.coalesce(F.sum("_m_tokens").over(last), F.lit(0)))
     cut = cut.withColumn("_m_tail", F.greatest(F.lit(0), F.least(F.col("_m_tokens"), F.col("_m_rest") - F.col("_m_start")))).drop("_m_start")
-    both = clear.unionByName(cut)
     result = F.struct(
         F.col("_m_domain").alias("domain"), F.col("_m_lang").alias("lang"), F.col("_m_source").alias("source"), F.col("_m_tokens").alias("n_tokens"),
         F.col("_m_epochs").alias("full_epochs"), F.col("_m_tail").cast("long").alias("tail_tokens"),
         (F.col("_m_epochs") + (F.col("_m_tail") > 0).cast("long")).alias("copies"),
     )
-    return both.select(*(F.col(f"`{c}`") for c in docs.columns), result.alias("_mix"))
+    return clear.unionByName(cut).select("_row.*", result.alias("_mix"))
+
+
+def prefix(text: Column, tokens: Column) -> Column:
+    """The text up to the end of so many words, with the white space between them as it is."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), tokens.cast("int")), "")
 
 
-def mixed(docs: DataFrame, mix: Mix, domain: Column, **columns: str) -> DataFrame:
-    """The mixture itself: every row of docs as often as mix_sources() takes it, whole also where the prefix cuts it."""
-    taken = mix_sources(docs, mix, domain, **columns)
-    return taken.withColumn("_mix", F.explode(F.expr("array_repeat(0, cast(_mix.copies as int))"))).drop("_mix")
+def mixed(docs: DataFrame, mix: Mix, domain: Column, text_col: str = "text", **columns: str) -> DataFrame:
+    """The mixture itself: every row of docs as often as mix_sources() takes it, so that every leaf gives its target to the token.
+
+    The last copy of the document that a leaf's prefix ends in has its first tail_tokens words.
+    """
+    taken = mix_sources(docs, mix, domain, text_col=text_col, **columns)
+    taken = taken.select("*", F.explode(F.expr("sequence(1L, greatest(_mix.copies, 1L))")).alias("_copy")).where("_mix.copies > 0")
+    ends = (F.col("_copy") > F.col("_mix.full_epochs")) & (F.col("_mix.tail_tokens") < F.col("_mix.n_tokens"))
+    whole = F.col(f"`{text_col}`")
+    return taken.withColumn(text_col, F.when(ends, prefix(whole, F.col("_mix.tail_tokens"))).otherwise(whole)).select(*(f"`{c}`" for c in docs.columns if c != "_mix"))

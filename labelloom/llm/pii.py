@@ -42,7 +42,7 @@ CONTEXT = {
     "iban": ({"iban", "bank", "account", "konto", "compte", "cuenta"}, {"serial", "part"}),
     "ssn": ({"ssn", "social", "security", "taxpayer"}, {"part", "serial", "isbn"}),
 }
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.5, "ssn": 0.3}
 WINDOW = 48
 STEP = 0.2
 
@@ -124,10 +124,10 @@ def find(text: str, least: float = 0.4) -> list[tuple[str, int, int, float]]:
 
 
 def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.4) -> DataFrame:
-    """One row per row of docs: doc_id, n_<kind>, base_sha256, spans, scores (in the order of spans), max_score.
+    """One row per row of docs: doc_id, n_<base kind>, base_sha256, spans, n_<added kind>, scores (in the order of spans), max_score.
 
     Null texts count as empty: no spans, the digest of the empty string, a null
-    max_score. Null and repeated ids are returned as they are; other columns are
+    max_score. An empty table gives an empty result. Null and repeated ids are returned as they are; other columns are
     ignored. Work is one pass over the rows, linear in a text's length.
     """
 
@@ -139,10 +139,13 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
                 said = [f"{k}:{a}:{b}" for k, a, b, _ in spans]
                 base = ",".join(x for x, s in zip(said, spans, strict=True) if s[0] in BASE_KINDS)
                 counts = [sum(s[0] == k for s in spans) for k in KINDS]
-                out.append((doc, *counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(said), ",".join(f"{s[3]:.2f}" for s in spans), max((s[3] for s in spans), default=None)))
+                own = len(BASE_KINDS)
+                out.append((doc, *counts[:own], hashlib.sha256(base.encode()).hexdigest(), ",".join(said), *counts[own:], ",".join(f"{s[3]:.2f}" for s in spans), max((s[3] for s in spans), default=None)))
             yield pd.DataFrame(out, columns=names)
 
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "scores", "max_score"]
-    schema = "doc_id string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, scores string, max_score double"
+    counted = [[f"n_{k}" for k in KINDS if (k in BASE_KINDS) == base] for base in (True, False)]
+    names = ["doc_id", *counted[0], "base_sha256", "spans", *counted[1], "scores", "max_score"]
+    kinds = {"doc_id": "string", "base_sha256": "string", "spans": "string", "scores": "string", "max_score": "double"}
+    schema = ", ".join(f"{n} {kinds.get(n, 'long')}" for n in names)
     texts = docs.select(as_key(F.col(id_col)).alias("doc_id"), whole_text(text_col).alias("text"))
     return as_id(small_batches(texts).mapInPandas(run, schema))

@@ -85,3 +85,16 @@ def test_odd_rows(docs):
     twice = mixed(frame, Mix(budget_percent=200), F.lit("d"))
     assert twice.columns == frame.columns and twice.where("doc_id = 1").count() == 2 * 4  # a leaf of 6 tokens, due for half of 60016: max_epochs
     assert mix_sources(docs([]), Mix(), F.lit("d")).count() == 0
+
+
+def test_leaves_give_their_targets_to_the_token(docs):
+    rows = [(i, f"one\n two  three {i}\tfive ", "en", f"a{i % 3}") for i in range(50)] + [(None, f"x{i} y", "de", "b1") for i in range(30)] + [(None, "same same", "de", "b1")] * 9
+    mix = Mix(budget_percent=130, seed=2)
+    frame = docs(rows).withColumnRenamed("h", "_m_tokens").withColumnRenamed("kept", "_row")
+    taken = mixed(frame, mix, F.substring("source", 1, 1))
+    assert taken.columns == frame.columns
+    got = {(r.lang, r.source): r.n for r in taken.groupBy("lang", "source").agg(F.sum(F.size(F.expr("filter(split(text, '[ \\\\t\\\\n]+'), w -> w != '')"))).alias("n")).collect()}
+    due = mix_sources(frame, mix, F.substring("source", 1, 1)).groupBy("lang", "source").agg(F.sum(F.expr("_mix.full_epochs * _mix.n_tokens + _mix.tail_tokens")).alias("n")).collect()
+    assert got == {(r.lang, r.source): r.n for r in due} and sum(got.values()) == sum(len(t.split()) for _, t, *_ in rows) * 130 // 100
+    texts = {t for _, t, *_ in rows}
+    assert all(r.text in texts or any(t.startswith(r.text) for t in texts) for r in taken.select("text").collect())

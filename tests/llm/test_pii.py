@@ -67,3 +67,21 @@ def test_rows(docs):
     assert by[3].spans == "email:0:6,ip:7:14" and (by[3].n_email, by[3].n_ip, by[3].n_card) == (1, 1, 0)
     assert by[None].n_email == 1 and by[4].spans == "email:200000:200006" and by[5].spans == ""
     assert pii(docs([])).count() == 0
+
+
+def test_context_decides_on_added_kinds():
+    kinds = lambda t: [k for k, *_ in find(t)]
+    account = "DE89370400440532013000"
+    assert kinds(f"bank account {account}") == kinds(f"pay to {account} please") == ["iban"] and kinds(f"part {account}") == []
+    assert kinds("ssn 123-45-6789") == ["ssn"] and kinds("the line 123-45-6789") == []
+
+
+def test_every_column_of_a_table(docs):
+    text = "mail a.b@c.de, host 10.0.0.1, card 4111 1111 1111 1111, call +49 30 1234567, bank DE89370400440532013000"
+    got = pii(docs([(1, text), (2, None)])).orderBy("doc_id").collect()
+    assert got[0].asDict().keys() == dict.fromkeys("doc_id n_email n_ip n_card n_phone base_sha256 spans n_iban n_ssn scores max_score".split()).keys() and list(got[0].asDict())[5:7] == ["base_sha256", "spans"]
+    want = [(k, text.index(x), text.index(x) + len(x)) for k, x in (("email", "a.b@c.de"), ("ip", "10.0.0.1"), ("card", "4111 1111 1111 1111"), ("phone", "+49 30 1234567"), ("iban", "DE89370400440532013000"))]
+    said = [f"{k}:{a}:{b}" for k, a, b in want]
+    assert got[0].spans == ",".join(said) and got[0].base_sha256 == hashlib.sha256(",".join(said[:4]).encode()).hexdigest()
+    assert (got[0].n_email, got[0].n_ip, got[0].n_card, got[0].n_phone, got[0].n_iban, got[0].n_ssn) == (1, 1, 1, 1, 1, 0)
+    assert (got[1].spans, got[1].max_score) == ("", None) and pii(docs([])).count() == 0
