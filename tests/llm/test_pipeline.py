@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from labelloom.llm.mixing import mix_sources
 from labelloom.llm.quality import quality
@@ -59,3 +60,11 @@ def test_repeated_rows_and_missing_ids(spark, docs):
     empty = docs([])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_columns_may_have_any_names(spark, docs):
+    rows = [(1, "same"), (1, "same"), (1, "other"), (2, "same"), (None, "lone")]
+    frame = docs(rows).withColumnsRenamed({"h": "sha", "kept": "id"}).withColumn("row", F.lit(1))
+    got = corpus_pipeline.drop_copies(spark, frame, "")
+    assert got.columns == frame.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, "other"), (2, "same"), (None, "lone")], key=str)
+    assert corpus_pipeline.mix(spark, frame, "").columns == frame.columns
