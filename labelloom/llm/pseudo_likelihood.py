@@ -2,19 +2,20 @@
 
 Every token is predicted from the REACH tokens before and after it: each neighbour's place
 has an embedding table of its own, their sum goes through tanh into a two-level softmax
-(class of the word, word within the class). Words beyond the network's own fall into buckets;
-such a token's probability is its bucket's, times the word's share of the bucket's tokens, from
-the counts of all words. A document's score is the sum of its tokens' conditional log-probabilities.
+(class of the word, word within the class). All words beyond the network's own are known to it by
+their first byte; such a token's probability is that of its first byte, times that of its
+spelling, from the frequencies of three bytes in a row in all such words. A document's score is the sum of its
+tokens' conditional log-probabilities.
 
 Words are counted over all documents. Every place of every document is a training
-window (every RATE-th, if a caller asks for it); documents are dealt into shards by a hash. Each round, every shard trains from the same weights, and the weights are
-averaged by windows in a tree of groups, so no task holds more than FAN models.
+window (every RATE-th, if a caller asks for it); documents are dealt into shards by a hash. Each round, every
+shard trains from the same weights, and the weights are averaged by windows in a tree of groups, so no task
+holds more than FAN models.
 """
 
 from __future__ import annotations
 
 import math
-import string
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_id, as_key, checked_join, materialize, small_batches, whole_text
+from .common import as_id, as_key, materialize, small_batches, whole_text
 
 FLUSH = 200_000
 FAN = 256
@@ -33,7 +34,7 @@ FAN = 256
 
 @dataclass(frozen=True)
 class Shape:
-    """words: of the vocabulary, the rarest of which are buckets for all other words; a multiple of per_class."""
+    """words: of the vocabulary, the last `buckets` of which are first bytes of all other words; a multiple of per_class."""
 
     words: int = 1024
     buckets: int = 64
@@ -42,9 +43,9 @@ class Shape:
     reach: int = 2
     rate: int = 1
     shard_windows: int = 250_000
-    rounds: int = 2
-    batch: int = 1024
-    step: float = 0.12
+    rounds: int = 1
+    batch: int = 4096
+    step: float = 0.3
     seed: int = 5
 
     @property
@@ -71,22 +72,133 @@ def _counting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield frame()
 
 
+class Spelling:
+    """Chances of words by their bytes. Bytes are classes: 0 the edge of a word, one for each of the most frequent bytes, the last for all others.
+
+    counts: of classes (two before, one before, own), of every byte, and of the classes of first bytes.
+    """
+
+    SMOOTH = 4.0
+
+    def __init__(self, table: np.ndarray, counts: np.ndarray, bytes_: np.ndarray, first: np.ndarray):
+        k = len(first)
+        self.table, self.first, self.classes = table.astype(np.uint8).tobytes(), first, k
+        two = counts.sum(axis=0)
+        by_one = (two + 0.5) / (two.sum(axis=1, keepdims=True) + 0.5 * k)
+        by_two = (counts + self.SMOOTH * by_one[None]) / (counts.sum(axis=2, keepdims=True) + self.SMOOTH)
+        self.logs = np.log(by_two).ravel().tolist()
+        share = (bytes_ + 0.5).astype(float)
+        total = np.bincount(table, weights=share, minlength=k)
+        self.within = np.log(share / total[table]).tolist()
+
+    @staticmethod
+    def byte_table(bytes_: np.ndarray, classes: int) -> np.ndarray:
+        table = np.full(256, classes - 1)
+        frequent = np.argsort(-bytes_, kind="stable")[: classes - 2]
+        table[frequent[bytes_[frequent] > 0]] = np.arange(1, 1 + int((bytes_[frequent] > 0).sum()))
+        return table
+
+    def bucket(self, word: bytes) -> int:
+        return self.table[word[0]]
+
+    def log(self, word: bytes) -> float:
+        """Of the word, given its first byte's class."""
+        k, logs, within = self.classes, self.logs, self.within
+        of = word.translate(self.table)
+        out, before, last = within[word[0]], 0, of[0]
+        for i in range(1, len(of)):
+            own = of[i]
+            out += logs[(before * k + last) * k + own] + within[word[i]]
+            before, last = last, own
+        return out + logs[(before * k + last) * k]
+
+
+def _flat(words: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of words, each with a place after it, and how long each is with it."""
+    data = [w.encode() for w in words]
+    return np.frombuffer(b"\0".join([*data, b""]), np.uint8), np.fromiter(map(len, data), np.int64, len(data)) + 1
+
+
+def _bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """key: a byte, or 256 more for a first byte."""
+    total = np.zeros(512, np.int64)
+    for rows in batches:
+        if len(rows):
+            data, sizes = _flat(rows["word"])
+            ends = np.cumsum(sizes)
+            n = np.repeat(rows["n"].to_numpy(), sizes)
+            n[ends - 1] = 0
+            total[:256] += np.bincount(data, weights=n, minlength=256).astype(np.int64)
+            total[256:] += np.bincount(data[ends - sizes], weights=rows["n"], minlength=256).astype(np.int64)
+    at = np.flatnonzero(total)
+    yield pd.DataFrame({"key": at, "n": total[at]})
+
+
+def _triples(table: np.ndarray, classes: int):
+    def triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(classes**3, np.int64)
+        for rows in batches:
+            if len(rows):
+                data, sizes = _flat(rows["word"])
+                ends = np.cumsum(sizes)
+                of = table[data]
+                of[ends - 1] = 0
+                n = np.repeat(rows["n"].to_numpy(), sizes)
+                n[ends - sizes] = 0  # first bytes are the network's
+                before = np.r_[0, of[:-1]]
+                total += np.bincount((np.r_[0, before[:-1]] * classes + before) * classes + of, weights=n, minlength=classes**3).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"key": at, "n": total[at]})
+
+    return triples
+
+
+def _summed(rows: DataFrame, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    for r in rows.groupBy("key").agg(F.sum("n").alias("n")).collect():
+        out[r.key] = r.n
+    return out
+
+
+def spelling(counted: DataFrame, ranked: list[bytes], shape: Shape) -> Spelling:
+    """From all words but the ranked ones, each as often as it is there; what comes back has a fixed size."""
+    rest = counted.where(~F.col("word").isin([w.decode() for w in ranked])) if ranked else counted
+    both = _summed(rest.mapInPandas(_bytes, "key long, n long"), 512)
+    table = Spelling.byte_table(both[:256], shape.buckets)
+    counts = _summed(rest.mapInPandas(_triples(table, shape.buckets), "key long, n long"), shape.buckets**3)
+    return Spelling(table, counts.reshape((shape.buckets,) * 3), both[:256], np.bincount(table, weights=both[256:], minlength=shape.buckets))
+
+
 class Words(dict):
-    """Word -> id: the most frequent words by rank, all others by bucket."""
+    """Word -> slot: the most frequent words by rank, others as they come, until a text has filled up the room for them."""
 
-    def __init__(self, ranked: list[bytes], shape: Shape):
+    def __init__(self, ranked: list[bytes], spelled: Spelling, shape: Shape):
         super().__init__((w, i) for i, w in enumerate(ranked))
-        self.known, self.shape = len(self), shape
+        self.ranked, self.spelled, self.shape = ranked, spelled, shape
+        room = len(ranked) + FLUSH
+        self._ids, self._logs = np.zeros(room, np.int32), np.zeros(room)
+        self._ids[: len(ranked)] = np.arange(len(ranked))
 
     def __missing__(self, word: bytes) -> int:
-        i = self.shape.words - self.shape.buckets + zlib.crc32(word) % self.shape.buckets
-        if len(self) < self.known + FLUSH:
-            self[word] = i
-        return i
+        slot = len(self)
+        if slot == len(self._ids):
+            self._ids, self._logs = (np.r_[x, np.zeros(slot, x.dtype)] for x in (self._ids, self._logs))
+        self._ids[slot] = self.shape.words - self.shape.buckets + self.spelled.bucket(word)
+        self._logs[slot] = self.spelled.log(word)
+        self[word] = slot
+        return slot
+
+    def coded(self, text: str) -> tuple[np.ndarray, float]:
+        """The network's ids of a text's words, and the log-probability of the spelling of the others."""
+        words = text.encode().lower().split()
+        if len(self) > len(self.ranked) + FLUSH // 2:
+            self.clear()
+            self.update((w, i) for i, w in enumerate(self.ranked))
+        slots = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self._ids[slots], float(self._logs[slots].sum())
 
     def ids(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return self.coded(text)[0]
 
 
 class Network:
@@ -117,49 +229,52 @@ class Network:
             z += self.params["place"][k][around[:, k]]
         return np.tanh(z)
 
-    def _outputs(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-        """log-probabilities; class shares; per class its rows and word shares."""
+    def _outputs(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        """Rows in the order of their target's class: that order, log-probabilities, class shares, and for each class its run of rows and their word shares.
+
+        States are within (-1, 1) and weights small, so exponentials need no shift.
+        """
         p, per = self.params, self.shape.per_class
-        logits = h @ p["c"] + p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1, keepdims=True)
         of = target // per
-        out = logits[np.arange(len(h)), of] - np.log(total[:, 0])
-        order = np.argsort(of.astype(np.uint16), kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(self.shape.classes + 1))
+        order = np.argsort(of.astype(np.uint8 if self.shape.classes <= 256 else np.uint16), kind="stable")
+        h, of, word = h[order], of[order], target[order] % per
+        shares = np.exp(h @ p["c"] + p["cb"])
+        shares /= shares.sum(axis=1, keepdims=True)
+        chance = shares[np.arange(len(h)), of]
+        cuts = np.searchsorted(of, np.arange(self.shape.classes + 1))
         parts = []
         for c in np.flatnonzero(np.diff(cuts)):
-            rows = order[cuts[c] : cuts[c + 1]]
-            own = h[rows] @ p["w"][c] + p["wb"][c]
-            own -= own.max(axis=1, keepdims=True)
-            ew = np.exp(own)
-            tw = ew.sum(axis=1, keepdims=True)
-            word = target[rows] - c * per
-            out[rows] += own[np.arange(len(rows)), word] - np.log(tw[:, 0])
-            parts.append((c, rows, word, ew, tw))
-        return out, e / total, parts
+            a, b = cuts[c], cuts[c + 1]
+            own = np.exp(h[a:b] @ p["w"][c] + p["wb"][c])
+            own /= own.sum(axis=1, keepdims=True)
+            chance[a:b] *= own[np.arange(b - a), word[a:b]]
+            parts.append((c, a, b, own))
+        return order, np.log(chance), shares, parts
 
     def log_probs(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        return self._outputs(self._hidden(around), target)[0]
+        order, found, *_ = self._outputs(self._hidden(around), target)
+        out = np.empty_like(found)
+        out[order] = found
+        return out
 
     def gradients(self, around: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         p, n, size = self.params, len(target), self.shape.size
         h = self._hidden(around)
-        out, dc, parts = self._outputs(h, target)
+        order, out, dc, parts = self._outputs(h, target)
+        h, around, target = h[order], around[order], target[order]
         dc[np.arange(n), target // self.shape.per_class] -= 1
         dh = dc @ p["c"].T
+        word = target % self.shape.per_class
         g = {"c": h.T @ dc, "cb": dc.sum(axis=0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
-        for c, rows, word, ew, tw in parts:
-            dw = ew / tw
-            dw[np.arange(len(rows)), word] -= 1
-            dh[rows] += dw @ p["w"][c].T
-            g["w"][c], g["wb"][c] = h[rows].T @ dw, dw.sum(axis=0)
+        for c, a, b, dw in parts:
+            dw[np.arange(b - a), word[a:b]] -= 1
+            dh[a:b] += dw @ p["w"][c].T
+            g["w"][c], g["wb"][c] = h[a:b].T @ dw, dw.sum(axis=0)
         dz = dh * (1 - h * h)
         g["bias"] = dz.sum(axis=0)
-        cells = np.arange(size)
+        cells, flat = np.arange(size), dz.ravel()
         g["place"] = np.stack([
-            np.bincount((around[:, k][:, None] * size + cells).ravel(), weights=dz.ravel(), minlength=(self.shape.words + 1) * size).reshape(-1, size) for k in range(around.shape[1])
+            np.bincount((around[:, k][:, None] * size + cells).ravel(), weights=flat, minlength=(self.shape.words + 1) * size).reshape(-1, size) for k in range(around.shape[1])
         ])
         return float(-out.mean()), {k: (v / n).astype(np.float32) for k, v in g.items()}
 
@@ -201,10 +316,10 @@ def _coded(words: Words, shape: Shape, shards: int):
         for rows in batches:
             out = []
             for doc, text in zip(rows["doc_id"], rows["text"], strict=True):
-                ids = words.ids(text)
-                if len(ids):
-                    out.append((zlib.crc32(f"{shape.seed}:{doc}".encode()) // shape.rate % shards, doc, zlib.crc32(text.encode()), ids.astype("<u2").tobytes()))
-            yield pd.DataFrame(out, columns=["shard", "doc", "mark", "ids"])
+                ids, spelled = words.coded(text)
+                mark = zlib.crc32(text.encode())
+                out.append((zlib.crc32(f"{shape.seed}:{doc}:{mark}".encode()) % shards, doc, mark, ids.astype("<u2").tobytes(), spelled))
+            yield pd.DataFrame(out, columns=["shard", "doc", "mark", "ids", "spelled"])
 
     return take
 
@@ -243,46 +358,37 @@ def count_words(texts: DataFrame) -> DataFrame:
     return materialize(small_batches(texts).mapInPandas(_counting, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
-def rest_shares(texts: DataFrame, counted: DataFrame, ranked: list[bytes], shape: Shape) -> DataFrame:
-    """_key (md5 of the text), _log_share: the mean, over its tokens beyond the ranked words, of the log of the word's share within its bucket.
+@dataclass
+class Model:
+    """All of a fixed size: the ranked words, the spelling of others, the network."""
 
-    Texts without such tokens are left out. A mean is the same however often a text is there.
-    """
-    known = [w.decode() for w in ranked]
-    rest = counted.where(~F.col("word").isin(known)).withColumn("_bucket", F.crc32("word") % shape.buckets)
-    sums = [(r["_bucket"], r.n) for r in rest.groupBy("_bucket").agg(F.sum("n").alias("n")).collect()]
-    if not sums:
-        return texts.select(F.unhex(F.md5("text")).alias("_key"), F.lit(0.0).alias("_log_share")).limit(0)
-    total = F.element_at(F.create_map(*(F.lit(x) for pair in sums for x in pair)), F.col("_bucket"))
-    shares = materialize(rest.select("word", (F.log(F.col("n").cast("double")) - F.log(total.cast("double"))).alias("_log")), "word-shares")
-    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
-    # the key first, or it would be worked out again for every token
-    keyed = texts.withColumn("_key", F.unhex(F.md5("text")))
-    tokens = keyed.select("_key", F.explode(F.split(lower, r"[\x20\x09-\x0D]+", -1)).alias("word"))
-    tokens = tokens.where((F.col("word") != "") & ~F.col("word").isin(known))
-    # one word is a small part of all tokens: keys need no salt
-    return checked_join(tokens, shares, ["word"], "inner").groupBy("_key").agg(F.avg("_log").alias("_log_share"))
-
-
-def fit(texts: DataFrame, shape: Shape = Shape(), counted: DataFrame | None = None) -> tuple[list[bytes], Network]:  # noqa: B008
-    """texts: doc_id (string), text; counted: their count_words(), if at hand. The ranked words and the trained network; both have a fixed size."""
-    if counted is None:
-        counted = count_words(texts)
+    ranked: list[bytes]
+    spelled: Spelling
+    network: Network
+
+
+def coded_texts(texts: DataFrame, shape: Shape) -> tuple[DataFrame, list[tuple[bytes, int]], Spelling, int]:
+    """texts (doc_id string, text) as ids (materialized: shard, doc, mark, ids, spelled), the ranked words with their numbers, the spelling, and the number of shards."""
+    counted = count_words(texts)
     top = counted.orderBy(F.desc("n"), "word").limit(shape.words - shape.buckets)
     ranked = [(r.word.encode(), r.n) for r in top.collect()]
-    words = Words([w for w, _ in ranked], shape)
-    # windows are counted before documents are dealt, as the number of shards follows from it
-    total = texts.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    shards = max(1, math.ceil(total / 6 / shape.rate / shape.shard_windows))
-    coded = materialize(texts.mapInPandas(_coded(words, shape, shards), "shard long, doc string, mark long, ids binary"), "coded")
+    spelled = spelling(counted, [w for w, _ in ranked], shape)
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    shards = max(1, math.ceil(total / shape.rate / shape.shard_windows))
+    words = Words([w for w, _ in ranked], spelled, shape)
+    coded = materialize(texts.mapInPandas(_coded(words, shape, shards), "shard long, doc string, mark long, ids binary, spelled double"), "coded")
+    return coded, ranked, spelled, shards
+
+
+def train(coded: DataFrame, ranked: list[tuple[bytes, int]], spelled: Spelling, shards: int, shape: Shape) -> Network:
     frequency = np.zeros(shape.words)
     frequency[: len(ranked)] = [n for _, n in ranked]
-    frequency[shape.words - shape.buckets :] = max(1.0, ranked[-1][1] if ranked else 1.0)
+    frequency[shape.words - shape.buckets :] = spelled.first
     network = Network.new(frequency, shape)
     chunk = 1 << 14
     schema = "shard long, part int, n long, values binary"
     for _ in range(shape.rounds):
-        models = coded.groupBy("shard").applyInPandas(_train_shard(network, chunk), schema)
+        models = coded.where(F.octet_length("ids") > 0).select("shard", "doc", "mark", "ids").groupBy("shard").applyInPandas(_train_shard(network, chunk), schema)
         left = shards
         while left > 1:
             models = models.withColumn("group", F.expr(f"shard div {FAN}")).groupBy("part", "group").applyInPandas(lambda rows: _add(rows).assign(shard=rows["group"].iloc[0]), schema)
@@ -291,30 +397,34 @@ def fit(texts: DataFrame, shape: Shape = Shape(), counted: DataFrame | None = No
         if not parts or not parts[0].n:
             break
         network = network.unflat(np.concatenate([np.frombuffer(r["values"]) for r in parts]) / parts[0].n)
-    return [w for w, _ in ranked], network
+    return network
+
+
+def fit(texts: DataFrame, shape: Shape = Shape()) -> Model:  # noqa: B008
+    """texts: doc_id (string), text."""
+    coded, ranked, spelled, shards = coded_texts(small_batches(texts), shape)
+    return Model([w for w, _ in ranked], spelled, train(coded, ranked, spelled, shards, shape))
 
 
 #: Tokens that are scored at once.
-GROUP_TOKENS = 1 << 15
+GROUP_TOKENS = 1 << 13
 
 
 def pseudo_likelihood(docs: DataFrame, shape: Shape = Shape(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """One row per row of docs: doc_id, n_tokens, log_likelihood (summed, natural), per_token, perplexity.
 
     Tokens are words between white space, with A-Z lower-cased. Null and empty texts have no
-    tokens, log_likelihood 0 and null means. Repeated rows are scored alike, and count in
-    training as often as they are there; null ids are keys like others. Other columns are ignored.
+    tokens, log_likelihood 0 and null means. An empty table gives an empty result. Repeated rows are scored alike,
+    and count in training as often as they are there; null ids are keys like others. Other columns are ignored.
     """
-    texts = docs.select(as_key(F.col(id_col)).alias("doc_id"), whole_text(text_col).alias("text"))
-    counted = count_words(texts)
-    ranked, network = fit(texts, shape, counted)
-    shared = docs.sparkSession.sparkContext.broadcast((ranked, network))
+    texts = small_batches(docs.select(as_key(F.col(id_col)).alias("doc_id"), whole_text(text_col).alias("text")))
+    coded, ranked, spelled, shards = coded_texts(texts, shape)
+    shared = docs.sparkSession.sparkContext.broadcast(train(coded, ranked, spelled, shards, shape))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranked, net = shared.value
-        words = Words(ranked, shape)
+        net = shared.value
         for rows in batches:
-            sums, sizes, rest = [], [], []
+            sums, sizes = [], []
 
             def flush(group: list[np.ndarray]) -> None:
                 around, target = neighbours(group, shape)
@@ -324,21 +434,18 @@ def pseudo_likelihood(docs: DataFrame, shape: Shape = Shape(), id_col: str = "do
                 ends = np.cumsum(n)
                 sums.extend(total[ends] - total[ends - n])
                 sizes.extend(n)
-                rest.extend(int((i >= shape.words - shape.buckets).sum()) for i in group)
 
             group, held = [], 0
-            for text in rows["text"]:
-                group.append(words.ids(text))
+            for ids in rows["ids"]:
+                group.append(np.frombuffer(ids, "<u2").astype(np.int32))
                 held += len(group[-1])
                 if held >= GROUP_TOKENS:
                     flush(group)
                     group, held = [], 0
             if group:
                 flush(group)
-            yield pd.DataFrame({"doc_id": list(rows["doc_id"]), "_key": list(rows["_key"]), "n_tokens": np.array(sizes, np.int64), "_rest": np.array(rest, np.int64), "_network": np.array(sums, np.float64)})
+            yield pd.DataFrame({"doc_id": list(rows["doc"]), "n_tokens": np.array(sizes, np.int64), "log_likelihood": np.array(sums, np.float64) + rows["spelled"].to_numpy()})
 
-    scored = texts.withColumn("_key", F.unhex(F.md5("text"))).mapInPandas(run, "doc_id string, _key binary, n_tokens long, _rest long, _network double")
-    total = F.col("_network") + F.when(F.col("_rest") > 0, F.col("_rest") * F.col("_log_share")).otherwise(0.0)
+    scored = as_id(coded.select("doc", "ids", "spelled").mapInPandas(run, "doc_id string, n_tokens long, log_likelihood double"))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
-    whole = scored.join(rest_shares(texts, counted, ranked, shape), "_key", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
-    return as_id(whole.withColumn("per_token", mean).withColumn("perplexity", F.exp(-F.col("per_token"))))
+    return scored.withColumn("per_token", mean).withColumn("perplexity", F.exp(-F.col("per_token")))
