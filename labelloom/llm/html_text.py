@@ -119,7 +119,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     return out
 
 
-PATH_DIMS, WORD_DIMS, SHARES = 256, 16, 7
+PATH_DIMS, WORD_DIMS, SHARES = 512, 16, 7
 DIMS = PATH_DIMS + WORD_DIMS + SHARES
 _PATHS: dict[tuple[str, ...], np.ndarray] = {}
 
@@ -130,8 +130,10 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
         v = np.zeros(PATH_DIMS, np.float32)
         for element in path:
             tag, *names = element.split()
-            for token in (f"<{tag}", *names):
-                v[zlib.crc32(token.encode()) % PATH_DIMS] = 1
+            # two places a token, so that hardly two tokens share both; names of the page's own elements say nothing of its blocks
+            for token in (f"<{tag}", *(names if tag not in ("html", "body") else ())):
+                for salt in (b"", b"2"):
+                    v[zlib.crc32(salt + token.encode()) % PATH_DIMS] = 1
         if len(_PATHS) < 20000:
             _PATHS[path] = v
     return v
@@ -261,9 +263,13 @@ FURNITURE = [
     ("<div class='cookie notice'>", "TP"), ("<div class='cookie banner consent'>", "TP"), ("<div class='notice'>", "TP"), ("<div id='notice'>", "TP"), ("<div class='alert popup modal'>", "TP"), ("<div role='alert'>", "T"), ("<dialog>", "TP"),
     ("<form>", "TP"), ("<form action='/s'>", "TP"), ("<form method='post'>", "TP"), ("<form class='search'>", "TP"), ("<form id='contact'>", "TP"), ("<form class='newsletter subscribe'>", "TP"), ("<div class='newsletter subscribe signup'>", "TP"), ("<div class='login'>", "T"),
     ("<div class='comments'>", "PT"), ("<section class='comments'>", "PT"), ("<section id='comments'>", "PT"), ("<div class='comment'>", "PT"), ("<ol class='comment list'>", "P"), ("<div class='discussion replies reply'>", "PT"), ("<div id='disqus thread'>", "PT"),
+    ("<div class='skip link'>", "L"), ("<div class='logo brand'>", "T"), ("<nav class='toc'>", "L"), ("<div class='toc contents'>", "L"), ("<div class='author bio'>", "PT"), ("<div class='previous next links'>", "L"), ("<section class='reviews ratings'>", "PT"), ("<div class='toolbar actions'>", "LT"),
     ("<div class='social share'>", "L"), ("<div class='tags'>", "L"), ("<div class='pagination pager'>", "L"), ("<div class='byline author meta'>", "T"),
 ]
-ARTICLES = ["<article>", "<article class='post'>", "<main>", "<main><article>", "<div class='content'>", "<div id='content'>", "<div class='post entry'>", "<div class='article body'>", "<section class='story'>", "<div id='main'>", "<article class='entry content'>"]
+ARTICLES = ["<article>", "<article class='post'>", "<main>", "<main><article>", "<div class='content'>", "<div id='content'>", "<div class='post entry'>", "<div class='article body'>", "<section class='story'>", "<div id='main'>", "<article class='entry content'>", "<article class='hentry'>", "<main class='site main'>", "<div role='main' class='document body'>", "<div class='text'>", "<section>", "<div>", ""]
+#: Openings within an article, around its title and around the rest.
+TITLES = ["", "", "", "<header>", "<header class='entry header'>", "<div class='title headline'>"]
+BODIES = ["", "", "", "<div class='entry content'>", "<div class='article body'>", "<div class='text'>", "<section>", "<section id='part'>", "<div>"]
 
 
 def made_page(texts: list[str], rng: random.Random) -> tuple[str, list[bool]]:
@@ -277,10 +283,19 @@ def made_page(texts: list[str], rng: random.Random) -> tuple[str, list[bool]]:
         start = rng.randrange(max(1, len(words) - size))
         return html_module.escape(" ".join(words[start : start + size]) or "x")
 
+    def named(opening: str) -> str:
+        """With names of no meaning, so that what is not in the lists does not look like what is."""
+
+        def more(m: re.Match) -> str:
+            own = [m[1], *("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 9))) for _ in range(rng.choice((0, 0, 0, 1, 1, 2))))]
+            return f"<{own[0]}" if len(own) == 1 else f"<{own[0]} data-x='' id='{' '.join(own[1:])}'"
+
+        return re.sub(r"<([a-z]+)", more, opening)
+
     def furniture() -> None:
         opening, kinds = rng.choice(FURNITURE)
         kind = rng.choice(kinds)
-        page.append(opening)
+        page.append(named(opening))
         for _ in range(rng.randint(2, 8) if kind == "L" else rng.randint(1, 5 if "comment" in opening else 2)):
             inner = text(kind)
             if kind == "L":
@@ -304,24 +319,28 @@ def made_page(texts: list[str], rng: random.Random) -> tuple[str, list[bool]]:
         add(False, furniture)
     opening = rng.choice(ARTICLES)
     wrap = rng.choice(["", "", "<div class='wrapper container'>", "<div id='page'>"])
-    page.append(wrap + opening)
+    page.append(named(wrap + opening))
+    ends = lambda opening: "".join(f"</{t}>" for t in reversed(re.findall(r"<([a-z]+)", opening)))
     if rng.random() < 0.8:
-        add(True, lambda: page.append(f"<h1>{text('T')}</h1>"))
+        around = rng.choice(TITLES)
+        add(True, lambda: page.append(f"{named(around)}<h1>{text('T')}</h1>{ends(around)}"))
+    body = rng.choice(BODIES)
+    page.append(named(body))
     for _ in range(rng.randint(1, 14)):
         if rng.random() < 0.07:
             add(False, furniture)
             continue
-        shape = rng.choice(["<p>{}</p>"] * 8 + ["<p><b>{}<br><p>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote><p>{}</p></blockquote>", "<p>{} <a href='/y'>{}</a> {}</p>", "<pre>{}</pre>", "<div>{}</div>", "<table><tr><td>{}</td></tr></table>", "<figure><figcaption>{}</figcaption></figure>", "<ol><li>{}<li>{}</ol>"])
-        short = rng.random() < 0.2 or shape.startswith("<h2")
+        shape = rng.choice(["<p>{}</p>"] * 8 + ["<p><b>{}<br><p>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote><p>{}</p></blockquote>", "<p>{} <a href='/y'>{}</a> {}</p>", "<pre>{}</pre>", "<div>{}</div>", "<table><tr><td>{}</td></tr></table>", "<figure><figcaption>{}</figcaption></figure>", "<ol><li>{}<li>{}</ol>", "<ul><li>{}</li><li>{}</li></ul>", "<h3>{}</h3>"])
+        short = rng.random() < 0.2 or shape.startswith("<h")
         add(True, lambda s=shape, k=short: page.append(s.format(*(text("T" if k else "P") for _ in range(s.count("{}"))))))
-    page.append("".join(f"</{t}>" for t in reversed(re.findall(r"<([a-z]+)", wrap + opening))))
+    page.append(ends(wrap + opening + body))
     for _ in range(rng.randint(0, 5)):
         add(False, furniture)
     page.append("</body></html>")
     return "".join(page), labels
 
 
-def train(texts: list[str], n_pages: int = 1200, epochs: int = 16, hidden: int = 12, seed: int = 11) -> BlockLabeller:
+def train(texts: list[str], n_pages: int = 1200, epochs: int = 12, hidden: int = 12, seed: int = 11) -> BlockLabeller:
     """Adam over made pages; the same texts and seed give the same weights."""
     rng, draw = np.random.default_rng(seed), random.Random(seed)
     texts = [t for t in texts if t.strip()] or ["some words of a page"]
@@ -370,7 +389,7 @@ def main_text(pages: DataFrame, model: BlockLabeller | None = None, id_col: str
     """One row per row of pages: page_id, url, text, n_chars, n_blocks, n_kept.
 
     text: the article's blocks in page order, joined by two newlines; empty if there are
-    none or the html is null. Within a block white space is one space; br is white space.
+    none or the html is null. An empty table gives an empty result. Within a block white space is one space; br is white space.
     Null ids and urls are returned as they are; other columns are ignored.
     """
     model = model or fit(pages, id_col, html_col)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from labelloom.llm.html_text import BlockLabeller, blocks, made_page, main_text, padded, train, vectors
+from labelloom.llm.html_text import BlockLabeller, blocks, fit, made_page, main_text, padded, train, vectors
 
 TEXTS = ["the quick brown fox, jumps over the lazy dog. and then some more words of plain prose follow, as ever " * 4, "le chat est sur la table. il dort, et la pluie tombe sur le toit de la maison " * 4]
 
@@ -73,3 +73,45 @@ def test_pages(spark, model):
     assert texts[1] == "A & B\n\nFirst part, of it.\n\nSecond part." and texts[2] == texts[None] == ""
     assert texts[3].count("\n\n") == 4999 and all(r.n_chars == len(r.text) for r in got)
     assert main_text(frame.limit(0), model).count() == 0
+
+
+#: Labelled by hand: name, html, main text.
+PAGES = [
+("blog", """<!doctype html><html lang=en><head><meta charset=utf-8><title>Bread | My Blog</title><style>.x{}</style></head><body class="home">
+<div class="skip"><a href="#c">Skip to content</a></div><header class="site-header"><a href="/">My Blog</a><nav class="main-nav"><ul><li><a href="/a">Home</a><li><a href="/b">About</a><li><a href="/c">Recipes</a></ul></nav></header>
+<main id="c"><article class="post hentry"><header class="entry-header"><h1 class="entry-title">Bread without haste</h1></header>
+<div class="entry-content"><p>The dough rests for a night in a cold room, and that is all there is to it.</p><p>Flour, water, salt &amp; time: <a href="/f">four things</a>, none of them rare.</p><h2>What to do</h2><ul><li>Mix everything in a bowl.</li><li>Wait until the morning, then bake.</li></ul><blockquote><p>A loaf is a clock that one can eat.</p></blockquote></div></article></main>
+<aside class="widget-area sidebar"><h3>Recent posts</h3><ul><li><a href="/1">Soup</a></li><li><a href="/2">Cake</a></li></ul></aside>
+<section id="comments" class="comments-area"><h2>2 comments</h2><ol class="comment-list"><li class="comment"><p>I tried this and it worked very well, thank you for the recipe!</p></li><li class="comment"><p>Mine was too wet, perhaps less water would do.</p></li></ol><form class="comment-form"><label>Name</label><input><button>Post comment</button></form></section>
+<footer class="site-footer"><p>Copyright 2020 My Blog. All rights reserved.</p></footer></body></html>""",
+ "Bread without haste\n\nThe dough rests for a night in a cold room, and that is all there is to it.\n\nFlour, water, salt & time: four things, none of them rare.\n\nWhat to do\n\nMix everything in a bowl.\n\nWait until the morning, then bake.\n\nA loaf is a clock that one can eat."),
+("news", """<html><head><title>n</title></head><body><div id="cookie-banner" class="cookie consent"><p>We use cookies to make this site better for all readers.</p><button>Accept</button></div>
+<div id="header"><div class="logo">The Daily</div><div class="menu"><a href="/w">World</a> <a href="/s">Sport</a> <a href="/k">Culture</a></div></div>
+<div id="content"><div class="article"><h1>River rises after rain</h1><p>The river rose by two metres on Monday, the city said, after a week of steady rain in the hills.</p>
+<div class="ad advertisement"><p>Buy boots now, half the price!</p></div><p>Schools stayed open, but several roads along the bank were closed until the evening.</p><p>No one was hurt.</p></div>
+<div class="related"><h3>Related</h3><ul><li><a href="/r1">Floods of the past</a></li><li><a href="/r2">How dams work</a></li></ul></div></div>
+<div id="sidebar"><div class="newsletter"><p>Sign up for our letter</p><form><input><button>Go</button></form></div></div><div id="footer"><a href="/i">Imprint</a> <a href="/p">Privacy</a></div></body></html>""",
+ "River rises after rain\n\nThe river rose by two metres on Monday, the city said, after a week of steady rain in the hills.\n\nSchools stayed open, but several roads along the bank were closed until the evening.\n\nNo one was hurt."),
+("docs", """<html><head><title>d</title></head><body><nav class="toc"><ul><li><a href="#a">Install</a></li><li><a href="#b">Use</a></li></ul></nav><div role="main" class="document body"><section id="a"><h1>Install</h1><p>Unpack the archive into a folder of your choice.</p><pre>tar xf tool.tar</pre></section><section id="b"><h1>Use</h1><p>Call the tool with a file, and it prints a summary of it.</p><table><tr><td>-v</td><td>says more about what it does</td></tr></table></section></div><footer><p>Built on Monday.</p></footer></body></html>""",
+ "Install\n\nUnpack the archive into a folder of your choice.\n\ntar xf tool.tar\n\nUse\n\nCall the tool with a file, and it prints a summary of it.\n\n-v\n\nsays more about what it does"),
+("plain", """<html><body><p>Once there was a mill by the brook, and no road led to it.<p>The miller had a donkey and a boat.<p>In spring the boat was of more use.</body></html>""",
+ "Once there was a mill by the brook, and no road led to it.\n\nThe miller had a donkey and a boat.\n\nIn spring the boat was of more use."),
+("german", """<html><head><title>g</title></head><body><header><nav><a href='/'>Start</a> <a href='/k'>Kontakt</a></nav></header><article><h1>Der Wald im Herbst</h1><p>Im Oktober fallen die Blätter, und der Weg wird weich.</p><figure><img src=x><figcaption>Ein Weg im Nebel</figcaption></figure><p>Wer früh geht, sieht die Rehe am Rand der Lichtung.</p></article><div class='share social'><a href='#'>Teilen</a></div><footer>Impressum</footer></body></html>""",
+ "Der Wald im Herbst\n\nIm Oktober fallen die Blätter, und der Weg wird weich.\n\nEin Weg im Nebel\n\nWer früh geht, sieht die Rehe am Rand der Lichtung."),
+]
+
+
+@pytest.mark.parametrize("name, page, want", PAGES, ids=[p[0] for p in PAGES])
+def test_pages_labelled_by_hand(spark, name, page, want):
+    """Weights from the words of two texts."""
+    model = _fitted(spark)
+    assert main_text(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"), model).first().text == want
+
+
+_MODELS = []
+
+
+def _fitted(spark):
+    if not _MODELS:
+        _MODELS.append(fit(spark.createDataFrame([(i, f"<p>{t} {i}</p>") for i in range(40) for t in TEXTS], "page_id long, html string")))
+    return _MODELS[0]
