@@ -112,7 +112,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     spans: the detections that stay, in code points. score: the highest priority found
     over LEVELS, at least 0.5 with a base phrase; 0 without findings. Null and empty
-    texts have no words, empty labels and score 0. Repeated rows are scanned alike;
+    texts have no words, empty labels and score 0; an empty table gives an empty result. Repeated rows are scanned alike;
     other columns are ignored. Nothing is shuffled.
     """
     keywords = sorted({k for _, k, _, _ in rules()})

@@ -117,7 +117,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A key (line stripped of white space, A-Z lower-cased, `least` code points or more)
     of two documents or more stays only in the one with the smallest id. Null and empty
-    texts are one empty line. Rows that share an id are one document; rows with a null
+    texts are one empty line; an empty table gives an empty result. Rows that share an id are one document; rows with a null
     id are one document after all others. Other columns are ignored.
     """
     bitmaps = materialize(keep_bitmaps(docs, id_col, text_col, least), "keep-bitmaps")

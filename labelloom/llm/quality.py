@@ -241,7 +241,7 @@ def quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
 
     Null and empty texts have no words and fail the base rules. Documents of a null
     language, or of one beyond the max_languages largest if that is set, are held against
-    the nearest of all references. Repeated rows are judged alike; other columns are ignored.
+    the nearest of all references. An empty table gives an empty result. Repeated rows are judged alike; other columns are ignored.
     """
     refs = references(_inputs(docs, text_col, lang_col), rules)
 

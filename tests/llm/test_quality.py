@@ -88,3 +88,40 @@ def test_no_language_at_all(docs):
 
 def test_empty(docs):
     assert quality(docs([])).count() == 0 and keep_good(docs([])).count() == 0
+
+
+def test_distances_and_verdicts_by_loops(docs):
+    """Histograms, distances and verdicts counted anew for every document."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(21)
+    rows = [(i, prose(rng, rng.randint(20, 200)) + rng.choice(["", "!", " 12 %", "\n"]), rng.choice(["en", "de"])) for i in range(60)]
+    rows += [(100, "x9%% " * 150, "en"), (101, " ".join(f"q{i}" for i in range(90)), "en"), (102, "", "de"), (103, None, "de")]
+    rules = Rules()
+    kind = lambda c: "lower" if c in "abcdefghijklmnopqrstuvwxyz" else "upper" if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else "digit" if c in "0123456789" else "space" if c in " \t\n\v\f\r" else "stop" if c in ".,;:'\"-" else "symbol" if c in "#*$%&|<>" else "mark" if ord(c) < 128 else "beyond"
+    words = lambda t: (t or "").split()
+    refs = {}
+    for lang in ("en", "de"):
+        own = [t or "" for _, t, k in rows if k == lang]
+        counts = Counter(w for t in own for w in words(t))
+        top = sorted(counts, key=lambda w: (-counts[w], w))[: rules.common_words]
+        refs[lang] = Counter(kind(c) for t in own for c in t), {w: counts[w] for w in top}
+
+    def distance(a, b):
+        if not sum(a.values()) or not sum(b.values()):
+            return 0.0
+        p, q = ({k: v / sum(x.values()) for k, v in x.items()} for x in (a, b))
+        part = lambda r: sum(v * math.log2(v / ((p.get(k, 0) + q.get(k, 0)) / 2)) for k, v in r.items() if v)
+        return math.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+    got = {r.doc_id: r for r in quality(docs(rows)).collect()}
+    for i, t, lang in rows:
+        classes, common = refs[lang]
+        own = Counter(w for w in words(t) if w in common)
+        a, b, n = distance(Counter(map(kind, t or "")), classes), distance(own, common), len(words(t))
+        assert math.isclose(got[i].class_distance, a, abs_tol=1e-9) and math.isclose(got[i].word_distance, b, abs_tol=1e-9)
+        far = b if own else 1.0
+        strange = (len(t or "") >= rules.guard_chars and a > rules.max_class_distance) or (n >= rules.guard_words and far > rules.max_word_distance + rules.word_slack / math.sqrt(max(n, 1)))
+        assert got[i].kept == (not got[i].base_failed and not strange), i
+    assert not got[100].kept and not got[101].kept
