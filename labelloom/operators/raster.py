@@ -35,17 +35,15 @@ def mirrored(index: Column, length: int) -> Column:
     return F.when(m < length, m).otherwise(2 * (length - 1) - m)
 
 
-def mirror_places(index: Column, length: int, before: int, after: int) -> Column:
+def mirror_places(index: Column, length: Column | int, before: Column | int, after: Column | int) -> Column:
     """All places, from 0 in the padded image, that show this index: index and its mirror image, again every two lengths."""
-    total = before + length + after
-    if length == 1:
-        return F.sequence(F.lit(0), F.lit(total - 1))
-    period = 2 * (length - 1)
+    length, before, after = (F.lit(v) if isinstance(v, int) else v for v in (length, before, after))
+    total = (before + length + after).cast("int")
+    period = F.greatest(F.lit(1), 2 * (length - 1)).cast("int")
     # places k with k - before = index or -index modulo the period
-    first = F.pmod(index + before, F.lit(period))
-    other = F.pmod(before - index, F.lit(period))
-    run = lambda start: F.when(start < total, F.sequence(start, F.lit(total - 1), F.lit(period))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.concat(run(first.cast("int")), run(other.cast("int"))))
+    first, other = F.pmod(index + before, period).cast("int"), F.pmod(before - index, period).cast("int")
+    run = lambda start: F.when(start < total, F.sequence(start, total - 1, period)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.concat(run(first), run(other)))
 
 
 def reflect_pad(pixels: DataFrame, height: int, width: int, top: int, bottom: int, left: int, right: int, value: str = "v") -> DataFrame:

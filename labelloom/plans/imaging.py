@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions import colour, scalar
 from labelloom.operators import grid, instances, metrics, raster, sampling, tissue, track
+from labelloom.plans import runs
 from labelloom.plans.registry import query, r6
 from labelloom.sources import documents, images
 from labelloom.sources.views import PATCHES_SQL, RASTER_SQL, label_map, patches, read
@@ -389,3 +390,22 @@ def default_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     return read(spark, sf_dir, "part").select("p_partkey", scalar.round_to_multiple(key, 7).cast("double").alias("m"), scalar.escaped_glob(F.concat(F.lit("["), key.cast("string"), F.lit("]"))).alias("escaped"))
+
+
+WHOLE = "i AS (SELECT image_id FROM raster GROUP BY image_id HAVING count(*) = 400)"
+
+
+@query(f"{R}, {WHOLE} SELECT image_id, y, x, r / 255.0::DOUBLE AS np, CAST(b AS DOUBLE) AS v FROM raster JOIN i USING (image_id)")
+def tile_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches of padded images through a predictor that hands back what its centre shows, put together again."""
+    import pandas as pd
+
+    shapes = runs.Shapes(14, 6)
+    pixels = raster_view(spark, sf_dir).select("image_id", "y", "x", "r", "g", "b")
+    sizes = pixels.groupBy("image_id").count().where("count = 400").select("image_id", F.lit(20).alias("height"), F.lit(20).alias("width"))
+
+    def centre(batch: pd.DataFrame) -> pd.Series:
+        cut = [d.reshape(14, 14, 3)[4:10, 4:10] / [255.0, 1.0, 1.0] for d in batch["data"]]
+        return pd.Series([c.ravel() for c in cut], index=batch.index)
+
+    return runs.tile_maps(runs.tile_inputs(pixels, sizes, shapes), centre, sizes, shapes).select("image_id", "y", "x", "np", "v")

@@ -6,12 +6,13 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from labelloom.functions import colour
 from labelloom.operators import grid, instances, kernels, matching, metrics, raster, sampling, tissue, track
-from labelloom.plans import evaluate, slide
+from labelloom.plans import evaluate, runs, slide
 from labelloom.sources import documents, images
 
 
@@ -236,3 +237,50 @@ def test_augmentation_keeps_labels_with_colours(spark):
         grid.extract(spark.createDataFrame([(1, 9, 9)], "image_id long, height int, width int"), 3, 3, "other")
     with pytest.raises(ValueError):
         track.saves(spark.range(1), "id", "id", "id", "!=")
+
+
+def test_shapes():
+    assert (runs.Shapes.of("fast").window, runs.Shapes.of("original", 5).mask) == (256, 80)
+    for bad in (lambda: runs.Shapes(270, 164, "fast"), lambda: runs.Shapes.of("other"), lambda: runs.Shapes(10, 12), lambda: runs.Shapes(12, 10, types=0)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_tiles_slides_and_stats_end_to_end(spark, tmp_path):
+    y, x = np.mgrid[:32, :32]
+    truth = np.zeros((32, 32), int)
+    rgb = np.zeros((32, 32, 3), int)
+    for k, (cy, cx) in enumerate(((8, 8), (8, 22), (22, 12)), 1):
+        own = (y - cy) ** 2 + (x - cx) ** 2 <= 25
+        truth[own], rgb[own] = k, np.stack([np.full_like(y, 200), 128 + 10 * (x - cx), 128 + 10 * (y - cy)], axis=2)[own]
+    rows = [(i, int(a), int(b), *(int(v) for v in rgb[a, b])) for i in (1, 2) for a, b in np.ndindex(32, 32)]
+    pixels = spark.createDataFrame(rows, "image_id long, y int, x int, r int, g int, b int")
+    sizes = spark.createDataFrame([(1, 32, 32), (2, 32, 32)], "image_id long, height int, width int")
+
+    def predict(batch):
+        cut = [d.reshape(20, 20, 3)[4:16, 4:16].astype(float) for d in batch["data"]]
+        maps = [np.stack([c[..., 0] / 255, np.where(c[..., 0] > 0, (c[..., 1] - 128) / 50, 0), np.where(c[..., 0] > 0, (c[..., 2] - 128) / 50, 0), c[..., 0] > 0], axis=2) for c in cut]
+        return pd.Series([m.ravel() for m in maps], index=batch.index)
+
+    shapes = runs.Shapes(20, 12, types=2)
+    types = documents.default_types(spark, 2)
+    objects = runs.run_tiles(pixels, sizes, predict, shapes, str(tmp_path / "o"), types, qupath=True, raw=True)
+    found = {(r.image_id, round(r.centroid[1]), round(r.centroid[0]), r.type) for r in objects.collect()}
+    assert found == {(i, cy, cx, 1) for i in (1, 2) for cy, cx in ((8, 8), (8, 22), (22, 12))}
+    back = documents.from_documents(spark.read.parquet(str(tmp_path / "o" / "json")), strict=True)
+    assert back.count() == 6 and spark.read.parquet(str(tmp_path / "o" / "tables")).count() == 6 and spark.read.parquet(str(tmp_path / "o" / "raw_map")).count() == 2 * 32 * 32
+    assert len(list((tmp_path / "o" / "qupath").glob("image_id=*/part-*"))) == 2
+    labels = kernels.separated(spark.read.parquet(str(tmp_path / "o" / "raw_map")))
+    true = sparse(spark, truth).unionByName(sparse(spark, truth, 2))
+    stats = runs.compute_stats(true, labels).first()
+    assert stats.images == 2 and stats.dice1 > 0.95 and stats.aji_plus > 0.9 and stats.dq == 1.0
+    points = lambda df: df.select("image_id", F.col("inst_id").alias("idx"), F.col("centroid")[0].alias("x"), F.col("centroid")[1].alias("y"), F.lit(1).alias("type"))
+    assert runs.compute_stats(points(objects), points(objects), "type").first().f1_1 == 1.0
+    with pytest.raises(ValueError):
+        runs.compute_stats(true, labels, "other")
+    maps = spark.read.parquet(str(tmp_path / "o" / "raw_map"))
+    hand_on = lambda batch: batch[["image_id", "y", "x", "np", "h", "v", "tp"]].astype({"tp": int})
+    out = str(tmp_path / "slides")
+    first = runs.run_slides(maps.where("image_id = 1"), hand_on, sizes.where("image_id = 1"), out, 32, 8)
+    again = runs.run_slides(maps, hand_on, sizes, out, 32, 8, preproc=lambda rows: rows.where("np >= 0"))
+    assert [r.image_id for r in first.collect()] == [1] and [r.image_id for r in again.collect()] == [2] and spark.read.parquet(out).count() == 2
