@@ -26,6 +26,11 @@ def one_hot(kind: Column, classes: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda i: (i == kind).cast("int"))
 
 
+def foreground(share: Column, threshold: float = 0.5, strict: bool = False) -> Column:
+    """1 from the threshold on, or with `strict` above it, else 0."""
+    return (share > threshold if strict else share >= threshold).cast("int")
+
+
 def recode(kind: Column, groups: dict[int, Sequence[int]]) -> Column:
     """Class merge: every listed class becomes its group's."""
     out = kind

@@ -25,6 +25,19 @@ def type_vote(labels: DataFrame) -> DataFrame:
     return ranked.where("r = 1").select(*OBJECT, "type_id", (F.col("n") / (F.col("area") + 1e-6)).alias("type_prob"))
 
 
+def described(labels: DataFrame) -> DataFrame:
+    """boxes() and type_vote() of labels with type_id, in one pass: counts by type first, then one row an object; no join."""
+    by_type = labels.groupBy(*OBJECT, "type_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1")
+    )
+    best = F.max(F.struct((F.col("type_id") != 0).alias("own"), F.col("n"), (-F.col("type_id")).alias("low")))
+    area = F.sum("n")
+    return by_type.groupBy(*OBJECT).agg(
+        F.min("y0").alias("y0"), (F.max("y1") + 1).alias("y1"), F.min("x0").alias("x0"), (F.max("x1") + 1).alias("x1"), (F.sum("sx") / area).alias("cx"), (F.sum("sy") / area).alias("cy"), area.alias("area"),
+        (-best["low"]).cast("int").alias("type_id"), (best["n"] / (area + 1e-6)).alias("type_prob"),
+    )
+
+
 def remap(labels: DataFrame, by_size: bool = False) -> DataFrame:
     """New ids from 1 for each image, by id or by falling area: image_id, inst_id, new_id. Ranks run over objects, not pixels."""
     sizes = labels.groupBy(*OBJECT).agg(F.count(F.lit(1)).alias("area"))

@@ -57,6 +57,18 @@ def given_mask(greys: DataFrame) -> DataFrame:
     return greys.where("grey > 0").select("image_id", "y", "x")
 
 
+def connected_parts(mask: DataFrame, diagonal: bool = False) -> DataFrame:
+    """mask: image_id, y, x of tiles or thumbnails; a group is one of them. Its connected parts as inst_id, numbered in reading order."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = rows["y"].min(), rows["x"].min()
+        grid = np.zeros((rows["y"].max() - y0 + 1, rows["x"].max() - x0 + 1), bool)
+        grid[rows["y"] - y0, rows["x"] - x0] = True
+        return rows.assign(inst_id=kernels.components(grid, diagonal)[rows["y"] - y0, rows["x"] - x0])
+
+    return mask.select("image_id", "y", "x").groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, inst_id int")
+
+
 def remove_small_parts(mask: DataFrame, min_size: int, diagonal: bool = False) -> DataFrame:
     """mask: image_id, y, x of tiles or thumbnails. Pixels of connected parts of at least min_size pixels."""
 

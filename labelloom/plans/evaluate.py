@@ -43,7 +43,7 @@ def instance_stats(truth: DataFrame, guess: DataFrame) -> DataFrame:
 
 def points(labels: DataFrame) -> DataFrame:
     """Centroids with voted types: image_id, idx, x, y, type."""
-    return instances.boxes(labels).join(instances.type_vote(labels), ["image_id", "inst_id"]).select("image_id", F.col("inst_id").alias("idx"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("type_id").alias("type"))
+    return instances.described(labels).select("image_id", F.col("inst_id").alias("idx"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("type_id").alias("type"))
 
 
 def type_stats(truth: DataFrame, guess: DataFrame, kinds: list[int] | None = None, radius: float = 12, exhaustive: bool = True) -> DataFrame:
@@ -67,11 +67,11 @@ def infer(patches: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], s
 def records(labels: DataFrame, maps: DataFrame | None = None) -> DataFrame:
     """Object records of a label map: boxes, centroids, contours, and types voted from maps (image_id, y, x, tp). Objects whose contour has under three points have none."""
     shapes = kernels.contours(labels).where(F.size("contour") >= 3)
-    out = instances.boxes(labels).join(shapes, ["image_id", "inst_id"])
     if maps is not None and "tp" in maps.columns:
-        out = out.join(instances.type_vote(labels.join(maps.select("image_id", "y", "x", F.col("tp").cast("int").alias("type_id")), ["image_id", "y", "x"])), ["image_id", "inst_id"])
+        out = instances.described(labels.join(maps.select("image_id", "y", "x", F.col("tp").cast("int").alias("type_id")), ["image_id", "y", "x"]))
     else:
-        out = out.withColumns({"type_id": F.lit(None).cast("int"), "type_prob": F.lit(None).cast("double")})
+        out = instances.boxes(labels).withColumns({"type_id": F.lit(None).cast("int"), "type_prob": F.lit(None).cast("double")})
+    out = out.join(shapes, ["image_id", "inst_id"])
     return out.select("image_id", "inst_id", F.array(F.array("y0", "x0"), F.array("y1", "x1")).alias("bbox"), F.array("cx", "cy").alias("centroid"), "contour", "type_prob", F.col("type_id").alias("type"))
 
 

@@ -308,9 +308,12 @@ def greys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster_view(spark, sf_dir).select("image_id", "y", "x", colour.grey(F.col("r"), F.col("g"), F.col("b")).alias("grey"))
 
 
-@query(f"""{GREY}, c AS (SELECT image_id, grey, count(*) AS n FROM q GROUP BY ALL), s AS (SELECT t.image_id, t.grey, sum(c.n) FILTER (WHERE c.grey <= t.grey)::DOUBLE AS d, sum(c.n * c.grey) FILTER (WHERE c.grey <= t.grey)::DOUBLE AS dm, sum(c.n) FILTER (WHERE c.grey > t.grey)::DOUBLE AS l, sum(c.n * c.grey) FILTER (WHERE c.grey > t.grey)::DOUBLE AS lm FROM c t JOIN c ON c.image_id = t.image_id GROUP BY ALL),
-    v AS (SELECT image_id, grey, row_number() OVER (PARTITION BY image_id ORDER BY round(coalesce(d * l * (dm / d - lm / nullif(l, 0)) * (dm / d - lm / nullif(l, 0)), 0), 3) DESC, grey) AS k FROM s)
-    SELECT q.image_id, q.y, q.x FROM q JOIN v ON v.image_id = q.image_id AND k = 1 WHERE q.grey <= v.grey""")
+DARK = f"""{GREY}, c AS (SELECT image_id, grey, count(*) AS n FROM q GROUP BY ALL), s AS (SELECT t.image_id, t.grey, sum(c.n) FILTER (WHERE c.grey <= t.grey)::DOUBLE AS d, sum(c.n * c.grey) FILTER (WHERE c.grey <= t.grey)::DOUBLE AS dm, sum(c.n) FILTER (WHERE c.grey > t.grey)::DOUBLE AS l, sum(c.n * c.grey) FILTER (WHERE c.grey > t.grey)::DOUBLE AS lm FROM c t JOIN c ON c.image_id = t.image_id GROUP BY ALL),
+    v AS (SELECT image_id, grey, row_number() OVER (PARTITION BY image_id ORDER BY round(coalesce(d * l * (dm / d - lm / nullif(l, 0)) * (dm / d - lm / nullif(l, 0)), 0), 3) DESC, grey) AS k FROM s),
+    dark AS (SELECT q.image_id, q.y, q.x FROM q JOIN v ON v.image_id = q.image_id AND k = 1 WHERE q.grey <= v.grey)"""
+
+
+@query(f"{DARK} SELECT * FROM dark")
 def dark_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tissue.binary(greys(spark, sf_dir))
 
@@ -321,7 +324,27 @@ def tissue_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tissue.tissue_mask(g, g.select("image_id").distinct().select("image_id", F.lit(20).alias("height"), F.lit(20).alias("width")), 8, 6, 1)
 
 
-@query()
+def _parts_sql(near: str) -> str:
+    """Places of `dark` that steps within it join, by the first in reading order, and the size of their part."""
+    return f"""link AS (SELECT a.image_id, a.y * 20 + a.x AS p, b.y * 20 + b.x AS q FROM dark a JOIN dark b ON b.image_id = a.image_id AND {near}),
+    reach AS (SELECT image_id, y * 20 + x AS p, y * 20 + x AS q FROM dark UNION SELECT r.image_id, r.p, l.q FROM reach r JOIN link l ON l.image_id = r.image_id AND l.p = r.q),
+    first AS (SELECT image_id, p, min(q) AS f, count(*) AS n FROM reach GROUP BY ALL)"""
+
+
+CLOSE, ROUND = "abs(a.y - b.y) + abs(a.x - b.x) = 1", "greatest(abs(a.y - b.y), abs(a.x - b.x)) = 1"
+
+
+@query(f"{DARK.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_parts_sql(CLOSE)} SELECT image_id, CAST(p // 20 AS INT) AS y, CAST(p % 20 AS INT) AS x, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY f) AS INT) AS inst_id FROM first")
+def connected_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tissue.connected_parts(tissue.binary(greys(spark, sf_dir)))
+
+
+@query(f"{DARK.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_parts_sql(ROUND)} SELECT image_id, CAST(p // 20 AS INT) AS y, CAST(p % 20 AS INT) AS x FROM first WHERE n >= 6")
+def remove_small_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tissue.remove_small_parts(tissue.binary(greys(spark, sf_dir)), 6, diagonal=True)
+
+
+@query(f"{DARK.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_parts_sql(CLOSE)} SELECT image_id, CAST(p // 20 AS INT) AS y, CAST(p % 20 AS INT) AS x FROM first WHERE n >= 6")
 def remove_small_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tissue.remove_small_parts(tissue.binary(greys(spark, sf_dir)), 6)
 
@@ -386,6 +409,21 @@ def default_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.checked_types(documents.default_types(spark, 6), 6)
 
 
+@query(f"{R} SELECT image_id, y, x, CAST(r / 255.0::DOUBLE >= 0.2 AS INT) AS inferred, CAST(r / 255.0::DOUBLE > 0.2 AS INT) AS validated, CAST(true_id > 0 AS INT) AS label FROM raster")
+def binarised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Foreground of shares: at the threshold it counts in inference, and not in validation."""
+    share = F.col("r") / 255.0
+    return raster_view(spark, sf_dir).select("image_id", "y", "x", scalar.foreground(share, 0.2).alias("inferred"), scalar.foreground(share, 0.2, strict=True).alias("validated"), scalar.foreground(F.col("true_id"), 0, strict=True).alias("label"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN k ELSE CASE WHEN k = 'b' THEN k ELSE 'module.' || k END END AS name, i AS value FROM part, (VALUES ('a', 1), ('b', 2), ('c', 3)) t(k, i)")
+def stripped_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parameters without their prefix, where all have it."""
+    name = lambda k: F.when((F.col("p_partkey") % 3 == 0) & F.lit(k == "b"), k).otherwise(f"module.{k}")
+    params = F.map_from_arrays(F.array(*(name(k) for k in "abc")), F.array(F.lit(1), F.lit(2), F.lit(3)))
+    return read(spark, sf_dir, "part").select("p_partkey", params.alias("p")).select("p_partkey", F.explode(documents.stripped_keys(F.col("p"))).alias("name", "value"))
+
+
 @query("SELECT p_partkey, CAST(p_partkey // 7 * 7 AS DOUBLE) AS m, '[[]' || p_partkey || ']' AS escaped FROM part")
 def path_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")

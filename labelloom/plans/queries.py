@@ -354,8 +354,7 @@ CENTRES = f"{LABELS}, {VOTE}, {TYPES_SQL}, obj AS (SELECT l.image_id, l.inst_id,
 
 
 def centres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = typed(spark, sf_dir)
-    return instances.boxes(t).join(instances.type_vote(t), ["image_id", "inst_id"])
+    return instances.described(typed(spark, sf_dir))
 
 
 @query(f"{CENTRES} SELECT image_id, inst_id, CAST(trunc(cx * 2) AS INT) AS x, CAST(trunc(cy * 2) AS INT) AS y, '' AS class, name, CAST(r * 65536 + g * 256 + b AS INT) AS color FROM obj JOIN types t ON t.type_id = obj.type_id")
@@ -495,7 +494,15 @@ def contours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.contours(truth(spark, sf_dir))
 
 
-@query()
+#: Places of an object that steps within it join, by their first in reading order.
+PARTS = """link AS (SELECT a.image_id, a.inst_id, a.y * 20 + a.x AS p, b.y * 20 + b.x AS q FROM lab a JOIN lab b ON b.image_id = a.image_id AND b.inst_id = a.inst_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1),
+    reach AS (SELECT image_id, inst_id, y * 20 + x AS p, y * 20 + x AS q FROM lab UNION SELECT r.image_id, r.inst_id, r.p, l.q FROM reach r JOIN link l ON l.image_id = r.image_id AND l.inst_id = r.inst_id AND l.p = r.q),
+    first AS (SELECT image_id, inst_id, p, min(q) AS f FROM reach GROUP BY ALL)"""
+
+
+@query(f"""{LABELS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {PARTS}, parts AS (SELECT image_id, inst_id, f, row_number() OVER (PARTITION BY image_id, inst_id ORDER BY f) AS part FROM (SELECT DISTINCT image_id, inst_id, f FROM first)),
+    ids AS (SELECT *, CASE WHEN part = 1 THEN inst_id ELSE max(inst_id) OVER (PARTITION BY image_id) + sum(CAST(part > 1 AS INT)) OVER (PARTITION BY image_id ORDER BY inst_id, part) END AS id FROM parts)
+    SELECT x.image_id, CAST(x.p // 20 AS INT) AS y, CAST(x.p % 20 AS INT) AS x, CAST(i.id AS INT) AS inst_id FROM first x JOIN ids i ON i.image_id = x.image_id AND i.inst_id = x.inst_id AND i.f = x.f""")
 def split_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.split_parts(truth(spark, sf_dir))
 
