@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,14 +82,14 @@ class Spelling:
 
     def __init__(self, table: np.ndarray, counts: np.ndarray, bytes_: np.ndarray, first: np.ndarray):
         k = len(first)
-        self.table, self.first, self.classes = table.astype(np.uint8).tobytes(), first, k
+        self.table, self.first, self.classes = table.astype(np.int64), first, k
         two = counts.sum(axis=0)
         by_one = (two + 0.5) / (two.sum(axis=1, keepdims=True) + 0.5 * k)
         by_two = (counts + self.SMOOTH * by_one[None]) / (counts.sum(axis=2, keepdims=True) + self.SMOOTH)
-        self.logs = np.log(by_two).ravel().tolist()
+        self.logs = np.log(by_two).ravel()
         share = (bytes_ + 0.5).astype(float)
         total = np.bincount(table, weights=share, minlength=k)
-        self.within = np.log(share / total[table]).tolist()
+        self.within = np.log(share / total[table])
 
     @staticmethod
     def byte_table(bytes_: np.ndarray, classes: int) -> np.ndarray:
@@ -98,27 +98,32 @@ class Spelling:
         table[frequent[bytes_[frequent] > 0]] = np.arange(1, 1 + int((bytes_[frequent] > 0).sum()))
         return table
 
-    def bucket(self, word: bytes) -> int:
-        return self.table[word[0]]
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The classes of the words' first bytes, and the log-probabilities of the words, given those."""
+        data, sizes = _joined(words)
+        ends = np.cumsum(sizes)
+        own = self.table[data]
+        own[ends - 1] = 0
+        before = np.r_[0, own[:-1]]
+        logs = self.logs[(np.r_[0, before[:-1]] * self.classes + before) * self.classes + own] + self.within[data]
+        firsts = ends - sizes
+        logs[firsts] = self.within[data[firsts]]  # their classes are the network's
+        logs[ends - 1] -= self.within[0]  # the place after a word is no byte
+        return own[firsts], np.add.reduceat(logs, firsts)
 
     def log(self, word: bytes) -> float:
-        """Of the word, given its first byte's class."""
-        k, logs, within = self.classes, self.logs, self.within
-        of = word.translate(self.table)
-        out, before, last = within[word[0]], 0, of[0]
-        for i in range(1, len(of)):
-            own = of[i]
-            out += logs[(before * k + last) * k + own] + within[word[i]]
-            before, last = last, own
-        return out + logs[(before * k + last) * k]
+        return float(self.of([word])[1][0])
 
 
-def _flat(words: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+def _joined(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of words, each with a place after it, and how long each is with it."""
-    data = [w.encode() for w in words]
     return np.frombuffer(b"\0".join([*data, b""]), np.uint8), np.fromiter(map(len, data), np.int64, len(data)) + 1
 
 
+def _flat(words: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    return _joined([w.encode() for w in words])
+
+
 def _bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """key: a byte, or 256 more for a first byte."""
     total = np.zeros(512, np.int64)
@@ -170,35 +175,41 @@ def spelling(counted: DataFrame, ranked: list[bytes], shape: Shape) -> Spelling:
 
 
 class Words(dict):
-    """Word -> slot: the most frequent words by rank, others as they come, until a text has filled up the room for them."""
+    """Word -> slot: the most frequent words by rank, others as they come, until a batch has filled up the room for them."""
 
     def __init__(self, ranked: list[bytes], spelled: Spelling, shape: Shape):
-        super().__init__((w, i) for i, w in enumerate(ranked))
+        super().__init__()
         self.ranked, self.spelled, self.shape = ranked, spelled, shape
-        room = len(ranked) + FLUSH
-        self._ids, self._logs = np.zeros(room, np.int32), np.zeros(room)
-        self._ids[: len(ranked)] = np.arange(len(ranked))
+        self._reset()
+
+    def _reset(self) -> None:
+        self.clear()
+        self.update((w, i) for i, w in enumerate(self.ranked))
+        self._fresh: list[bytes] = []
+        self._ids, self._logs = np.arange(len(self.ranked), dtype=np.int32), np.zeros(len(self.ranked))
 
     def __missing__(self, word: bytes) -> int:
-        slot = len(self)
-        if slot == len(self._ids):
-            self._ids, self._logs = (np.r_[x, np.zeros(slot, x.dtype)] for x in (self._ids, self._logs))
-        self._ids[slot] = self.shape.words - self.shape.buckets + self.spelled.bucket(word)
-        self._logs[slot] = self.spelled.log(word)
-        self[word] = slot
+        slot = self[word] = len(self)
+        self._fresh.append(word)
         return slot
 
-    def coded(self, text: str) -> tuple[np.ndarray, float]:
-        """The network's ids of a text's words, and the log-probability of the spelling of the others."""
-        words = text.encode().lower().split()
-        if len(self) > len(self.ranked) + FLUSH // 2:
-            self.clear()
-            self.update((w, i) for i, w in enumerate(self.ranked))
-        slots = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self._ids[slots], float(self._logs[slots].sum())
+    def coded(self, texts: Iterable[str]) -> list[tuple[np.ndarray, float]]:
+        """For each text the network's ids of its words, and the log-probability of the spelling of the others. New words are spelled together."""
+        if len(self) > len(self.ranked) + FLUSH:
+            self._reset()
+        slots = []
+        for text in texts:
+            words = text.encode().lower().split()
+            slots.append(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
+        if self._fresh:
+            first, logs = self.spelled.of(self._fresh)
+            self._ids = np.r_[self._ids, (self.shape.words - self.shape.buckets + first).astype(np.int32)]
+            self._logs = np.r_[self._logs, logs]
+            self._fresh = []
+        return [(self._ids[s], float(self._logs[s].sum())) for s in slots]
 
     def ids(self, text: str) -> np.ndarray:
-        return self.coded(text)[0]
+        return self.coded([text])[0][0]
 
 
 class Network:
@@ -315,8 +326,7 @@ def _coded(words: Words, shape: Shape, shards: int):
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for doc, text in zip(rows["doc_id"], rows["text"], strict=True):
-                ids, spelled = words.coded(text)
+            for doc, text, (ids, spelled) in zip(rows["doc_id"], rows["text"], words.coded(rows["text"]), strict=True):
                 mark = zlib.crc32(text.encode())
                 out.append((zlib.crc32(f"{shape.seed}:{doc}:{mark}".encode()) % shards, doc, mark, ids.astype("<u2").tobytes(), spelled))
             yield pd.DataFrame(out, columns=["shard", "doc", "mark", "ids", "spelled"])
