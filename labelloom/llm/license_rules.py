@@ -195,7 +195,7 @@ SIGNATURES = [
     ("ofl-1.1", 5, r"(?:http|https)://scripts\.sil\.org/ofl"),
     ("ofl-1.1", 3, r"the font software may be modified, altered, or added to"),
     ("wtfpl", 4, r"you just do what the fuck you want to"),
-    ("beerware", 4, r"if we meet some day, and you think this stuff is worth it, you can buy me a beer"),
+    ("beerware", 4, r"the beer-?ware licen[sc]e"),
     ("json", 4, r"the software shall be used for good, not evil"),
     ("curl", 4, r"except as contained in this notice, the name of a copyright holder shall not be used in advertising"),
     ("ijg", 4, r"this software is based in part on the work of the independent jpeg group"),
@@ -237,9 +237,15 @@ SIGNATURES = [
     ("public-domain", 3, r"is in the public domain"),
     ("public-domain", 3, r"this work has been identified as being free of known restrictions under copyright law"),
     ("public-domain", 3, r"a work of the united states government"),
-    ("no-redistribution", 2, r"may not (?:be )?(?:copy|copied|redistributed?|distributed?) .{0,60}?(?:permission|licen[sc]e|rights)"),
-    ("no-redistribution", 2, r"must not (?:be )?(?:copy|copied|redistributed?|distributed?) .{0,60}?(?:permission|licen[sc]e|rights)"),
-    ("no-redistribution", 2, r"no rights? to (?:be )?(?:copy|copied|redistributed?|distributed?) .{0,60}?(?:permission|licen[sc]e|rights)"),
+    ("no-redistribution", 2, r"may not (?:be )?(?:copy|copied|redistributed?|distributed?) .{0,60}?permission"),
+    ("no-redistribution", 2, r"may not (?:be )?(?:copy|copied|redistributed?|distributed?) .{0,60}?licen[sc]e"),
+    ("no-redistribution", 2, r"may not (?:be )?(?:copy|copied|redistributed?|distributed?) .{0,60}?rights"),
+    ("no-redistribution", 2, r"must not (?:be )?(?:copy|copied|redistributed?|distributed?) .{0,60}?permission"),
+    ("no-redistribution", 2, r"must not (?:be )?(?:copy|copied|redistributed?|distributed?) .{0,60}?licen[sc]e"),
+    ("no-redistribution", 2, r"must not (?:be )?(?:copy|copied|redistributed?|distributed?) .{0,60}?rights"),
+    ("no-redistribution", 2, r"no rights? to (?:be )?(?:copy|copied|redistributed?|distributed?) .{0,60}?permission"),
+    ("no-redistribution", 2, r"no rights? to (?:be )?(?:copy|copied|redistributed?|distributed?) .{0,60}?licen[sc]e"),
+    ("no-redistribution", 2, r"no rights? to (?:be )?(?:copy|copied|redistributed?|distributed?) .{0,60}?rights"),
     ("no-redistribution", 2, r"no part of this (?:publication|book|work|document) may be reproduced"),
     ("no-redistribution", 2, r"without the prior written permission of the (?:publisher|author|copyright (?:owner|holder))"),
     ("no-redistribution", 2, r"unauthori[sz]ed (?:copying|reproduction|distribution|use) of this"),
@@ -260,7 +266,6 @@ SIGNATURES = [
     ("licensed", 1, r"licen[sc]e file in the root"),
     ("licensed", 1, r"licen[sc]ed under the terms"),
     ("dual", 2, r"dual[ -]licen[sc]ed under"),
-    ("dual", 2, r"at your option,? under (?:either|any) of"),
 ]
 
 

@@ -8,46 +8,53 @@ suppressed by a sweep over the sorted intervals.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_rules import LEVELS, WORD_CHAR, rules
+from .license_rules import LEVELS, SIGNATURES, WORD_CHAR, literals, rules
 
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
 
-#: A finding holds one of these, or one of the keywords that none of these is part of.
-GATE = (
-    "licen", "copyright", "permi", "warrant", "rights", "reserv", "distribut", "reproduc", "public domain", "publicdomain", "general public", "gpl", "cc0", "cc by", "cc-by",
-    "creative commons", "creativecommons", "software", "commercial", "apache", "bsd",
-)
+#: Words that many rules hold; rules without any of them add their own.
+GATE = ("licen", "copyright", "permi", "warrant", "rights", "reserv", "distribut", "reproduc", "domain", "public", "commons", "gpl", "cc0", "software", "apache", "bsd", "perl", "fuck", "mining", "train", "clause", "notice", "unencumbered")
+#: What the gate's words don't tell: two letters are in too many words.
+GATE_PATTERN = f"(?i)cc{BETWEEN}by"
 
 
-def gate() -> str:
-    """Every match of a rule, and every base phrase, holds a match of this."""
-    held = [[*keyword.split("|")] for _, keyword, pattern, _ in rules() if "licen[sc]" not in pattern and "license-" not in pattern]
-    more = {k for keywords in held for k in keywords if not any(g in k for g in GATE)}
-    # where 'licen[sc]e' stands in a group, a match need not hold it: the keyword is asked for
-    more |= {k for _, keyword, pattern, _ in rules() if "licen[sc]" in pattern and not _always(pattern) for k in keyword.split("|") if not any(g in k for g in GATE)}
-    words = sorted(w.replace(" ", r"\s+") for w in {*GATE, *more})
-    return "(?i)" + "|".join(re.escape(w) if "\\" not in w else w for w in words) + "|" + "|".join(BETWEEN.join(p.split()) for p in BASE.values())
+#: Keywords of the signatures.
+SPELLED = frozenset(literals(pattern)[0] for _, _, pattern in SIGNATURES)
+
+
+def gate_words() -> list[str]:
+    """Every match of a rule, and every base phrase, holds one of these in lower case, or a match of GATE_PATTERN; none has a blank, as white space varies."""
+    words = set(GATE)
+    held = [[k] for _, keyword, pattern, _ in rules() if keyword not in SPELLED and not _always(pattern) for k in keyword.split("|")]
+    held += [runs for _, _, pattern in SIGNATURES if not _always(f"({pattern})") for runs in [literals(pattern)]]
+    for runs in held:
+        if not any(g in run for g in words for run in runs) and runs[0] not in ("cc by", "cc-by"):
+            words.add(max(runs[0].split(), key=len))
+    return sorted(words)
 
 
 def _always(pattern: str) -> bool:
-    """Whether 'licen[sc]' stands outside of all groups but the outermost, so that every match holds it."""
     depth = 0
     for i, c in enumerate(pattern):
         depth += (c == "(") - (c == ")")
-        if depth == 1 and pattern.startswith("licen[sc]", i):
+        if depth == 1 and pattern.startswith(("licen[sc]", "license"), i):
             return True
     return False
 
 
+def gated(text: Column) -> Column:
+    low = F.lower(text)
+    return reduce(or_, (F.contains(low, F.lit(w)) for w in gate_words())) | text.rlike(GATE_PATTERN)
+
+
 def phrase_pattern(phrase: str) -> str:
     return rf"(?i)(?<!{WORD_CHAR}){BETWEEN.join(phrase.split())}(?!{WORD_CHAR})"
 
@@ -118,7 +125,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keywords = sorted({k for _, k, _, _ in rules()})
     text = F.col("_text")
     holds = lambda k: reduce(or_, (F.contains(F.col("_low"), F.lit(w)) for w in k.split("|")))
-    spot = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_gate", text.rlike(gate()))
+    spot = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_gate", gated(text))
     when = lambda x: F.when(F.col("_gate"), x)
     counts = {label: F.coalesce(when(F.regexp_count(text, F.lit(phrase_pattern(p)))), F.lit(0)) for label, p in BASE.items()}
     spot = spot.withColumns({"_n_" + label: n for label, n in counts.items()} | {"n_words": count_words(text)})
