@@ -50,8 +50,8 @@ def _always(pattern: str) -> bool:
     return False
 
 
-def gated(text: Column) -> Column:
-    low = F.lower(text)
+def gated(text: Column, low: Column) -> Column:
+    """low: the text in lower case."""
     return reduce(or_, (F.contains(low, F.lit(w)) for w in gate_words())) | text.rlike(GATE_PATTERN)
 
 
@@ -125,7 +125,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keywords = sorted({k for _, k, _, _ in rules()})
     text = F.col("_text")
     holds = lambda k: reduce(or_, (F.contains(F.col("_low"), F.lit(w)) for w in k.split("|")))
-    spot = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_gate", gated(text))
+    spot = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_lower", F.lower(text)).withColumn("_gate", gated(text, F.col("_lower")))
     when = lambda x: F.when(F.col("_gate"), x)
     counts = {label: F.coalesce(when(F.regexp_count(text, F.lit(phrase_pattern(p)))), F.lit(0)) for label, p in BASE.items()}
     spot = spot.withColumns({"_n_" + label: n for label, n in counts.items()} | {"n_words": count_words(text)})
@@ -138,7 +138,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base_labels = F.array_sort(F.array_compact(F.array(*(F.when(F.col(f"`_n_{label}`") > 0, label) for label in BASE))))
     none = F.expr("cast(array() as array<struct<start:int,end:int,label:string,priority:int,rank:int>>)")
     found = (
-        spot.withColumn("_low", when(F.regexp_replace(F.lower(text), r"\s+", " ")))
+        spot.withColumn("_low", when(F.regexp_replace("_lower", r"\s+", " ")))
         .withColumn("_keywords", when(F.array_compact(F.array(*(F.when(holds(k), F.lit(k)) for k in keywords)))))
         .withColumn("spans", F.coalesce(when(_suppressed(F.flatten(F.transform(_rules_of(F.col("_keywords")), lambda r: _spans(text, r))))), none))
         .withColumn("_base", base_labels)
