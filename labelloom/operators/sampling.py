@@ -25,25 +25,20 @@ def shuffled(df: DataFrame, key: Column, seed: int) -> DataFrame:
     return numbered(df, digest(seed, key))
 
 
-def batches(ranked: DataFrame, size: int, drop_last: bool = False) -> DataFrame:
-    """ranked rows with their batch and place in it; drop_last: without a last batch that is not full."""
+def batches(ranked: DataFrame, size: int, total: int | None = None) -> DataFrame:
+    """ranked rows with their batch and place in it; total: of all rows, if a last batch that is not full is to be dropped."""
     out = ranked.withColumns({"batch": F.expr(f"rank div {size}"), "place": F.col("rank") % size})
-    if not drop_last:
-        return out
-    total = ranked.agg(F.count(F.lit(1)).alias("_n"))
-    return out.crossJoin(F.broadcast(total)).where(F.col("batch") < F.expr(f"_n div {size}")).drop("_n")  # one row
+    return out if total is None else out.where(F.col("batch") < total // size)
 
 
 def training_order(df: DataFrame, key: Column, size: int, seed: int, train: bool) -> DataFrame:
-    """Batches of a run: shuffled and full ones for training; in the order of keys, all of them, otherwise."""
+    """Batches of a run: shuffled and full ones for training, for which rows are counted first; in the order of keys, all of them, otherwise."""
     order = digest(seed, key) if train else F.lpad(F.hex(key.cast("long")), 32, "0")
-    return batches(numbered(df, order, digits=3 if train else 29), size, drop_last=train)
+    return batches(numbered(df, order, digits=3 if train else 29), size, df.count() if train else None)
 
 
 def drawn(df: DataFrame, key: Column, n: int, seed: int) -> DataFrame:
-    """n rows with replacement, as `draw` 0 to n - 1: seeded places joined to seeded ranks."""
-    ranked = shuffled(df, key, seed)
-    total = ranked.agg(F.count(F.lit(1)).alias("_n"))
-    places = df.sparkSession.range(n).select(F.col("id").alias("draw")).crossJoin(F.broadcast(total))  # one row
-    share = F.conv(F.substring(digest(seed + 1, F.col("draw")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return ranked.join(F.broadcast(places.select("draw", F.floor(share * F.col("_n")).alias("rank"))), "rank").drop("rank")
+    """n rows with replacement, as `draw` 0 to n - 1: seeded places joined to seeded ranks. Rows are counted first."""
+    share = F.conv(F.substring(digest(seed + 1, F.col("id")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    places = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.floor(share * df.count()).alias("rank"))
+    return shuffled(df, key, seed).join(places, "rank").drop("rank")

@@ -379,8 +379,8 @@ def patch_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both inputs of training from all patches, summed up."""
     colours, targets = images.training_rows(cut(spark, sf_dir), 8, 4, min_size=1)
-    a = colours.agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.col("r") * F.col("y") + F.col("g") * F.col("x") + F.col("b")).alias("mixed"))
-    return a.crossJoin(targets.agg(F.sum("np").alias("np")))  # one row each
+    both = colours.select(F.lit(1).alias("pixel"), (F.col("r") * F.col("y") + F.col("g") * F.col("x") + F.col("b")).alias("mixed")).unionByName(targets.select("np"), allowMissingColumns=True)
+    return both.agg(F.sum("pixel").alias("pixels"), F.sum("mixed").alias("mixed"), F.sum("np").alias("np"))
 
 
 @query(f"{LAB}, o AS (SELECT image_id, inst_id, avg(x) AS cx, avg(y) AS cy, max(type_id) AS k FROM lab GROUP BY ALL) SELECT image_id, inst_id AS inst_uid, round(cx, 6) AS cx, round(cy, 6) AS cy, k AS inst_type FROM o")

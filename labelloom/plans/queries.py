@@ -436,8 +436,8 @@ def _of_boxes_sql(boxes: list[tuple], live: str) -> str:
 def of_boxes(spark: SparkSession, sf_dir: str, boxes: list[tuple], live: set[int]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """True objects, predicted ones of the live boxes under ids of the boxes, and the boxes of all images."""
     pixels = raster_view(spark, sf_dir)
-    table = spark.createDataFrame(boxes, "box_id long, y0 int, x0 int, y1 int, x1 int")
-    every = pixels.select("image_id").distinct().crossJoin(F.broadcast(table))  # a fixed handful
+    table = F.array(*(F.struct(F.lit(b[0]).cast("long").alias("box_id"), *(F.lit(v).alias(n) for v, n in zip(b[1:], ("y0", "x0", "y1", "x1"), strict=True))) for b in boxes))
+    every = pixels.select("image_id").distinct().select("image_id", F.explode(table).alias("b")).select("image_id", "b.*")
     new = grid.in_boxes(label_map(pixels, "pred_id"), every.where(F.col("box_id").isin(*live))).withColumn("inst_id", F.expr("inst_id % 6 + 1"))
     return label_map(pixels, "true_id"), new.select("image_id", "box_id", "y", "x", "inst_id"), every
 
