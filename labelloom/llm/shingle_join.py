@@ -27,7 +27,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,30 +64,73 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-class _Hashes(dict):
-    """Hashes of words by word; most words of a text are frequent ones."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Odd, so it has an inverse modulo 2^64: a word's polynomial is a difference of two sums from the text's start, moved back to its own.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
+class _Powers:
+    """Powers of the base and of its inverse, up to the longest text so far."""
 
-_HASHES = _Hashes()
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = 1 << (n - 1).bit_length()
+            cls.up, cls.down = (np.cumprod(np.r_[np.uint64(1), np.full(size - 1, k, np.uint64)], dtype=np.uint64) for k in (_BASE, _INVERSE))
+        return cls.up[:n], cls.down[:n]
+
+
+#: Bytes whose words are hashed at once: each takes some tens of bytes meanwhile.
+PIECE = 1 << 18
+
+
+def _next_space(letters: np.ndarray, at: int) -> int:
+    """The first white space from `at` on, or the end."""
+    while at < len(letters):
+        found = _SPACE[letters[at : at + 4096]]
+        if found.any():
+            return at + int(found.argmax())
+        at += 4096
+    return len(letters)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order."""
+    letters = np.frombuffer(data, np.uint8)
+    if len(letters) <= PIECE:
+        return _word_hashes(letters)
+    out, at = [], 0
+    while at < len(letters):
+        end = _next_space(letters, at + PIECE)
+        out.append(_word_hashes(letters[at:end]))
+        at = end
+    return np.concatenate(out)
+
+
+def _word_hashes(letters: np.ndarray) -> np.ndarray:
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[letters], [True])).view(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _Powers.upto(len(letters) + 1)
+    sums = np.zeros(len(letters) + 1, np.uint64)
+    np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    return _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingles(text: str, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; bytes.lower and bytes.split know ASCII only, as asked."""
-    words = text.encode().lower().split()
-    if not words:
+    """Sorted distinct 64-bit hashes of the shingles; bytes.lower knows ASCII only, as asked."""
+    h = word_hashes(text.encode().lower())
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(words) - width + 1)
+    n = max(1, len(h) - width + 1)
     own = np.zeros(n, np.uint64)
-    for i in range(min(width, len(words))):
-        own = own * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-    return np.unique(_mixed(own + np.uint64(min(len(words), width))))
+    for i in range(min(width, len(h))):
+        own = own * np.uint64(_BASE) + h[i : i + n]
+    own = np.sort(_mixed(own + np.uint64(min(len(h), width))))
+    return own[np.concatenate(([True], own[1:] != own[:-1]))]
 
 
 def signature(own: np.ndarray) -> tuple[int, int]:

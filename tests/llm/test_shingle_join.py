@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from labelloom.llm.components import components
-from labelloom.llm.shingle_join import CountTree, Join, bounds, index_length, odd_groups, point, prefix_length, reaches, shingle_join, shingles
+from labelloom.llm.shingle_join import PIECE, CountTree, Join, bounds, index_length, odd_groups, point, prefix_length, reaches, shingle_join, shingles, word_hashes
 
 
 def brute(rows, percent=80):
@@ -85,6 +85,22 @@ def test_inner_nodes_rule_out_whole_subtrees():
     assert len(tree.near(np.arange(4), 80)) < len(points) / 2
 
 
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("ab\u00e9\0\x1c\x85") for _ in range(rng.randint(1, 7))) for _ in range(4000)] + ["a" * n for n in range(1, 300)]
+    text = "".join(w + rng.choice([" ", "\t", "\n", "\x0b", "\x0c", "\r", "  \n"]) for w in words)
+    assert text.encode().split() == [w.encode() for w in words]
+    got = word_hashes(text.encode())
+    assert len(got) == len(words)
+    by = {}
+    for w, h in zip(words, got.tolist(), strict=True):
+        assert by.setdefault(w, h) == h
+    assert len(set(by.values())) == len(by)
+    long = (text + " ") * 12 + "z" * 9000
+    assert len(long) > PIECE and word_hashes(long.encode()).tolist() == got.tolist() * 12 + word_hashes(b"z" * 9000).tolist()
+    assert len(word_hashes(b"")) == len(word_hashes(b" \n")) == 0 and len(word_hashes(b"x")) == 1
+
+
 def test_empty(docs):
     assert shingle_join(docs([])).count() == 0 and run(docs([(5, None)])) == [(5, 0, 5)]
 
