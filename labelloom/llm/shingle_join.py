@@ -452,7 +452,7 @@ def shingle_join(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
     are about join.group_size) ends the job, as points have a byte for each.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    told = materialize(small_batches(texts).mapInPandas(_surveying(join), "doc_id long, n long, s1 long, s2 long, chunk int, counts binary"), "survey")
+    told = materialize(small_batches(texts).mapInPandas(_surveying(join), "doc_id long, n long, s1 long, s2 long, chunk int, counts binary"), "survey", narrow=True)
     frequency = docs.sparkSession.sparkContext.broadcast(frequencies(told, join))
     sets = told.where("chunk < 0").select("doc_id", "n", "s1", "s2")
     named = texts.where("doc_id is not null")
