@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import as_id, as_key, materialize, small_batches, whole_text
 
 FLUSH = 200_000
-FAN = 256
+FAN = 64
 
 
 @dataclass(frozen=True)
