@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import gathered
 
 
@@ -18,16 +19,18 @@ def components(edges: DataFrame, nodes: int | None = None) -> DataFrame:
 
     Each pass hangs nodes on the smallest neighbour, so stars collapse at once and chains
     by halves. A node with very many edges is one partial minimum, and a large partition of
-    one side of a join, which adaptive execution splits. A pass writes one table.
+    one side of a join, which adaptive execution splits; sides within the broadcast bound are broadcast. A pass writes one table.
     """
     now = gathered(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", nodes)
     seen = _sum(now)
     while seen[0]:
+        # a pass never has more edges than the one before, nor more nodes than twice as many
+        sized = F.broadcast if 2 * seen[0] <= common.BROADCAST_ROWS else (lambda df: df)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        large = both.where("v > u").join(sized(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v")))
+        small = large.join(sized(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v")))
         now = gathered(small.distinct(), "stars", nodes)
         last, seen = seen, _sum(now)
         if last == seen:

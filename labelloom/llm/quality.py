@@ -26,7 +26,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 CLASSES = ("lower", "upper", "digit", "space", "stop", "mark", "symbol", "beyond")
 #: Marks keys of character classes among words, which never hold white space.
 _CLASS = "\n"
-FLUSH = 200_000
+FLUSH = 100_000
 
 
 @dataclass(frozen=True)

@@ -12,7 +12,7 @@ def no_broadcast(monkeypatch):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_broadcast(spark, monkeypatch, how):
+def test_shuffled_join_equals_broadcast(spark, monkeypatch, how):
     big = spark.createDataFrame([(i % 7, i) for i in range(200)] + [(None, 1000)], "k long, v long").repartition(3)
     small = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (9, "d")], "k long, w string")
     want = sorted(map(str, common.checked_join(big, small, ["k"], how).collect()))
