@@ -72,7 +72,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have the empty segmentation, alone; copies of a document get equal samples. An empty table stays empty.
     """
-    return sample_encode(docs, PIECE_MODEL, k=2, seed=7)
+    return sample_encode(docs, PIECE_MODEL, k=2, seed=7, group_chars=200_000)
 
 
 STAGES = [("quality rules", quality_rules), ("exact dedup", drop_copies), ("near copies", drop_near_copies), ("mixing", mix), ("subword encoding", encode)]
