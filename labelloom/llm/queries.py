@@ -17,8 +17,8 @@ from .mixing import Mix, mix_sources
 from .pii import pii
 from .pseudo_likelihood import pseudo_likelihood
 from .quality import quality
-
 from .shingle_join import shingle_join
+from .source_audit import source_divergence
 from .subword_lattice import sample_encode
 
 #: Weights of the tree of `documents`; sources that are not listed weigh alike within their domain and language.
@@ -77,6 +77,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_mix_sources": op2_mix_sources,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_html_text": op10_html_text,
+    "op11_source_audit": op11_source_audit,
 }
 
 
@@ -174,4 +179,30 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
     """,
+    "op11_source_audit": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+            FROM documents
+        ),
+        c AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+        kept AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY lang, term HAVING count(*) >= 30),
+        counts AS (SELECT c.lang, c.source, c.term, sum(c.n) AS n FROM c JOIN kept k ON k.lang = c.lang AND k.term = c.term GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+        g AS (SELECT x.lang, x.source, coalesce(sum(c.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN counts c ON c.lang = x.lang AND c.source = x.source GROUP BY x.lang, x.source),
+        p AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.n + 5 * v.v) AS p, 1 + (1000000000::HUGEINT * (k.total + 5)) // (v.n + 5 * v.v) AS q
+            FROM g JOIN v ON v.lang = g.lang JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ),
+        found AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.f, 0) AS value
+            FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+            LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY ALL) f
+                ON f.lang = a.lang AND f.source = a.source AND f.other = b.source
+            UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+        ),
+        ranked AS (SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
 }
