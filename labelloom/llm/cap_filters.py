@@ -23,7 +23,8 @@ class Caps:
     codes: independent product codes; one alone would need far more filters, as some vectors have few good directions in it.
     crowd: unrelated vectors in a filter, on average; with `vectors` it gives the size of a code. sketch: signs of 64 in which two vectors may differ that are
     alone in a filter; at a cosine of 0.95 that is 5 standard deviations above the mean.
-    tile: vectors of a filter that are compared at once; larger filters are dealt into tiles, and their hot groups have cores. least: known thresholds by width.
+    hot: filters of more vectors elect a core. tile: vectors of a filter that are compared at once; what is left of larger filters is dealt into tiles.
+    least: known thresholds by width.
     """
 
     cosine: float = 0.95
@@ -33,6 +34,7 @@ class Caps:
     sketch: int = 20
     seed: int = 7
     vectors: int = 1
+    hot: int = 64
     tile: int = 2048
     least: tuple[tuple[int, float], ...] = ()
 
@@ -69,16 +71,25 @@ def decode(code: Code, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     for block in code.blocks:
         scores.append(turned[:, at : at + block.shape[1]] @ block.T)
         at += block.shape[1]
-    later = np.cumsum([s.max(axis=1) for s in scores[::-1]], axis=0)[::-1]
+    most = np.stack([s.max(axis=1, initial=-np.inf) for s in scores])
+    later = np.cumsum(most[::-1], axis=0)[::-1]
     row, name, sums = np.arange(len(rows)), np.zeros(len(rows), np.int64), np.zeros(len(rows))
     for k, s in enumerate(scores):
+        size, ids = s.shape[1], None
+        if k:  # the few directions that can be part of any filter of their row, side by side
+            r, c = np.nonzero(s >= (code.least - most.sum(axis=0) + most[k])[:, None])
+            many = np.bincount(r, minlength=len(rows))
+            at = np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many)
+            few, ids = np.full((len(rows), max(1, many.max(initial=0))), -np.inf), np.zeros((len(rows), max(1, many.max(initial=0))), np.int64)
+            few[r, at], ids[r, at] = s[r, c], c
+            s = few
         need = code.least - sums - (later[k + 1][row] if k + 1 < len(scores) else 0)
         step, found = max(1, BLOCK_VALUES // s.shape[1]), []
         for start in range(0, len(row), step):
             i, j = np.nonzero(s[row[start : start + step]] >= need[start : start + step, None])
             found.append((i + start, j))
         i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        row, name, sums = row[i], name[i] * s.shape[1] + j, sums[i] + s[row[i], j]
+        row, name, sums = row[i], name[i] * size + (j if ids is None else ids[row[i], j]), sums[i] + s[row[i], j]
     return row, name, sums
 
 
@@ -177,6 +188,23 @@ def _first_shared(names: pa.Array, here: np.ndarray, i: np.ndarray, j: np.ndarra
     return out
 
 
+def _meet_before(flat: np.ndarray, ends: np.ndarray, start: int, end: int, here: int) -> list[np.ndarray]:
+    """Which rows of a tile are in which earlier filters, those of two rows or more: 0 and 1, some filters at once. The product of two rows is how many they share."""
+    begin = ends[start - 1] if start else 0
+    names = flat[begin : ends[end - 1]]
+    row = np.repeat(np.arange(end - start), np.diff(np.r_[begin, ends[start:end]]))
+    names, row = names[names < here], row[names < here]
+    _, column, count = np.unique(names, return_inverse=True, return_counts=True)
+    kept = count[column] > 1
+    _, column = np.unique(column[kept], return_inverse=True)
+    step, out = max(1, 4 * BLOCK_VALUES // (end - start)), []
+    for at in range(0, int(column.max(initial=-1)) + 1, step):
+        part = (column >= at) & (column < at + step)
+        out.append(np.zeros((end - start, min(step, int(column.max()) + 1 - at)), np.float32))
+        out[-1][row[kept][part], column[part] - at] = 1
+    return out
+
+
 def _pairs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All i < j within each run of rows; the runs are short."""
     found = []
@@ -206,18 +234,27 @@ def _linked(table: pa.Table, starts: np.ndarray, caps: Caps) -> tuple[np.ndarray
     for at in range(0, len(i), step):
         near = np.einsum("ij,ij->i", rows[i[at : at + step]], rows[j[at : at + step]]) >= caps.cosine
         found.append((i[at : at + step][near], j[at : at + step][near]))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    fit = (size[i] == size[j]) & ((core[i] < 0) | (core[i] != core[j])) & (~two[i] | (side[i] != side[j]))
+    i, j, here = i[fit], j[fit], table.column("filter").to_numpy()
+    mine = _first_shared(names, here, i, j)
+    found = [(i[mine], j[mine])]
+    flat, list_ends = names.flatten().to_numpy(), np.cumsum(lengths(names))
     for start, end in zip(starts[~small], ends[~small], strict=True):
+        before = _meet_before(flat, list_ends, start, end, here[start])
         left, right = ((start + np.flatnonzero(side[start:end] == s) for s in (0, 1)) if two[start] else (np.arange(start, end),) * 2)
         step = max(1, BLOCK_VALUES // max(1, len(right)))
         for at in range(0, len(left), step):
-            i, j = np.nonzero(rows[left[at : at + step]] @ rows[right].T >= caps.cosine)
-            i, j = left[at + i], right[j]
+            part = left[at : at + step]
+            near = rows[part] @ rows[right].T >= caps.cosine
+            near &= ((core[part] < 0)[:, None] | (core[part][:, None] != core[right])) & (size[part][:, None] == size[right])
+            if near.any():
+                for shared in before:
+                    near &= shared[part - start] @ shared[right - start].T == 0
+            i, j = np.nonzero(near)
+            i, j = part[i], right[j]
             found.append((i, j) if two[start] else (i[i < j], j[i < j]))
-    i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-    fit = (size[i] == size[j]) & ((core[i] < 0) | (core[i] != core[j])) & (~two[i] | (side[i] != side[j]))
-    i, j = i[fit], j[fit]
-    mine = _first_shared(names, table.column("filter").to_numpy(), i, j)
-    return i[mine], j[mine]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -264,8 +301,8 @@ def verified(batches: Iterator[pa.RecordBatch], caps: Caps) -> Iterator[pa.Recor
 
 
 def _tile_links(members: DataFrame, met: DataFrame, caps: Caps) -> DataFrame:
-    """uid, other, links of all tiles. In a filter of more than `tile` vectors those of its largest core meet only those outside it."""
-    large = met.where(F.col("size") > caps.tile).select("filter")
+    """uid, other, links of all tiles. In a filter of more than `hot` vectors those of its largest core meet only those outside it."""
+    large = met.where(F.col("size") > caps.hot).select("filter")
     spots = checked_join(members.select("core", F.explode("filters").alias("filter")), materialize(large, "large", narrow=True), ["filter"], "inner").groupBy("filter", "core").count()
     inside = F.when(F.col("core").isNotNull(), F.col("count"))
     dealt = spots.groupBy("filter").agg(F.max_by("core", inside).alias("main"), F.sum("count").alias("all"), F.coalesce(F.max(inside), F.lit(0)).alias("in"))
@@ -292,9 +329,9 @@ def near_vectors(rows: DataFrame, caps: Caps = Caps(), vector: str = "embedding"
     about 1 - caps.recall of the pairs right at the bound are not found, fewer of nearer ones.
 
     Equal vectors are one from the start, however many there are. The code grows with the number of vectors, so the filters' crowds do not.
-    Filters of one vector go before any vector is shuffled. A filter of more than `tile` vectors elects its smallest as pivot; vectors
+    Filters of one vector go before any vector is shuffled. A filter of more than `hot` vectors elects its smallest as pivot; vectors
     within half a link's angle of a pivot form its core, are linked all with each other, and are not compared: a hot group of near copies costs
-    its length. What is left of such a filter is compared in tiles. A pair that shares several filters is counted in the first.
+    its length. What is left of such a filter is compared, in tiles. A pair that shares several filters is counted in the first.
 
     Rows without vec_id, and vectors that are null, empty, zero or hold null or non-finite elements, link with nothing and are their own component.
     Vectors of different lengths do not link. Rows that share a vec_id are rows of their own. An empty table gives no rows; other columns are not read.
@@ -310,7 +347,7 @@ def near_vectors(rows: DataFrame, caps: Caps = Caps(), vector: str = "embedding"
     # of two that are alone in a filter, bit_xor() over both has the signs in which they differ
     met = found.groupBy("filter").agg(F.count(F.lit(1)).alias("size"), F.min("uid").alias("pivot"), F.bit_count(F.bit_xor("sketch")).alias("apart"))
     met = materialize(met.where((F.col("size") > 2) | (F.col("size") == 2) & (F.col("apart") <= caps.sketch)).drop("apart"), "met", narrow=True)
-    large = F.when(F.col("size") > caps.tile, F.col("pivot"))
+    large = F.when(F.col("size") > caps.hot, F.col("pivot"))
     lists = checked_join(found, met, ["filter"], "inner").groupBy("uid").agg(F.sort_array(F.collect_list("filter")).alias("filters"), F.min(large).alias("cand"))
     lists = materialize(lists, "lists")
 

@@ -56,12 +56,12 @@ def rows():
 @pytest.mark.parametrize("tile", [8, 2048])
 def test_equals_all_pairs(spark, rows, tile):
     # a pair right at the bound may be missed: there is none here
-    caps = Caps(tile=tile, recall=0.99)
+    caps = Caps(hot=tile, tile=tile, recall=0.99)
     assert result(table(spark, rows).repartition(3), caps) == brute([(i, v) for i, v in rows])
 
 
 def test_shuffled_joins_give_the_same(spark, rows, monkeypatch):
-    caps = Caps(tile=8)
+    caps = Caps(hot=8, tile=8)
     want = result(table(spark, rows), caps)
     monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
     assert result(table(spark, rows), caps) == want
