@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.scalar import recode, stem
 from labelloom.operators import grid, instances, raster
+from labelloom.sources.matfiles import mat_maps
 from labelloom.sources.storage import written
 
 #: File endings of slides.
@@ -70,11 +71,11 @@ def _merged(maps: DataFrame, with_type: bool) -> DataFrame:
 DATASETS: dict[str, Callable[[DataFrame, bool], DataFrame]] = {"kumar": _plain, "cpm17": _plain, "consep": _merged}
 
 
-def read_labels(spark: SparkSession, dataset: str, path: str, with_type: bool = False) -> DataFrame:
-    """Label maps of a data set by name, in any case, from a Parquet table of dense maps."""
+def read_labels(spark: SparkSession, dataset: str, path: str, with_type: bool = False, mat: bool = False) -> DataFrame:
+    """Label maps of a data set by name, in any case, from a Parquet table of dense maps or, with `mat`, a folder of MAT files."""
     if dataset.lower() not in DATASETS:
         raise ValueError(f"no such data set: {dataset}")
-    return DATASETS[dataset.lower()](spark.read.parquet(path), with_type)
+    return DATASETS[dataset.lower()](mat_maps(spark, path, with_type) if mat else spark.read.parquet(path), with_type)
 
 
 def annotated(images: DataFrame, labels: DataFrame, splits: DataFrame) -> DataFrame:
