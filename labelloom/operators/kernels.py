@@ -16,8 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-NEXT = ((-1, 0), (0, -1), (0, 1), (1, 0))
-
 
 def components(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
     """4-connected labels from 1, or with `diagonal` 8-connected ones: runs of rows, joined by union-find."""
@@ -124,20 +122,32 @@ def opened(mask: np.ndarray, size: int = 5) -> np.ndarray:
 
 
 def watershed(height: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Flood from markers within the mask, lowest first."""
-    out = np.where(mask, markers, 0)
-    queue = [(height[y, x], n, y, x) for n, (y, x) in enumerate(zip(*np.nonzero(out), strict=True))]
+    """Flood from markers within the mask, lowest first; of equal heights the pixel that was met first.
+
+    A pixel's place in the queue is one whole number, the rank of its height and then when it was met, so that the queue compares
+    numbers, not tuples; the image is a flat list with a rim that is never entered.
+    """
+    inside = np.pad(mask, 1)
+    labels = np.pad(np.where(mask, markers, 0), 1)
+    _, rank = np.unique(np.where(mask, height, 0).ravel(), return_inverse=True)
+    size = int(inside.sum()) + 1
+    cost = (np.pad(rank.reshape(mask.shape), 1).astype(np.int64) * size).ravel().tolist()
+    free = (inside & (labels == 0)).ravel().tolist()
+    start = np.flatnonzero(labels.ravel())
+    met, out, wide = start.tolist(), labels.ravel().tolist(), inside.shape[1]
+    queue = [cost[at] + n for n, at in enumerate(met)]
     heapq.heapify(queue)
-    n = len(queue)
+    pop, push, n = heapq.heappop, heapq.heappush, len(met)
     while queue:
-        _, _, y, x = heapq.heappop(queue)
-        for a, b in NEXT:
-            i, j = y + a, x + b
-            if 0 <= i < out.shape[0] and 0 <= j < out.shape[1] and mask[i, j] and not out[i, j]:
-                out[i, j] = out[y, x]
-                heapq.heappush(queue, (height[i, j], n, i, j))
+        at = met[pop(queue) % size]
+        for to in (at - wide, at - 1, at + 1, at + wide):
+            if free[to]:
+                free[to] = False
+                out[to] = out[at]
+                push(queue, cost[to] + n)
+                met.append(to)
                 n += 1
-    return out
+    return np.array(out, labels.dtype).reshape(labels.shape)[1:-1, 1:-1]
 
 
 def contour(mask: np.ndarray) -> list[tuple[int, int]]:

@@ -32,9 +32,23 @@ def batches(ranked: DataFrame, size: int, total: int | None = None) -> DataFrame
 
 
 def training_order(df: DataFrame, key: Column, size: int, seed: int, train: bool) -> DataFrame:
-    """Batches of a run: shuffled and full ones for training, for which rows are counted first; in the order of keys, all of them, otherwise."""
-    order = digest(seed, key) if train else F.lpad(F.hex(key.cast("long")), 32, "0")
-    return batches(numbered(df, order, digits=3 if train else 29), size, df.count() if train else None)
+    """Batches of a run: shuffled and full ones for training, for which rows are counted first; in the order of keys, all of them, otherwise.
+
+    Keys are numbers or texts; rows without a key come first.
+    """
+    if train:
+        return batches(numbered(df, digest(seed, F.coalesce(key.cast("string"), F.lit("")))), size, df.count())
+    return batches(numbered(df, F.coalesce(in_order(df, key), F.lit("")), digits=13), size)
+
+
+def in_order(df: DataFrame, key: Column) -> Column:
+    """Hexadecimal digits that sort as the key does: its bytes for a text, for a whole number itself with the sign turned."""
+    kind = df.select(key).schema[0].dataType.simpleString()
+    if kind == "string":
+        return F.hex(F.encode(key, "UTF-8"))
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.lpad(F.hex(key.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    raise ValueError(f"keys are whole numbers or texts, not {kind}")
 
 
 def drawn(df: DataFrame, key: Column, n: int, seed: int) -> DataFrame:

@@ -8,10 +8,15 @@ from pyspark.sql.window import Window
 
 
 def moving_average(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0.95) -> DataFrame:
-    """old * alpha + new * (1 - alpha), seeded by the first value: key, ema after the last. A fold over each key's ordered values."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value).cast("double").alias("_v"))))
-    fold = F.aggregate(F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(0))), F.element_at("_s", 1)["_v"], lambda acc, s: acc * alpha + (1 - alpha) * s["_v"])
-    return rows.groupBy(key).agg(ordered.alias("_s"), F.count(F.lit(1)).alias("steps")).select(key, "steps", fold.alias("ema"))
+    """old * alpha + new * (1 - alpha), seeded by the first value: key, steps, ema after the last.
+
+    The value that is k steps from the last weighs alpha to the k, all but the first times 1 - alpha: a sum, so no row holds a key's history.
+    """
+    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), F.desc(value))) - 1
+    ranked = rows.select(key, F.col(value).cast("double").alias("_v"), last.alias("_k"))
+    ranked = ranked.withColumn("_first", F.lead("_k").over(Window.partitionBy(key).orderBy("_k")).isNull())
+    weight = F.pow(F.lit(alpha), F.col("_k")) * F.when(F.col("_first"), 1.0).otherwise(1 - alpha)
+    return ranked.groupBy(key).agg(F.count(F.lit(1)).alias("steps"), F.sum(weight * F.col("_v")).alias("ema"))
 
 
 def best_so_far(rows: DataFrame, key: str, order: str, value: str, largest: bool = True) -> DataFrame:
@@ -67,8 +72,29 @@ def gradient_error(first: DataFrame, second: DataFrame, focus: Column) -> DataFr
 
 
 def weighted_total(terms: DataFrame, weights: DataFrame) -> DataFrame:
-    """terms: step, branch, loss, value; weights: branch, loss, weight, a handful. step, total; terms without a weight count nothing."""
-    return terms.join(F.broadcast(weights), ["branch", "loss"]).groupBy("step").agg(F.sum(F.col("weight") * F.col("value")).alias("total"))
+    """terms: step, branch, loss, value; weights: branch, loss, weight. step, total; terms without a weight count nothing. Catalyst sizes weights, and broadcasts a handful."""
+    return terms.join(weights, ["branch", "loss"]).groupBy("step").agg(F.sum(F.col("weight") * F.col("value")).alias("total"))
+
+
+def fixed_histogram(rows: DataFrame, keys: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:
+    """keys, bin (from 0), n: counts of values in bins of equal width over [low, high], empty bins too.
+
+    The last bin holds high itself; values outside, NULL and NaN are in none. A key has all its bins, even if no value falls in any.
+    Counts of parts of the rows add up to those of all: merged_histogram().
+    """
+    share = (F.col(value).cast("double") - low) / (high - low)
+    at = F.when((share >= 0) & (share <= 1), F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int"))
+    counts = rows.groupBy(*keys, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    # the keys are a partial aggregation of what was counted, not of the rows
+    every = counts.groupBy(*keys).agg(F.sum(F.when(F.col("bin").isNotNull(), F.col("n"))).alias("_"), F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n"))).alias("_c"))
+    found = F.map_from_entries("_c")
+    each = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.struct(b.cast("int").alias("bin"), F.coalesce(F.try_element_at(F.col("_m"), b.cast("int")), F.lit(0)).cast("long").alias("n")))
+    return every.withColumn("_m", found).select(*keys, F.explode(each).alias("h")).select(*keys, "h.bin", "h.n")
+
+
+def merged_histogram(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Histograms of the same bins, of parts of the rows, as one: keys, bin, n."""
+    return parts.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
 
 
 def gradient_flow(rows: DataFrame) -> DataFrame:

@@ -404,9 +404,11 @@ def remove_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instances.without(t, t.where("inst_id % 3 = 0 and image_id % 2 = 0").select("image_id", "inst_id").distinct())
 
 
-@query("SELECT CAST(i AS INT) AS type_id, CAST(i AS VARCHAR) AS name, CAST(floor(255 * (0.0416 + 0.9584 * i / 255 / 0.365079)) AS INT) AS r, 0 AS g, 0 AS b FROM range(6) t(i)")
+@query(f"{LAB}, k AS (SELECT CAST(type_id AS INT) AS type_id, count(*) AS pixels FROM lab GROUP BY ALL) SELECT CAST(i AS INT) AS type_id, CAST(i AS VARCHAR) AS name, CAST(floor(255 * (0.0416 + 0.9584 * i / 255 / 0.365079)) AS INT) AS r, 0 AS g, 0 AS b, coalesce(pixels, 0) AS pixels FROM range(6) t(i) LEFT JOIN k ON k.type_id = i")
 def default_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.checked_types(documents.default_types(spark, 6), 6)
+    """The pixels of every type that a dictionary by number names, also of those that no pixel has."""
+    counts = raster_view(spark, sf_dir).where("true_id > 0").groupBy("type_id").agg(F.count(F.lit(1)).alias("pixels"))
+    return documents.checked_types(documents.default_types(spark, 6), 6).join(counts, "type_id", "left").fillna(0, ["pixels"])
 
 
 @query(f"{R} SELECT image_id, y, x, CAST(r / 255.0::DOUBLE >= 0.2 AS INT) AS inferred, CAST(r / 255.0::DOUBLE > 0.2 AS INT) AS validated, CAST(true_id > 0 AS INT) AS label FROM raster")

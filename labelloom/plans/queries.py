@@ -546,4 +546,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.per_image(raster_view(spark, sf_dir))
 
 
-from labelloom.plans import imaging  # noqa: E402, F401  registers its queries
+from labelloom.plans import imaging, large  # noqa: E402, F401  register their queries

@@ -34,8 +34,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def qupath_rows(objects: DataFrame, types: DataFrame, scale: float = 1.0) -> DataFrame:
-    """objects: cx, cy, type_id. Columns x, y, class (empty), name, color; coordinates are scaled and cut to whole numbers."""
-    joined = objects.join(F.broadcast(types), "type_id")  # a fixed handful of types
+    """objects: cx, cy, type_id. Columns x, y, class (empty), name, color; coordinates are scaled and cut to whole numbers. An object of a type that is not listed ends the job."""
+    known = types.select("type_id", F.col("name").alias("_name"), "r", "g", "b", F.lit(True).alias("_listed"))
+    lost = F.raise_error(F.concat(F.lit("no such type: "), F.coalesce(F.col("type_id").cast("string"), F.lit("none")))).cast("string")
+    joined = objects.join(known, "type_id", "left").withColumn("name", F.when(F.col("_listed"), F.col("_name")).otherwise(lost))
     cut = lambda c: (F.col(c) * scale).cast("int")
     return joined.select(*[c for c in ("image_id", "inst_id") if c in objects.columns], cut("cx").alias("x"), cut("cy").alias("y"), F.lit("").alias("class"), "name", rgb2int(F.col("r"), F.col("g"), F.col("b")).alias("color"))
 

@@ -24,17 +24,30 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     return files.select(stem(F.col("path")).alias("stem"), "path", "length").orderBy("path")
 
 
-def load_images(spark: SparkSession, folder: str) -> DataFrame:
-    """stem, height, width and pixels (array of r, g, b, row by row) of PNG, JPEG and other files that the JVM decodes; files of other kinds are left out."""
-    image = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
+#: Endings of images, in either case.
+IMAGES = ("png", "jpg", "jpeg", "bmp", "gif", "tif", "tiff")
+
+
+def load_images(spark: SparkSession, folder: str, keep_unreadable: bool = False) -> DataFrame:
+    """stem, height, width and pixels (array of r, g, b, row by row) of PNG, JPEG and other images that the JVM decodes. Files with other endings are no images.
+
+    An image that can't be decoded ends the job and is named, or with keep_unreadable has a row without size and pixels.
+    """
+    endings = ",".join(e for name in IMAGES for e in (name, name.upper()))
+    image = spark.read.format("image").option("pathGlobFilter", f"*.{{{endings}}}").load(folder).select("image.*")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for origin, h, w, n, data in zip(rows["origin"], rows["height"], rows["width"], rows["nChannels"], rows["data"], strict=True):
+                if h < 0 or w < 0:
+                    if not keep_unreadable:
+                        raise ValueError(f"{origin}: no image that can be decoded")
+                    out.append((origin, None, None, None))
+                    continue
                 a = np.frombuffer(data, np.uint8).reshape(h * w, n).astype(np.int16)
                 out.append((origin, h, w, (a[:, 2::-1] if n >= 3 else np.repeat(a[:, :1], 3, axis=1)).ravel()))
-            yield pd.DataFrame(out, columns=["origin", "height", "width", "data"])
+            yield pd.DataFrame(out, columns=["origin", "height", "width", "data"]).astype({"height": "Int32", "width": "Int32"})
 
     return image.mapInPandas(run, "origin string, height int, width int, data array<short>").select(stem(F.col("origin")).alias("stem"), "height", "width", "data")
 
@@ -131,8 +144,9 @@ def training_rows(cut: DataFrame, size: int, out: int, augment: Callable[[DataFr
     """Patch pixels (image_id, patch, dy, dx, r, g, b, inst_id) as the two inputs of training: the colours of the centre crop, and its targets.
 
     augment is done to whole patches first, and sees colours and labels together; targets, with its arguments, makes the second.
+    Their image_id is the pair (image_id, patch) itself, so that no two patches meet whatever their number.
     """
-    key = F.xxhash64("image_id", "patch")
+    key = F.struct("image_id", "patch")
     whole = cut.select(key.alias("image_id"), F.col("dy").alias("y"), F.col("dx").alias("x"), "r", "g", "b", "inst_id")
     whole = whole.transform(augment) if augment is not None else whole
     colours = raster.center_crop(whole.select("image_id", "y", "x", "r", "g", "b"), size, size, out, out)
