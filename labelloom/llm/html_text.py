@@ -15,6 +15,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,36 +42,106 @@ _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 _PART = re.compile(r"[a-z]+")
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, code points within links) of every leaf block that has text; a path element is 'tag name name'."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, str]] = []
-    text: list[str] = []
-    linked = 0
-    at, n = 0, len(page)
+class Element:
+    """An open element; blocks hold the innermost one above them, so that a path is shared by all blocks below it, however deep it is."""
+
+    __slots__ = ("above", "depth", "name", "tag", "vector")
+
+    def __init__(self, tag: str, name: str, above: Element | None):
+        self.tag, self.name, self.above, self.vector = tag, name, above, None
+        self.depth: int = above.depth + 1 if above else 1
+
+    def path(self) -> tuple[str, ...]:
+        out, at = [], self
+        while at:
+            out.append(at.name)
+            at = at.above
+        return tuple(out[::-1])
+
+
+class Stack:
+    """The open elements, with the places of each tag, so that no tag looks through all of them."""
+
+    def __init__(self):
+        self.open: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.block_places: list[int] = []
+
+    def push(self, tag: str, name: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCK_TAGS:
+            self.block_places.append(len(self.open))
+        self.open.append(Element(tag, name, self.open[-1] if self.open else None))
+
+    def cut(self, place: int) -> None:
+        """Close the elements from a place on."""
+        for e in self.open[place:]:
+            self.places[e.tag].pop()
+            if e.tag in BLOCK_TAGS:
+                self.block_places.pop()
+        del self.open[place:]
+
+    def has(self, tag: str) -> bool:
+        return bool(self.places.get(tag))
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the last element of its name; one that is no block reaches out of no block."""
+        if self.has(tag):
+            place = self.places[tag][-1]
+            if tag in BLOCK_TAGS or not self.block_places or self.block_places[-1] < place:
+                self.cut(place)
+
+
+def _raw_end(page: str, at: int, tag: str, open_ended: set[str]) -> int:
+    """Where the content of a raw element ends. One that is never closed takes the rest if it is a script or a style, else the text up to the next tag."""
+    if tag not in open_ended:
+        end = re.compile(rf"</{tag}\b", re.I).search(page, at)
+        if end:
+            close = page.find(">", end.end())
+            return len(page) if close < 0 else close + 1
+        open_ended.add(tag)
+    if tag in ("script", "style"):
+        return len(page)
+    following = page.find("<", at)
+    return len(page) if following < 0 else following
+
+
+def leaf_blocks(page: str, starts: list[int] | None = None) -> list[tuple[Element | None, str, int]]:
+    """(innermost element, text, code points within links) of every leaf block that has text; into starts goes where each one's text starts. Time grows with the page's length, whatever is left open in it.
+
+    Character references are decoded in each piece of text by itself: one that a tag cuts is none.
+    """
+    out: list[tuple[Element | None, str, int]] = []
+    stack, text, open_ended = Stack(), [], set()
+    linked, at, n, began, blank = 0, 0, len(page), 0, True
+    last = page.rfind(">")
 
     def close_block() -> None:
-        nonlocal linked
+        nonlocal linked, blank
         if text:
-            said = " ".join(html_module.unescape("".join(text)).split())
-            if said and "head" not in (t for t, _ in stack):
-                out.append((tuple(e for t, e in stack), said, linked))
+            said = " ".join("".join(text).split())
+            if said and not stack.has("head"):
+                out.append((stack.open[-1] if stack.open else None, said, linked))
+                if starts is not None:
+                    starts.append(began)
             text.clear()
-        linked = 0
+        linked, blank = 0, True
 
     def close_head() -> None:
         close_block()
-        del stack[[t for t, _ in stack].index("head") :]
+        stack.cut(stack.places["head"][0])
 
     while at < n:
         start = page.find("<", at)
         if start < 0:
             start = n
         if start > at:
-            if stack and stack[-1][0] == "head" and not page[at:start].isspace():
+            if stack.open and stack.open[-1].tag == "head" and not page[at:start].isspace():
                 close_head()
-            text.append(page[at:start])
-            if any(t == "a" for t, _ in stack[-3:]):
+            if blank:
+                began, blank = at, page[at:start].isspace()
+            text.append(html_module.unescape(page[at:start]))
+            if any(e.tag == "a" for e in stack.open[-3:]):
                 linked += start - at
         if start == n:
             break
@@ -82,8 +153,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             end = page.find(">", start)
             at = n if end < 0 else end + 1
             continue
-        m = _TAG.match(page, start) or _LOOSE.match(page, start)
+        # behind the last > nothing is a tag
+        m = (_TAG.match(page, start) or _LOOSE.match(page, start)) if start < last else None
         if not m:
+            began, blank = start if blank else began, False
             text.append("<")
             at = start + 1
             continue
@@ -92,64 +165,82 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if m[1]:
             if tag in BLOCK_TAGS:
                 close_block()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK_TAGS and stack[i][0] in BLOCK_TAGS:
-                    break
+            stack.end(tag)
             continue
-        if tag not in HEAD_TAGS and any(t == "head" for t, _ in stack) and (tag == "body" or all(t != "template" for t, _ in stack)):
+        if tag not in HEAD_TAGS and stack.has("head") and (tag == "body" or not stack.has("template")):
             close_head()
         if tag in RAW_TAGS:
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+                at = _raw_end(page, at, tag, open_ended)
             continue
         if tag in BLOCK_TAGS:
             close_block()
-            while stack and (tag in ENDS.get(stack[-1][0], ()) or (stack[-1][0] not in BLOCK_TAGS and any(tag in ENDS.get(t, ()) for t, _ in stack[-4:]))):
-                stack.pop()
+            while stack.open and (tag in ENDS.get(stack.open[-1].tag, ()) or (stack.open[-1].tag not in BLOCK_TAGS and any(tag in ENDS.get(e.tag, ()) for e in stack.open[-4:]))):
+                stack.cut(len(stack.open) - 1)
         elif tag == "br":
             text.append(" ")
         if tag not in VOID_TAGS and not m[3].endswith("/"):
             names = " ".join(w for g in _NAMES.finditer(m[3]) for w in _PART.findall((g[1] or g[2] or g[3] or "").lower())) if m[3] else ""
-            stack.append((tag, f"{tag} {names}" if names else tag))
+            stack.push(tag, f"{tag} {names}" if names else tag)
     close_block()
     return out
 
 
+def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
+    """(path, text, code points within links) of every leaf block that has text; a path element is 'tag name name'."""
+    return [(e.path() if e else (), text, linked) for e, text, linked in leaf_blocks(page)]
+
+
 PATH_DIMS, WORD_DIMS, SHARES = 512, 16, 7
 DIMS = PATH_DIMS + WORD_DIMS + SHARES
-_PATHS: dict[tuple[str, ...], np.ndarray] = {}
-
-
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = _PATHS.get(path)
-    if v is None:
-        v = np.zeros(PATH_DIMS, np.float32)
-        for element in path:
-            tag, *names = element.split()
-            # two places a token, so that hardly two tokens share both; names of the page's own elements say nothing of its blocks
-            for token in (f"<{tag}", *(names if tag not in ("html", "body") else ())):
-                for salt in (b"", b"2"):
-                    v[zlib.crc32(salt + token.encode()) % PATH_DIMS] = 1
-        if len(_PATHS) < 20000:
-            _PATHS[path] = v
+NO_PATH = np.zeros(PATH_DIMS, np.float32)
+
+
+@lru_cache(maxsize=50_000)
+def _places(name: str) -> tuple[int, ...]:
+    """An element's places in the vector of a path: two a token, so that hardly two tokens share both. Names of the page's own elements say nothing of its blocks."""
+    tag, *names = name.split()
+    tokens = (f"<{tag}", *(names if tag not in ("html", "body") else ()))
+    return tuple(zlib.crc32(salt + token.encode()) % PATH_DIMS for token in tokens for salt in (b"", b"2"))
+
+
+def _path_vector(element: Element | None) -> np.ndarray:
+    """1 at the places of all elements of a path; elements that add none share the vector of the one above."""
+    todo = []
+    while element and element.vector is None:
+        todo.append(element)
+        element = element.above
+    v = element.vector if element else NO_PATH
+    for e in reversed(todo):
+        places = list(_places(e.name))
+        if not v[places].all():
+            v = v.copy()
+            v[places] = 1
+        e.vector = v
     return v
 
 
-def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def chain(path: tuple[str, ...]) -> Element | None:
+    """The innermost element of a path."""
+    element = None
+    for name in path:
+        element = Element(name.split()[0], name, element)
+    return element
+
+
+def vectors(page: list[tuple[Element | tuple[str, ...] | None, str, int]]) -> np.ndarray:
+    """A row for each block of leaf_blocks() or blocks()."""
     out = np.zeros((len(page), DIMS), np.float32)
-    for i, (path, text, linked) in enumerate(page):
-        out[i, :PATH_DIMS] = _path_vector(path)
+    for i, (above, text, linked) in enumerate(page):
+        element = chain(above) if isinstance(above, tuple) else above
+        out[i, :PATH_DIMS] = _path_vector(element)
         words = text.encode().split()
         counts = np.bincount(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % WORD_DIMS, minlength=WORD_DIMS)
         out[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] = counts / max(1, len(words))
         size = len(text)
         out[i, PATH_DIMS + WORD_DIMS :] = (
             np.log1p(size) / 8, min(1.0, linked / size), min(1.0, 8 * (text.count(".") + text.count(",")) / size),
-            len(words) < 4, len(words) > 15, i / len(page), min(1.0, len(path) / 12),
+            len(words) < 4, len(words) > 15, i / len(page), min(1.0, (element.depth if element else 0) / 12),
         )
     return out
 
@@ -274,7 +365,7 @@ BODIES = ["", "", "", "<div class='entry content'>", "<div class='article body'>
 
 def made_page(texts: list[str], rng: random.Random) -> tuple[str, list[bool]]:
     """A page of known labels: furniture around, and some within, an article."""
-    page, labels = ["<html><body>"], []
+    page = ["<html><body>"]
 
     def text(kind: str) -> str:
         t = rng.choice(texts)
@@ -307,13 +398,11 @@ def made_page(texts: list[str], rng: random.Random) -> tuple[str, list[bool]]:
             page.append(inner)
         page.append("".join(f"</{t}>" for t in reversed(re.findall(r"<([a-z]+)", opening))))
 
-    def count() -> int:
-        return len(blocks("".join(page)))
+    ends_at: list[tuple[int, bool]] = []
 
     def add(yes: bool, action) -> None:
-        before = count()
         action()
-        labels.extend([yes] * (count() - before))
+        ends_at.append((sum(map(len, page)), yes))
 
     for _ in range(rng.randint(0, 4)):
         add(False, furniture)
@@ -337,7 +426,11 @@ def made_page(texts: list[str], rng: random.Random) -> tuple[str, list[bool]]:
     for _ in range(rng.randint(0, 5)):
         add(False, furniture)
     page.append("</body></html>")
-    return "".join(page), labels
+    starts: list[int] = []
+    leaf_blocks("".join(page), starts)
+    # a block is of the part that its text starts in
+    parts = np.searchsorted([end for end, _ in ends_at], starts, side="right")
+    return "".join(page), [ends_at[k][1] for k in parts if k < len(ends_at)]
 
 
 def train(texts: list[str], n_pages: int = 1200, epochs: int = 12, hidden: int = 12, seed: int = 11) -> BlockLabeller:
@@ -347,7 +440,7 @@ def train(texts: list[str], n_pages: int = 1200, epochs: int = 12, hidden: int =
     made = []
     while len(made) < n_pages:
         page, labels = made_page(texts, draw)
-        found = blocks(page)
+        found = leaf_blocks(page)
         if len(found) == len(labels) and found:
             made.append((vectors(found), np.array(labels, np.float32)))
     model = BlockLabeller.new(hidden, rng)
@@ -382,7 +475,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Bl
     # keys first, as every task hands in as many as are asked for; then the html of the chosen ones
     chosen = [r.k for r in keyed.select("k").orderBy("k").limit(SAMPLE_PAGES).collect()]
     rows = keyed.where(F.col("k").isin(chosen)).orderBy("k", "html").limit(SAMPLE_PAGES)
-    return train([t for r in rows.collect() for _, t, _ in blocks(r.html)])
+    return train([t for r in rows.collect() for _, t, _ in leaf_blocks(r.html)])
 
 
 def main_text(pages: DataFrame, model: BlockLabeller | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -398,7 +491,7 @@ def main_text(pages: DataFrame, model: BlockLabeller | None = None, id_col: str
         for rows in batches:
             for at in range(0, len(rows), 1024):
                 part = rows.iloc[at : at + 1024]
-                found = [blocks(h) for h in part["html"]]
+                found = [leaf_blocks(h) for h in part["html"]]
                 yes = model.label([vectors(b) for b in found])
                 texts = ["\n\n".join(t for (_, t, _), y in zip(b, keep, strict=True) if y) for b, keep in zip(found, yes, strict=True)]
                 yield pd.DataFrame({

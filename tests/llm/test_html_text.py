@@ -1,8 +1,10 @@
 import random
+import time
 
 import numpy as np
 import pytest
 
+from labelloom.llm import html_text
 from labelloom.llm.html_text import BlockLabeller, blocks, fit, made_page, main_text, padded, train, vectors
 
 TEXTS = ["the quick brown fox, jumps over the lazy dog. and then some more words of plain prose follow, as ever " * 4, "le chat est sur la table. il dort, et la pluie tombe sur le toit de la maison " * 4]
@@ -115,3 +117,32 @@ def _fitted(spark):
     if not _MODELS:
         _MODELS.append(fit(spark.createDataFrame([(i, f"<p>{t} {i}</p>") for i in range(40) for t in TEXTS], "page_id long, html string")))
     return _MODELS[0]
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<div>x", "<p", "<a '", "<b></i>", "<b> </b>", "<title>", "</title", "<", "<!--", "<a \">", "<a '\">", "<head>", "&amp;", "<template><p>", "<div class=a><b>t"])
+def test_what_is_left_open_costs_no_more_than_its_length(unit):
+    took = []
+    for size in (100_000, 1_000_000):
+        began = time.process_time()
+        found = html_text.leaf_blocks(unit * (size // len(unit)))
+        html_text.vectors(found[:1000])
+        took.append(time.process_time() - began)
+    assert took[1] < 10 and took[1] < 30 * max(took[0], 0.02)
+
+
+def test_paths_of_deep_pages_are_those_of_their_elements():
+    deep = "<div class='a b'>" * 50 + "x" + "<p id=c>y</p>" + "</div>" * 50 + "z"
+    assert html_text.blocks(deep) == [(("div a b",) * 50, "x", 0), ((*("div a b",) * 50, "p c"), "y", 0), ((), "z", 0)]
+    assert (html_text.vectors(html_text.leaf_blocks(deep)) == html_text.vectors(html_text.blocks(deep))).all()
+
+
+def test_elements_that_are_never_closed_take_no_text_behind_them():
+    texts = lambda page: [t for _, t, _ in html_text.blocks(page)]
+    for tag in ("title", "textarea", "iframe"):
+        assert texts(f"<p>a</p><{tag}>x<p>rest<p>more") == ["a", "rest", "more"]
+        assert texts(f"<p>a</p><{tag}>x<p>y</{tag} ><p>rest") == ["a", "rest"]
+    assert texts("<p>a<script>if (a<b) x") == ["a"]
+
+
+def test_a_reference_that_a_tag_cuts_is_none():
+    assert [t for _, t, _ in html_text.blocks("<p>&am<b>p;</b> &lt;b&gt; &#x41;&copy")] == ["&amp; <b> A©"]
