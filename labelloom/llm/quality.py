@@ -34,8 +34,10 @@ class Rules:
     """min_words, max_repeat_percent: base rules. The rest: guards and limits of the divergence tests.
 
     The limit on common words is max_word_distance + word_slack / sqrt(words), since a
-    short text's shares stray further from its language's by chance. max_languages: None
-    keeps the references of all languages.
+    short text's shares stray further from its language's by chance. reference_chars: code points of other documents that a language's reference
+    has at least; under that a document would be its own judge, and is held against the nearest other reference. most_references: a language needs
+    that part of all code points to have a reference, so that there are no more of them, whatever the column holds. max_languages: None
+    keeps the references of all such languages.
     """
 
     min_words: int = 10
@@ -46,6 +48,8 @@ class Rules:
     max_word_distance: float = 0.62
     word_slack: float = 1.2
     common_words: int = 64
+    reference_chars: int = 800
+    most_references: int = 2000
     max_languages: int | None = None
 
 
@@ -129,7 +133,7 @@ class Reference:
 
 
 def references(docs: DataFrame, rules: Rules) -> dict[str, Reference]:
-    """By language, about 72 rows of each; those of the max_languages largest, if that is set. Under None, that of rows without a language, if no row has one."""
+    """By language, about 72 rows of each, for at most most_references languages; those of the max_languages largest, if that is set. Under None, that of rows without a language, if no row has one."""
     counted = small_batches(docs).mapInPandas(_counting, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     is_class = F.col("key").startswith(_CLASS)
     order = Window.partitionBy("lang", "is_class").orderBy(F.desc("n"), "key")
@@ -137,7 +141,9 @@ def references(docs: DataFrame, rules: Rules) -> dict[str, Reference]:
         counted.withColumn("is_class", is_class).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(rules.common_words, len(CLASSES))),
         "language-references",
     )
-    known = top.where("lang is not null")
+    sizes = top.where("is_class").groupBy("lang").agg(F.sum("n").alias("size"))
+    total = top.where("is_class").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    known = top.where("lang is not null").join(sizes.where(F.col("size") * rules.most_references >= total), "lang", "left_semi")
     if rules.max_languages is not None:
         size = known.where("is_class").groupBy("lang").agg(F.sum("n").alias("size"))
         known = known.join(F.broadcast(size.orderBy(F.desc("size"), "lang").limit(rules.max_languages)), "lang")
@@ -167,8 +173,8 @@ class Nearest:
             self.counts[i, : len(refs[lang].words)] = refs[lang].counts
         self.classes = np.array([refs[lang].classes for lang in self.langs])
 
-    def language(self, words: list[bytes], of_class: np.ndarray) -> str | None:
-        """By common words, then by character classes; a reference that shares no word is as far as can be."""
+    def language(self, words: list[bytes], of_class: np.ndarray, but: str | None = None) -> str | None:
+        """By common words, then by character classes; a reference that shares no word is as far as can be. but: a language that is left out, unless it is the only one."""
         own = np.zeros(len(self.at) + 1, np.int64)
         for w, n in Counter(words).items():
             if w in self.at:
@@ -176,13 +182,14 @@ class Nearest:
         common = own[self.places]
         by_words = np.where(common.sum(axis=1) > 0, js_distance(common, self.counts), 1.0)
         by_class = js_distance(np.broadcast_to(of_class, self.classes.shape), self.classes)
-        return self.langs[np.lexsort((by_class, by_words))[0]]
+        order = np.lexsort((by_class, by_words))
+        return next((self.langs[i] for i in order if self.langs[i] != but), but)
 
 
 def measures(langs: list[str], texts: list[str], refs: dict[str | None, Reference], rules: Rules) -> pd.DataFrame:
     table = {lang: np.array([hash(w) for w in r.words], np.int64) for lang, r in refs.items()}
     sort = {lang: np.argsort(h) for lang, h in table.items()}
-    nearest = Nearest(refs, rules) if refs and any(lang not in refs for lang in langs) else None
+    nearest: Nearest | None = None
     out, classes, class_refs, commons, common_refs = [], [], [], [], []
     for lang, text in zip(langs, texts, strict=True):
         data = text.encode()
@@ -191,7 +198,11 @@ def measures(langs: list[str], texts: list[str], refs: dict[str | None, Referenc
         words = data.split()
         lines = [x for x in data.split(b"\n") if x.strip()]
         hashes = np.fromiter(map(hash, words), np.int64, len(words))
-        key = lang if lang in refs or nearest is None else nearest.language(words, of_class)
+        n_points = int(of_class.sum())
+        key = lang
+        if refs and (lang not in refs or refs[lang].classes.sum() - n_points < rules.reference_chars):
+            nearest = nearest or Nearest(refs, rules)
+            key = nearest.language(words, of_class, lang if lang in refs else None)
         ref = refs.get(key)
         common = np.zeros(rules.common_words, np.int64)
         common_ref = np.zeros(rules.common_words, np.int64)
@@ -205,7 +216,6 @@ def measures(langs: list[str], texts: list[str], refs: dict[str | None, Referenc
         class_refs.append(ref.classes if ref is not None else np.zeros(len(CLASSES), np.int64))
         commons.append(common)
         common_refs.append(common_ref)
-        n_points = int(of_class.sum())
         out.append((len(words), n_points - int(of_class[CLASSES.index("space")]), int(of_class[CLASSES.index("symbol")]), len(lines) - len(set(lines)), repeat_words(hashes.view(np.uint64)), n_points))
     frame = pd.DataFrame(out, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_points"])
     if len(frame):
@@ -223,8 +233,8 @@ def verdicts(langs: list[str], texts: list[str], refs: dict[str | None, Referenc
     strange_classes = (m["n_points"] >= rules.guard_chars) & (m["class_distance"] > rules.max_class_distance)
     limit = rules.max_word_distance + rules.word_slack / np.sqrt(np.maximum(m["n_words"], 1))
     # a text without any common word has no histogram to compare: it is as far as can be
-    distance = np.where(m["n_common"] > 0, m["word_distance"], 1.0)
-    strange_words = (m["n_words"] >= rules.guard_words) & (distance > limit)
+    m["judged_distance"] = np.where(m["n_common"] > 0, m["word_distance"], 1.0)
+    strange_words = (m["n_words"] >= rules.guard_words) & (m["judged_distance"] > limit)
     m["kept"] = ~(m["base_failed"] | strange_classes | strange_words)
     return m
 
@@ -237,10 +247,11 @@ def _inputs(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:  # noqa: B008
-    """One row per row of docs: doc_id, base counts, base_failed, kept, class_distance, word_distance.
+    """One row per row of docs: doc_id, base counts, base_failed, kept, class_distance, word_distance, judged_distance: that of words as the verdict takes it,
+    1 where a text has none of the common words.
 
     Null and empty texts have no words and fail the base rules. Documents of a null
-    language, or of one beyond the max_languages largest if that is set, are held against
+    language, or of one without a reference of other documents' texts, are held against
     the nearest of all references. An empty table gives an empty result. Repeated rows are judged alike; other columns are ignored.
     """
     refs = references(_inputs(docs, text_col, lang_col), rules)
@@ -249,9 +260,9 @@ def quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
         for rows in batches:
             m = verdicts(list(rows["lang"]), list(rows["text"]), refs, rules)
             m.insert(0, "doc_id", list(rows["doc_id"]))
-            yield m[["doc_id", *_COLUMNS, "base_failed", "kept", "class_distance", "word_distance"]]
+            yield m[["doc_id", *_COLUMNS, "base_failed", "kept", "class_distance", "word_distance", "judged_distance"]]
 
-    schema = "doc_id string, " + ", ".join(f"{c} long" for c in _COLUMNS) + ", base_failed boolean, kept boolean, class_distance double, word_distance double"
+    schema = "doc_id string, " + ", ".join(f"{c} long" for c in _COLUMNS) + ", base_failed boolean, kept boolean, class_distance double, word_distance double, judged_distance double"
     texts = docs.select(as_key(F.col(id_col)).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return as_id(texts.mapInPandas(run, schema))
 

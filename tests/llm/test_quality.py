@@ -125,3 +125,25 @@ def test_distances_and_verdicts_by_loops(docs):
         strange = (len(t or "") >= rules.guard_chars and a > rules.max_class_distance) or (n >= rules.guard_words and far > rules.max_word_distance + rules.word_slack / math.sqrt(max(n, 1)))
         assert got[i].kept == (not got[i].base_failed and not strange), i
     assert not got[100].kept and not got[101].kept
+
+
+def test_no_document_is_its_language_s_only_judge(docs):
+    rng = random.Random(31)
+    junk = " ".join("".join(rng.choice("qxzkvwj0189") for _ in range(rng.randint(4, 11))) for _ in range(300))
+    rows = [(i, prose(rng, 150), "en") for i in range(40)]
+    odd = [(100, junk, "xx"), (101, junk, "en"), (102, prose(rng, 200), "yy"), (103, "", "zz"), (104, None, "zz")]
+    got = {r.doc_id: r for r in quality(docs(rows + odd)).collect()}
+    assert not got[100].kept and not got[101].kept and got[102].kept and all(got[i].kept for i in range(40))
+    assert got[100].class_distance > 0.3 and got[100].judged_distance == got[101].judged_distance == 1.0
+    # alone in the table, it has nothing else to be held against
+    assert quality(docs(odd[:1])).first().kept
+
+
+def test_references_are_bounded_by_their_share(docs):
+    from labelloom.llm.quality import _inputs, references
+
+    rng = random.Random(32)
+    rows = [(i, prose(rng, 400), "en") for i in range(20)] + [(100 + i, "x", f"dirty{i}") for i in range(50)]
+    inputs = _inputs(docs(rows), "text", "lang")
+    assert set(references(inputs, Rules())) == {"en"} and len(references(inputs, Rules(most_references=10**9))) == 51
+    assert {r.doc_id for r in quality(docs(rows)).where("kept").collect()} == set(range(20))
