@@ -161,6 +161,11 @@ SIGNATURES = [
     ("libpng", 4, r"this copy of the libpng notices is provided for your convenience"),
     ("unlicense", 4, r"this is free and unencumbered software released into the public domain"),
     ("unlicense", 5, r"(?:http|https)://unlicense\.org"),
+    ("unlicense", 3, r"the unlicense"),
+    ("mit", 3, r"mit[ -]licen[sc]ed"),
+    ("mpl-2.0", 3, r"mozilla public licen[sc]e,? (?:version |v\.? ?)?2\.0"),
+    ("epl-2.0", 3, r"eclipse public licen[sc]e,? (?:- )?(?:version |v\.? ?)?2\.0"),
+    ("cc-by-4.0", 3, r"creative commons attribution 4\.0"),
     ("cc0", 5, r"(?:http|https)://creativecommons\.org/publicdomain/zero/1\.0"),
     ("cc0", 4, r"has waived all copyright and related or neighbou?ring rights"),
     ("cc0", 3, r"to the extent possible under law, .{1,80}? waived all copyright"),

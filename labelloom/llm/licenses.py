@@ -8,8 +8,7 @@ suppressed by a sweep over the sorted intervals.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,9 +49,18 @@ def _always(pattern: str) -> bool:
     return False
 
 
-def gated(text: Column, low: Column) -> Column:
-    """low: the text in lower case."""
-    return reduce(or_, (F.contains(low, F.lit(w)) for w in gate_words())) | text.rlike(GATE_PATTERN)
+def quoted(text: str) -> str:
+    """A literal of SQL: large tables of constants are parsed from one text, as each call to build one by itself costs the driver a round trip."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _any_in(column: str, words: list[str]) -> str:
+    return " or ".join(f"contains({column}, {quoted(w)})" for w in words)
+
+
+def gated(text: str, low: str) -> Column:
+    """Names of the text's column and of the one in lower case."""
+    return F.expr(f"{_any_in(low, gate_words())} or rlike({text}, {quoted(GATE_PATTERN)})")
 
 
 def phrase_pattern(phrase: str) -> str:
@@ -67,28 +75,53 @@ def count_words(text: Column) -> Column:
 
 def _rules_of(keywords: Column) -> Column:
     """The rules of these keywords. `keywords` stands outside of any lambda, so it is worked out once a row."""
-    by: dict[str, list[Column]] = {}
+    by: dict[str, list[str]] = {}
     for rank, (label, keyword, pattern, priority) in enumerate(rules()):
-        by.setdefault(keyword, []).append(F.struct(F.lit(label).alias("label"), F.lit(pattern).alias("pattern"), F.lit(priority).alias("priority"), F.lit(rank).alias("rank")))
-    table = F.create_map(*(x for k, own in by.items() for x in (F.lit(k), F.array(*own))))
+        by.setdefault(keyword, []).append(f"named_struct('label', {quoted(label)}, 'pattern', {quoted(pattern)}, 'priority', {priority}, 'rank', {rank})")
+    table = F.expr(f"map({', '.join(f'{quoted(k)}, array({", ".join(own)})' for k, own in by.items())})")
     return F.flatten(F.transform(keywords, lambda k: F.element_at(table, k)))
 
 
+NO_SPANS = "cast(array() as array<struct<start:int,end:int,label:string,priority:int,rank:int>>)"
+#: Elements of a block: a fold that makes an array copies it at every step, so long arrays are folded block by block.
+BLOCK = 64
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _in_blocks(values: Column, start: Column, total: Callable[[Column], Column], add: Callable[[Column, Column], Column], fold: Callable[[Column, Column], Column]) -> Column:
+    """A fold over an array that is not empty: what stands before each block is start, to which the totals of earlier blocks are added; fold makes an array of a block and that."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda k: F.slice(values, k * BLOCK + 1, F.lit(BLOCK)))
+
+    def walk(blocks: Column) -> Column:
+        first = F.struct(start.alias("at"), F.slice(F.array(start), 2, 1).alias("out"))
+        before = F.aggregate(F.transform(blocks, total), first, lambda acc, n: F.struct(add(acc["at"], n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, before, fold))
+
+    return _let(cut, walk)
+
+
 def _spans(text: Column, rule: Column) -> Column:
     """Every match of the rule: start, end (code points), label, priority."""
-    matches = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
-    pieces = F.split(text, rule["pattern"], -1)
-    zipped = F.zip_with(matches, F.slice(pieces, 1, F.size(matches)), lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("own")))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,label:string,priority:int,rank:int>>)")
-    walked = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["own"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["own"]).alias("end"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["rank"].alias("rank")))).alias("out"),
-        ),
-    )
-    return F.when(F.size(matches) > 0, walked["out"]).otherwise(none)
+
+    def placed(block: Column, at: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            span = F.struct(start.alias("start"), (start + x["own"]).alias("end"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["rank"].alias("rank"))
+            return F.struct((start + x["own"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+        return F.aggregate(block, F.struct(at.alias("at"), F.expr(NO_SPANS).alias("out")), step, lambda acc: acc["out"])
+
+    def walked(matches: Column) -> Column:
+        pieces = F.slice(F.split(text, rule["pattern"], -1), 1, F.size(matches))
+        zipped = F.zip_with(matches, pieces, lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("own")))
+        length = lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + x["own"])
+        return F.when(F.size(matches) > 0, _let(zipped, lambda z: _in_blocks(z, F.lit(0), length, lambda a, n: a + n, placed))).otherwise(F.expr(NO_SPANS))
+
+    return _let(F.regexp_extract_all(text, rule["pattern"], F.lit(0)), walked)
 
 
 def _suppressed(spans: Column) -> Column:
@@ -101,17 +134,21 @@ def _suppressed(spans: Column) -> Column:
         F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).when(a["priority"] != b["priority"], b["priority"] - a["priority"]).otherwise(a["rank"] - b["rank"])
     )
     levels = [f"upto{n}" for n in range(1, LEVELS + 1)]
+    none = F.struct(*(F.lit(-1).alias(c) for c in levels))
+
+    def reach(upto: Column, x: Column) -> Column:
+        return F.struct(*(F.when(x["priority"] == n, F.greatest(upto[c], x["end"])).otherwise(upto[c]).alias(c) for n, c in enumerate(levels, 1)))
 
     def step(acc: Column, x: Column) -> Column:
-        reached = F.lit(-1)
+        upto, reached = acc["upto"], F.lit(-1)
         for n in range(LEVELS, 0, -1):
-            reached = F.when(x["priority"] == n, F.greatest(*(acc[f"upto{m}"] for m in range(n, LEVELS + 1)), F.lit(-1))).otherwise(reached)
-        inside = reached >= x["end"]
-        upto = [F.when(x["priority"] == n, F.greatest(acc[f"upto{n}"], x["end"])).otherwise(acc[f"upto{n}"]).alias(f"upto{n}") for n in range(1, LEVELS + 1)]
-        return F.struct(*upto, F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(x))).alias("out"))
+            reached = F.when(x["priority"] == n, F.greatest(*(upto[c] for c in levels[n - 1 :]), F.lit(-1))).otherwise(reached)
+        return F.struct(reach(upto, x).alias("upto"), F.when(reached >= x["end"], acc["out"]).otherwise(F.concat(acc["out"], F.array(x))).alias("out"))
 
-    none = F.expr("cast(array() as array<struct<start:int,end:int,label:string,priority:int,rank:int>>)")
-    return F.aggregate(F.array_sort(spans, order), F.struct(*(F.lit(-1).alias(c) for c in levels), none.alias("out")), step)["out"]
+    both = lambda a, b: F.struct(*(F.greatest(a[c], b[c]).alias(c) for c in levels))
+    kept = lambda block, upto: F.aggregate(block, F.struct(upto.alias("upto"), F.expr(NO_SPANS).alias("out")), step, lambda acc: acc["out"])
+    swept = lambda s: _in_blocks(s, none, lambda block: F.aggregate(block, none, reach), both, kept)
+    return F.when(F.size(spans) > 0, _let(F.array_sort(spans, order), swept)).otherwise(F.expr(NO_SPANS))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,8 +161,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     keywords = sorted({k for _, k, _, _ in rules()})
     text = F.col("_text")
-    holds = lambda k: reduce(or_, (F.contains(F.col("_low"), F.lit(w)) for w in k.split("|")))
-    spot = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_lower", F.lower(text)).withColumn("_gate", gated(text, F.col("_lower")))
+    spot = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_lower", F.lower(text)).withColumn("_gate", gated("_text", "_lower"))
     when = lambda x: F.when(F.col("_gate"), x)
     counts = {label: F.coalesce(when(F.regexp_count(text, F.lit(phrase_pattern(p)))), F.lit(0)) for label, p in BASE.items()}
     spot = spot.withColumns({"_n_" + label: n for label, n in counts.items()} | {"n_words": count_words(text)})
@@ -136,11 +172,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.when(F.col(f"`_n_{label}`") > 0, F.col("n_words") - words - len(BASE[label].split()) if last else words)
 
     base_labels = F.array_sort(F.array_compact(F.array(*(F.when(F.col(f"`_n_{label}`") > 0, label) for label in BASE))))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,label:string,priority:int,rank:int>>)")
+    held = ", ".join(f"if({_any_in('_low', k.split('|'))}, {quoted(k)}, null)" for k in keywords)
     found = (
         spot.withColumn("_low", when(F.regexp_replace("_lower", r"\s+", " ")))
-        .withColumn("_keywords", when(F.array_compact(F.array(*(F.when(holds(k), F.lit(k)) for k in keywords)))))
-        .withColumn("spans", F.coalesce(when(_suppressed(F.flatten(F.transform(_rules_of(F.col("_keywords")), lambda r: _spans(text, r))))), none))
+        .withColumn("_keywords", when(F.expr(f"array_compact(array({held}))")))
+        .withColumn("spans", F.coalesce(when(_let(F.flatten(F.transform(_rules_of(F.col("_keywords")), lambda r: _spans(text, r))), _suppressed)), F.expr(NO_SPANS)))
         .withColumn("_base", base_labels)
     )
     best = F.coalesce(F.array_max(F.transform("spans", lambda s: s["priority"])) / LEVELS, F.lit(0.0))

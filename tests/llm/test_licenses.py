@@ -99,3 +99,30 @@ def test_every_rule_is_reached_by_its_keyword():
             assert "licen" in pattern or any(w in run for w in words for run in own) or re.search(GATE_PATTERN, own[0]), (label, own)
     for label, _, pattern in SIGNATURES:
         assert len(literals(pattern)[0]) > 4 and "|" not in re.sub(r"\([^()]*(?:\([^()]*\)[^()]*)*\)", "", pattern), label
+
+
+EVERYDAY = [
+    ("The Unlicense", "unlicense"), ("this module is MIT-licensed.", "mit"), ("Mozilla Public License 2.0", "mpl-2.0"), ("the Mozilla Public License, version 2.0", "mpl-2.0"),
+    ("Eclipse Public License 2.0", "epl-2.0"), ("Eclipse Public License - v 2.0", "epl-2.0"), ("Creative Commons Attribution 4.0", "cc-by-4.0"),
+]
+
+
+def test_everyday_names_by_hand(docs):
+    got = {r.doc_id: r.labels.split(",") for r in license_scan(docs([(i, t) for i, (t, _) in enumerate(EVERYDAY)])).collect()}
+    assert all(label in got[i] for i, (_, label) in enumerate(EVERYDAY)), got
+
+
+def test_thousands_of_findings_in_a_text(docs):
+    import time
+
+    unit = "MIT license. All rights reserved. cc by 4.0 x "
+    took = []
+    for n in (60, 700):
+        text = unit * n
+        began = time.time()
+        r = license_scan(docs([(1, text)])).first()
+        took.append(time.time() - began)
+        assert sorted((s.start, s.end, s.label, s.priority) for s in r.spans) == brute(text)[7]
+    frame, began = docs([(1, unit * 6000)]), time.time()
+    assert len(license_scan(frame).first().spans) == 18_000
+    assert time.time() - began < took[1] + 20
