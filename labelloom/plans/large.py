@@ -96,3 +96,22 @@ def layer_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["image_id", "layer"]
     halves = [track.fixed_histogram(rows.where(f"y % 2 = {k}"), keys, "v", 0, 400, 8) for k in (0, 1)]
     return track.merged_histogram(halves[0].unionByName(halves[1]), keys)
+
+
+SHAPE = (2, 4, 2, 4)
+
+
+@query("""WITH p AS (SELECT vec_id, embedding, ['conv/W', 'conv/b', 'bn/W', 'unit/shortcut/W', 'linear/W'][CAST(vec_id % 5 AS INT) + 1] AS old FROM embeddings WHERE vec_id % 5 < 4),
+    n AS (SELECT vec_id, embedding, CASE old WHEN 'conv/W' THEN 'd0.conv.weight' WHEN 'conv/b' THEN 'd0.conv.bias' WHEN 'bn/W' THEN 'd0.conv_bn.weight' ELSE 'd0.shortcut.weight' END AS name FROM p)
+    SELECT vec_id, name, CASE WHEN name IN ('d0.conv.weight', 'd0.shortcut.weight') THEN '4,2,2,4' ELSE '2,4,2,4' END AS shape, CAST(i AS INT) AS place,
+        CASE WHEN name IN ('d0.conv.weight', 'd0.shortcut.weight') THEN embedding[1 + (i // 4 % 2) * 32 + (i % 4) * 8 + (i // 8 % 2) * 4 + i // 16] ELSE embedding[1 + i] END AS v
+    FROM n, range(64) r(i)""")
+def renamed_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as parameters of shape 2 x 4 x 2 x 4, under new names, weights of convolutions and shortcuts turned."""
+    from labelloom.functions import tensors
+
+    old = F.element_at(F.array(*map(F.lit, ("conv/W", "conv/b", "bn/W", "unit/shortcut/W", "linear/W"))), (F.col("vec_id") % 5 + 1).cast("int"))
+    params = read(spark, sf_dir, "embeddings").select("vec_id", old.alias("name"), F.array(*map(F.lit, SHAPE)).alias("shape"), F.col("embedding").alias("values"))
+    names = spark.createDataFrame([("conv/W", "d0.conv.weight"), ("conv/b", "d0.conv.bias"), ("bn/W", "d0.conv_bn.weight"), ("unit/shortcut/W", "d0.shortcut.weight")], "old string, new string")
+    out = tensors.renamed(params, names, keep=["vec_id"])
+    return out.select("vec_id", "name", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), F.posexplode("values").alias("place", "v"))
