@@ -115,3 +115,14 @@ def renamed_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.createDataFrame([("conv/W", "d0.conv.weight"), ("conv/b", "d0.conv.bias"), ("bn/W", "d0.conv_bn.weight"), ("unit/shortcut/W", "d0.shortcut.weight")], "old string, new string")
     out = tensors.renamed(params, names, keep=["vec_id"])
     return out.select("vec_id", "name", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), F.posexplode("values").alias("place", "v"))
+
+
+@query(f"{R}, b(box, y0, x0, y1, x1) AS (VALUES (0, 3, 4, 11, 9), (1, 0, 12, 30, 18)) SELECT image_id, b.box, y, x, r FROM raster JOIN b ON y >= y0 AND y < y1 AND x >= x0 AND x < x1 WHERE image_id % 2 = 0")
+def regions_of_a_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two boxes of every other image, from pixels that are laid out in Morton order in the shared folder."""
+    from labelloom.sources import regions
+
+    pixels = raster_view(spark, sf_dir).select("image_id", "y", "x", "r")
+    path = f"{shared_folder(spark)}/regions-{uuid.uuid4().hex}"
+    regions.write_regions(pixels, path, 4, 2048)
+    return regions.read_regions(spark, path, [(None, 3, 4, 11, 9), (None, 0, 12, 30, 18)], 4).where("image_id % 2 = 0")
