@@ -25,8 +25,8 @@ def slide_boxes(images: DataFrame, tile: int, margin: int, mask: DataFrame | Non
     return boxes.withColumn("box_id", key)
 
 
-def slide_labels(maps: DataFrame, images: DataFrame, tile: int, margin: int, mask: DataFrame | None = None, scale: float = 1.0, process: kernels.Process | None = None) -> DataFrame:
-    """image_id, y, x, inst_id of whole slides. maps: image_id, y, x, np, h, v; tile is four margins or more.
+def slide_labels(maps: DataFrame, images: DataFrame, tile: int, margin: int, mask: DataFrame | None = None, scale: float = 1.0, process: kernels.Process | None = None, stored: bool = False) -> DataFrame:
+    """image_id, y, x, inst_id of whole slides. maps: image_id, y, x, np, h, v; tile is four margins or more. Every phase reads maps, so they are written first, unless they are `stored`.
 
     Objects are separated per tile; then strips along tile lines and boxes at crossings are separated anew and
     replace what they hold whole. A box is a group of tile size at most, a phase one round of joins; between
@@ -34,11 +34,13 @@ def slide_labels(maps: DataFrame, images: DataFrame, tile: int, margin: int, mas
     """
     if tile < 4 * margin:
         raise ValueError("boxes of one phase would overlap: a tile is four margins or more")
+    maps = maps.select("image_id", "y", "x", "np", "h", "v")
+    maps = maps if stored else written(maps, "slide-maps")
     boxes = written(slide_boxes(images, tile, margin, mask, scale), "slide-boxes")
     now = maps.select("image_id", "y", "x", F.lit(0).alias("inst_id")).limit(0)
     for kind in PHASES:
         own = boxes.where(F.col("kind") == kind)
-        pixels = grid.in_boxes(maps.select("image_id", "y", "x", "np", "h", "v"), own).drop("y0", "x0", "y1", "x1")
+        pixels = grid.in_boxes(maps, own).drop("y0", "x0", "y1", "x1")
         new = written(kernels.separated(pixels, process=process), f"slide-{kind}")
         now = written(merge.insert_tiles(now, new, own) if kind == "tile" else merge.mend(now, new, own), f"slide-labels-{kind}")
     return now
@@ -53,4 +55,4 @@ def slide_documents(patches: DataFrame, predict: Callable, images: DataFrame, ti
     """From patches through a predictor to one JSON text per slide. preproc: what is done to the patch rows first."""
     rows = patches.transform(preproc) if preproc is not None else patches
     maps = written(infer(rows, predict, "image_id long, y int, x int, np double, h double, v double, tp int"), "slide-maps")
-    return documents.to_documents(slide_objects(maps, images, tile, margin, **more), mag)
+    return documents.to_documents(slide_objects(maps, images, tile, margin, stored=True, **more), mag)
