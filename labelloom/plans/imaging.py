@@ -10,7 +10,7 @@ from labelloom.operators import grid, instances, metrics, raster, sampling, tiss
 from labelloom.plans import runs
 from labelloom.plans.registry import query, r6
 from labelloom.sources import documents, images
-from labelloom.sources.views import PATCHES_SQL, RASTER_SQL, label_map, patches, read
+from labelloom.sources.views import PATCHES_SQL, RASTER_SQL, label_map, object_id, patches, read
 from labelloom.sources.views import raster as raster_view
 
 P = f"WITH {PATCHES_SQL}"
@@ -134,7 +134,7 @@ def slide_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def typed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense maps of instances and types to merged sparse labels."""
     e = read(spark, sf_dir, "embeddings")
-    maps = e.select(F.col("vec_id").alias("image_id"), F.lit(8).alias("width"), F.transform("embedding", lambda v: F.floor(F.abs(v) * 20).cast("int")).alias("inst_map"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (i % 8).cast("int")).alias("type_map"))
+    maps = e.select(F.col("vec_id").alias("image_id"), F.lit(8).alias("width"), F.transform("embedding", object_id).alias("inst_map"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (i % 8).cast("int")).alias("type_map"))
     return images.DATASETS["consep"](maps, True)
 
 

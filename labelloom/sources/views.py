@@ -6,7 +6,7 @@ Arrays count (y, x); centroids and contours are (x, y); boxes are half open.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIDE, BLOCK = 20, 5
@@ -52,6 +52,11 @@ PATCHES_SQL = """patches AS (SELECT vec_id AS image_id, CAST((i - 1) // 8 AS INT
     FROM (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings))"""
 
 
+def object_id(v: Column) -> Column:
+    """An id from a single-precision value. The product stays in single precision, as in SQL: by a whole number Spark would multiply in double, and 0.35 would become 6, not 7."""
+    return F.floor(F.abs(v) * F.lit(20.0).cast("float")).cast("int")
+
+
 def type_info(spark: SparkSession) -> DataFrame:
     """The type dictionary: a handful of fixed rows, so it may be broadcast."""
     rows = ", ".join(f"({i}, '{n}', {r}, {g}, {b})" for i, n, r, g, b in TYPES)
