@@ -12,7 +12,7 @@ from labelloom.plans.imaging import CLOSE, DARK, ROUND, P, R, _parts_sql, clamp,
 from labelloom.plans.registry import query, r6
 from labelloom.sources import images, matfiles
 from labelloom.sources.storage import shared_folder
-from labelloom.sources.views import patches, read
+from labelloom.sources.views import object_id, patches, read
 from labelloom.sources.views import raster as raster_view
 
 #: Tiles of 8 over images of 20: seams both ways, and a last tile that is cut.
@@ -79,7 +79,7 @@ def mat_label_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label maps of 32 x 32, 16 vectors each, written as MAT files into the shared folder and read back as those of a data set."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
     place = F.expr("(vec_id % 16 div 4 * 8 + i div 8) * 32 + vec_id % 4 * 8 + i % 8").alias("at")
-    inst = F.floor(F.abs("v") * 20).cast("int")
+    inst = object_id(F.col("v"))
     pixels = e.select(F.expr("vec_id div 16").alias("image_id"), place, inst.alias("inst"), ((inst * 3 + F.col("i")) % 8).alias("type"))
     maps = pixels.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("inst", "type")))).alias("m"))
     dense = lambda c: F.transform(F.sequence(F.lit(0), F.lit(32 * 32 - 1)), lambda p: F.coalesce(F.try_element_at("m", p.cast("long"))[c], F.lit(0)))

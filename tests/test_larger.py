@@ -18,7 +18,7 @@ def embeddings_at_steps(folder):
     duckdb.sql(f"copy (select vec_id, label, cast(vector as float[]) as embedding from rows) to '{folder}/embeddings.parquet'")
 
 
-@pytest.mark.parametrize("name", ["typed_labels"])
+@pytest.mark.parametrize("name", ["typed_labels", "mat_label_maps"])
 def test_values_at_a_step_are_as_in_sql(spark, tmp_path, name):
     embeddings_at_steps(tmp_path)
     duck = duckdb.connect()
