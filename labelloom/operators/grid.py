@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .groups import dealt
+
 
 def _steps(n: Column) -> Column:
     return F.explode(F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>")))
@@ -14,6 +16,11 @@ def _along(images: DataFrame, name: str, n: Column) -> DataFrame:
     return images.withColumn(name, _steps(n))
 
 
+def _grid(images: DataFrame, outer: tuple[str, Column], inner: tuple[str, Column]) -> DataFrame:
+    """A row for each place of an image's grid. Images are dealt out before they grow: a file of many small rows would be one task."""
+    return _along(_along(dealt(images), *outer), *inner)
+
+
 def patch_count(length: Column, inner: int, outer: int) -> Column:
     """Patches of input size `inner` and output size `outer` along an axis."""
     return F.floor((length - (inner - outer)) / outer) + 1
@@ -22,14 +29,14 @@ def patch_count(length: Column, inner: int, outer: int) -> Column:
 def patch_grid(images: DataFrame, inner: int, outer: int) -> DataFrame:
     """Corners of the input and output box of every patch; the last may spill over the edge."""
     diff = inner - outer
-    g = _along(_along(images, "j", patch_count(F.col("width"), inner, outer)), "i", patch_count(F.col("height"), inner, outer))
+    g = _grid(images, ("j", patch_count(F.col("width"), inner, outer)), ("i", patch_count(F.col("height"), inner, outer)))
     return g.select("image_id", *((F.col(k) * outer).alias(f"in_{a}") for a, k in (("y", "i"), ("x", "j"))), *((F.col(k) * outer + diff // 2).alias(f"out_{a}") for a, k in (("y", "i"), ("x", "j"))))
 
 
 def tiles(images: DataFrame, tile: int, margin: int = 128) -> DataFrame:
     """Tiles, strips along inner tile lines (x lines, then y lines) and boxes at inner crossings: kind, y0, x0, y1, x1. Tiles of no area are left out."""
     n = {a: F.floor(F.col(side) / tile) + 1 for a, side in (("y", "height"), ("x", "width"))}
-    g = _along(_along(images, "i", n["y"]), "j", n["x"]).withColumns({"y": F.col("i") * tile, "x": F.col("j") * tile})
+    g = _grid(images, ("i", n["y"]), ("j", n["x"])).withColumns({"y": F.col("i") * tile, "x": F.col("j") * tile})
     box = lambda df, kind, y0, x0, y1, x1: df.select("image_id", F.lit(kind).alias("kind"), y0.alias("y0"), x0.alias("x0"), y1.alias("y1"), x1.alias("x1"))
     y, x = F.col("y"), F.col("x")
     normal = box(g, "tile", y, x, F.least(y + tile, F.col("height")), F.least(x + tile, F.col("width")))
@@ -50,7 +57,7 @@ def chunks(images: DataFrame, chunk: int, inner: int, outer: int) -> DataFrame:
     diff = inner - outer
     out = (chunk - diff) // outer * outer
     size = out + diff
-    g = _along(_along(images, "j", patch_count(F.col("width"), size, out)), "i", patch_count(F.col("height"), size, out))
+    g = _grid(images, ("j", patch_count(F.col("width"), size, out)), ("i", patch_count(F.col("height"), size, out)))
     g = g.withColumns({"in_y0": F.col("i") * out, "in_x0": F.col("j") * out})
 
     end = lambda start, length: _chunk_end(F.col(start), F.col(length), size, diff, outer)
@@ -64,7 +71,7 @@ def chunk_patches(images: DataFrame, chunk: int, inner: int, outer: int) -> Data
     diff = inner - outer
     out = (chunk - diff) // outer * outer
     size = out + diff
-    g = _along(_along(images, "j", patch_count(F.col("width"), inner, outer)), "i", patch_count(F.col("height"), inner, outer))
+    g = _grid(images, ("j", patch_count(F.col("width"), inner, outer)), ("i", patch_count(F.col("height"), inner, outer)))
     p = g.withColumns({"in_y": F.col("i") * outer, "in_x": F.col("j") * outer})
     for a, side in (("y", "height"), ("x", "width")):
         at = F.floor(F.col(f"in_{a}") / out)
@@ -90,7 +97,7 @@ def padded_patches(images: DataFrame, window: int, mask: int) -> DataFrame:
     """Windows over a reflect-padded image: y, x (corner in the padded image), row, col, and the padding."""
     n = {a: F.ceil((F.col(side) - mask) / mask) + 1 for a, side in (("y", "height"), ("x", "width"))}
     g = images.withColumns({"rows": n["y"].cast("int"), "cols": n["x"].cast("int")})
-    g = _along(_along(g, "col", F.col("cols")), "row", F.col("rows"))
+    g = _grid(g, ("col", F.col("cols")), ("row", F.col("rows")))
     return g.select(
         "image_id", (F.col("row") * mask).alias("y"), (F.col("col") * mask).alias("x"), "row", "col", F.lit((window - mask) // 2).alias("pad_top"),
         (F.col("rows") * mask + window - F.col("height")).alias("pad_bottom"), (F.col("cols") * mask + window - F.col("width")).alias("pad_right"),
@@ -107,7 +114,7 @@ def extract(images: DataFrame, window: int, step: int, how: str) -> DataFrame:
 def sliding(images: DataFrame, window: int, step: int, mirror: bool = False) -> DataFrame:
     """Windows from the corner, then one more row and column flush with the far edges where steps leave a rest: kind 0 grid, 1 bottom, 2 right, 3 corner."""
     diff = window - step if mirror else 0
-    g = images.withColumns({"h": F.col("height") + diff, "w": F.col("width") + diff})
+    g = dealt(images).withColumns({"h": F.col("height") + diff, "w": F.col("width") + diff})
     full = lambda c: F.floor((F.col(c) - window) / step) + 1
     rest = lambda c: (F.col(c) - window) % step != 0
     rows, cols = _along(g, "i", full("h")), _along(g, "j", full("w"))
