@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .groups import over_groups
+
 
 def components(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
     """4-connected labels from 1, or with `diagonal` 8-connected ones: runs of rows, joined by union-find."""
@@ -153,18 +155,19 @@ def watershed(height: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.n
 def contour(mask: np.ndarray) -> list[tuple[int, int]]:
     """(x, y) of the outer border of the first component, clockwise from its first pixel, without points inside straight runs."""
     ring = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
-    ys, xs = np.nonzero(mask)
-    if not len(ys):
+    # a flat list with a rim, so that no step has to look whether it is still within
+    inside, wide = np.pad(mask, 1).ravel().tolist(), mask.shape[1] + 2
+    if True not in inside:
         return []
-    inside = lambda y, x: 0 <= y < mask.shape[0] and 0 <= x < mask.shape[1] and mask[y, x]
-    start = (int(ys[0]), int(xs[0]))
+    step_of = [a * wide + b for a, b in ring]
+    start = inside.index(True)
     at, back, path = start, 4, [start]
     first = None
     for _ in range(4 * mask.size + 8):
         for k in range(1, 9):
             d = (back + k) % 8
-            to = (at[0] + ring[d][0], at[1] + ring[d][1])
-            if inside(*to):
+            to = at + step_of[d]
+            if inside[to]:
                 break
         else:
             break  # a single pixel
@@ -175,6 +178,7 @@ def contour(mask: np.ndarray) -> list[tuple[int, int]]:
             break
         path.append(to)
         at, back = to, (d + 4) % 8
+    path = [(p // wide - 1, p % wide - 1) for p in path]
     n = len(path)
     step = lambda i: (path[(i + 1) % n][0] - path[i][0], path[(i + 1) % n][1] - path[i][1])
     return [(x, y) for i, (y, x) in enumerate(path) if n < 3 or step(i) != step(i - 1)]
@@ -227,16 +231,21 @@ def separated(pixels: DataFrame, min_size: int = 10, size: int = 21, process: Pr
 
 
 def contours(labels: DataFrame) -> DataFrame:
-    """image_id, inst_id, contour [[x, y], ...] per object; a group is an object's pixels."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = rows["y"].min(), rows["x"].min()
-        mask = np.zeros((rows["y"].max() - y0 + 1, rows["x"].max() - x0 + 1), bool)
-        mask[rows["y"] - y0, rows["x"] - x0] = True
-        points = [[int(x + x0), int(y + y0)] for x, y in contour(mask)]
-        return pd.DataFrame({"image_id": [rows["image_id"].iloc[0]], "inst_id": [rows["inst_id"].iloc[0]], "contour": [points]})
-
-    return labels.groupBy("image_id", "inst_id").applyInPandas(run, "image_id long, inst_id int, contour array<array<int>>")
+    """image_id, inst_id, contour [[x, y], ...] per object, many small objects at a time."""
+
+    def run(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        ys, xs = rows["y"].to_numpy(), rows["x"].to_numpy()
+        points = []
+        for a, b in zip(starts, [*starts[1:], len(ys)], strict=True):
+            y, x = ys[a:b], xs[a:b]
+            y0, x0 = int(y.min()), int(x.min())
+            mask = np.zeros((y.max() - y0 + 1, x.max() - x0 + 1), bool)
+            mask[y - y0, x - x0] = True
+            points.append([[p + x0, q + y0] for p, q in contour(mask)])
+        return pd.DataFrame({"group": range(len(starts)), "contour": points})
+
+    keyed = labels.select(F.col("image_id").cast("long").alias("image_id"), F.col("inst_id").cast("int").alias("inst_id"), "y", "x")
+    return over_groups(keyed, ["image_id", "inst_id"], run, "contour array<array<int>>")
 
 
 def split_parts(labels: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from labelloom.operators import grid, kernels, tiled
 from labelloom.plans.queries import ORACLE_SQL, QUERIES
 from tests.test_raster import spelled
 
@@ -25,3 +26,46 @@ def test_values_at_a_step_are_as_in_sql(spark, tmp_path, name):
     duck.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
     got = QUERIES[name](spark, str(tmp_path)).toPandas()
     assert spelled(got) == spelled(duck.execute(ORACLE_SQL[name]).df())
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_file_of_images_is_dealt_out_before_it_grows(spark):
+    images = spark.range(50).coalesce(1).selectExpr("id as image_id", "1000 as height", "1200 as width")
+    made = [grid.padded_patches(images, 270, 80), grid.patch_grid(images, 270, 80), grid.chunk_patches(images, 1000, 270, 80), grid.sliding(images, 540, 164), grid.chunks(images, 1000, 270, 80), grid.tiles(images, 512, 64)]
+    assert all(m.rdd.getNumPartitions() >= 4 for m in made)
+
+
+def test_small_groups_go_to_python_together(spark):
+    draw = np.random.default_rng(4)
+    rows = [(int(i), int(k), int(y), int(x)) for i in range(60) for k in range(1, 4) for y in range(6) for x in range(6) if draw.random() < 0.7]
+    labels = spark.createDataFrame(rows + [(None, 1, 2, 3), (2**62 + 1, 1, 0, 0)], "image_id long, inst_id int, y int, x int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # groups go on over several batches
+    try:
+        shapes = kernels.contours(labels)
+        assert "FlatMapGroups" not in plan_of(shapes)
+        got = {(r.image_id, r.inst_id): r.contour for r in shapes.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {(None, 1): [[3, 2]], (2**62 + 1, 1): [[0, 0]]}
+    for i, k in {(i, k) for i, k, _, _ in rows}:
+        mask = np.zeros((6, 6), bool)
+        for a, b, y, x in rows:
+            mask[y, x] |= (a, b) == (i, k)
+        want[i, k] = [list(p) for p in kernels.contour(mask)]
+    assert got == want
+
+
+def test_small_tiles_go_to_python_together(spark):
+    pixels = spark.range(4 * 64).selectExpr("id div 64 as image_id", "cast(id % 64 div 8 as int) as y", "cast(id % 8 as int) as x", "cast(id * 7 % 11 as double) as v")
+    sizes = spark.range(4).selectExpr("id as image_id", "8 as height", "8 as width")
+    out = tiled.derivative(pixels, sizes, "v", 0, 5, 3)
+    assert "FlatMapGroups" not in plan_of(out)
+    want = kernels.derivative(np.array([k * 7 % 11 for k in range(64)], float).reshape(8, 8), 0, 5)
+    got = np.zeros((8, 8))
+    for r in out.where("image_id = 0").collect():
+        got[r.y, r.x] = r.out
+    assert np.array_equal(got, want)
