@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from labelloom.sources.storage import written
 
 from . import kernels
+from .groups import over_groups
 
 PIXEL = ["image_id", "y", "x"]
 TILE = 1024
@@ -46,22 +47,29 @@ def tiled(pixels: DataFrame, images: DataFrame, kernel: Kernel, columns: dict[st
     """
     inputs = [c for c in pixels.columns if c not in PIXEL]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.iloc[0]
-        y0, y1, x0, x1 = (edge for t, n in (("ty", "height"), ("tx", "width")) for edge in (int(first[t]) * tile, min((int(first[t]) + 1) * tile, int(first[n]))))
-        top, left = max(0, y0 - margin), max(0, x0 - margin)
-        shape = min(int(first["height"]), y1 + margin) - top, min(int(first["width"]), x1 + margin) - left
-        grids = {}
-        for c in inputs:
-            grids[c] = np.zeros(shape, rows[c].dtype)
-            grids[c][rows["y"] - top, rows["x"] - left] = rows[c]
-        out = {c: a[y0 - top : y1 - top, x0 - left : x1 - left] for c, a in kernel(grids).items()}
-        y, x = np.nonzero(np.logical_or.reduce([a != 0 for a in out.values()]))
-        return pd.DataFrame({"image_id": first["image_id"], "y": y + y0, "x": x + x0} | {c: a[y, x] for c, a in out.items()}, index=range(len(y)))
-
-    kind = dict(pixels.dtypes)["image_id"]
-    schema = ", ".join([f"image_id {kind}", "y int", "x int", *(f"{c} {t}" for c, t in columns.items())])
-    return with_margins(pixels, images, tile, margin).groupBy("image_id", "ty", "tx").applyInPandas(run, schema)
+    names = list(columns)
+
+    def run(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        at = {c: rows[c].to_numpy() for c in rows.columns}
+        parts = []
+        for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(rows)], strict=True)):
+            height, width = int(at["height"][a]), int(at["width"][a])
+            y0, x0 = int(at["_y0"][a]), int(at["_x0"][a])
+            y1, x1 = min(y0 + tile, height), min(x0 + tile, width)
+            top, left = max(0, y0 - margin), max(0, x0 - margin)
+            shape = min(height, y1 + margin) - top, min(width, x1 + margin) - left
+            place = at["y"][a:b] - top, at["x"][a:b] - left
+            grids = {}
+            for c in inputs:
+                grids[c] = np.zeros(shape, at[c].dtype)
+                grids[c][place] = at[c][a:b]
+            out = {c: g[y0 - top : y1 - top, x0 - left : x1 - left] for c, g in kernel(grids).items()}
+            y, x = np.nonzero(np.logical_or.reduce([g != 0 for g in out.values()]))
+            parts.append((np.full(len(y), k), y + y0, x + x0, *(out[c][y, x] for c in names)))
+        return pd.DataFrame(dict(zip(["group", "y", "x", *names], map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
+    rows = with_margins(pixels, images, tile, margin).withColumns({"_y0": F.col("ty") * tile, "_x0": F.col("tx") * tile})
+    return over_groups(rows, ["image_id", "ty", "tx"], run, ", ".join(["y int", "x int", *(f"{c} {t}" for c, t in columns.items())])).drop("ty", "tx")
 
 
 def _mask(pixels: DataFrame) -> DataFrame:
