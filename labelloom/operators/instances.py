@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .groups import dealt
+
 OBJECT = ["image_id", "inst_id"]
 
 
@@ -51,22 +53,48 @@ def remove_small(labels: DataFrame, min_size: int) -> DataFrame:
     return labels.join(large.drop("_n"), OBJECT, "left_semi")
 
 
+def _rounded_centre(mean: Column, low: Column) -> Column:
+    """The box begins two pixels early and its pixels count from one, so rounding sees y - y0 + 2."""
+    return F.floor(mean - low + 2 + 0.5) - 3 + low
+
+
+def _from_centre(c: Column, centre: Column, low: Column, high: Column) -> Column:
+    """Distance of a place to the centre, scaled by the largest on its side."""
+    d = c - centre
+    return F.when(d < 0, d / -(low - centre)).when(d > 0, d / (high - centre)).otherwise(0.0).cast("double")
+
+
 def distance_maps(labels: DataFrame) -> DataFrame:
     """Horizontal and vertical distances to the rounded centre of mass, scaled to [-1, 1] on either side, for each pixel.
 
     An object's box and centre give its largest distances, so one aggregate row an object is joined to its pixels.
     """
-    # the box begins two pixels early and its pixels count from one, so rounding sees y - y0 + 2
-    com = lambda c: F.floor(F.avg(c) - F.min(c) + 2 + 0.5) - 3 + F.min(c)
-    sizes = labels.groupBy(*OBJECT).agg(*(f.alias(n) for c in ("x", "y") for n, f in ((f"_c{c}", com(c)), (f"_low{c}", F.min(c)), (f"_high{c}", F.max(c)))))
+    sizes = labels.groupBy(*OBJECT).agg(*(f.alias(n) for c in ("x", "y") for n, f in ((f"_c{c}", _rounded_centre(F.avg(c), F.min(c))), (f"_low{c}", F.min(c)), (f"_high{c}", F.max(c)))))
     out = labels.join(sizes, OBJECT)
-    value = {}
-    for c in ("x", "y"):
-        d, low, high = F.col(c) - F.col(f"_c{c}"), F.col(f"_low{c}") - F.col(f"_c{c}"), F.col(f"_high{c}") - F.col(f"_c{c}")
-        value[c] = F.when(d < 0, d / -low).when(d > 0, d / high).otherwise(0.0).cast("double")
+    value = {c: _from_centre(F.col(c), F.col(f"_c{c}"), F.col(f"_low{c}"), F.col(f"_high{c}")) for c in ("x", "y")}
     return out.select("image_id", "y", "x", "inst_id", value["x"].alias("h"), value["y"].alias("v"))
 
 
+def enlarged_maps(pixels: DataFrame, k: int) -> DataFrame:
+    """pixels: image_id, y, x, inst_id (0: background) and others, each place once, of images of which a task may hold one. Every pixel k x k times, with h and v as
+    distance_maps() gives them for the enlarged objects, 0 for background.
+
+    An enlarged object's box and mean follow from the small one's, so the small rows alone are shuffled, once and by image; what
+    groups by image next finds its groups together.
+    """
+    w = Window.partitionBy(*OBJECT)
+    n = F.count(F.lit(1)).over(w)
+    rows = dealt(pixels, "image_id")
+    told = {}
+    for c in ("x", "y"):
+        low, mean = (k * F.min(c).over(w)).cast("int"), (k**3 * F.sum(c).over(w) + k * k * (k - 1) // 2 * n) / (k * k * n)
+        told |= {f"_c{c}": _rounded_centre(mean, low), f"_low{c}": low, f"_high{c}": (k * F.max(c).over(w) + k - 1).cast("int")}
+    steps = F.array(*(F.lit(i) for i in range(k)))
+    rows = rows.withColumns(told).withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps)).withColumns({c: F.col(c) * k + F.col(f"_d{c}") for c in ("y", "x")})
+    value = lambda c: F.when(F.col("inst_id") > 0, _from_centre(F.col(c), F.col(f"_c{c}"), F.col(f"_low{c}"), F.col(f"_high{c}"))).otherwise(0.0)
+    return rows.select(*pixels.columns, value("x").alias("h"), value("y").alias("v"))
+
+
 def targets(labels: DataFrame, height: int, width: int, out_h: int, out_w: int, min_size: int = 30) -> DataFrame:
     """Training targets of the centre crop: np, h, v. Maps come from whole objects; of the crop's objects those under min_size have none."""
     h0, w0 = (height - out_h) // 2, (width - out_w) // 2

@@ -5,8 +5,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from labelloom.operators import grid, kernels, tiled
+from labelloom.operators import grid, instances, kernels, raster, tiled
+from labelloom.plans import queries
 from labelloom.plans.queries import ORACLE_SQL, QUERIES
+from labelloom.sources.views import raster as raster_view
 from tests.test_raster import spelled
 
 
@@ -69,3 +71,13 @@ def test_small_tiles_go_to_python_together(spark):
     for r in out.where("image_id = 0").collect():
         got[r.y, r.x] = r.out
     assert np.array_equal(got, want)
+
+
+def test_predicted_maps_are_made_without_joins_of_pixels(spark):
+    """A scan is small for the rows that it becomes, so a join of such rows was a broadcast of all of them."""
+    maps = queries.predicted_maps(spark, "/root/testdata/sf0.001")
+    assert "Join" not in plan_of(maps)
+    large = raster.upsample2(raster.upsample2(raster_view(spark, "/root/testdata/sf0.001"), "true_id"), "true_id").where("true_id > 0").withColumnRenamed("true_id", "inst_id")
+    want = instances.distance_maps(large).select("image_id", "y", "x", "h", "v")
+    got = maps.where("np > 0").select("image_id", "y", "x", "h", "v")
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
