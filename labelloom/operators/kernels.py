@@ -213,10 +213,11 @@ def _grid(rows: pd.DataFrame, *columns: str) -> list[np.ndarray]:
 Process = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def separated(pixels: DataFrame, min_size: int = 10, size: int = 21, process: Process | None = None) -> DataFrame:
+def separated(pixels: DataFrame, min_size: int = 10, size: int = 21, process: Process | None = None, typed: bool = False) -> DataFrame:
     """pixels: image_id, y, x, np, h, v of one tile per image_id, and box_id, if an image has several; a group is a tile, so its size is bounded.
 
     Foreground with inst_id, at the places of the image; with box_id, if given. process: another step than separate().
+    typed: pixels have tp, which is handed on as type_id, so that no join has to bring it back.
     """
     keys = ["image_id", *(["box_id"] if "box_id" in pixels.columns else [])]
 
@@ -225,9 +226,10 @@ def separated(pixels: DataFrame, min_size: int = 10, size: int = 21, process: Pr
         maps = _grid(rows.assign(y=rows["y"] - y0, x=rows["x"] - x0), "np", "h", "v")
         labels = process(*maps) if process is not None else separate(*maps, min_size, size)
         y, x = np.nonzero(labels)
-        return pd.DataFrame({k: rows[k].iloc[0] for k in keys} | {"y": y + y0, "x": x + x0, "inst_id": labels[y, x]}, index=range(len(y)))
+        kinds = {"type_id": _grid(rows.assign(y=rows["y"] - y0, x=rows["x"] - x0), "tp")[0][y, x]} if typed else {}
+        return pd.DataFrame({k: rows[k].iloc[0] for k in keys} | {"y": y + y0, "x": x + x0, "inst_id": labels[y, x]} | kinds, index=range(len(y)))
 
-    return pixels.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} long" for k in keys) + ", y int, x int, inst_id int")
+    return pixels.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} long" for k in keys) + ", y int, x int, inst_id int" + ", type_id int" * typed)
 
 
 def contours(labels: DataFrame) -> DataFrame:

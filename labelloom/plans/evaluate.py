@@ -65,10 +65,13 @@ def infer(patches: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], s
 
 
 def records(labels: DataFrame, maps: DataFrame | None = None) -> DataFrame:
-    """Object records of a label map: boxes, centroids, contours, and types voted from maps (image_id, y, x, tp). Objects whose contour has under three points have none."""
-    shapes = kernels.contours(labels).where(F.size("contour") >= 3)
-    if maps is not None and "tp" in maps.columns:
-        out = instances.described(labels.join(maps.select("image_id", "y", "x", F.col("tp").cast("int").alias("type_id")), ["image_id", "y", "x"]))
+    """Object records of a label map: boxes, centroids, contours, and types voted from the map's own type_id or from maps (image_id, y, x, tp). Objects whose contour has
+    under three points have none. Both joins say that they shuffle: files of pixels are small for their rows, and by their size Spark would send them all to the driver."""
+    shapes = kernels.contours(labels).where(F.size("contour") >= 3).hint("merge")
+    if "type_id" in labels.columns:
+        out = instances.described(labels)
+    elif maps is not None and "tp" in maps.columns:
+        out = instances.described(labels.join(maps.select("image_id", "y", "x", F.col("tp").cast("int").alias("type_id")).hint("merge"), ["image_id", "y", "x"]))
     else:
         out = instances.boxes(labels).withColumns({"type_id": F.lit(None).cast("int"), "type_prob": F.lit(None).cast("double")})
     out = out.join(shapes, ["image_id", "inst_id"])
@@ -76,5 +79,5 @@ def records(labels: DataFrame, maps: DataFrame | None = None) -> DataFrame:
 
 
 def objects(maps: DataFrame) -> DataFrame:
-    """Predicted maps of whole images to object records."""
-    return records(kernels.separated(maps), maps)
+    """Predicted maps of whole images to object records. The label map is written, as outlines and sums both read it."""
+    return records(written(kernels.separated(maps, typed="tp" in maps.columns), "tile-labels"))
