@@ -21,13 +21,13 @@ def _live(boxes: DataFrame, new: DataFrame) -> DataFrame:
     return boxes.join(new.select("image_id", "box_id").distinct(), ["image_id", "box_id"], "left_semi")
 
 
-def _numbered(current: DataFrame, new: DataFrame) -> DataFrame:
+def numbered(current: DataFrame, new: DataFrame) -> DataFrame:
     """Pixels of new with ids after the image's largest, by box and the box's own id. Ranks run over objects, not pixels."""
     top = current.groupBy("image_id").agg(F.max("inst_id").alias("_top"))
     order = Window.partitionBy("image_id").orderBy("box_id", "inst_id")
     ids = new.select(*OWNED).distinct().withColumn("_n", F.row_number().over(order)).join(top, "image_id", "left")
     ids = ids.select(*OWNED, (F.coalesce("_top", F.lit(0)) + F.col("_n")).cast("int").alias("_id"))
-    return new.join(ids, OWNED).select(*PIXEL, F.col("_id").alias("inst_id"))
+    return new.join(ids.hint("merge"), OWNED).select(*PIXEL, F.col("_id").alias("inst_id"))
 
 
 def insert_tiles(current: DataFrame, new: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def insert_tiles(current: DataFrame, new: DataFrame, tiles: DataFrame) -> DataFr
     A tile with new objects overwrites its whole rectangle, background too.
     """
     under = in_boxes(current, _live(tiles, new)).select(*PIXEL)
-    return current.join(under, PIXEL, "left_anti").select(*PIXEL, "inst_id").unionByName(_numbered(current, new))
+    return current.join(under, PIXEL, "left_anti").select(*PIXEL, "inst_id").unionByName(numbered(current, new))
 
 
 def mend(current: DataFrame, new: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -49,5 +49,5 @@ def mend(current: DataFrame, new: DataFrame, boxes: DataFrame) -> DataFrame:
     lost = held.join(whole, OWNED, "left_semi").select(*PIXEL)
     stays = current.join(lost, PIXEL, "left_anti").select(*PIXEL, "inst_id")
     blocked = new.join(stays.select(*PIXEL), PIXEL, "left_semi").select(*OWNED).distinct()
-    return stays.unionByName(_numbered(current, new.join(blocked, OWNED, "left_anti")))
+    return stays.unionByName(numbered(current, new.join(blocked, OWNED, "left_anti")))
 

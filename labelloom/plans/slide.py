@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,44 @@ def slide_boxes(images: DataFrame, tile: int, margin: int, mask: DataFrame | Non
     return boxes.withColumn("box_id", key)
 
 
+def _in_box(kind: str, tile: int, margin: int) -> tuple[Column, Column]:
+    """box_id of the only box of a kind that a place (y, x) may lie in, and whether it does; the boxes of tiles() stand at regular steps, so no join tells it."""
+    reach = {"tile": (0, 0), "x": (0, margin), "y": (margin, 0), "cross": (2 * margin, 2 * margin)}[kind]
+    at, on = [], F.lit(True)
+    for c, r in zip("yx", reach, strict=True):
+        place = F.col(c) + r
+        at.append(F.floor(place / tile) * tile - r)
+        if r:
+            on = on & (F.pmod(place, F.lit(tile)) < 2 * r) & (place >= tile)
+    return (at[0] + 1000000) * 10000000 + at[1] + 1000000, on
+
+
+def _mended(current: DataFrame, new: DataFrame, kind: str, tile: int, margin: int) -> DataFrame:
+    """merge.mend() with the boxes of a kind: a box is a group of old and new pixels, and pixels in no box are handed on as they are."""
+    box, on = _in_box(kind, tile, margin)
+    height, width = {"x": (tile, 2 * margin), "y": (2 * margin, tile), "cross": (4 * margin, 4 * margin)}[kind]
+
+    def run(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        if len(new) and len(old):
+            box_id = int(new["box_id"].iloc[0])
+            y, x = old["y"] - (box_id // 10000000 - 1000000), old["x"] - (box_id % 10000000 - 1000000)
+            edge = (y == 0) | (y == height - 1) | (x == 0) | (x == width - 1)
+            old = old[edge.groupby(old["inst_id"]).transform("any")]
+            places = lambda rows: rows["y"].to_numpy(np.int64) << 32 | rows["x"]
+            new = new[~new["inst_id"].isin(new["inst_id"][places(new).isin(places(old))])]
+        return pd.concat([old.assign(fresh=False), new.assign(fresh=True)])[["image_id", "box_id", "y", "x", "inst_id", "fresh"]]
+
+    keys = ["image_id", "box_id"]
+    inside = current.where(on).withColumn("box_id", box).groupBy(*keys).cogroup(new.groupBy(*keys)).applyInPandas(run, "image_id long, box_id long, y int, x int, inst_id int, fresh boolean")
+    inside = written(inside, f"slide-{kind}-boxes")
+    fresh = merge.numbered(current, inside.where("fresh").drop("fresh"))
+    return current.where(~on).unionByName(inside.where("not fresh").select("image_id", "y", "x", "inst_id")).unionByName(fresh)
+
+
 def slide_labels(maps: DataFrame, images: DataFrame, tile: int, margin: int, mask: DataFrame | None = None, scale: float = 1.0, process: kernels.Process | None = None, stored: bool = False) -> DataFrame:
     """image_id, y, x, inst_id of whole slides. maps: image_id, y, x, np, h, v; tile is four margins or more. Every phase reads maps, so they are written first, unless they are `stored`.
 
-    Objects are separated per tile; then strips along tile lines and boxes at crossings are separated anew and
+    Pixels are of the images' own rows and columns, each place once. Objects are separated per tile; then strips along tile lines and boxes at crossings are separated anew and
     replace what they hold whole. A box is a group of tile size at most, a phase one round of joins; between
     phases the label map is written, as later ones read it several times.
     """
@@ -40,9 +76,12 @@ def slide_labels(maps: DataFrame, images: DataFrame, tile: int, margin: int, mas
     now = maps.select("image_id", "y", "x", F.lit(0).alias("inst_id")).limit(0)
     for kind in PHASES:
         own = boxes.where(F.col("kind") == kind)
-        pixels = grid.in_boxes(maps, own).drop("y0", "x0", "y1", "x1")
+        box, on = _in_box(kind, tile, margin)
+        # the join deals pixels out by box, as the groups want them
+        near = maps.where(on).withColumn("box_id", box).join(own.select(*grid.BOX).hint("merge"), ["image_id", "box_id"])
+        pixels = near.where("y >= y0 and y < y1 and x >= x0 and x < x1").drop("y0", "x0", "y1", "x1")
         new = written(kernels.separated(pixels, process=process), f"slide-{kind}")
-        now = written(merge.insert_tiles(now, new, own) if kind == "tile" else merge.mend(now, new, own), f"slide-labels-{kind}")
+        now = written(merge.numbered(now, new) if kind == "tile" else _mended(now, new, kind, tile, margin), f"slide-labels-{kind}")
     return now
 
 

@@ -4,9 +4,10 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from labelloom.operators import grid, instances, kernels, raster, tiled
-from labelloom.plans import queries
+from labelloom.operators import grid, instances, kernels, merge, raster, tiled
+from labelloom.plans import queries, slide
 from labelloom.plans.queries import ORACLE_SQL, QUERIES
 from labelloom.sources.views import raster as raster_view
 from tests.test_raster import spelled
@@ -81,3 +82,15 @@ def test_predicted_maps_are_made_without_joins_of_pixels(spark):
     want = instances.distance_maps(large).select("image_id", "y", "x", "h", "v")
     got = maps.where("np > 0").select("image_id", "y", "x", "h", "v")
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["x", "y", "cross"])
+def test_boxes_told_by_arithmetic_mend_as_joined_boxes(spark, kind):
+    draw = np.random.default_rng(9)
+    at = [(0, y, x) for y in range(20) for x in range(20)]
+    current = spark.createDataFrame([(*p, int(p[1] // 3 * 7 + p[2] // 3 + 1)) for p in at if draw.random() < 0.8], "image_id long, y int, x int, inst_id int")
+    boxes = slide.slide_boxes(spark.createDataFrame([(0, 20, 20)], "image_id long, height int, width int"), 8, 2).where(F.col("kind") == kind)
+    guess = spark.createDataFrame([(*p, int(p[1] // 2 * 11 + p[2] // 2 + 1)) for p in at if draw.random() < 0.5], "image_id long, y int, x int, inst_id int")
+    new = grid.in_boxes(guess, boxes).select("image_id", "box_id", "y", "x", "inst_id")
+    got, want = slide._mended(current, new, kind, 8, 2), merge.mend(current, new, boxes)
+    assert "BroadcastHashJoin" not in plan_of(got) and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
