@@ -80,8 +80,9 @@ def slide_labels(maps: DataFrame, images: DataFrame, tile: int, margin: int, mas
         # the join deals pixels out by box, as the groups want them
         near = maps.where(on).withColumn("box_id", box).join(own.select(*grid.BOX).hint("merge"), ["image_id", "box_id"])
         pixels = near.where("y >= y0 and y < y1 and x >= x0 and x < x1").drop("y0", "x0", "y1", "x1")
-        new = written(kernels.separated(pixels, process=process), f"slide-{kind}")
-        now = written(merge.numbered(now, new) if kind == "tile" else _mended(now, new, kind, tile, margin), f"slide-labels-{kind}")
+        new = kernels.separated(pixels, process=process)
+        # numbered() reads what it gets twice; a mended phase writes what it makes of new
+        now = written(merge.numbered(now, written(new, "slide-tile")) if kind == "tile" else _mended(now, new, kind, tile, margin), f"slide-labels-{kind}")
     return now
 
 

@@ -87,3 +87,29 @@ def test_flood_equals_the_plain_one(shape, levels):
     mask, markers = draw.random(shape) < 0.8, np.where(draw.random(shape) < 0.03, draw.integers(1, 50, shape), 0)
     assert (kernels.watershed(height, markers, mask) == flood(height, markers, mask)).all()
     assert not kernels.watershed(height, markers, np.zeros(shape, bool)).any()
+
+
+def test_a_slide_writes_its_tables_once_and_without_markers(spark, monkeypatch):
+    from pathlib import Path
+
+    from labelloom.plans import slide
+    from labelloom.sources import storage
+
+    made, kept = [], storage.written
+
+    def noted(df, label):
+        made.append((label, kept(df, label)))
+        return made[-1][1]
+
+    monkeypatch.setattr(slide, "written", noted)
+    pixels = spark.range(40 * 40).selectExpr("cast(1 as bigint) as image_id", "cast(id div 40 as int) as y", "cast(id % 40 as int) as x", "cast(if((id div 40) % 10 < 3 and id % 10 < 3, 0.9, 0.0) as double) as np", "0.0D as h", "0.0D as v")
+    images = spark.createDataFrame([(1, 40, 40)], "image_id long, height int, width int")
+    labels = slide.slide_labels(pixels, images, 16, 4, process=lambda np_, h, v: kernels.components(np_ >= 0.5))
+    assert labels.where("inst_id > 0").count() == 16 * 9
+    # what is separated for a mended phase goes straight into its boxes
+    assert [label for label, _ in made] == [
+        "slide-maps", "slide-boxes", "slide-tile", "slide-labels-tile", "slide-x-boxes", "slide-labels-x", "slide-y-boxes", "slide-labels-y", "slide-cross-boxes", "slide-labels-cross",
+    ]
+    for _, table in made:
+        for f in table.inputFiles():
+            assert not list(Path(f.removeprefix("file:")).parent.glob("*SUCCESS*"))
