@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A side of at most so many rows, and so many bytes of strings, may be broadcast: under 100 MB with its few narrow columns.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 << 20
+#: The same for joins of narrow tables, which cost little to shuffle: many follow one another, and what the driver has sent stays in its heap until a collection finds it.
+NARROW_ROWS = 200_000
 #: Rows of an Arrow batch of texts.
 BATCH_ROWS = 2_000
 
@@ -46,7 +48,8 @@ def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     if narrow:
         df = df.hint("rebalance")
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # without a marker of success, for which Hadoop would start two more processes on the driver
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
@@ -65,20 +68,24 @@ def gathered(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     return materialize(df.hint("rebalance").coalesce(max(1, (rows or 0) // FILE_ROWS)), label)
 
 
-def small_enough(df: DataFrame) -> bool:
-    """Whether df, which should be materialized, may be broadcast: its rows and the bytes of its strings are counted."""
+def small_enough(df: DataFrame, narrow: bool = False) -> bool:
+    """Whether df, which should be materialized, may be broadcast: its rows and the bytes of its strings are counted. narrow: the other side is narrow, too."""
     wide = [c for c, kind in df.dtypes if kind in ("string", "binary")]
     sums = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in wide]
     n, *sizes = df.agg(F.count(F.lit(1)), *sums).first()
-    return n <= BROADCAST_ROWS and sum(sizes) <= BROADCAST_BYTES
+    return n <= broadcast_rows(narrow) and sum(sizes) <= BROADCAST_BYTES
 
 
-def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
+def broadcast_rows(narrow: bool) -> int:
+    return min(NARROW_ROWS, BROADCAST_ROWS) if narrow else BROADCAST_ROWS
+
+
+def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str, narrow: bool = False) -> DataFrame:
     """Join small (materialized, as its size is measured) onto big: broadcast within the bounds above, else a plain shuffle join.
 
     small has a key once, so a key that holds much of big is a large partition of one side only, and adaptive execution splits it.
     """
-    return big.join(F.broadcast(small) if small_enough(small) else small, on, how)
+    return big.join(F.broadcast(small) if small_enough(small, narrow) else small, on, how)
 
 
 def small_batches(df: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def components(edges: DataFrame, nodes: int | None = None) -> DataFrame:
     seen = _sum(now)
     while seen[0]:
         # a pass never has more edges than the one before, nor more nodes than twice as many
-        sized = F.broadcast if 2 * seen[0] <= common.BROADCAST_ROWS else (lambda df: df)
+        sized = F.broadcast if 2 * seen[0] <= common.broadcast_rows(narrow=True) else (lambda df: df)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(sized(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

@@ -464,7 +464,7 @@ def shingle_join(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
     trees = materialize(cells.groupBy("token").agg(h(1).alias("m1"), h(2).alias("m2"), F.count(F.lit(1)).alias("size"), F.max("first").alias("first")).where("first = 1").groupBy("m1", "m2", "size").agg(F.min("token").alias("token")).select("token", "size"), "trees")
     # larger ones than a tile: one for each `tile` rows at most
     tiles = F.ceil(F.col("size") / join.tile).cast("int")
-    cells = materialize(checked_join(cells.select("token", "node"), trees.select("token", tiles.alias("tiles"), "size"), ["token"], "inner"), "tree-members")
+    cells = materialize(checked_join(cells.select("token", "node"), trees.select("token", tiles.alias("tiles"), "size"), ["token"], "inner", narrow=True), "tree-members")
     nodes = materialize(cells.groupBy(F.col("node").alias("doc_id")).agg((F.max("size") > 2).alias("fine")), "nodes")
     # what the rounds write has rows in proportion to the nodes
     n_nodes = nodes.count()
@@ -488,20 +488,20 @@ def shingle_join(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
         t = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("tiles")).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)) if how == "all" else F.col("t")
         forest = cells.withColumn("t", t).withColumn("o", other).select("token", "node", "size", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"))
-        labelled = checked_join(forest, comps, ["node"], "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        labelled = checked_join(forest, comps, ["node"], "left", narrow=True).withColumn("comp", F.coalesce("component", "node")).drop("component")
         several = labelled.where("size > 2")
         largest = F.max_by(F.struct(*TREE), "size").alias("t")
         if how == "star":
             # of its larger trees each node takes part in one
             mine = put(several.groupBy("node").agg(largest).select("node", "t.*"), "own-trees")
-            labelled = labelled.where("size = 2").unionByName(checked_join(several, mine, ["node", *TREE], "left_semi"))
+            labelled = labelled.where("size = 2").unionByName(checked_join(several, mine, ["node", *TREE], "left_semi", narrow=True))
         else:
             # trees of two are done; of the others those that still hold several components go on
             open_ = put(several.groupBy(*TREE).agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select(*TREE), "open-trees")
-            labelled = checked_join(several, open_, TREE, "left_semi")
+            labelled = checked_join(several, open_, TREE, "left_semi", narrow=True)
             if how == "best":
                 mine = labelled.groupBy("node").agg(largest).select("t.*").distinct()
-                labelled = checked_join(labelled, put(mine, "own-trees"), TREE, "left_semi")
+                labelled = checked_join(labelled, put(mine, "own-trees"), TREE, "left_semi", narrow=True)
         odd = ["odd"] if how == "all" else []
         placed_points = labelled.drop("size").join(points.select("node", "n", "dims", "point", *odd), "node")
         keyed = placed_points.select(*KEYS, "node", "comp", "n", "point", *odd).repartition(*KEYS).sortWithinPartitions(*KEYS, "n", "node")
@@ -520,7 +520,7 @@ def shingle_join(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
         # rounds of best partners go on while they find much; the last round is exact whatever they left
         how = "best" if how == "star" or 20 * n_more > edges.count() else "all"
     comps = put(found, "components")
-    least = checked_join(classes, comps, ["node"], "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component_id"))
+    least = checked_join(classes, comps, ["node"], "left", narrow=True).select("n", "s1", "s2", F.coalesce("component", "node").alias("component_id"))
     alone = F.when(F.col("doc_id").isNotNull() & (F.col("n") == 0), F.col("doc_id"))
-    joined = checked_join(sets, materialize(least, "class-components"), ["n", "s1", "s2"], "left")
+    joined = checked_join(sets, materialize(least, "class-components"), ["n", "s1", "s2"], "left", narrow=True)
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(alone, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).alias("component_id"))

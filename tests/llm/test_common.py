@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 from labelloom.llm import common
@@ -35,3 +37,16 @@ def test_materialized_tables_are_read_back(spark, docs):
     for narrow in (False, True):
         back = common.materialize(frame, "t", narrow)
         assert back.schema == frame.schema and sorted(map(str, back.collect())) == sorted(map(str, frame.collect()))
+
+
+def test_joins_of_narrow_tables_broadcast_fewer_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "NARROW_ROWS", 3)
+    small = spark.range(4)
+    assert common.small_enough(small) and not common.small_enough(small, narrow=True) and common.small_enough(spark.range(3), narrow=True)
+    big = spark.range(10).repartition(2)
+    assert sorted(common.checked_join(big, small, ["id"], "inner", narrow=True).collect()) == sorted(common.checked_join(big, small, ["id"], "inner").collect())
+
+
+def test_materialized_tables_have_no_marker(docs):
+    files = common.materialize(docs([(1, "a")]), "t").inputFiles()
+    assert not list(Path(files[0].removeprefix("file:")).parent.glob("*SUCCESS*"))
