@@ -24,6 +24,11 @@ def over_groups(rows: DataFrame, keys: list[str], run: Callable[[pd.DataFrame, n
     run gets the other columns of whole groups, one after another, and where each begins; its column `group` says whose a row is.
     columns: the other columns that it returns. Keys of any kind are handed on, null too. A task holds a batch and a group.
     """
+    return over_sorted(dealt(rows, *keys).sortWithinPartitions(*keys), keys, run, columns)
+
+
+def over_sorted(rows: DataFrame, keys: list[str], run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], columns: str, at_once: int = 0) -> DataFrame:
+    """over_groups() of rows that lie group by group already, each group in one partition; run gets `at_once` rows or more, but at the end."""
     others = [c for c in rows.columns if c not in keys]
     kinds = dict(rows.dtypes)
     wanted = to_arrow_schema(StructType.fromDDL(columns))
@@ -46,22 +51,23 @@ def over_groups(rows: DataFrame, keys: list[str], run: Callable[[pd.DataFrame, n
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.Table] = []
+        held, due = 0, at_once
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = pa.Table.from_batches([batch])
-            starts = begins(now)
-            if rest and len(starts) == 1 and len(begins(pa.concat_tables([rest[-1].slice(rest[-1].num_rows - 1), now.slice(0, 1)]))) == 1:
-                rest.append(now)  # a group that goes on through the whole batch
+            rest.append(pa.Table.from_batches([batch]))
+            held += batch.num_rows
+            if held < due:
                 continue
-            table = pa.concat_tables([*rest, now])
+            table = pa.concat_tables(rest)
             starts = begins(table)
             if len(starts) > 1:
                 yield from done(table.slice(0, starts[-1]), starts[:-1])
             rest = [table.slice(starts[-1])]
+            held = rest[0].num_rows
+            due = max(at_once, 2 * held)  # a group that goes on is not looked through at every batch
         if rest:
             table = pa.concat_tables(rest)
             yield from done(table, begins(table))
 
-    ordered = dealt(rows.select(*keys, *others), *keys).sortWithinPartitions(*keys)
-    return ordered.mapInArrow(stream, ", ".join([*(f"{k} {kinds[k]}" for k in keys), columns]))
+    return rows.select(*keys, *others).mapInArrow(stream, ", ".join([*(f"{k} {kinds[k]}" for k in keys), columns]))
