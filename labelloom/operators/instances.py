@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,17 +84,34 @@ def enlarged_maps(pixels: DataFrame, k: int) -> DataFrame:
     An enlarged object's box and mean follow from the small one's, so the small rows alone are shuffled, once and by image; what
     groups by image next finds its groups together.
     """
+    rows, value = _with_centres(pixels, k)
+    steps = F.array(*(F.lit(i) for i in range(k)))
+    rows = rows.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps)).withColumns({c: F.col(c) * k + F.col(f"_d{c}") for c in ("y", "x")})
+    return rows.select(*pixels.columns, value("x", F.col("x")).alias("h"), value("y", F.col("y")).alias("v"))
+
+
+def enlarged_blocks(pixels: DataFrame, k: int) -> DataFrame:
+    """enlarged_maps() with a row for each block of k x k pixels: y and x are its corner, h and v its values row by row, other columns as they are."""
+    rows, value = _with_centres(pixels, k)
+    # functions over arrays, as the expressions of all k values written out make a method that the JVM does not compile
+    steps = F.array(*(F.lit(i) for i in range(k)))
+    h = F.flatten(F.array_repeat(F.transform(steps, lambda i: value("x", F.col("x") * k + i)), k))
+    v = F.flatten(F.transform(steps, lambda i: F.array_repeat(value("y", F.col("y") * k + i), k)))
+    # in a selection of its own: within functions over arrays "x" would be the new column of that name
+    rows = rows.select(*pixels.columns, h.alias("h"), v.alias("v"))
+    return rows.withColumns({c: F.col(c) * k for c in ("y", "x")})
+
+
+def _with_centres(pixels: DataFrame, k: int) -> tuple[DataFrame, Callable[[str, Column], Column]]:
+    """pixels, dealt out by image, with the boxes and centres of their objects once enlarged, and the scaled distance to them along x or y of an enlarged place."""
     w = Window.partitionBy(*OBJECT)
     n = F.count(F.lit(1)).over(w)
-    rows = dealt(pixels, "image_id")
     told = {}
     for c in ("x", "y"):
         low, mean = (k * F.min(c).over(w)).cast("int"), (k**3 * F.sum(c).over(w) + k * k * (k - 1) // 2 * n) / (k * k * n)
         told |= {f"_c{c}": _rounded_centre(mean, low), f"_low{c}": low, f"_high{c}": (k * F.max(c).over(w) + k - 1).cast("int")}
-    steps = F.array(*(F.lit(i) for i in range(k)))
-    rows = rows.withColumns(told).withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps)).withColumns({c: F.col(c) * k + F.col(f"_d{c}") for c in ("y", "x")})
-    value = lambda c: F.when(F.col("inst_id") > 0, _from_centre(F.col(c), F.col(f"_c{c}"), F.col(f"_low{c}"), F.col(f"_high{c}"))).otherwise(0.0)
-    return rows.select(*pixels.columns, value("x").alias("h"), value("y").alias("v"))
+    value = lambda c, at: F.when(F.col("inst_id") > 0, _from_centre(at, F.col(f"_c{c}"), F.col(f"_low{c}"), F.col(f"_high{c}"))).otherwise(0.0)
+    return dealt(pixels, "image_id").withColumns(told), value
 
 
 def targets(labels: DataFrame, height: int, width: int, out_h: int, out_w: int, min_size: int = 30) -> DataFrame:

@@ -121,33 +121,40 @@ def watershed(height: np.ndarray, markers: np.ndarray, blobs: np.ndarray) -> np.
     # every tile has a rim of its own above and to the left, and the next one's or one more row below
     wide = w + 1
     place = ((tile_of * (h + 1) + y + 1) * wide + x + 1).astype(np.int64)
-    area = (len(tiles) * (h + 1) + 1) * wide + 1
-    size = h * w + 1
-    cost, free, held = np.zeros(area, np.int64), np.zeros(area, bool), np.zeros(area, np.int64)
-    cost[place], held[place] = rank * size, labels[busy]
+    free = np.zeros((len(tiles) * (h + 1) + 1) * wide + 1, bool)
+    cost, told = np.zeros(len(free), np.int64), np.zeros(len(free), np.int64)
+    # a number of the queue is a pixel's rank, when it was met, and its place in the tile
+    bits = int((h + 2) * wide).bit_length()
+    unit = 1 << bits
+    cost[place], told[place] = rank * (h * w + 1) * unit + place - tile_of * (h + 1) * wide, labels[busy]
     free[place] = labels[busy] == 0
-    edge = place[(held[place] > 0) & (free[place - wide] | free[place - 1] | free[place + 1] | free[place + wide])]
+    edge = place[(told[place] > 0) & (free[place - wide] | free[place - 1] | free[place + 1] | free[place + wide])]
     ends = np.searchsorted(edge, (np.arange(len(tiles) + 1) * (h + 1) + 1) * wide).tolist()
+    first = (cost[edge] + (np.arange(len(edge)) - np.repeat(ends[:-1], np.diff(ends))) * unit).tolist()
     left = np.bincount(tile_of[labels[busy] == 0], minlength=len(tiles)).tolist()
-    cost, free, told, edge = cost.tolist(), free.tolist(), held.tolist(), edge.tolist()
-    pop, push = heapq.heappop, heapq.heappush
+    pop, push, put = heapq.heappop, heapq.heappush, heapq.heapreplace
     for k, todo in enumerate(left):
-        met = edge[ends[k] : ends[k + 1]]
-        queue = [cost[at] + i for i, at in enumerate(met)]
+        own = slice(k * (h + 1) * wide, ((k + 1) * (h + 1) + 1) * wide + 1)
+        near, label, height_of = free[own].tolist(), told[own].tolist(), cost[own].tolist()
+        queue = first[ends[k] : ends[k + 1]]
         heapq.heapify(queue)
-        i = len(met)
-        todo += i
-        while i < todo:
-            at = met[pop(queue) % size]
+        met = len(queue) * unit
+        todo = met + todo * unit
+        while met < todo:
+            at = queue[0] & (unit - 1)
+            add = put  # the first new pixel takes the place of this one
             for to in (at - wide, at - 1, at + 1, at + wide):
-                if free[to]:
-                    free[to] = False
-                    told[to] = told[at]
-                    push(queue, cost[to] + i)
-                    met.append(to)
-                    i += 1
+                if near[to]:
+                    near[to] = False
+                    label[to] = label[at]
+                    add(queue, height_of[to] + met)
+                    met += unit
+                    add = push
+            if add is put:
+                pop(queue)
+        told[own] = label
     whole = out[tiles]
-    whole[busy] = np.array(told)[place]
+    whole[busy] = told[place]
     out[tiles] = whole
     return out
 

@@ -137,9 +137,9 @@ def _whole_mended(layout: dict, new: dict[str, np.ndarray]) -> np.ndarray:
     return now
 
 
-def _whole_slides(maps: DataFrame, images: DataFrame, tile: int, margin: int, process: kernels.Process | None = None) -> DataFrame:
+def _whole_slides(maps: DataFrame, images: DataFrame, tile: int, margin: int, process: kernels.Process | None = None, side: int = 1) -> DataFrame:
     """slide_labels() of slides that a task may hold, with type_id if maps have tp: rows of a slide are shuffled once, or not at all if they lie by image, and
-    boxes of equal size, of all phases and many slides, are separated together.
+    boxes of equal size, of all phases and many slides, are separated together. Maps of blocks go to Python as they are.
     """
     values = ["np", "h", "v", *(["tp"] if "tp" in maps.columns else [])]
 
@@ -149,7 +149,13 @@ def _whole_slides(maps: DataFrame, images: DataFrame, tile: int, margin: int, pr
         slides, work = [], {}
         for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
             shape = height, width = int(columns["height"][a]), int(columns["width"][a])
-            y, x = columns["y"][a:b], columns["x"][a:b]
+            told = {c: v[a:b] for c, v in columns.items()}
+            y, x = told["y"], told["x"]
+            if side > 1:
+                if told["np"][0] is None:  # a slide without pixels
+                    continue
+                y, x = ((p[:, None] + steps).ravel() for p, steps in ((y, np.repeat(np.arange(side), side)), (x, np.tile(np.arange(side), side))))
+                told |= {c: np.concatenate(told[c]) for c in values}
             inside = (y >= 0) & (y < height) & (x >= 0) & (x < width)
             if not inside.any():
                 continue
@@ -158,8 +164,8 @@ def _whole_slides(maps: DataFrame, images: DataFrame, tile: int, margin: int, pr
             at = (y[inside], x[inside])
             own = []
             for c in values:
-                own.append(np.zeros(shape, columns[c].dtype))
-                own[-1][at] = columns[c][a:b][inside]
+                own.append(np.zeros(shape, told[c].dtype))
+                own[-1][at] = told[c][inside]
             here = None
             if len(at[0]) < height * width:
                 here = np.zeros(shape, bool)
@@ -194,17 +200,31 @@ def _whole_slides(maps: DataFrame, images: DataFrame, tile: int, margin: int, pr
     sizes = images.select(F.col("image_id").cast("long").alias("image_id"), "height", "width")
     # a merge of sorted sides gives a slide's pixels one after another; from the slides' side, as adaptive execution may deal out one slide's pixels to several tasks in an inner join
     near = sizes.hint("merge").join(pixels, "image_id", "left").withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("y", "x")})
-    return over_sorted(near, ["image_id"], run, "y int, x int, inst_id int" + ", type_id int" * ("tp" in values), WHOLE)
+    return over_sorted(near, ["image_id"], run, "y int, x int, inst_id int" + ", type_id int" * ("tp" in values), WHOLE // side**2)
+
+
+def _block_pixels(maps: DataFrame, side: int) -> DataFrame:
+    values = [c for c in ("np", "h", "v", "tp") if c in maps.columns]
+    each = maps.select("image_id", "y", "x", F.posexplode(F.arrays_zip(*values)).alias("_i", "_v"))
+    return each.select("image_id", (F.col("y") + F.expr(f"_i div {side}")).cast("int").alias("y"), (F.col("x") + F.col("_i") % side).cast("int").alias("x"), *(F.col("_v")[c].alias(c) for c in values))
 
 
-def labelled(maps: DataFrame, images: DataFrame, tile: int, margin: int, mask: DataFrame | None = None, scale: float = 1.0, process: kernels.Process | None = None, stored: bool = False, whole: int = WHOLE) -> DataFrame:
-    """slide_labels(), with type_id if maps have tp. Slides of `whole` pixels at most go to a task each whole, the others box by box; with a mask all do. images: a row an image."""
+def labelled(maps: DataFrame, images: DataFrame, tile: int, margin: int, mask: DataFrame | None = None, scale: float = 1.0, process: kernels.Process | None = None, stored: bool = False, whole: int = WHOLE, side: int = 1) -> DataFrame:
+    """slide_labels(), with type_id if maps have tp. Slides of `whole` pixels at most go to a task each whole, the others box by box; with a mask all do. images: a row an image.
+
+    side: a row of maps is a block of side x side pixels from (y, x), with arrays of them row by row in the place of numbers. Small blocks go to Python as they
+    are, ten thousand to a batch; larger ones are taken apart first.
+    """
     if tile < 4 * margin:
         raise ValueError("boxes of one phase would overlap: a tile is four margins or more")
+    if side > 16:
+        maps, side = _block_pixels(maps, side), 1
     small = F.col("height").cast("long") * F.col("width") <= (whole if mask is None else -1)
     found = images.agg(F.max(small).alias("small"), F.max(~small).alias("large")).first()
     if not found.large:
-        return _whole_slides(maps, images.where(small), tile, margin, process)
+        return _whole_slides(maps, images.where(small), tile, margin, process, side)
+    if side > 1:
+        maps, side, stored = _block_pixels(maps, side), 1, False
     maps = maps if stored else written(maps, "slide-maps")
     own = maps.join(images.where(~small).select("image_id"), "image_id", "left_semi") if found.small else maps
     out = slide_labels(own, images.where(~small), tile, margin, mask, scale, process, stored=not found.small)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom.operators import groups, kernels, stacks
-from labelloom.plans import slide
+from labelloom.plans import queries, slide
 from labelloom.plans.queries import QUERIES
 from tests.test_larger import plan_of
 
@@ -81,6 +81,17 @@ def test_whole_slides_equal_boxes(spark, process):
         slide.labelled(plain, sizes, 16, 6)
 
 
+def test_blocks_are_their_pixels(spark):
+    maps = queries.predicted_maps(spark, "/root/testdata/sf0.001").drop("tp")
+    blocks = queries.predicted_blocks(spark, "/root/testdata/sf0.001")
+    pixels = slide._block_pixels(blocks, 4)
+    assert maps.count() == pixels.count() and maps.exceptAll(pixels).count() == 0
+    sizes = spark.createDataFrame([(0, 80, 80), (2, 39, 78), (7, 8, 8)], "image_id long, height int, width int")  # cut within blocks; no pixels
+    within = maps.join(sizes, "image_id").where("y < height and x < width").drop("height", "width")
+    want = told(slide.slide_labels(within, sizes, 32, 8))
+    assert want and told(slide.labelled(blocks, sizes, 32, 8, side=4)) == want and told(slide.labelled(blocks, sizes.where("image_id <> 2"), 32, 8, side=4, whole=99)) == [r for r in want if r[0] == 0]
+
+
 def test_small_slides_are_shuffled_once_and_not_written(spark, monkeypatch):
     made, kept = [], slide.written
     monkeypatch.setattr(slide, "written", lambda df, label: made.append(label) or kept(df, label))
